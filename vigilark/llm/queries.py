@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilark.functions.text import name_key
 from vigilark.llm.name_mapping import map_names
 from vigilark.llm.packing import pack
+from vigilark.llm.subjects import predict_subjects, train_subjects
+from vigilark.llm.survivors import survivors, surviving_records, utc_time
 from vigilark.llm.tokens import token_counts, token_ids
 from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
@@ -62,6 +65,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_matched(spark, d).select("src", "src_id", F.coalesce("entry", F.lit("none")).alias("canon_guid"))
 
 
+FIELDS = ("replacement", "level0_prepped", "level1_prepped", "level2_prepped")
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions with the key of their group, trust and time; a name without letters or digits is no name."""
+    c = spark.read.parquet(f"{d}/geoname_cache.parquet").withColumns(
+        {"level_key": F.lower(F.trim("level")), "name_key": name_key(F.col("name_to_match")), "at": utc_time(F.col("created_time"))}
+    )
+    trust = spark.read.parquet(f"{d}/creator_trust.parquet").groupBy("name_of_creator").agg(F.max("trust").alias("trust"))
+    c = c.withColumn("name_key", F.when(F.col("name_key") != "", F.col("name_key")))
+    return join_dimension(c, trust, ["name_of_creator"], "left", spread=F.col("decision_id"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The decision that gives each field of each group's survivor."""
+    w = survivors(_decisions(spark, d), ["level_key", "name_key"], "decision_id", FIELDS, "trust", "at", votes="lexicographic")
+    return w.select("group_id", "field_name", F.col("id").alias("decision_id"))
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving decisions by summed votes."""
+    w = survivors(_decisions(spark, d), ["level_key", "name_key"], "decision_id", FIELDS, "trust", "at", votes="sum")
+    return surviving_records(w, ["level_key", "name_key"], FIELDS)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
@@ -82,9 +110,43 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of every document with content."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    labels = spark.read.parquet(f"{d}/subject_labels.parquet")
+    names = [r.subject for r in spark.read.parquet(f"{d}/subject_areas.parquet").select("subject").distinct().limit(1000).collect()]  # the list of areas
+    chain = train_subjects(docs, labels, [n for n in names if n], "doc_id", "text", "source", "subject")
+    return predict_subjects(docs, chain, "doc_id", "text", "source")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by subject; a document of two subjects counts half for each."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
+    per = p10_found(spark, d).join(docs, "doc_id")
+    per = per.withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc_id")))
+    return per.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 6).alias("weight"), F.round(F.sum(F.col("share") * F.col("n_chars")), 3).alias("chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_survivors, p8_ids, p9_containers, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": r"""
+WITH c AS (SELECT *, lower(trim(level)) AS lk, nullif(regexp_replace(lower(strip_accents(name_to_match)), '[^\p{L}\p{N}]+', '', 'g'), '') AS nk,
+    CASE WHEN regexp_full_match(created_time, '\d{9,10}') THEN to_timestamp(CAST(created_time AS BIGINT))
+      WHEN regexp_matches(created_time, '(Z|[+-]\d\d:\d\d)$') THEN try_cast(created_time AS TIMESTAMPTZ)
+      ELSE try_cast(created_time || 'Z' AS TIMESTAMPTZ) END AS made,
+    coalesce((SELECT max(trust) FROM creator_trust t WHERE t.name_of_creator = geoname_cache.name_of_creator), 0) AS trust
+  FROM geoname_cache),
+g AS (SELECT lk, nk, min(decision_id) AS group_id FROM c WHERE lk IS NOT NULL AND nk IS NOT NULL AND decision_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT decision_id) > 1),
+v AS (SELECT lk, nk, decision_id, made, trust, 'replacement' AS field_name, replacement AS value FROM c
+  UNION ALL SELECT lk, nk, decision_id, made, trust, 'level0_prepped', level0_prepped FROM c
+  UNION ALL SELECT lk, nk, decision_id, made, trust, 'level1_prepped', level1_prepped FROM c
+  UNION ALL SELECT lk, nk, decision_id, made, trust, 'level2_prepped', level2_prepped FROM c),
+r AS (SELECT g.group_id, field_name, decision_id, row_number() OVER (PARTITION BY g.group_id, field_name ORDER BY trust DESC, made DESC NULLS LAST, decision_id) AS rn
+  FROM v JOIN g ON v.lk = g.lk AND v.nk = g.nk
+  WHERE value IS NOT NULL AND upper(trim(value)) NOT IN ('', 'NA', 'N/A', 'NULL', 'UNKNOWN', '-', '?'))
+SELECT group_id, field_name, decision_id FROM r WHERE rn = 1""",
+    }
