@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.text import fold_accents, fold_lookalikes
-from vigilark.plans.joins import join_dimension
 from vigilark.session import materialise
 
 #: Jaccard similarity of pairs from which a pair of names is a candidate. Two letters changed in a name of six leave 3 of 11 pairs to 5 of 9.
@@ -50,19 +49,18 @@ def skeleton(c: Column) -> Column:
     return F.regexp_replace(out, r"(.)\1+", "$1")
 
 
-def pair_set(c: Column) -> Column:
-    """The set of padded character pairs of a text, a pair that occurs again numbered: ABAB -> ^A AB BA AB2 B$."""
-    padded = F.concat(F.lit("^"), c, F.lit("$"))
-    n = F.length(padded)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    numbered = F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
-    return F.when(F.length(c) > 0, numbered).otherwise(F.array().cast("array<string>"))
+def with_pairs(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`, the set of padded character pairs of a text, a pair that occurs again numbered: ABAB -> ^A1 AB1 BA1 AB2 B$1.
+    An empty text has the pair ^$."""
+    d = df.withColumn("__t", F.concat(F.lit("^"), text, F.lit("$")))
+    d = d.withColumn("__q", F.transform(F.sequence(F.lit(1), F.length("__t") - 1), lambda i: F.substring(F.col("__t"), i, F.lit(2))))
+    nth = lambda p, i: F.size(F.filter(F.slice(F.col("__q"), F.lit(1), i + 1), lambda q: q == p))
+    return d.withColumn(out, F.transform("__q", lambda p, i: F.concat(p, nth(p, i).cast("string")))).drop("__t", "__q")
 
 
 def _swapped(c: Column) -> Column:
     """Two words the other way round; null for any other number of words."""
-    w = F.split(c, " ")
-    return F.when(F.size(w) == 2, F.concat(w[1], F.lit(" "), w[0]))
+    return F.when(c.rlike(r"^\S+ \S+$"), F.regexp_replace(c, r"^(\S+) (\S+)$", "$2 $1"))
 
 
 def _less(c: Column, words: Column) -> Column:
@@ -73,88 +71,82 @@ def _less(c: Column, words: Column) -> Column:
     return F.when(F.length(words) > 0, cut)
 
 
-def variants(name: Column, parents: list[Column]) -> Column:
-    """The readings of a typed name: as it stands, without a parent's name before or after it, without words for the kind of
-    place and without numbers, each also with two words swapped."""
+def with_variants(df: DataFrame, name: str, parents: str, out: str) -> DataFrame:
+    """df with `out`, the readings of a typed name: as it stands, without a parent's name before or after it, without words for
+    the kind of place and without numbers, each also with two words swapped. Steps are columns of their own, and what is done to
+    several texts is written once over an array of them: nested into one expression the plan would grow with every step."""
     generic = r"\b(" + "|".join(GENERIC_WORDS) + r"|\d+)\b"
-    base = letters(name)
-    plain = [base] + [_less(base, letters(p)) for p in parents]
-    bare = [F.trim(F.regexp_replace(F.regexp_replace(x, generic, " "), " +", " ")) for x in plain]
-    texts = plain + bare
-    return F.array_distinct(F.filter(F.array(*texts, *[_swapped(x) for x in texts]), lambda x: x.isNotNull() & (F.length(x) > 0)))
+    keep = lambda x: x.isNotNull() & (F.length(x) > 0)
+    d = df.withColumn("__l", F.transform(F.concat(F.array(name), F.coalesce(parents, F.array().cast("array<string>"))), letters))
+    d = d.withColumn("__p", F.transform("__l", lambda x, i: F.when(i == 0, x).otherwise(_less(F.col("__l")[0], x))))
+    d = d.withColumn("__b", F.concat("__p", F.transform("__p", lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, generic, " "), " +", " ")))))
+    return d.withColumn(out, F.array_distinct(F.filter(F.concat("__b", F.transform("__b", _swapped)), keep))).drop("__l", "__p", "__b")
 
 
 def _edit_share(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _ordered(df: DataFrame, set_col: str, key: list[str], rarity: DataFrame) -> DataFrame:
-    """The set as an array in the order of rarity; tokens the list does not hold come first."""
-    t = df.select(*key, F.explode(set_col).alias("token"))
-    t = join_dimension(t, rarity, ["token"], "left", spread=F.col(key[0]))
-    return t.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), F.col("token").alias("t")))).alias("s")).select(*key, F.col("s.t").alias("tokens"))
-
-
 def similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, scope: str, threshold: float) -> DataFrame:
     """(left key, right key, jaccard): all pairs of one scope whose pair sets have at least this Jaccard similarity.
 
-    Both sides have (key, scope, text); text is compared as it is. Equal (scope, text) must not repeat on either side. Empty texts match nothing.
+    Both sides have (key, scope, text); text is compared as it is, keys are unique on each side. Empty texts match nothing. The sets of
+    both sides are ordered in one pass and written once; only prefixes are joined.
     """
-    l0 = left.select(F.col(key).alias("lk"), F.col(scope).alias("scope"), pair_set(F.col(text)).alias("set")).where(F.size("set") > 0)
-    r0 = right.select(F.col(key).alias("rk"), F.col(scope).alias("scope"), pair_set(F.col(text)).alias("set")).where(F.size("set") > 0)
-    rarity = r0.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
-
-    def prefixed(df: DataFrame, k: str, p: str) -> DataFrame:
-        o = _ordered(df, "set", [k, "scope"], rarity)
+    def side(df: DataFrame, k: str) -> DataFrame:
+        d = df.select(F.lit(k).alias("side"), F.col(key).alias("key"), F.col(scope).alias("scope"), F.col(text).alias("text")).where("text <> ''")
+        # explode_outer: a plain explode would evaluate the set a second time to test its size
+        return with_pairs(d, "text", "set").select("side", "key", "scope", F.explode_outer("set").alias("token"))
+
+    rarity = side(right, "r").groupBy("token").agg(F.count("*").alias("freq"))
+    t = side(left, "l").unionByName(side(right, "r")).join(rarity, "token", "left")
+    # tokens the list does not hold come first
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), F.col("token").alias("t"))))
+    ordered = materialise(t.groupBy("side", "key", "scope").agg(order.alias("s")).select("side", "key", "scope", F.col("s.t").alias("tokens")), "ordered")
+
+    def prefixed(p: str) -> DataFrame:
         n = F.size("tokens")
         head = (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")
-        return o.select(k, "scope", F.col("tokens").alias(f"{p}_tokens"), F.posexplode(F.slice("tokens", F.lit(1), head)).alias(f"{p}_pos", "token"))
+        return ordered.where(F.col("side") == p).select(F.col("key").alias(f"{p}k"), "scope", F.col("tokens").alias(p), F.posexplode(F.slice("tokens", F.lit(1), head)).alias(f"{p}_pos", "token"))
 
-    a, b = prefixed(l0, "lk", "l"), prefixed(r0, "rk", "r")
-    j = a.join(b, ["scope", "token"])
-    nl, nr = F.size("l_tokens"), F.size("r_tokens")
+    j = prefixed("l").join(prefixed("r"), ["scope", "token"])
+    nl, nr = F.size("l"), F.size("r")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (nl + nr) - F.lit(1e-9))
-    # the overlap still possible from this common token on; earlier common tokens bring their own row
     j = j.where((nl >= F.lit(threshold) * nr) & (nr >= F.lit(threshold) * nl))
-    # the first common token of a pair has the best bound, so the pair is lost only if that fails
-    j = j.where(F.least(nl - F.col("l_pos"), nr - F.col("r_pos")) + F.least("l_pos", "r_pos") >= need)
-    pairs = j.groupBy("lk", "rk").agg(F.any_value("l_tokens").alias("l"), F.any_value("r_tokens").alias("r"))
-    both = F.size(F.array_intersect("l", "r"))
-    return pairs.select("lk", "rk", (both / (F.size("l") + F.size("r") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    # overlap still possible with this token as a common one: what lies before it, and what lies from it on
+    j = j.where(F.least("l_pos", "r_pos") + F.least(nl - F.col("l_pos"), nr - F.col("r_pos")) >= need)
+    pairs = j.groupBy("lk", "rk").agg(F.any_value("l").alias("l"), F.any_value("r").alias("r"))
+    common = F.size(F.array_intersect("l", "r"))
+    return pairs.select("lk", "rk", (common / (nl + nr - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def map_names(typed: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, max_edit_share: float = MAX_EDIT_SHARE) -> DataFrame:
-    """Best reference entry of every typed name.
+    """(id, entry, score): the best reference entry of every typed name that has one; a name without a row stands for none.
 
-    typed: (scope, name, parents ARRAY<STRING>), one row per distinct name to map; reference: (scope, name, entry), several names may stand
-    for one entry. Names are matched within their scope. Returns (scope, name, parents, entry, score): entry is null where no
-    reference name is close enough. Null or letterless names, unknown and null scopes give a null entry; an empty reference gives
-    null entries. Ties go to the smaller edit distance, then the smaller entry.
+    typed: (id, scope, name, parents ARRAY<STRING>), one row per distinct name to map; reference: (scope, name, entry), several names may
+    stand for one entry. Names are matched within their scope. Null or letterless names, unknown and null scopes and an empty
+    reference give no rows. Ties go to the smaller edit distance, the greater similarity, the smaller entry.
     """
-    t = typed.select("scope", "name", "parents").where("name is not null and scope is not null").distinct()
-    t = t.withColumn("id", F.sha2(F.concat_ws("\u0001", "scope", "name", F.array_join("parents", "\u0002", "\u0003")), 256))
-    v = t.select("id", "scope", F.explode(variants(F.col("name"), [F.get("parents", F.lit(i)) for i in range(2)])).alias("text"))
-    v = materialise(v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''"), "typed")
+    t = typed.where("id is not null and name is not null and scope is not null")
+    # explode_outer: a plain explode would push a test of the whole expression below the steps it is made of
+    v = with_variants(t, "name", "parents", "texts").select("id", "scope", F.explode_outer("texts").alias("text")).where("text is not null")
+    v = materialise(v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").withColumn("key", F.xxhash64("scope", "bones")), "typed")
     r = reference.where("name is not null and scope is not null and entry is not null").select("scope", "entry", letters(F.col("name")).alias("text"))
-    r = materialise(r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct(), "reference")
+    r = r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct().withColumn("rkey", F.xxhash64("scope", "bones"))
+    r = materialise(r, "reference")
     # the same skeleton occurs in many typed names: each is looked up once
-    tk = v.select("scope", "bones").distinct().withColumn("key", F.concat_ws("\u0001", "scope", "bones"))
-    rk = r.select("scope", "bones").distinct().withColumn("key", F.concat_ws("\u0001", "scope", "bones"))
-    pairs = similarity_join(tk, rk, "key", "bones", "scope", threshold)
-    pairs = pairs.select(
-        F.substring_index("lk", "\u0001", 1).alias("scope"), F.substring_index("lk", "\u0001", -1).alias("bones"),
-        F.substring_index("rk", "\u0001", -1).alias("r_bones"), "jaccard",
-    )
-    c = v.join(pairs, ["scope", "bones"]).join(r.select("scope", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry"), ["scope", "r_bones"])
-    joined = lambda x: F.replace(without_digits(F.col(x)), F.lit(" "), F.lit(""))
-    edit = F.least(_edit_share(joined("text"), joined("r_text")), _edit_share(F.col("bones"), F.col("r_bones")) + 0.02)
-    short = F.least(F.length(joined("text")), F.length(joined("r_text"))) <= 3
-    cut = _abbreviates(F.col("text"), F.col("r_text"))
-    edit = F.when(cut, F.least(edit, F.lit(0.1))).otherwise(edit)
-    c = c.withColumn("edit", edit).where((F.col("edit") <= F.when(short, 0.0).otherwise(max_edit_share)))
-    best = F.min_by(F.struct("entry", "edit", "jaccard"), F.struct("edit", -F.col("jaccard"), "entry"))
-    won = c.groupBy("id").agg(best.alias("b")).select("id", F.col("b.entry").alias("entry"), (1 - F.col("b.edit")).alias("score"))
-    return t.join(won, "id", "left").drop("id")
+    lk, rk = v.select("key", "scope", "bones").distinct(), r.select(F.col("rkey").alias("key"), "scope", "bones").distinct()
+    pairs = similarity_join(lk, rk, "key", "bones", "scope", threshold)
+    pairs = pairs.select(F.col("lk").alias("key"), F.col("rk").alias("rkey"), "jaccard")
+    c = v.join(pairs, "key").join(r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry", F.col("scope").alias("r_scope")), "rkey")
+    c = c.where("scope = r_scope")
+    c = c.withColumns({"a": F.replace(without_digits(F.col("text")), F.lit(" "), F.lit("")), "b": F.replace(without_digits(F.col("r_text")), F.lit(" "), F.lit(""))})
+    edit = F.least(_edit_share(F.col("a"), F.col("b")), _edit_share(F.col("bones"), F.col("r_bones")) + 0.02)
+    short = F.least(F.length("a"), F.length("b")) <= 3
+    edit = F.when(_abbreviates(F.col("text"), F.col("r_text")), F.least(edit, F.lit(0.1))).otherwise(edit)
+    c = c.withColumn("edit", edit).where(F.col("edit") <= F.when(short, 0.0).otherwise(max_edit_share))
+    best = F.min_by(F.struct("entry", "edit"), F.struct("edit", -F.col("jaccard"), "entry"))
+    return c.groupBy("id").agg(best.alias("b")).select("id", F.col("b.entry").alias("entry"), (1 - F.col("b.edit")).alias("score"))
 
 
 def _abbreviates(a: Column, b: Column) -> Column:

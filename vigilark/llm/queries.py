@@ -13,6 +13,7 @@ from vigilark.llm.survivors import survivors, surviving_records, utc_time
 from vigilark.llm.tokens import token_counts, token_ids
 from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
+from vigilark.session import materialise
 
 CAPACITY = 2048
 
@@ -56,8 +57,9 @@ def p1_matched(spark: SparkSession, d: str) -> DataFrame:
     extra = syn.select(F.lit("0").alias("scope"), F.col("synonym").alias("name"), clean_guid(F.col("adm_guid")).alias("entry"))
     rows = _typed(spark, d).where(F.col("name").rlike(r"\S"))
     rows = join_dimension(rows, places.select("scope", "name").distinct(), ["scope", "name"], "left_anti", spread=F.col("src_id"))
-    names = map_names(rows.select("scope", "name", "parents").distinct(), places.unionByName(extra).distinct())
-    return rows.join(names, ["scope", "name", "parents"], "left")
+    rows = materialise(rows.withColumn("id", F.sha2(F.concat_ws("\u0001", "scope", "name"), 256)), "names")
+    names = map_names(rows.select("id", "scope", "name", "parents").distinct(), places.unionByName(extra).distinct())
+    return rows.join(names, "id", "left").drop("id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
