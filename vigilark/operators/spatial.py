@@ -179,7 +179,7 @@ def _match(points: DataFrame, triangles: DataFrame, id_type: str, region_type: s
     out = f"point_id {id_type}, x double, y double, region {region_type}"
     head = triangles.limit(max_triangles + 1).toPandas()
     if len(head) <= max_triangles:
-        names, owner = np.unique(head["region"].to_numpy(dtype=object).astype(str) if region_type == "string" else head["region"], return_inverse=True) if len(head) else (np.zeros(0), np.zeros(0, int))
+        owner, names = pd.factorize(head["region"].to_numpy(object))
         sent = spark.sparkContext.broadcast((Hierarchy(head[CORNERS].to_numpy(float), owner), names))
 
         def run(batches):
@@ -187,7 +187,7 @@ def _match(points: DataFrame, triangles: DataFrame, id_type: str, region_type: s
             for b in batches:
                 x, y = b["x"].to_numpy(float), b["y"].to_numpy(float)
                 p, o = tree.find(x, y)
-                yield pd.DataFrame({"point_id": b["point_id"].to_numpy()[p], "x": x[p], "y": y[p], "region": ids[o]})
+                yield pd.DataFrame({"point_id": b["point_id"].to_numpy()[p], "x": x[p], "y": y[p], "region": pd.Series(ids[o], dtype=object)})
 
         return points.mapInPandas(run, out)
     n = triangles.count()
@@ -229,7 +229,7 @@ def _match(points: DataFrame, triangles: DataFrame, id_type: str, region_type: s
         tree = Hierarchy(t[CORNERS].to_numpy(float), np.arange(len(t)))
         x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
         i, o = tree.find(x, y)
-        return pd.DataFrame({"point_id": p["point_id"].to_numpy()[i], "x": x[i], "y": y[i], "region": t["region"].to_numpy()[o]})
+        return pd.DataFrame({"point_id": p["point_id"].to_numpy()[i], "x": x[i], "y": y[i], "region": pd.Series(t["region"].to_numpy(object)[o], dtype=object)})
 
     return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInPandas(solve, out)
 
