@@ -85,7 +85,9 @@ def parse_instant(text: str | None, order: str | None) -> tuple[int, int | None,
     if not t:
         return None
     if m := _NUMBER.fullmatch(t):
-        whole, frac = m[1], m[2] or ""
+        whole, frac = m[1], (m[2] or "")[:30]
+        if len(whole) > 20:
+            return None
         n, k = int(whole), len(whole)
         if k == 8 and not frac and 1900 <= n // 10000 <= 2200:
             pass  # a compact date, below

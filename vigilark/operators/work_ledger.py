@@ -48,25 +48,31 @@ def item_states(items: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     'done' event whose token is the highest token leased up to the time of the commit. Events with a null item, token or
     time say nothing and are left out; repeated events change nothing. token is the highest lease's, null if there was none.
     """
+    g = _attempts(claims)
+    open_lease = F.exists(
+        "ls",
+        lambda x: (x["token"] == F.col("token"))
+        & (x["lease_until"] > now)
+        & ~F.exists("es", lambda e: (e["token"] == x["token"]) & (e["event"] == "failed")),
+    )
+    st = g.select("item", "token", ledger_state(F.col("committed").isNotNull(), open_lease).alias("state"))
+    return items.join(st, "item", "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+
+
+def _attempts(claims: DataFrame) -> DataFrame:
+    """(item, ls, es, token, committed): per item its leases, its ends, the highest token and the token of its valid commit, null without one. An
+    item's claims are its attempts, a handful: the sets are bounded by the retries of one item."""
     c = claims.where("item is not null and token is not null and at is not null and event is not null").select(*CLAIMS.names).distinct()
     leases = F.collect_list(F.when(F.col("event") == "lease", F.struct("at", "token", "lease_until")))
     ends = F.collect_list(F.when(F.col("event").isin("done", "failed"), F.struct("at", "token", "event")))
-    # An item's claims are its attempts, a handful; the sets below are bounded by the retries of one item.
     g = c.groupBy("item").agg(leases.alias("ls"), ends.alias("es"), F.max(F.when(F.col("event") == "lease", F.col("token"))).alias("token"))
-    valid = F.exists(
+    valid = F.filter(
         "es",
         lambda e: (e["event"] == "done")
         & F.exists("ls", lambda x: (x["token"] == e["token"]) & (x["at"] <= e["at"]))
         & ~F.exists("ls", lambda x: (x["token"] > e["token"]) & (x["at"] <= e["at"])),
     )
-    open_lease = F.exists(
-        "ls",
-        lambda x: (x["token"] == F.col("token"))
-        & (x["lease_until"] > now)
-        & ~F.exists("es", lambda e: (e["token"] == x["token"]) & (e["event"] == "failed")),
-    )
-    st = g.select("item", "token", ledger_state(valid, open_lease).alias("state"))
-    return items.join(st, "item", "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+    return g.withColumn("committed", F.array_min(F.transform(valid, lambda e: e["token"])))
 
 
 class WorkLedger:
@@ -131,14 +137,10 @@ class WorkLedger:
         return token
 
     def results(self, schema: T.StructType) -> DataFrame:
-        """Output of the items whose commit is valid: what a refused writer left behind is not read."""
-        c = self.claims()
-        states = item_states(c.select("item").distinct(), c, F.lit(datetime(1, 1, 1)).cast("timestamp_ntz")).where("state = 'done'")
-        done = c.where("event = 'done'").join(states.select("item"), "item", "left_semi")
-        # of an item's commits the valid one has the lowest token: after it the item was never leased again
-        won = done.groupBy("item").agg(F.min("token").alias("token"))
+        """Output (with a column `item`) of the items whose commit is valid: what a refused writer left behind is not read."""
+        won = _attempts(self.claims()).where("committed is not null").select("item", F.col("committed").alias("token"))
         out = self.spark.read.schema(schema).option("basePath", f"{self.path}/out").parquet(f"{self.path}/out")
-        return out.withColumn("token", F.col("token").cast("long")).join(won, ["item", "token"], "left_semi").drop("token") if "item" in schema.names else out
+        return out.withColumn("token", F.col("token").cast("long")).join(won, ["item", "token"], "left_semi").drop("token")
 
 
 def covered_days(log: DataFrame, first: Column, last: Column, group: Column, at: Column, low: str, high: str) -> DataFrame:

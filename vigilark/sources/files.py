@@ -37,7 +37,7 @@ def sniff_separator(line: str) -> str:
 
 
 def _read_delimited(spark: SparkSession, path: str, sep: str, **options) -> DataFrame:
-    opts = {"header": True, "inferSchema": True, "sep": sep, "quote": '"', "escape": '"', "nullValue": "", "multiLine": False} | options
+    opts = {"header": True, "inferSchema": True, "sep": sep, "quote": '"', "escape": '"', "nullValue": "", "multiLine": False, "ignoreTrailingWhiteSpace": False, "ignoreLeadingWhiteSpace": False} | options
     return spark.read.options(**opts).csv(path)
 
 
@@ -128,7 +128,7 @@ def save(df: DataFrame, path: str, single: bool = True, **options) -> None:
     parallel; parquet and orc are always folders. geojson needs lon and lat, or a geometry column of GeoJSON text. dta and xlsx go through pandas."""
     ext = _extension(path)
     if ext in ("csv", "tsv"):
-        opts = {"header": True, "sep": "," if ext == "csv" else "\t", "escape": '"'} | options
+        opts = {"header": True, "sep": "," if ext == "csv" else "\t", "escape": '"', "ignoreTrailingWhiteSpace": False, "ignoreLeadingWhiteSpace": False} | options
         return _one_file(df, path, "csv", **opts) if single else df.write.mode("overwrite").options(**opts).csv(path)
     if ext in ("parquet", "orc"):
         return df.write.mode("overwrite").format(ext).options(**({"compression": "zstd"} | options)).save(path)

@@ -47,10 +47,10 @@ def dedup_pages(stream: DataFrame, keys: Sequence[str], time: str, delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def windowed_counts(stream: DataFrame, time: str, window: str, by: Sequence[str] = (), delay: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Rows per window and group; rows later than the delay are left out."""
+def windowed_counts(stream: DataFrame, time: str, window: str, by: Sequence[str] = (), delay: str | None = "1 day", slide: str | None = None) -> DataFrame:
+    """Rows per window and group; rows later than the delay are left out. delay=None for a stream that has a watermark already."""
     w = F.window(time, window, slide) if slide else F.window(time, window)
-    g = stream.withWatermark(time, delay).groupBy(w, *by).agg(F.count("*").alias("n"))
+    g = (stream.withWatermark(time, delay) if delay else stream).groupBy(w, *by).agg(F.count("*").alias("n"))
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n")
 
 
