@@ -28,55 +28,108 @@ COMMON_FORMATS = (
 )
 
 
-def parse_order(c: Column, order: str) -> Column:
-    """TIMESTAMP_NTZ of a text written in this order with any of - / . , or spaces between the parts, or none at all between digits of
-    full width; null otherwise. Two-digit years below 69 are 20yy, others 19yy."""
+_NUMERIC = r"^\s*(\d{1,4})([-/., ]+)(\d{1,2})([-/., ]+)(\d{1,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?\s*$"
+_NAMED = {
+    "n": r"^\s*(\d{1,4})[-/., ]+([A-Za-z]{3,9})\.?[-/., ]+(\d{1,4})\s*$", "B": r"^\s*([A-Za-z]{3,9})\.?[-/., ]+(\d{1,2})[-/., ]+(\d{1,4})\s*$",
+}
+
+
+def date_parts(c: Column) -> Column:
+    """What a date text is made of, or null: ARRAY of first, separator, second, separator, third, hour, minute, second; for digits without
+    separators the array has the digits only, for a month by name n or B (what comes first) and the three parts. Read once per text, the orders then only compare."""
+    numeric = F.split(F.regexp_replace(c, _NUMERIC, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1)
+    named = F.lit(None).cast("array<string>")
+    for k, r in _NAMED.items():
+        named = F.when(c.rlike(r), F.split(F.regexp_replace(c, r, f"{k}|$1|$2|$3"), r"\|", -1)).otherwise(named)
+    return F.when(c.rlike(_NUMERIC), numeric).when(c.rlike(r"^\s*(\d{6}|\d{8})\s*$"), F.array(F.trim(c))).when(c.rlike("[A-Za-z]{3}"), named)
+
+
+def _make(year: Column, month: Column, day: Column, h: Column | None = None, mi: Column | None = None, sec: Column | None = None) -> Column:
+    """TIMESTAMP_NTZ of integers, null where there is no such day or time."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    ok = month.between(1, 12) & (day >= 1) & (day <= last) & (year >= 1)
+    if h is None:
+        return F.when(ok, F.make_date(year, month, day)).cast("timestamp_ntz")
+    ok = ok & (h <= 23) & (mi <= 59) & (sec <= 59)
+    return F.when(ok, F.make_timestamp_ntz(year, month, day, h, mi, sec))
+
+
+def _year(text: Column, wide: bool) -> Column:
+    n = text.cast("int")
+    return n if wide else F.when(n < 69, n + 2000).otherwise(n + 1900)
+
+
+def order_date(p: Column, order: str, separator: str | None = None) -> Column:
+    """TIMESTAMP_NTZ of date_parts read in one order; null where they do not fit. separator: the one that must stand between the parts. Two-digit years
+    below 69 are 20yy, others 19yy."""
     body, _, time = order.partition(" ")
-    loose = {"Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})", "B": r"([A-Za-z]{3,9})\.?"}
-    tight = {"Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{2})", "d": r"(\d{2})"}
-    clock = {"": "", "HMS": r"[ T](\d{1,2}):(\d{2}):(\d{2})(?:\.\d+)?", "HM": r"[ T](\d{1,2}):(\d{2})"}[time]
-    forms = [r"^\s*" + r"[-/., ]+".join(loose[k] for k in body) + clock + r"\s*$"]
-    if "B" not in body and not time:
-        forms.append(r"^\s*" + "".join(tight[k] for k in body) + r"\s*$")
-    out = []
-    for f in forms:
-        part = {k: F.nullif(F.regexp_extract(c, f, i + 1), F.lit("")) for i, k in enumerate(body)}
-        if "y" in part:
-            y2 = part["y"].cast("int")
-            year = F.when(y2 < 69, y2 + 2000).otherwise(y2 + 1900)
-        else:
-            year = part["Y"].cast("int")
-        if "B" in part:
-            at = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(F.substring(part["B"], 1, 3)))
-            month = F.nullif(at, F.lit(0)).cast("string")
-        else:
-            month = part["m"]
-        text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month, part["d"])
-        text = F.when(year.isNotNull() & month.isNotNull() & part["d"].isNotNull(), text)
-        if time:
-            hms = [F.regexp_extract(c, f, 4 + i) for i in range(len(time))] + [F.lit("00")] * (3 - len(time))
-            text = F.concat(text, F.lit(" "), F.concat_ws(":", *hms))
-            out.append(F.try_to_timestamp(text, F.lit("y-M-d H:m:s")).cast("timestamp_ntz"))
-        else:
-            out.append(F.try_to_date(text, "y-M-d").cast("timestamp_ntz"))
-    return F.coalesce(*out)
+    wide = "Y" in body
+    size = F.size(p)
+    if "B" in body:
+        k, at = "B" if body[0] == "B" else "n", {x.lower(): i + 1 for i, x in enumerate(body)}
+        y = F.get(p, F.lit(at["y"]))
+        number = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(F.substring(F.get(p, F.lit(at["b"])), 1, 3))).cast("int")
+        day = F.get(p, F.lit(at["d"]))
+        fits = (size == 4) & (F.get(p, F.lit(0)) == k) & (F.length(y) == (4 if wide else 2)) & (F.length(day) <= 2)
+        return F.when(fits, _make(_year(y, wide), number, day.cast("int")))
+    part = {x: F.get(p, F.lit(2 * i)) for i, x in enumerate(body)}
+    y = part["Y"] if wide else part["y"]
+    fits = (size == 8) & (F.length(y) == (4 if wide else 2)) & (F.length(part["m"]) <= 2) & (F.length(part["d"]) <= 2)
+    if separator is not None:
+        fits = fits & (F.get(p, F.lit(1)) == separator) & (F.get(p, F.lit(3)) == separator)
+    h, mi, sec = (F.get(p, F.lit(i)) for i in (5, 6, 7))
+    number = [_year(y, wide), part["m"].cast("int"), part["d"].cast("int")]
+    if time == "HMS":
+        return F.when(fits & (sec != ""), _make(*number, h.cast("int"), mi.cast("int"), sec.cast("int")))
+    if time == "HM":
+        return F.when(fits & (h != "") & (sec == ""), _make(*number, h.cast("int"), mi.cast("int"), F.lit(0)))
+    loose = F.when(fits & (h == ""), _make(*number))
+    if separator is not None:
+        return loose
+    at, cut = 1, {}
+    for x in body:
+        n = 4 if x == "Y" else 2
+        cut[x] = (at, n)
+        at += n
+    digits = F.get(p, F.lit(0))
+    get = lambda x: F.substring(digits, *cut[x])
+    tight = F.when((size == 1) & (F.length(digits) == at - 1), _make(_year(get("Y" if wide else "y"), wide), get("m").cast("int"), get("d").cast("int")))
+    return F.when(size == 8, loose).otherwise(tight)
+
+
+def _is_date(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] in ("date", "timestamp", "timestamp_ntz")
 
 
 def trained_orders(df: DataFrame, columns: Sequence[str], orders: Sequence[str]) -> dict[str, list[str]]:
     """Per column the orders that parse any of its texts, best first: longer orders, then four-digit years, then the
     number of texts parsed, then the place in the list. One aggregation for all columns; its result is one number per
-    column and order."""
-    aggs = [F.count(parse_order(F.col(f"`{c}`").cast("string"), o)).alias(f"{i}_{j}") for i, c in enumerate(columns) for j, o in enumerate(orders)]
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(columns):
+    column and order. Columns of dates need no order and take no part."""
+    texts = [c for c in columns if not _is_date(df, c)]
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    if not texts:
+        return out
+    parts = df.select(*[date_parts(F.col(f"`{c}`").cast("string")).alias(f"p{i}") for i, c in enumerate(texts)])
+    row = parts.agg(*[F.count(order_date(F.col(f"p{i}"), o)).alias(f"{i}_{j}") for i in range(len(texts)) for j, o in enumerate(orders)]).first()
+    for i, c in enumerate(texts):
         n = [(o, row[f"{i}_{j}"], j) for j, o in enumerate(orders)]
         out[c] = [o for o, k, j in sorted((x for x in n if x[1]), key=lambda x: (-len(x[0]), "Y" not in x[0], -x[1], x[2]))]
     return out
 
 
-def parse_trained(c: Column, orders: Sequence[str]) -> Column:
-    return F.coalesce(*[parse_order(c, o) for o in orders]) if orders else F.lit(None).cast("timestamp_ntz")
+def with_trained(df: DataFrame, columns: dict[str, str], best: dict[str, list[str]]) -> DataFrame:
+    """df with one TIMESTAMP_NTZ column per entry of columns (name -> source column), read by the orders trained for the source."""
+    parts, new = {}, {}
+    for k, c in columns.items():
+        if _is_date(df, c):
+            new[k] = F.col(f"`{c}`").cast("timestamp_ntz")
+        elif best.get(c):
+            parts[f"__p_{k}"] = date_parts(F.col(f"`{c}`").cast("string"))
+            new[k] = F.coalesce(*[order_date(F.col(f"`__p_{k}`"), o) for o in best[c]])
+        else:
+            new[k] = F.lit(None).cast("timestamp_ntz")
+    return (df.withColumns(parts) if parts else df).withColumns(new).drop(*parts)
 
 
 def _iso_instant(c: Column) -> Column:
@@ -92,20 +145,23 @@ def autoparse_dates(df: DataFrame, columns: Sequence[str], output_format: str |
     """
     orders = (*ALL_ORDERS, *extra_orders)
     best = trained_orders(df, columns, orders)
+    parsed = with_trained(df, {f"__t_{c}": c for c in columns}, best)
     new = {}
     for c in columns:
-        s = F.col(f"`{c}`").cast("string")
-        iso = iso_prefix_date(s).cast("timestamp_ntz") if local_date else _iso_instant(s)
-        p = F.when(s.contains("T"), F.coalesce(iso, parse_trained(s, best[c]))).otherwise(parse_trained(s, best[c]))
-        new[c] = p.cast("date") if output_format is None else F.date_format(p, output_format)
-    return df.withColumns(new)
+        t, s = F.col(f"`__t_{c}`"), F.col(f"`{c}`").cast("string")
+        if not _is_date(df, c):
+            iso = iso_prefix_date(s).cast("timestamp_ntz") if local_date else _iso_instant(s)
+            t = F.when(s.contains("T"), F.coalesce(iso, t)).otherwise(t)
+        new[c] = t.cast("date") if output_format is None else F.date_format(t, output_format)
+    return parsed.withColumns(new).drop(*[f"__t_{c}" for c in columns])
 
 
 ONE_TESTS = ("missing", "non_date", "sensible", "leap_year", "format")
 TWO_TESTS = (*ONE_TESTS, "similarity", "order")
 
 
-def _iso_text(ts: Column) -> Column:
+def iso_text(ts: Column) -> Column:
+    """A point in time as ISO text, without the time at midnight."""
     midnight = F.date_format(ts, "HH:mm:ss") == "00:00:00"
     return F.when(midnight, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
 
@@ -137,9 +193,9 @@ def validate_date(df: DataFrame, column: str, tests: Sequence[str] = ONE_TESTS,
     _format_issue (no ISO date, leap-day errors aside). Null dates are missing, their _invalid and _future are null.
     """
     as_of = as_of or date.today()
-    s = F.col(f"`{column}`").cast("string")
-    best = trained_orders(df, [column], (*DATE_ORDERS, *TIME_ORDERS))[column]
-    parsed = df.withColumn(column, F.coalesce(_iso_text(parse_trained(s, best)), s))
+    best = trained_orders(df, [column], (*DATE_ORDERS, *TIME_ORDERS))
+    parsed = with_trained(df, {"__t": column}, best)
+    parsed = parsed.withColumn(column, F.coalesce(iso_text(F.col("__t")), F.col(f"`{column}`").cast("string"))).drop("__t")
     return parsed.withColumns(date_flags(F.col(f"`{column}`"), column, tests, min_year, as_of))
 
 
@@ -151,11 +207,13 @@ def validate_dates(df: DataFrame, first: str, second: str, tests: Sequence[str]
     """
     as_of = as_of or date.today()
     best = trained_orders(df, [first, second], TIME_ORDERS)
+    out = with_trained(df, {"__t0": first, "__t1": second}, best)
+    out = out.withColumns({f"__s{i}": F.coalesce(iso_text(F.col(f"__t{i}")), F.col(f"`{c}`").cast("string")) for i, c in enumerate((first, second))})
+    out = out.withColumns({f"__d{i}": iso_prefix_date(F.col(f"__s{i}")) for i in range(2)})
     new, days = {}, {}
-    for c in (first, second):
-        raw = F.col(f"`{c}`").cast("string")
-        s = F.coalesce(_iso_text(parse_trained(raw, best[c])), raw)
-        d = days[c] = iso_prefix_date(s)
+    for i, c in enumerate((first, second)):
+        s = F.col(f"__s{i}")
+        d = days[c] = F.col(f"__d{i}")
         bad = d.isNull() & s.isNotNull()
         if "missing" in tests:
             new[f"{c}_missing"] = s.isNull()
@@ -172,46 +230,25 @@ def validate_dates(df: DataFrame, first: str, second: str, tests: Sequence[str]
         new[f"{first}_same"] = days[first] == days[second]
     if "order" in tests:
         new[f"{first}_invalid_order"] = days[first] > days[second]
-    return df.withColumns(new)
-
-
-def _format_regex(fmt: str) -> tuple[str, list[str]]:
-    names = {"%d": r"(\d{1,2})", "%m": r"(\d{1,2})", "%Y": r"(\d{4})", "%y": r"(\d{2})", "%B": "([A-Za-z]+)", "%b": "([A-Za-z]+)"}
-    out, parts, i = "^", [], 0
-    while i < len(fmt):
-        if fmt[i : i + 2] in names:
-            wide = fmt == "%Y%m%d" and fmt[i : i + 2] != "%Y"
-            out += r"(\d{2})" if wide else names[fmt[i : i + 2]]
-            parts.append(fmt[i + 1])
-            i += 2
-        else:
-            out += "\\" + fmt[i] if fmt[i] in ".^$*+?()[]{}|\\" else fmt[i]
-            i += 1
-    return out + "$", parts
-
-
-def parse_format(c: Column, fmt: str) -> Column:
-    """DATE by a strptime-like format of d, m, Y, y, B and b; null where it does not fit exactly."""
-    regex, parts = _format_regex(fmt)
-    got = {p: F.nullif(F.regexp_extract(c, regex, i + 1), F.lit("")) for i, p in enumerate(parts)}
-    if "Y" in got:
-        year = got["Y"]
-    else:
-        y2 = got["y"].cast("int")
-        year = F.when(y2 < 69, y2 + 2000).otherwise(y2 + 1900).cast("string")
-    name = got.get("B", got.get("b"))
-    if name is not None:
-        at = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(F.substring(name, 1, 3)))
-        month = F.nullif(at, F.lit(0)).cast("string")
-    else:
-        month = got["m"]
-    return F.try_to_date(F.when(year.isNotNull() & month.isNotNull() & got["d"].isNotNull(), F.concat_ws("-", year, month, got["d"])), "y-M-d")
+    return out.withColumns(new).drop("__t0", "__t1", "__s0", "__s1", "__d0", "__d1")
+
+
+def format_date(p: Column, fmt: str) -> Column:
+    """TIMESTAMP_NTZ of date_parts by a strptime-like format of d, m, Y, y, B and b: three of these with one separator, spaces and a comma round a
+    month's name, or nothing between digits."""
+    body = "".join(x for x in fmt.replace("%b", "%B") if x.isalpha())
+    seps = [x for x in "".join(" " if y.isalpha() else y for y in fmt.replace("%", "")).split() if x]
+    if "B" in body:
+        return order_date(p, body)
+    if not seps:
+        return F.when(F.size(p) == 1, order_date(p, body))
+    return order_date(p, body, seps[0])
 
 
 def detect_date_format(df: DataFrame, column: str, formats: Sequence[str] = COMMON_FORMATS) -> DataFrame:
     """One row (format, parsed): the first format that reads the most texts; format is null if none reads any."""
-    s = F.col(f"`{column}`").cast("string")
-    counts = df.agg(*[F.count(parse_format(s, f)).alias(str(i)) for i, f in enumerate(formats)])
+    parts = df.select(date_parts(F.col(f"`{column}`").cast("string")).alias("p"))
+    counts = parts.agg(*[F.count(format_date(F.col("p"), f)).alias(str(i)) for i, f in enumerate(formats)])
     rows = F.array(*[F.struct(F.col(str(i)).alias("parsed"), F.lit(-i).alias("place"), F.lit(f).alias("format")) for i, f in enumerate(formats)])
     best = counts.select(F.array_max(rows).alias("b"))
     return best.select(F.when(F.col("b.parsed") > 0, F.col("b.format")).alias("format"), F.col("b.parsed").alias("parsed"))

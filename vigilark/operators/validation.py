@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.fmt import big_mark
 from vigilark.operators.coords import FLAG, HEADING, Rings, check_coords
-from vigilark.operators.dates import DATE_ORDERS, TIME_ORDERS, date_flags, parse_trained, trained_orders
-from vigilark.operators.dates import _iso_text
+from vigilark.operators.dates import DATE_ORDERS, TIME_ORDERS, date_flags, iso_text, trained_orders, with_trained
 from vigilark.plans.joins import join_dimension
 
 # ------------------------------------------------------------------ single checks
@@ -206,11 +205,8 @@ def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: da
                 add(f"__x_{c}", F.col(f"`{c}`").isNotNull() & F.col(f"__in_{c}").isNull(), HEADERS[4], c, "Geo", f"{c} not in Shapefile")
     pair_cols = {c for p in spec.date_pairs for c in p}
     best = trained_orders(df, list(dict.fromkeys((*spec.dates, *pair_cols))), (*DATE_ORDERS, *TIME_ORDERS)) if spec.dates or pair_cols else {}
-    texts = {}
-    for c in best:
-        s = F.col(f"`{c}`").cast("string")
-        texts[f"__t_{c}"] = F.coalesce(_iso_text(parse_trained(s, best[c])), s)
-    d = d.withColumns(texts) if texts else d
+    d = with_trained(d, {f"__i_{c}": c for c in best}, best)
+    d = d.withColumns({f"__t_{c}": F.coalesce(iso_text(F.col(f"`__i_{c}`")), F.col(f"`{c}`").cast("string")) for c in best})
     for c in spec.dates:
         flags = date_flags(F.col(f"`__t_{c}`"), c, ("missing", "non_date", "sensible", "leap_year", "format"), spec.min_year, as_of)
         for kind, name, text in DATE_KINDS:
