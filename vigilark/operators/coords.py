@@ -48,6 +48,16 @@ def with_centre(df: DataFrame, dim: DataFrame, key: str, dim_key: str, lat: str,
     return j.withColumns({dim_lat: F.col("__c.la"), dim_lon: F.col("__c.lo")}).drop("__c")
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A column as DOUBLE: numbers as they are, texts where they look like numbers (a failed cast costs an exception), NaN as null."""
+    c = F.col(f"`{column}`")
+    if dict(df.dtypes)[column] == "string":
+        c = F.when(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.try_cast("double"))
+    else:
+        c = c.try_cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def flip_columns(lat: Column, lon: Column, clat: Column, clon: Column) -> dict[str, Column]:
     """Distances as given and swapped, whether the coordinates look swapped, and how sure that is (0 to 100)."""
     here, swapped = distance_m(lon, lat, clon, clat), distance_m(lat, lon, clon, clat)
@@ -61,7 +71,7 @@ def flip_columns(lat: Column, lon: Column, clat: Column, clon: Column) -> dict[s
 def check_coord_flip(df: DataFrame, dim: DataFrame, key: str, dim_key: str, lat: str, lon: str, dim_lat: str, dim_lon: str) -> DataFrame:
     """df with the centre of each row's unit and the flip columns; rows without a unit are not flagged."""
     j = with_centre(df, dim, key, dim_key, lat, lon, dim_lat, dim_lon)
-    la, lo = (F.col(f"`{c}`").try_cast("double") for c in (lat, lon))
+    la, lo = (as_number(j, c) for c in (lat, lon))
     return j.withColumns(flip_columns(la, lo, F.col(f"`{dim_lat}`"), F.col(f"`{dim_lon}`")))
 
 
@@ -69,7 +79,7 @@ def correct_flipped(df: DataFrame, dim: DataFrame, key: str, dim_key: str, lat:
     """df with coordinates swapped back where they look swapped; keeps the flag and its score, the coordinates come last."""
     j = check_coord_flip(df, dim, key, dim_key, lat, lon, dim_lat, dim_lon)
     flag = F.col("potentially_flipped")
-    la, lo = (F.col(f"`{c}`").try_cast("double") for c in (lat, lon))
+    la, lo = (as_number(j, c) for c in (lat, lon))
     rest = [f"`{c}`" for c in j.columns if c not in (lat, lon, dim_lat, dim_lon, "dist_correct", "dist_flipped")]
     return j.select(*rest, F.when(flag, lo).otherwise(la).alias(lat), F.when(flag, la).otherwise(lo).alias(lon))
 
@@ -105,11 +115,10 @@ def check_coords(
         checks = [c for c in checks if c != "on_water"]
     raw_la, raw_lo = F.col(f"`{lat}`"), F.col(f"`{lon}`")
     # one numeric reading of each coordinate, shared by all checks
-    j = j.withColumns({"__la": raw_la.cast("string").try_cast("double"), "__lo": raw_lo.cast("string").try_cast("double")})
-    j = j.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("__la", "__lo")})
+    j = j.withColumns({"__la": as_number(j, lat), "__lo": as_number(j, lon)})
     la, lo = F.col("__la"), F.col("__lo")
-    gone = lambda c: c.isNull() | c.cast("string").isin("", "NaN", "NA")
-    missing, unread = gone(raw_la) | gone(raw_lo), la.isNull() | lo.isNull()
+    gone = lambda c, k: c.isNull() | (c.isin("", "NaN", "NA") if dict(df.dtypes)[k] == "string" else F.isnan(c.try_cast("double")))
+    missing, unread = gone(raw_la, lat) | gone(raw_lo, lon), la.isNull() | lo.isNull()
     out = F.coalesce((F.abs(la) > 90) | (F.abs(lo) > 180), F.lit(False))
     new: dict[str, Column] = {}
     if "missing" in checks:

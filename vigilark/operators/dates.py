@@ -36,7 +36,7 @@ _NAMED = {
 
 def date_parts(c: Column) -> Column:
     """What a date text is made of, or null: ARRAY of first, separator, second, separator, third, hour, minute, second; for digits without
-    separators the array has the digits only, for a month by name n or B (what comes first) and the three parts. Read once per text, the orders then only compare."""
+    separators the array has the digits only, for a month by name n or B (what comes first) and the three parts."""
     numeric = F.split(F.regexp_replace(c, _NUMERIC, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1)
     named = F.lit(None).cast("array<string>")
     for k, r in _NAMED.items():
@@ -44,58 +44,74 @@ def date_parts(c: Column) -> Column:
     return F.when(c.rlike(_NUMERIC), numeric).when(c.rlike(r"^\s*(\d{6}|\d{8})\s*$"), F.array(F.trim(c))).when(c.rlike("[A-Za-z]{3}"), named)
 
 
-def _make(year: Column, month: Column, day: Column, h: Column | None = None, mi: Column | None = None, sec: Column | None = None) -> Column:
-    """TIMESTAMP_NTZ of integers, null where there is no such day or time."""
+def date_numbers(p: Column, prefix: str) -> dict[str, Column]:
+    """date_parts as columns of numbers under a prefix: kind (s with separators, t tight, n or B by name), the three parts x1 to x3 with their lengths,
+    separators, clock (null where absent), month by name, digits. Orders only compare them. Columns, not a struct: fields of a struct made in the plan
+    are replaced by their expressions, once for each use."""
+    get = lambda i: F.get(p, F.lit(i))
+    kind = F.when(F.size(p) == 8, "s").when(F.size(p) == 1, "t").when(F.size(p) == 4, get(0))
+    part = lambda i: F.when(F.size(p) == 8, get(2 * (i - 1))).when(F.size(p) == 4, get(i))
+    word = F.when(get(0) == "n", get(2)).when(get(0) == "B", get(1))
+    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    clock = lambda i: F.when((F.size(p) == 8) & (get(i) != ""), get(i).cast("int"))
+    word_at = {1: get(0) != "B", 2: get(0) != "n", 3: F.lit(True)}  # a failed cast costs an exception, so words are not cast
+    number = lambda i: F.when((F.size(p) == 8) | word_at[i], part(i).cast("int"))
+    out = {"kind": kind} | {f"x{i}": number(i) for i in (1, 2, 3)} | {f"l{i}": F.length(part(i)) for i in (1, 2, 3)}
+    out |= {"s1": get(1), "s2": get(3), "h": clock(5), "mi": clock(6), "s": clock(7), "digits": get(0)}
+    out["name"] = F.array_position(names, F.lower(F.substring(word, 1, 3))).cast("int")
+    return {f"{prefix}{k}": v for k, v in out.items()}
+
+
+def _valid(year: Column, month: Column, day: Column) -> Column:
+    """Whether there is such a day."""
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    ok = month.between(1, 12) & (day >= 1) & (day <= last) & (year >= 1)
-    if h is None:
+    long = (day <= 30) | month.isin(1, 3, 5, 7, 8, 10, 12)
+    return month.between(1, 12) & (day >= 1) & (year >= 1) & ((day <= 28) | ((day <= 31) & ((month != 2) & long | (day == 29) & leap)))
+
+
+def _make(year: Column, month: Column, day: Column, clock: tuple[Column, ...] = ()) -> Column:
+    """TIMESTAMP_NTZ of integers, null where there is no such day or time."""
+    ok = _valid(year, month, day)
+    if not clock:
         return F.when(ok, F.make_date(year, month, day)).cast("timestamp_ntz")
-    ok = ok & (h <= 23) & (mi <= 59) & (sec <= 59)
-    return F.when(ok, F.make_timestamp_ntz(year, month, day, h, mi, sec))
+    h, mi, sec = clock
+    return F.when(ok & (h <= 23) & (mi <= 59) & (sec <= 59), F.make_timestamp_ntz(year, month, day, h, mi, sec))
 
 
-def _year(text: Column, wide: bool) -> Column:
-    n = text.cast("int")
+def _full_year(n: Column, wide: bool) -> Column:
     return n if wide else F.when(n < 69, n + 2000).otherwise(n + 1900)
 
 
-def order_date(p: Column, order: str, separator: str | None = None) -> Column:
-    """TIMESTAMP_NTZ of date_parts read in one order; null where they do not fit. separator: the one that must stand between the parts. Two-digit years
+def order_date(n: str, order: str, separator: str | None = None) -> Column:
+    """TIMESTAMP_NTZ of date_numbers (by their prefix) read in one order; null where they do not fit. separator: the one that must stand between the parts. Two-digit years
     below 69 are 20yy, others 19yy."""
     body, _, time = order.partition(" ")
     wide = "Y" in body
-    size = F.size(p)
+    at = {x.lower(): i + 1 for i, x in enumerate(body)}
+    f = lambda k: F.col(f"`{n}{k}`")
+    x = lambda k: f(f"x{at[k]}")
+    sized = (f(f"l{at['y']}") == (4 if wide else 2)) & (f(f"l{at['d']}") <= 2)
     if "B" in body:
-        k, at = "B" if body[0] == "B" else "n", {x.lower(): i + 1 for i, x in enumerate(body)}
-        y = F.get(p, F.lit(at["y"]))
-        number = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(F.substring(F.get(p, F.lit(at["b"])), 1, 3))).cast("int")
-        day = F.get(p, F.lit(at["d"]))
-        fits = (size == 4) & (F.get(p, F.lit(0)) == k) & (F.length(y) == (4 if wide else 2)) & (F.length(day) <= 2)
-        return F.when(fits, _make(_year(y, wide), number, day.cast("int")))
-    part = {x: F.get(p, F.lit(2 * i)) for i, x in enumerate(body)}
-    y = part["Y"] if wide else part["y"]
-    fits = (size == 8) & (F.length(y) == (4 if wide else 2)) & (F.length(part["m"]) <= 2) & (F.length(part["d"]) <= 2)
+        fits = (f("kind") == ("B" if body[0] == "B" else "n")) & sized
+        return F.when(fits, _make(_full_year(x("y"), wide), f("name"), x("d")))
+    fits = (f("kind") == "s") & sized & (f(f"l{at['m']}") <= 2)
     if separator is not None:
-        fits = fits & (F.get(p, F.lit(1)) == separator) & (F.get(p, F.lit(3)) == separator)
-    h, mi, sec = (F.get(p, F.lit(i)) for i in (5, 6, 7))
-    number = [_year(y, wide), part["m"].cast("int"), part["d"].cast("int")]
+        fits = fits & (f("s1") == separator) & (f("s2") == separator)
+    number = (_full_year(x("y"), wide), x("m"), x("d"))
     if time == "HMS":
-        return F.when(fits & (sec != ""), _make(*number, h.cast("int"), mi.cast("int"), sec.cast("int")))
+        return F.when(fits & f("s").isNotNull(), _make(*number, (f("h"), f("mi"), f("s"))))
     if time == "HM":
-        return F.when(fits & (h != "") & (sec == ""), _make(*number, h.cast("int"), mi.cast("int"), F.lit(0)))
-    loose = F.when(fits & (h == ""), _make(*number))
+        return F.when(fits & f("h").isNotNull() & f("s").isNull(), _make(*number, (f("h"), f("mi"), F.lit(0))))
+    loose = F.when(fits & f("h").isNull(), _make(*number))
     if separator is not None:
         return loose
-    at, cut = 1, {}
-    for x in body:
-        n = 4 if x == "Y" else 2
-        cut[x] = (at, n)
-        at += n
-    digits = F.get(p, F.lit(0))
-    get = lambda x: F.substring(digits, *cut[x])
-    tight = F.when((size == 1) & (F.length(digits) == at - 1), _make(_year(get("Y" if wide else "y"), wide), get("m").cast("int"), get("d").cast("int")))
-    return F.when(size == 8, loose).otherwise(tight)
+    start, cut = 1, {}
+    for k in body:
+        cut[k.lower()] = (start, 4 if k == "Y" else 2)
+        start += cut[k.lower()][1]
+    get = lambda k: F.nullif(F.substring(f("digits"), *cut[k]), F.lit("")).cast("int")
+    tight = F.when((f("kind") == "t") & (F.length(f("digits")) == start - 1), _make(_full_year(get("y"), wide), get("m"), get("d")))
+    return F.when(f("kind") == "s", loose).otherwise(tight)
 
 
 def _is_date(df: DataFrame, column: str) -> bool:
@@ -110,26 +126,67 @@ def trained_orders(df: DataFrame, columns: Sequence[str], orders: Sequence[str])
     out: dict[str, list[str]] = {c: [] for c in columns}
     if not texts:
         return out
-    parts = df.select(*[date_parts(F.col(f"`{c}`").cast("string")).alias(f"p{i}") for i, c in enumerate(texts)])
-    row = parts.agg(*[F.count(order_date(F.col(f"p{i}"), o)).alias(f"{i}_{j}") for i in range(len(texts)) for j, o in enumerate(orders)]).first()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("t")) for i, c in enumerate(texts)])
+    parts = df.select(F.explode(cells).alias("c")).select("c.i", date_parts(F.col("c.t")).alias("p")).where("p is not null")
+    numbers = parts.select("i", *[v.alias(k) for k, v in date_numbers(F.col("p"), "n_").items()])
+    # orders as rows, not as code: sixteen orders written out make a method too large for the JVM to compile
+    tried = numbers.withColumn("o", F.explode(F.array(*[_order_row(j, o) for j, o in enumerate(orders)])))
+    found = tried.where(_fits(F.col("o"))).groupBy("i", F.col("o.j").alias("j")).agg(F.count("*").alias("k")).collect()
+    count = {(r.i, r.j): r.k for r in found}
     for i, c in enumerate(texts):
-        n = [(o, row[f"{i}_{j}"], j) for j, o in enumerate(orders)]
+        n = [(o, count.get((i, j), 0), j) for j, o in enumerate(orders)]
         out[c] = [o for o, k, j in sorted((x for x in n if x[1]), key=lambda x: (-len(x[0]), "Y" not in x[0], -x[1], x[2]))]
     return out
 
 
+def _order_row(j: int, order: str) -> Column:
+    """An order as data: where year, month and day stand, how long the year is, which clock it has, what kind of text it reads."""
+    body, _, time = order.partition(" ")
+    at = {x.lower(): i for i, x in enumerate(body)}
+    start, cut = 1, {}
+    for x in body:
+        cut[x.lower()] = start
+        start += 4 if x == "Y" else 2
+    named = "b" in at
+    fields = {
+        "j": j, "y": at["y"], "m": at.get("m", -1), "d": at["d"], "wide": 4 if "Y" in body else 2, "clock": {"": 0, "HM": 1, "HMS": 2}[time], "kind": ("B" if body[0] == "B" else "n") if named else "s",
+        "cy": cut["y"], "cm": cut.get("m", 1), "cd": cut["d"], "full": start - 1, "tight": not named and not time,
+    }
+    return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
+
+
+def _fits(o: Column) -> Column:
+    """Whether date_numbers (prefix n_) are a date in the order o; the same rule as order_date."""
+    f = lambda k: F.col(f"n_{k}")
+    xs, ls = F.array(f("x1"), f("x2"), f("x3")), F.array(f("l1"), f("l2"), f("l3"))
+    tight = f("kind") == "t"
+    cut = lambda a, n: F.nullif(F.substring(f("digits"), a, n), F.lit("")).cast("int")
+    y = F.when(tight, cut(o["cy"], o["wide"])).otherwise(F.get(xs, o["y"]))
+    m = F.when(tight, cut(o["cm"], F.lit(2))).when(o["m"] < 0, f("name")).otherwise(F.get(xs, F.greatest(o["m"], F.lit(0))))
+    d = F.when(tight, cut(o["cd"], F.lit(2))).otherwise(F.get(xs, o["d"]))
+    year = F.when(o["wide"] == 4, y).otherwise(F.when(y < 69, y + 2000).otherwise(y + 1900))
+    shape = F.when(tight, o["tight"] & (F.length(f("digits")) == o["full"])).otherwise(
+        (f("kind") == o["kind"]) & (F.get(ls, o["y"]) == o["wide"]) & (F.get(ls, o["d"]) <= 2) & ((o["m"] < 0) | (F.get(ls, F.greatest(o["m"], F.lit(0))) <= 2))
+    )
+    clock = F.when(o["clock"] == 0, f("h").isNull()).when(o["clock"] == 1, f("h").isNotNull() & f("s").isNull() & (f("h") <= 23) & (f("mi") <= 59))
+    clock = clock.otherwise(f("s").isNotNull() & (f("h") <= 23) & (f("mi") <= 59) & (f("s") <= 59))
+    return shape & clock & _valid(year, m, d)
+
+
 def with_trained(df: DataFrame, columns: dict[str, str], best: dict[str, list[str]]) -> DataFrame:
     """df with one TIMESTAMP_NTZ column per entry of columns (name -> source column), read by the orders trained for the source."""
-    parts, new = {}, {}
+    parts, numbers, new = {}, {}, {}
     for k, c in columns.items():
         if _is_date(df, c):
             new[k] = F.col(f"`{c}`").cast("timestamp_ntz")
         elif best.get(c):
             parts[f"__p_{k}"] = date_parts(F.col(f"`{c}`").cast("string"))
-            new[k] = F.coalesce(*[order_date(F.col(f"`__p_{k}`"), o) for o in best[c]])
+            numbers |= date_numbers(F.col(f"`__p_{k}`"), f"__n_{k}_")
+            new[k] = F.coalesce(*[order_date(f"__n_{k}_", o) for o in best[c]])
         else:
             new[k] = F.lit(None).cast("timestamp_ntz")
-    return (df.withColumns(parts) if parts else df).withColumns(new).drop(*parts)
+    staged = df.withColumns(parts).withColumns(numbers) if parts else df
+    return staged.withColumns(new).drop(*parts, *numbers)
 
 
 def _iso_instant(c: Column) -> Column:
@@ -233,22 +290,23 @@ def validate_dates(df: DataFrame, first: str, second: str, tests: Sequence[str]
     return out.withColumns(new).drop("__t0", "__t1", "__s0", "__s1", "__d0", "__d1")
 
 
-def format_date(p: Column, fmt: str) -> Column:
-    """TIMESTAMP_NTZ of date_parts by a strptime-like format of d, m, Y, y, B and b: three of these with one separator, spaces and a comma round a
+def format_date(n: str, fmt: str) -> Column:
+    """TIMESTAMP_NTZ of date_numbers by a strptime-like format of d, m, Y, y, B and b: three of these with one separator, spaces and a comma round a
     month's name, or nothing between digits."""
     body = "".join(x for x in fmt.replace("%b", "%B") if x.isalpha())
     seps = [x for x in "".join(" " if y.isalpha() else y for y in fmt.replace("%", "")).split() if x]
     if "B" in body:
-        return order_date(p, body)
+        return order_date(n, body)
     if not seps:
-        return F.when(F.size(p) == 1, order_date(p, body))
-    return order_date(p, body, seps[0])
+        return F.when(F.col(f"`{n}kind`") == "t", order_date(n, body))
+    return order_date(n, body, seps[0])
 
 
 def detect_date_format(df: DataFrame, column: str, formats: Sequence[str] = COMMON_FORMATS) -> DataFrame:
     """One row (format, parsed): the first format that reads the most texts; format is null if none reads any."""
     parts = df.select(date_parts(F.col(f"`{column}`").cast("string")).alias("p"))
-    counts = parts.agg(*[F.count(format_date(F.col("p"), f)).alias(str(i)) for i, f in enumerate(formats)])
+    parts = parts.select(*[v.alias(k) for k, v in date_numbers(F.col("p"), "n_").items()])
+    counts = parts.agg(*[F.count(format_date("n_", f)).alias(str(i)) for i, f in enumerate(formats)])
     rows = F.array(*[F.struct(F.col(str(i)).alias("parsed"), F.lit(-i).alias("place"), F.lit(f).alias("format")) for i, f in enumerate(formats)])
     best = counts.select(F.array_max(rows).alias("b"))
     return best.select(F.when(F.col("b.parsed") > 0, F.col("b.format")).alias("format"), F.col("b.parsed").alias("parsed"))
