@@ -229,9 +229,11 @@ def test_salted_join(spark):
         join_dimension(left, right, ["k"], "full")
 
 
-def test_ranked_in_groups(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_ranked_in_groups(spark, monkeypatch, most):
     import vigilark.plans.ranks as R
 
+    monkeypatch.setattr(R, "MAX_PLANNED", most)
     monkeypatch.setattr(R, "ROWS_PER_BUCKET", 10)
     df = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else str(i % 7)) for i in range(200)], "id long, g string")
     got = ranked_in_groups(df, "g", ["id"]).collect()
@@ -240,3 +242,12 @@ def test_ranked_in_groups(spark, monkeypatch):
         groups.setdefault(r.g, []).append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in groups.values()) and len(got) == 200
     assert ranked_in_groups(df.limit(0), "g", ["id"]).count() == 0
+
+
+def test_scratch(spark):
+    from vigilark.session import clear_scratch, list_dir, materialise, shared_dir
+
+    df = materialise(spark.range(3), "test-scratch")
+    assert df.count() == 3 and any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))
+    clear_scratch(spark)
+    assert not any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))

@@ -43,9 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this process wrote under the shared folder; results that were not written elsewhere can't be read after it."""
+    while _scratch:
+        remove_path(spark, _scratch.pop())
 
 
 def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
