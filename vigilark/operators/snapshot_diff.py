@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.plans.rows import row_hash
+from vigilark.session import materialise
 
 #: More deliveries than this would not be planned on the driver (a daily delivery reaches it after 273 years).
 MAX_DELIVERIES = 100_000
@@ -39,7 +40,7 @@ def snapshot_diff(
     adds nothing, rows with a null delivery or a null key have no identity and are left out, an empty table or a single
     delivery gives no rows.
 
-    Plan: one partial aggregation per (delivery, key), then one full outer join on (later delivery, key); both sides of
+    Plan: one partial aggregation per (delivery, key), written once, then one full outer join on (later delivery, key); both sides of
     the join are hashed on the same keys. No key holds more than one row per delivery at the join, so a hot record
     or a large delivery cannot skew it.
     """
@@ -51,6 +52,7 @@ def snapshot_diff(
     state = rows.groupBy(F.col(delivery).cast("string").alias("__w"), *keys).agg(
         F.max_by(h, F.struct(F.col(version).isNotNull(), F.col(version), h)).alias("__h")
     )
+    state = materialise(state, "states")  # both sides of the join are read from it
     later = dict(zip(order, order[1:]))
     earlier = {b: a for a, b in later.items()}
 
