@@ -174,6 +174,17 @@ def test_induced_expressions(spark):
     assert P.induce_expressions(df.limit(0)).count() == 0
 
 
+def test_rare_odd_values_are_nonconforming(spark):
+    """Letters, digits and punctuation too: an odd value among thousands of regular ones is no expression of its own."""
+    rows = [("c", f"{chr(65 + i % 26)}{chr(65 + i % 7)}-{i:05d}", 1) for i in range(5000)] + [("c", v, n) for v, n in (("#REF!", 1), ("99", 1), ("xxx", 1), ("n/a", 1))] + [("c", "AB-00000", 2000)]
+    rows += [("w", "".join(chr(97 + (i * k) % 26) for k in range(1, 4 + i % 9)), 2) for i in range(1, 2000)] + [("w", "?!x 9Z~~a1B2", 1)]
+    df = spark.createDataFrame(rows, "column_name string, value string, n long").groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    got = P.induce_expressions(df).groupBy("column_name", "conforming").agg(F.sum("n_rows").alias("n"), F.count_distinct("expression").alias("e")).collect()
+    assert {(r.column_name, r.conforming): r.n for r in got} == {("c", True): 7000, ("c", False): 4, ("w", True): 3998, ("w", False): 1}
+    loads = spark.createDataFrame([(1, v) for _, v, n in rows[:5005] for _ in range(n)], "load int, c string")
+    assert P.column_profile(P.value_counts(loads, "load", ["c"])).first().n_nonconforming == 4
+
+
 # ------------------------------------------------------------------ instants
 
 PARIS, KATHMANDU, NEW_YORK = "Europe/Paris", "Asia/Kathmandu", "America/New_York"

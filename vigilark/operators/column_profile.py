@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.plans.joins import join_dimension
 from vigilark.session import materialise
 
-#: Bits of one literal character and of one character by class, for the description lengths below (95 printable
-#: characters; 26 letters; 10 digits). Anything else costs the bits of a code point.
-BITS = {"A": 4.70, "a": 4.70, "9": 3.32, "s": 0.0, "p": 5.0, "x": 16.0}
-#: Bits of one element of an expression: its class and its count.
-ELEMENT_BITS = 8.0
+#: Classes of characters, and bits of one element of an expression: its class, and whether its count is given.
+CLASSES = "Aa9spx"
+ELEMENT_BITS = log2(len(CLASSES)) + 1
 
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
@@ -64,46 +63,84 @@ def _expression(parts: Column, exact: bool) -> Column:
 
 
 def _data_bits(shape: Column) -> Column:
-    """Bits to write a value when its shape is known."""
+    """Bits to write a value when its shape is known: each character among those that its column has of its class."""
     total = F.lit(0.0)
-    for k, bits in BITS.items():
-        total = total + F.lit(bits) * (F.length(shape) - F.length(F.replace(shape, F.lit(k), F.lit(""))))
+    for i, k in enumerate(CLASSES):
+        total = total + F.log2(F.greatest(F.col(f"of_{i}"), F.lit(1))) * (F.length(shape) - F.length(F.replace(shape, F.lit(k), F.lit(""))))
     return total
 
 
+def _length_bits(runs: Column) -> Column:
+    """Bits of the lengths of runs, each in Elias' gamma code."""
+    return F.aggregate(runs, F.lit(0), lambda a, r: a + 2 * F.length(F.bin(F.length(r))) - 1)
+
+
 def induce_expressions(counts: DataFrame) -> DataFrame:
-    """Regular expressions per column by minimum description length over all distinct values.
+    """Regular expressions per column by minimum description length over all values.
 
     counts has (column_name, value, n), blank values left out. Every distinct value belongs to a coarse expression (runs of
-    classes, any length) and within it to an exact one (runs with their lengths). Writing down a set of
-    values costs the bits of the expressions plus the bits of each value given its expression; a value
-    outside every expression costs 16 bits a character. For each coarse expression the cheaper of two codes is taken: the
-    coarse expression, whose values also spell out their run lengths, or its exact expressions one by one; if
-    writing its values as exceptions is cheaper than either, it is not induced and its rows are nonconforming.
+    classes, any length) and within it to an exact one (runs with their lengths). Every row's value is written, so that a code
+    list of few but frequent values is as regular as many different ones, either
+
+    - by an expression: the log2 of one over the expression's share of the rows (its choice), the run lengths if the
+      expression is coarse, and each character among those the column has of that class; the expression itself costs its
+      elements, their lengths if exact, and its number of rows (the log2 of all rows); or
+    - as an exception: the log2 of one over the share of all exceptions, then its characters in the column's own
+      alphabet with a sign for the end.
+
+    Of each coarse expression and its exact ones the cheaper form is a candidate. Candidates are ordered by the bits a value
+    saves, in quarters of a bit, and the beginning of this order with the least total length is induced; the rows of the rest
+    are nonconforming. Where no expression pays, as in a column of very few rows, nothing is induced and all are.
 
     Returns (column_name, coarse, shape, expression, conforming, n_values, n_rows): one row per shape with the
-    expression chosen for it. Two aggregations, nothing collected; no values give no rows.
+    expression chosen for it. Nothing is collected; a column has at most 513 steps of that order. No values give no rows.
     """
     shapes = counts.select("column_name", "value", "n", _classes(F.col("value")).alias("shape")).groupBy("column_name", "shape").agg(
         F.count("*").alias("n_values"), F.sum("n").alias("n_rows")
     )
+    shapes = materialise(shapes, "shapes")
+    letters = counts.select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c")).distinct().withColumn("k", _classes(F.col("c")))
+    letters = letters.groupBy("column_name").agg(F.count("*").alias("alphabet"), *[F.count_if(F.col("k") == k).alias(f"of_{i}") for i, k in enumerate(CLASSES)])
+    totals = shapes.groupBy("column_name").agg(F.sum("n_rows").alias("all_rows"))
+    per_column = materialise(letters.join(totals, "column_name"), "alphabets")  # one row per column of the table
+    choice = lambda rows: F.log2(F.col("all_rows") / rows)
     s = (
-        shapes.withColumn("runs", _runs(F.col("shape")))
+        shapes.join(F.broadcast(per_column), "column_name")
+        .withColumn("runs", _runs(F.col("shape")))
         .withColumn("coarse", _expression(F.col("runs"), False))
         .withColumn("exact", _expression(F.col("runs"), True))
-        .withColumn("data", _data_bits(F.col("shape")) * F.col("n_values"))
-        .withColumn("lengths", 4.0 * F.size("runs") * F.col("n_values"))
-        .withColumn("raw", 16.0 * F.length("shape") * F.col("n_values"))
+        .withColumn("elements", ELEMENT_BITS * F.size("runs") + F.log2(F.col("all_rows") + 1))
+        .withColumn("lengths", _length_bits(F.col("runs")))
+        .withColumn("data", _data_bits(F.col("shape")) * F.col("n_rows"))
+        .withColumn("raw", (F.length("shape") + 1) * F.log2(F.col("alphabet") + 1) * F.col("n_rows"))
+        .withColumn("exact_bits", F.col("elements") + F.col("lengths") + F.col("data") + F.col("n_rows") * choice(F.col("n_rows")))
     )
     g = s.groupBy("column_name", "coarse").agg(
-        F.sum("raw").alias("raw_cost"),
-        (F.sum(F.col("data")) + F.sum(ELEMENT_BITS * F.size("runs"))).alias("exact_cost"),
-        (F.sum(F.col("data") + F.col("lengths")) + F.max(ELEMENT_BITS * F.size("runs"))).alias("coarse_cost"),
+        F.count("*").alias("g_shapes"),
+        F.sum("n_rows").alias("g_rows"),
+        F.sum("raw").alias("g_raw"),
+        F.sum("exact_bits").alias("g_exact"),
+        (F.max("elements") + F.sum(F.col("data") + F.col("n_rows") * F.col("lengths")) + F.sum("n_rows") * F.log2(F.max("all_rows") / F.sum("n_rows"))).alias("g_coarse"),
     )
     j = s.join(g, ["column_name", "coarse"])
-    conforming = F.least("exact_cost", "coarse_cost") < F.col("raw_cost")
-    expr = F.when(F.col("exact_cost") <= F.col("coarse_cost"), F.col("exact")).otherwise(F.col("coarse"))
-    return j.select("column_name", "coarse", "shape", expr.alias("expression"), conforming.alias("conforming"), "n_values", "n_rows")
+    # rounded, as sums of doubles depend on their order
+    j = j.withColumn("by_length", F.round("g_exact", 6) <= F.round("g_coarse", 6))
+    more = F.when(F.col("by_length"), (F.col("exact_bits") - F.col("raw")) / F.col("n_rows")).otherwise((F.col("g_coarse") - F.col("g_raw")) / F.col("g_rows"))
+    j = j.withColumn("step", F.least(F.lit(256), F.greatest(F.lit(-256), F.ceil(F.round(4 * more, 6)))).cast("int"))
+    bits = F.when(F.col("by_length"), F.col("exact_bits")).otherwise(F.col("g_coarse") / F.col("g_shapes"))
+    steps = j.groupBy("column_name", "step").agg(
+        (F.sum(bits) - F.sum("raw")).alias("more"), F.sum("n_rows").alias("r"), F.max("all_rows").alias("all_rows")
+    )
+    w = Window.partitionBy("column_name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("all_rows") - F.sum("r").over(w)
+    total = F.sum("more").over(w) + left * F.log2((F.col("all_rows") + 1) / (left + 1))
+    cut = steps.select("column_name", "step", F.round(total, 6).alias("total")).where("total < 0")  # 0: everything is an exception
+    cut = cut.groupBy("column_name").agg(F.min(F.struct("total", "step"))["step"].alias("cut"))  # at most one row per column
+    j = j.join(F.broadcast(cut), "column_name", "left")
+    return j.select(
+        "column_name", "coarse", "shape", F.when(F.col("by_length"), F.col("exact")).otherwise(F.col("coarse")).alias("expression"),
+        F.coalesce(F.col("step") <= F.col("cut"), F.lit(False)).alias("conforming"), "n_values", "n_rows",
+    )
 
 
 def column_profile(counts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
