@@ -185,6 +185,19 @@ def test_rare_odd_values_are_nonconforming(spark):
     assert P.column_profile(P.value_counts(loads, "load", ["c"])).first().n_nonconforming == 4
 
 
+def test_columns_without_rules_are_profiled(spark, tmp_path):
+    from vigilark.queries import problems
+
+    sia = spark.createDataFrame([(1, 1, "OFF01", 5), (2, 1, None, 7), (3, 2, "OFF02", None)], "ActivityId long, LoadNo int, office_code string, TargetPopulation long")
+    sia.write.parquet(f"{tmp_path}/polis_sia.parquet")
+    rules = spark.createDataFrame([("TargetPopulation", False, None, 0.0, 6.0, None, None, None, None)], "column_name string, categorical boolean, pattern string, min_value double, max_value double, max_bad_share double, max_null_step double, max_distance double, max_distinct_ratio double")
+    rules.write.parquet(f"{tmp_path}/column_rules.parquet")
+    got = {(r.load_no, r.column_name): (r.n_rows, r.n_null, r.n_distinct) for r in problems.p6_profile(spark, str(tmp_path)).collect()}
+    assert {c for _, c in got} == {"ActivityId", "office_code", "TargetPopulation"} and got[1, "office_code"] == (2, 1, 1) and got[2, "ActivityId"] == (1, 0, 1)
+    assert {r.column_name for r in problems.p6_expressions(spark, str(tmp_path)).collect()} == {"ActivityId", "office_code", "TargetPopulation"}
+    assert {tuple(r) for r in problems.p6_found(spark, str(tmp_path)).collect()} == {(1, "TargetPopulation", "range")}
+
+
 # ------------------------------------------------------------------ instants
 
 PARIS, KATHMANDU, NEW_YORK = "Europe/Paris", "Asia/Kathmandu", "America/New_York"

@@ -50,17 +50,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return outstanding_versions(cases, log).where("state <> 'done'").select("case_id", "version_no")
 
 
-def _profile(spark: SparkSession, d: str):
+def _profile(spark: SparkSession, d: str, only_rules: bool = False):
+    """Value counts of every column of polis_sia, or of those with a rule, and the rules."""
     sia = spark.read.parquet(f"{d}/polis_sia.parquet")
     rules = spark.read.parquet(f"{d}/column_rules.parquet")
-    named = [r.column_name for r in rules.select("column_name").distinct().limit(10_000).collect()]  # one row per column of a table
-    counts = materialise(value_counts(sia, "LoadNo", [c for c in sia.columns if c in named]), "value-counts")
-    return counts, rules
+    columns = [c for c in sia.columns if c != "LoadNo"]
+    if only_rules:
+        named = [r.column_name for r in rules.select("column_name").distinct().limit(10_000).collect()]  # one row per column of a table
+        columns = [c for c in columns if c in named]
+    return materialise(value_counts(sia, "LoadNo", columns), "value-counts"), rules
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Places where a load of polis_sia breaks a rule or departs from the load before."""
-    counts, rules = _profile(spark, d)
+    counts, rules = _profile(spark, d, only_rules=True)
     return profile_findings(column_profile(counts, rules), rules).select(F.col("load").alias("load_no"), "column_name", "finding")
 
 
