@@ -45,6 +45,23 @@ def test_rank_matches(spark):
         assert N.rank_matches(a, b, "n", "n", method=m, top=1).where("name_to_match = matched_names").count() == 2
 
 
+def test_suggestions_of_whole_table(spark, tmp_path):
+    """All levels, letters outside ASCII as typed, by every method."""
+    from vigilark.queries import reference
+
+    todo = [(1, "Level0 ", "Angolá", None, None), (2, "level1", "Cabïnda", "ANGOLA", None), (3, "level1", "Cabînda", "ANGOLA", None), (4, "LEVEL2", "Belizé", "ANGOLA", "CABINDA"), (5, "level2", None, "ANGOLA", "CABINDA")]
+    spark.createDataFrame(todo, "todo_id long, level string, name_to_match string, level0_name string, level1_name string").write.parquet(f"{tmp_path}/geoname_todo.parquet")
+    shp = spark.createDataFrame([("ANGOLA", "CABINDA", "BELIZE"), ("UGANDA", "TESO", "BUKEDEA")], "ADM0_NAME string, ADM1_NAME string, ADM2_NAME string").withColumn("ENDDATE", F.lit("9999-12-31").cast("timestamp_ntz"))
+    shp.write.parquet(f"{tmp_path}/shp_global.parquet")
+    q = reference.queries()
+    for m in D.METHODS:
+        name = f"suggest_{m}_full" if f"suggest_{m}" in reference.oracle_sql() else f"suggest_{m}"
+        got = q[name](spark, str(tmp_path)).where("match_rank = 1").collect()
+        assert {(r.level, r.name_to_match) for r in got} == {("level0", "ANGOLÁ"), ("level1", "CABÏNDA"), ("level1", "CABÎNDA"), ("level2", "BELIZÉ")}, m
+        if m == "lv":
+            assert {(r.matched_names, r.distance) for r in got} == {("ANGOLA", 1.0), ("CABINDA", 1.0), ("BELIZE", 1.0)}
+
+
 def test_match_names_and_types(spark):
     ref = spark.createDataFrame([], "CountryName string, NameOfCapital string, ProvinceName string, DistrictName string, SiteName string")
     t = spark.createDataFrame([], "COUNTRYNAME string, nameofcapital string, province_Name string, DISTRICT_name string, siteName string, GDP string")

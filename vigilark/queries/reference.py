@@ -318,9 +318,25 @@ def _suggest(spark: SparkSession, d: str, method: str) -> DataFrame:
     return r.select("Admin0Name", "name_to_match", "matched_names", F.round("distance", 6).alias("distance"), "match_rank")
 
 
+def _suggest_full(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """The three nearest names of the dimension for every typed name of every level under its parents, texts in upper case but else as typed."""
+    t, ref = table(spark, d, "geoname_todo"), names.upper_levels(_lookup(spark, d), _LEVELS)
+    out = None
+    for i, c in enumerate(_LEVELS):
+        up = list(_LEVELS[:i])
+        at = t.where(F.lower(F.trim("level")) == f"level{i}").select(*[F.upper(f"level{k}_name").alias(p) for k, p in enumerate(up)], F.upper("name_to_match").alias(c))
+        r = names.rank_matches(at, ref, c, c, up, method, 3)
+        parents = [F.col(p) if p in up else F.lit(None).cast("string").alias(p) for p in _LEVELS[:2]]
+        r = r.select(F.lit(f"level{i}").alias("level"), *parents, "name_to_match", "matched_names", F.round("distance", 6).alias("distance"), "match_rank")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# The SQL of four methods counts bytes, so it holds for provinces in ASCII only; these queries stay as they are beside the full ones.
 for _m, _s in (("lv", "CAST(levenshtein(x, y) AS DOUBLE)"), ("dl", "CAST(damerau_levenshtein(x, y) AS DOUBLE)"), ("jw", "1 - jaro_similarity(x, y)"), ("osa", None), ("hamming", None), ("lcs", None), ("qgram", None), ("cosine", None), ("jaccard", "1 - jaccard(x, y)"), ("jaro_winkler", None), ("soundex", None)):
-    Q[f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest(spark, d, m)
+    Q[f"suggest_{_m}_full" if _s else f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest_full(spark, d, m)
     if _s:
+        Q[f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest(spark, d, m)
         SQL[f"suggest_{_m}"] = _suggest_sql(_s)
 
 
