@@ -81,6 +81,24 @@ def test_check_data(spark):
     assert V.check_data(df.limit(0), spec, dim).issues.count() == 0
 
 
+def test_full_checks_are_registered(spark, tmp_path):
+    from vigilark.queries import reference
+
+    days = "CaseDate date, InvestigationDate date, NotificationDate date, Stool1CollectionDate date, Stool2CollectionDate date"
+    rows = [(i, "A", "P", "D", "a", "p", "d", la, lo, *[date(2024, 1, 2)] * 5) for i, la, lo in ((1, 40.7128, -74.0061), (2, -74.0061, 40.7128), (3, 40.7, -74.0061))]
+    spark.createDataFrame(rows, f"EPID int, Admin0Name string, Admin1Name string, Admin2Name string, Admin0GUID string, Admin1GUID string, Admin2GUID string, Latitude double, Longitude double, {days}").write.parquet(f"{tmp_path}/polis_cases.parquet")
+    dim = spark.createDataFrame([("A", "P", "D", "{A}", "{P}", "{D}", 40.7128, -74.0061)], "ADM0_NAME string, ADM1_NAME string, ADM2_NAME string, ADM0_GUID string, ADM1_GUID string, ADM2_GUID string, CENTER_LAT double, CENTER_LON double")
+    dim.write.parquet(f"{tmp_path}/shp_global.parquet")
+    q, d = reference.queries(), str(tmp_path)
+    issues = {(r.id, r.test) for r in q["check_data_issues_full"](spark, d).collect()}
+    assert issues == {(2, V.ISSUE_LABELS["potentially_flipped"]), (3, V.ISSUE_LABELS["low_precision"])}
+    names = "Non-unique name Hierarchy (Admin0Name ~ Admin1Name ~ Admin2Name)"
+    for query in ("summary_table_full", "summary_by_group"):
+        got = {(r.header, r.column_name): r[-1] for r in q[query](spark, d).collect()}
+        assert got["Geographical Hierarchy", names] == 0 and got["Coordinate Checks", V.LABELS["Low Precision"]] == 1, query
+        assert got["Coordinate Checks", V.LABELS["Potentially Flipped"]] == 1, query
+
+
 def test_detections(spark):
     s = "EPID string, Admin0Name string, VirusTypeName string, VirusDate date, UpdatedDate date, SurveillanceTypeName string, VdpvEmergenceGroupName string"
     old = spark.createDataFrame([("E1", "Country1", "WPV1", date(2023, 1, 1), date(2023, 1, 3), "AFP", None), ("E2", "Country2", "cVDPV2", date(2023, 1, 2), date(2023, 1, 4), "Environmental", "EMG-1")], s)

@@ -229,11 +229,13 @@ def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: da
     return d.withColumns(new).select("__group", "__id", *new), meta
 
 
-def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_of: date | None = None, group: str | None = None, n_groups: int | None = None) -> CheckBundle:
+def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_of: date | None = None, group: str | None = None, n_groups: int | None = None, hierarchy: bool = True) -> CheckBundle:
     """All checks of spec over df, per value of `group` (null groups left out; the last n_groups in order) or over all rows.
 
     The scorecard also has the total of rows and of duplicates: rows whose id occurred already, per group; a null id is an id.
-    Every header's checks are there for every group, with 0 where nothing was found.
+    Every header's checks are there for every group, with 0 where nothing was found. hierarchy: whether the scorecard has a
+    line for each combination of spec.hierarchy; its count is the reference's, distinct rows less distinct rows (see
+    admin_hierarchy).
     """
     as_of = as_of or date.today()
     flags, meta = _flag_frame(df, spec, dim, as_of, group)
@@ -249,6 +251,9 @@ def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_
     )
     order = {h: i for i, h in enumerate(dict.fromkeys([*HEADERS, *[m[1] for m in meta]]))}
     lines = [("__rows", HEADERS[0], "Total Rows"), ("__dup", HEADERS[0], "Total Duplicate")] + [(m[0], m[1], m[2]) for m in meta]
+    if hierarchy:
+        total = total.withColumn("__hier", F.lit(0))
+        lines += [("__hier", HEADERS[5], " ~ ".join(p)) for p in spec.hierarchy]
     cells = F.array(*[F.struct(F.lit(h).alias("header"), F.lit(order[h]).alias("header_ord"), F.lit(_label(h, c, as_of)).alias("column_name"), F.col(f"`{f}`").cast("long").alias("count")) for f, h, c in lines])
     summary = total.select(F.col("__group").alias("group"), F.explode(cells).alias("c")).select("group", "c.*")
     tests = [F.when(F.col(f"`{m[0]}`"), F.struct(F.lit(m[3]).alias("column_type"), F.lit(_issue(m[4], as_of)).alias("test"))) for m in meta if m[3]]
@@ -263,6 +268,8 @@ def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_
 def _label(header: str, column: str, as_of: date) -> str:
     if header == "Geographical Mismatches":
         return f"{column} not in Shapefile"
+    if header == "Geographical Hierarchy":
+        return f"Non-unique {'GUID' if 'GUID' in column else 'name'} Hierarchy ({column})"
     return f"Date into the future (beyond {as_of.year})" if column == "Future" else LABELS.get(column, column)
 
 

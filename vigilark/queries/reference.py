@@ -232,6 +232,22 @@ def check_coords_summary(spark: SparkSession, d: str) -> DataFrame:
     return coords.summarise_coords(t, ["form_id_num"], headings=False, as_text=False)
 
 
+def _all_coord_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions have no unit, so flip has nothing to compare with."""
+    return coords.check_coords(table(spark, d, "ona_visits"), "latitude", "longitude", land=LAND, lakes=LAKES)
+
+
+@query()
+def check_coords_full(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("missing_coords", "parse_failed", "out_of_bounds", "lat_precision", "lon_precision", "low_precision", "null_count", "on_water")
+    return _all_coord_checks(spark, d).select("_id", "date_last_updated", *cols)
+
+
+@query()
+def check_coords_summary_full(spark: SparkSession, d: str) -> DataFrame:
+    return coords.summarise_coords(_all_coord_checks(spark, d), ["form_id_num"], headings=False, as_text=False)
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN length(CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)) ELSE length(split_part(CAST(o_totalprice AS VARCHAR), '.', 2)) END AS places FROM orders""")
 def number_precision(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", decimal_places(F.col("o_totalprice")).alias("places"))
@@ -450,8 +466,11 @@ _SUMMARY = " UNION ALL ".join(
 )
 
 
-def _bundle(spark: SparkSession, d: str, group: str | None) -> validation.CheckBundle:
-    return validation.check_data(table(spark, d, "polis_cases"), _SPEC, table(spark, d, "shp_global"), AS_OF, group)
+_FULL = validation.preset("AFP")
+
+
+def _bundle(spark: SparkSession, d: str, group: str | None, spec: validation.CheckSpec = _SPEC) -> validation.CheckBundle:
+    return validation.check_data(table(spark, d, "polis_cases"), spec, table(spark, d, "shp_global"), AS_OF, group, hierarchy=spec is _FULL)
 
 
 @query(f"WITH {_FLAG_TABLE} SELECT grp AS \"group\", header, column_name, count FROM ({_SUMMARY})")
@@ -464,10 +483,21 @@ def check_data_issues(spark: SparkSession, d: str) -> DataFrame:
     return _bundle(spark, d, None).issues
 
 
+@query()
+def summary_table_full(spark: SparkSession, d: str) -> DataFrame:
+    """With the coordinate checks and hierarchy lines that the SQL of summary_table has not."""
+    return _bundle(spark, d, "Admin0Name", _FULL).summary.select("group", "header", "column_name", "count")
+
+
+@query()
+def check_data_issues_full(spark: SparkSession, d: str) -> DataFrame:
+    return _bundle(spark, d, None, _FULL).issues
+
+
 @query()
 def summary_by_group(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "polis_cases").withColumn("year", F.year("CaseDate").cast("string"))
-    return validation.validate_data(t, _SPEC, table(spark, d, "shp_global"), "year", 4, AS_OF)[1]
+    return validation.validate_data(t, _FULL, table(spark, d, "shp_global"), "year", 4, AS_OF)[1]
 
 
 def _weeks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
