@@ -139,6 +139,14 @@ def test_outstanding_versions(spark):
     assert leased.where("state = 'leased'").count() > 0
 
 
+def test_line_without_start_covers_nothing(spark):
+    t = datetime(2024, 1, 5)
+    cases = spark.createDataFrame([(1, 1, "NORO", t, t)], "CaseId long, VersionNo int, WHORegion string, LastUpdateDate timestamp_ntz, ReceivedAt timestamp_ntz")
+    log = spark.createDataFrame([("NORO", None, date(2024, 2, 1), date(2024, 2, 1), "Case", "success", datetime(2024, 2, 2))],
+                                "Region string, QueryStartDate date, QueryEndDate date, DataEndDate date, PolisDataType string, RunStatus string, RunStartedAt timestamp_ntz")
+    assert [r.state for r in W.outstanding_versions(cases, log).collect()] == ["pending"]
+
+
 # ------------------------------------------------------------------ profile
 
 

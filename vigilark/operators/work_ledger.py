@@ -178,7 +178,7 @@ def outstanding_versions(cases: DataFrame, log: DataFrame, data_type: str = "Cas
     newest = items.groupBy("CaseId").agg(F.max_by(F.struct("VersionNo", "first_seen", "region", "day"), "VersionNo").alias("v")).select("CaseId", "v.*")
     span = cases.agg(F.min(F.to_date("LastUpdateDate")), F.max(F.to_date("LastUpdateDate"))).first()
     low, high = (str(x) if x else "1970-01-01" for x in span)
-    lines = log.where((F.col("PolisDataType") == data_type) & F.col("DataEndDate").isNotNull() & F.col("QueryEndDate").isNotNull() & F.col("RunStartedAt").isNotNull())
+    lines = log.where((F.col("PolisDataType") == data_type) & F.col("QueryStartDate").isNotNull() & F.col("DataEndDate").isNotNull() & F.col("QueryEndDate").isNotNull() & F.col("RunStartedAt").isNotNull())
     success = F.coalesce(F.col("RunStatus") == "success", F.lit(False))
     asked = F.lit(now).cast("timestamp_ntz") if now else None
     args = (F.col("QueryStartDate"), F.least("QueryEndDate", "DataEndDate"), norm(F.col("Region")), F.col("RunStartedAt"), low, high)
