@@ -62,6 +62,18 @@ def test_suggestions_of_whole_table(spark, tmp_path):
             assert {(r.matched_names, r.distance) for r in got} == {("ANGOLA", 1.0), ("CABINDA", 1.0), ("BELIZE", 1.0)}
 
 
+def test_all_decisions_are_applied(spark, tmp_path):
+    """A decision of level 0 has no parents; lower levels are found under the corrected ones."""
+    from vigilark.queries import reference
+
+    rows = [(1, "Level0", "Uga", "Uganda", None, None, "2024"), (2, "level1", "Tezo", "Teso", "UGANDA", None, "2024"), (3, "level2", "Bokedea", "Bukedea", "Uganda", "Teso", "2024"), (4, "level2", "Bokedea", "X", "UGA", "TEZO", None)]
+    df = spark.createDataFrame(rows, "decision_id long, level string, name_to_match string, replacement string, level0_prepped string, level1_prepped string, created_time string")
+    df.withColumn("level2_prepped", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/geoname_cache.parquet")
+    got = {r.decision_id: tuple(r)[2:] for r in reference.queries()["apply_decisions_full"](spark, str(tmp_path)).collect()}
+    full = ("UGANDA", "TESO", "BUKEDEA")
+    assert got == {1: ("UGANDA", None, None), 2: ("UGANDA", "TESO", None), 3: full, 4: full}
+
+
 def test_match_names_and_types(spark):
     ref = spark.createDataFrame([], "CountryName string, NameOfCapital string, ProvinceName string, DistrictName string, SiteName string")
     t = spark.createDataFrame([], "COUNTRYNAME string, nameofcapital string, province_Name string, DISTRICT_name string, siteName string, GDP string")

@@ -368,6 +368,16 @@ def apply_decisions(spark: SparkSession, d: str) -> DataFrame:
     return names.apply_decisions(t, _decisions(spark, d), ["country"])
 
 
+@query()
+def apply_decisions_full(spark: SparkSession, d: str) -> DataFrame:
+    """The names of geoname_cache of levels 0 to 2 under the parents they were decided for, with all its decisions, level by level."""
+    cache = table(spark, d, "geoname_cache")
+    level = F.lower(F.trim("level"))
+    at = [F.upper(F.when(level == f"level{i}", F.col("name_to_match")).when(level > f"level{i}", F.col(f"level{i}_prepped"))).alias(c) for i, c in enumerate(_LEVELS)]
+    t = cache.where(level.isin("level0", "level1", "level2")).select("decision_id", level.alias("level"), *at)
+    return names.apply_decisions(t, cache, _LEVELS)
+
+
 @query("""WITH b AS (SELECT level, name_to_match, level0_prepped, level1_prepped, level2_prepped, level3_prepped, level4_prepped, created_time, replacement FROM geoname_cache),
 r AS (SELECT *, row_number() OVER (PARTITION BY level, name_to_match, level0_prepped, level1_prepped, level2_prepped, level3_prepped, level4_prepped ORDER BY created_time DESC NULLS LAST, replacement NULLS FIRST) AS n FROM b)
 SELECT level, name_to_match, level0_prepped, level1_prepped, level2_prepped, created_time, replacement FROM r WHERE n = 1""")
