@@ -130,3 +130,13 @@ def test_epi_week(spark):
     days = [(0, date(2024, 1, 1), 1), (1, date(2023, 12, 31), 1), (2, date(2022, 1, 1), 52), (3, date(2022, 1, 2), 1), (4, date(2020, 12, 31), 53)]
     df = spark.createDataFrame(days, "n int, d date, w int").withColumn("x", epi_week(F.col("d")))
     assert column(df, "x") == [w for _, _, w in days]
+
+
+def test_iso_prefix_runs_over_all_rows(spark, monkeypatch):
+    """A text beginning dd- is read as the prefix has it."""
+    from vigilark.queries import reference
+
+    rows = spark.createDataFrame([(1, 1, "12-03-2021"), (2, 1, "2021-03-12T10:00"), (3, 1, None)], "CaseId long, VersionNo int, day string")
+    monkeypatch.setattr(reference, "_dirty", lambda spark, d: rows)
+    got = {r.CaseId: r.day for r in reference.queries()["iso_prefix_full"](spark, "").selectExpr("CaseId", "cast(day as string) day").collect()}
+    assert got == {1: "0012-03-20", 2: "2021-03-12", 3: None}

@@ -117,6 +117,12 @@ def iso_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _dirty(spark, d).where(F.col("day").isNull() | ~F.col("day").rlike(r"^\d{2}-")).select("CaseId", "VersionNo", iso_prefix_date(F.col("day")).alias("day"))
 
 
+@query()
+def iso_prefix_full(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, with the texts beginning dd- that the SQL of iso_prefix leaves out."""
+    return _dirty(spark, d).select("CaseId", "VersionNo", iso_prefix_date(F.col("day")).alias("day"))
+
+
 @query("SELECT '%d/%m/%Y' AS format, count(*) AS parsed FROM orders")
 def detect_date_format(spark: SparkSession, d: str) -> DataFrame:
     return dates.detect_date_format(table(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("t")), "t")
