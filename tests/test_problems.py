@@ -73,32 +73,77 @@ def test_item_states(spark):
     ]
     items = spark.createDataFrame([(x, 1) for x in ("done", "stale", "late", "open", "failed", "expired", "forged", "new")], "item string, x int")
     got = {r.item: r.state for r in W.item_states(items, spark.createDataFrame(claims, W.CLAIMS), F.lit(t(10)).cast("timestamp_ntz")).collect()}
-    assert got == {"done": "done", "stale": "pending", "late": "done", "open": "leased", "failed": "pending", "expired": "pending", "forged": "pending", "new": "pending"}
+    assert got == {"done": "done", "stale": "pending", "late": "pending", "open": "leased", "failed": "pending", "expired": "pending", "forged": "pending", "new": "pending"}
+
+
+def hour(h):
+    return datetime(2024, 1, 1) + timedelta(hours=h)
 
 
 def test_ledger_survives_failures(spark, tmp_path):
-    ledger = W.WorkLedger(spark, str(tmp_path / "ledger"))
-    items = spark.createDataFrame([(str(i), i) for i in range(5)], "item string, n int")
-    hour = lambda h: datetime(2024, 1, 1, h)
+    clock = [0]
+    ledger = W.WorkLedger(spark, str(tmp_path / "ledger"), lambda: hour(clock[0]))
+    items = spark.createDataFrame([(str(i), i, "x") for i in range(5)], "item string, n int, token string")
     work = lambda df: df.select("item", (F.col("n") * 10).alias("v"))
 
     def broken(df):
         raise RuntimeError("lost")
 
-    with pytest.raises(RuntimeError):
+    clock[0] = 1.5
+    with pytest.raises(RuntimeError, match="lost"):
         ledger.process(items, broken, hour(1), hour(2))
+    clock[0] = 3.5
     ledger.process(items.where("n < 3"), work, hour(3), hour(4))
-    more = items.union(spark.createDataFrame([("9", 9)], "item string, n int"))
+    more = items.union(spark.createDataFrame([("9", 9, None), (None, 7, None)], items.schema))
     # a run that never comes back: its items are pending again after the lease
     dead, taken = ledger.lease(more.where("n >= 3"), hour(5), hour(6))
     assert taken.count() == 3
     assert ledger.lease(more, hour(5), hour(6))[1].count() == 0
+    clock[0] = 7.5
     ledger.process(more, work, hour(7), hour(8))
     # the dead run wakes up and writes: its commit is refused, its rows are not read
     taken.select("item", F.lit(-1).alias("v")).write.mode("overwrite").parquet(ledger.output_path(dead))
-    ledger.end(dead, "done", hour(9))
+    with pytest.raises(W.StaleLease):
+        ledger.end(dead, "done", hour(9))
+    with pytest.raises(W.StaleLease):  # neither does a wrong clock help it
+        ledger.end(dead, "done", hour(5.5))
     out = ledger.results(spark.createDataFrame([], "item string, v int").schema)
     assert sorted((r.item, r.v) for r in out.collect()) == [("0", 0), ("1", 10), ("2", 20), ("3", 30), ("4", 40), ("9", 90)]
+    assert W.WorkLedger(spark, str(tmp_path / "none")).results(out.schema).count() == 0
+
+
+def test_overrun_writer_is_refused(spark, tmp_path):
+    """A leases from 1 to 2 o'clock and writes at 5; B leases at 4 and commits. What B wrote holds, and goes on to hold."""
+    path, schema = str(tmp_path / "ledger"), spark.createDataFrame([], "item string, v int").schema
+    items = spark.createDataFrame([("x",)], "item string")
+    times = iter([hour(5)])
+    a, b = W.WorkLedger(spark, path, lambda: next(times)), W.WorkLedger(spark, path, lambda: hour(4.5))
+
+    def slow(df):
+        b.process(items, lambda d: d.withColumn("v", F.lit(222)), hour(4), hour(6))
+        assert [r.v for r in b.results(schema).collect()] == [222]
+        return df.withColumn("v", F.lit(111))
+
+    with pytest.raises(W.StaleLease):
+        a.process(items, slow, hour(1), hour(2))
+    assert [r.v for r in a.results(schema).collect()] == [222]
+    b.end(2, "done", hour(7))  # a repeated end changes nothing
+    assert [r.v for r in a.results(schema).collect()] == [222] and b.lease(items, hour(9), hour(10))[1].count() == 0
+
+
+def test_concurrent_leases_share_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    items = spark.createDataFrame([(str(i),) for i in range(20)], "item string")
+
+    def take(_):
+        token, mine = W.WorkLedger(spark, str(tmp_path / "ledger")).lease(items, hour(1), hour(2))
+        return token, [r.item for r in mine.collect()]
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(take, range(4)))
+    assert sorted(t for t, _ in got) == [1, 2, 3, 4]
+    assert sorted(i for _, mine in got for i in mine) == sorted(str(i) for i in range(20))
 
 
 def test_outstanding_versions(spark):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilark.operators.column_profile import column_profile, induce_expressions, is_blank, profile_findings, value_counts
 from vigilark.operators.instants import InstantDictionary, dictionary_entries, normalise_instants
 from vigilark.operators.snapshot_diff import latest_state, snapshot_diff
 from vigilark.operators.spatial import points_near_centres
-from vigilark.operators.work_ledger import outstanding_versions
+from vigilark.operators.work_ledger import WorkLedger, outstanding_versions
 from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
 from vigilark.session import materialise, scratch_path, table
@@ -50,6 +53,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return outstanding_versions(cases, log).where("state <> 'done'").select("case_id", "version_no")
 
 
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every record version with the run that processed it: two runs of a WorkLedger, the first over what was delivered before 2024, the second over
+    everything, of which it takes only what is new."""
+    cases = spark.read.parquet(f"{d}/polis_cases.parquet").where("CaseId is not null and VersionNo is not null")
+    items = cases.groupBy("CaseId", "VersionNo").agg(F.min("ReceivedAt").alias("seen")).withColumn("item", F.concat_ws("/", "CaseId", "VersionNo"))
+    now = datetime(2026, 1, 1)
+    ledger = WorkLedger(spark, scratch_path(spark, "ledger"), lambda: now)
+    out = lambda df: df.select("item", F.col("CaseId").alias("case_id"), F.col("VersionNo").alias("version_no"))
+    first = ledger.process(items.where("seen < '2024-01-01'"), out, now, now + timedelta(hours=1))
+    ledger.process(items, out, now, now + timedelta(hours=1))
+    done = ledger.results(T.StructType([T.StructField("case_id", T.LongType()), T.StructField("version_no", T.IntegerType())]))
+    return done.select("case_id", "version_no", F.when(F.col("token") == first, 1).otherwise(2).alias("run"))
+
+
 def _profile(spark: SparkSession, d: str, only_rules: bool = False):
     """Value counts of every column of polis_sia, or of those with a rule, and the rules."""
     sia = spark.read.parquet(f"{d}/polis_sia.parquet")
@@ -99,7 +116,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_changes_by_type, p4_found, p6_found, p6_profile, p6_expressions, p7_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_changes_by_type, p4_found, p4_runs, p6_found, p6_profile, p6_expressions, p7_found)}
 
 
 _LATEST = """
@@ -166,6 +183,8 @@ SELECT CaseId AS case_id, VersionNo AS version_no FROM newest n
 WHERE NOT EXISTS (SELECT 1 FROM polis_data_update_log l WHERE l.RunStatus = 'success' AND l.PolisDataType = 'Case'
   AND (lower(trim(l.Region)) = n.region OR lower(trim(l.Region)) = 'global') AND l.DataEndDate IS NOT NULL
   AND n.day BETWEEN l.QueryStartDate AND least(l.QueryEndDate, l.DataEndDate) AND n.first_seen <= l.RunStartedAt)""",
+        "p4_runs": """SELECT CaseId AS case_id, VersionNo AS version_no, CASE WHEN min(ReceivedAt) < TIMESTAMP '2024-01-01' THEN 1 ELSE 2 END AS run
+FROM polis_cases WHERE CaseId IS NOT NULL AND VersionNo IS NOT NULL GROUP BY ALL""",
         "p6_found": f"""
 WITH {_UNPIVOT}
 SELECT load AS load_no, column_name, finding FROM (
