@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.dates import format_date_ord
+from vigilark.session import collect_bounded
 
 # Surveillance types and names of virus types that count.
 SURVEILLANCE = ("AFP", "Environmental")
@@ -39,7 +40,7 @@ def new_detections(
     has_null = old.where("EPID is null").limit(1).select(F.lit(True).alias("n"))
     fresh = fresh.join(has_null, F.col("EPID").isNull() & F.col("n"), "left_anti").withColumn("Virus", wpv(F.col("VirusTypeName")))
     fresh = fresh.withColumns({"VirusDate": F.to_date("VirusDate"), "year": F.year("VirusDate")})
-    seen = sorted(r.year for r in fresh.select("year").distinct().limit(10_000).collect())  # years
+    seen = sorted(r.year for r in collect_bounded(fresh.select("year").distinct(), 10_000, "years"))
     nt = F.coalesce(F.col("VdpvNtChangesClosestMatch").cast("string"), F.col("VdpvNtChangesFromSabin").cast("string"))
     nt_text = F.when(F.col("VdpvNtChangesClosestMatch").isNull(), F.concat(F.coalesce(F.col("VdpvNtChangesFromSabin").cast("string"), F.lit("NA")), F.lit("**"))).otherwise(F.col("VdpvNtChangesClosestMatch").cast("string"))
     described = F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.plans.rows import row_hash
-from vigilark.session import materialise
+from vigilark.session import collect_bounded, materialise
 
 #: More deliveries than this would not be planned on the driver (a daily delivery reaches it after 273 years).
 MAX_DELIVERIES = 100_000
@@ -16,10 +16,8 @@ MAX_DELIVERIES = 100_000
 
 def deliveries(df: DataFrame, delivery: str) -> list[str]:
     """The deliveries present, in order. One value per delivery, so bounded by the calendar; checked."""
-    rows = df.select(F.col(delivery).cast("string").alias("w")).where("w is not null").distinct().limit(MAX_DELIVERIES + 1).collect()
-    if len(rows) > MAX_DELIVERIES:
-        raise ValueError(f"more than {MAX_DELIVERIES} deliveries")
-    return sorted(r.w for r in rows)
+    rows = df.select(F.col(delivery).cast("string").alias("w")).where("w is not null").distinct()
+    return sorted(r.w for r in collect_bounded(rows, MAX_DELIVERIES, "deliveries"))
 
 
 def snapshot_diff(
@@ -53,25 +51,14 @@ def snapshot_diff(
         F.max_by(h, F.struct(F.col(version).isNotNull(), F.col(version), h)).alias("__h")
     )
     state = materialise(state, "states")  # both sides of the join are read from it
-    later = dict(zip(order, order[1:]))
-    earlier = {b: a for a, b in later.items()}
-
-    def mapped(pairs: dict[str, str]):
-        if not pairs:
-            return F.lit(None).cast("string")
-        flat = [F.lit(x) for kv in pairs.items() for x in kv]
-        return F.create_map(*flat)[F.col("__w")]
-
-    old = state.select(mapped(later).alias("to_delivery"), *keys, F.col("__h").alias("__old")).where("to_delivery is not null")
-    new = (
-        state.withColumn("__prev", mapped(earlier))
-        .where("__prev is not null")
-        .select(F.col("__w").alias("to_delivery"), *keys, F.col("__h").alias("__new"))
-    )
+    # each state is the later side of its own delivery and the earlier side of the next; one row per delivery goes to all executors
+    pairs = df.sparkSession.createDataFrame(list(zip(order, [None, *order], [*order[1:], None])), "__w string, __prev string, __next string")
+    state = state.join(F.broadcast(pairs), "__w")
+    old = state.where("__next is not null").select(F.col("__next").alias("to_delivery"), *keys, F.col("__w").alias("__from"), F.col("__h").alias("__old"))
+    new = state.where("__prev is not null").select(F.col("__w").alias("to_delivery"), *keys, "__prev", F.col("__h").alias("__new"))
     both = old.join(new, ["to_delivery", *keys], "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new")))
     kind = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").otherwise("changed")
-    back = F.create_map(*[F.lit(x) for kv in earlier.items() for x in kv])[F.col("to_delivery")] if earlier else F.lit(None).cast("string")
-    return both.select(*keys, back.alias("from_delivery"), "to_delivery", kind.alias("change_kind"))
+    return both.select(*keys, F.coalesce("__from", "__prev").alias("from_delivery"), "to_delivery", kind.alias("change_kind"))
 
 
 def latest_state(df: DataFrame, delivery: str, keys: Sequence[str], version: str) -> DataFrame:

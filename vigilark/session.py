@@ -44,6 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def collect_bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that must be small; more than `most` raise an error, none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 _scratch: list[str] = []
 
 
