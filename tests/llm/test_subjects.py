@@ -83,3 +83,44 @@ def test_languages():
     a, b = f("本発明は、光ファイバおよびレーザーに関する。", None), f("Die Erfindung betrifft Trägerabstand", "bulk")
     assert len(a[0]) > 4 and len(b[0]) > 4 and f("12 ? --", "bulk") is None
     assert (np.diff(a[0]) > 0).all()
+
+
+SCRIPTS = {
+    "ru": "Изобретение относится к оптическому волокну", "el": "Η εφεύρεση αφορά οπτική ίνα", "ko": "본 발명은 광섬유에 관한 것이다", "ar": "يتعلق الاختراع بالألياف البصرية",
+    "he": "ההמצאה נוגעת לסיב אופטי", "hi": "यह आविष्कार प्रकाशिक तंतु से संबंधित है", "th": "การประดิษฐ์นี้เกี่ยวข้องกับใยแก้วนำแสง", "zh": "本发明涉及光纤", "pl": "Wynalazek dotyczy światłowodu",
+    "hiragana": "これはひかりです", "single letters": "a b c", "ka": "გამოგონება ეხება ოპტიკურ ბოჭკოს",
+}
+
+
+def test_every_script_has_terms_and_subjects(spark, corpus):
+    f = S.Features()
+    assert all(len(f(t, None)[0]) >= 2 for t in SCRIPTS.values())
+    assert S.terms("यह तंतु") == ["यह", "तंतु"] and S.terms("światłowód 12") == ["światłowód"]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s, _ in corpus[:200]] + [(1000 + k, t, None) for k, t in enumerate(SCRIPTS.values())], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, s) for i, _, _, own in corpus[:200] for s in own], "doc_id long, subject string")
+    chain = S.train_subjects(docs, lab, list(VOCABULARY), "doc_id", "text", "source", "subject")
+    n = {r.doc_id: r["count"] for r in S.predict_subjects(docs, chain, "doc_id", "text", "source").groupBy("doc_id").count().collect()}
+    assert all(n.get(1000 + k) in (1, 2) for k in range(len(SCRIPTS)))
+
+
+def test_cyrillic_corpus_is_learnt(spark, corpus):
+    """The same words written in another script give as good a result."""
+    up = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстужвшыз")
+    docs = spark.createDataFrame([(i, t.lower().translate(up), s) for i, t, s, _ in corpus], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, s) for i, _, _, own in corpus[:450] for s in own], "doc_id long, subject string")
+    chain = S.train_subjects(docs, lab, list(VOCABULARY), "doc_id", "text", "source", "subject")
+    got = {}
+    for r in S.predict_subjects(docs, chain, "doc_id", "text", "source").collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got[i] == own for i, _, _, own in corpus[450:]) / 250 >= 0.75
+
+
+def test_families_stay_together(spark, corpus, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(S, "fit_chain", lambda ids, values, y, subjects, holdout, group: seen.update(holdout=holdout, group=group) or S.Chain(list(subjects), *[np.zeros(1)] * 9))
+    docs = spark.createDataFrame([(i, t, s, f"f{i // 3}" if i < 90 else None) for i, t, s, _ in corpus[:200]], "doc_id long, text string, source string, family_id string")
+    lab = spark.createDataFrame([(i, s) for i, _, _, own in corpus[:200] for s in own], "doc_id long, subject string")
+    S.train_subjects(docs, lab, list(VOCABULARY), "doc_id", "text", "source", "subject", family_col="family_id")
+    h, g = seen["holdout"], seen["group"]
+    assert all(h[i] == h[i + 1] == h[i + 2] and g[i] == g[i + 1] == g[i + 2] for i in range(0, 90, 3))
+    assert 0.05 < h.mean() < 0.3 and len(set(g[90:] % S.FOLDS)) == S.FOLDS

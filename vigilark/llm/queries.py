@@ -13,9 +13,11 @@ from vigilark.llm.survivors import survivors, surviving_records, utc_time
 from vigilark.llm.tokens import token_counts, token_ids
 from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
-from vigilark.session import materialise
+from vigilark.session import collect_bounded, materialise
 
 CAPACITY = 2048
+#: Subject areas that one chain can hold.
+MAX_AREAS = 1000
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +116,11 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The subject areas of every document with content."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source", "family_id")
     labels = spark.read.parquet(f"{d}/subject_labels.parquet")
-    names = [r.subject for r in spark.read.parquet(f"{d}/subject_areas.parquet").select("subject").distinct().limit(1000).collect()]  # the list of areas
-    chain = train_subjects(docs, labels, [n for n in names if n], "doc_id", "text", "source", "subject")
+    areas = spark.read.parquet(f"{d}/subject_areas.parquet").where("subject <> ''").select("subject").distinct()
+    names = [r.subject for r in collect_bounded(areas, MAX_AREAS, "subject areas")]
+    chain = train_subjects(docs, labels, names, "doc_id", "text", "source", "subject", family_col="family_id")
     return predict_subjects(docs, chain, "doc_id", "text", "source")
 
 

@@ -1,7 +1,7 @@
 """Subject areas of documents by a chain of calibrated classifiers.
 
-Features are terms (words, pairs of neighbouring words, runs of kana and kanji) counted over the whole text, the same terms
-by the part of the document they stand in (before the description, claims), and the source. From labelled documents every term
+Features are terms (words of any script, pairs of neighbouring words, runs of katakana and kanji, character pairs of scripts
+without spaces) counted over the whole text, the same terms by the part of the document they stand in (before the description, claims), and the source. From labelled documents every term
 gets its affinity to each subject; a document's terms then add up to a few measures per subject: how much of it speaks of the
 subject, by how many different terms, in which parts. One logistic model per subject sees these measures and the
 subjects before it in the chain, so that subjects which occur together, or exclude each other, do so in the prediction; a
@@ -35,12 +35,37 @@ FOLDS = 5
 MEASURES = 15
 WORD_CACHE = 500_000
 
-_WORDS = re.compile(r"[a-zß-öø-ÿœ]{2,}|[ァ-ヺー]{2,}|[一-鿿々]+")
+_LATIN, _CJK = "a-zß-öø-ÿĀ-ɏḀ-ỿ", "ぁ-ヿ一-鿿々"
+#: Combining marks and vowel signs that continue a word.
+_MARKS = "\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0dff\u0e31-\u0e4e\u0eb1-\u0ece\u0f71-\u0fbc\u102b-\u103e\u17b4-\u17d3"
+_OTHER = rf"[^\W\d_{_LATIN}{_CJK}]"
+_WORDS = re.compile(rf"[{_LATIN}]{{2,}}|[ァ-ヺー]{{2,}}|[一-鿿々]+|{_OTHER}(?:{_OTHER}|[{_MARKS}])+")
 _ASCII = re.compile(r"[a-z]{2,}")
+#: Scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer.
+_UNSPACED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
+_HAN, _KANA = re.compile(r"[一-鿿々]"), re.compile(r"[ぁ-ヿ]")
+_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 _BODY = re.compile(r"description|beschreibung|発明の詳細な説明")
 _CLAIMS = re.compile(r"claims?\s*\n|(?:we|i) claim|claims\s|claimed is|patentanspr|revendications|特許請求の範囲")
 
 
+def _pairs(word: str) -> list[str]:
+    return [word[i : i + 2] for i in range(len(word) - 1)] or [word]
+
+
+def terms(low: str) -> list[str]:
+    """The words of a lower-case text in their order; character pairs where a script puts no spaces between words."""
+    if low.isascii():
+        found = _ASCII.findall(low)
+    else:
+        found = _WORDS.findall(low)
+        if _UNSPACED.search(low):
+            found = [p for w in found for p in (_pairs(w) if _UNSPACED.match(w) else (w,))]
+        if _HAN.search(low) and not _KANA.search(low):  # Chinese; in Japanese kana stand between the words
+            found = [p for w in found for p in (_pairs(w) if _HAN.match(w) else (w,))]
+    return found
+
+
 class Features:
     """Text and source -> sorted feature ids and weights (log of 1 + count); id // SPACE is the block."""
 
@@ -61,8 +86,6 @@ class Features:
 
     def __call__(self, text: str, source: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         low = text.lower()
-        ascii_only = low.isascii()
-        find = (_ASCII if ascii_only else _WORDS).findall
         body = _BODY.search(low)
         claims = None
         for claims in _CLAIMS.finditer(low, body.end() if body else 0):  # noqa: B007
@@ -70,8 +93,11 @@ class Features:
         cut = [0, body.start() if body else 0, claims.start() if claims else len(low), len(low)]
         if cut[2] < cut[1]:
             cut[2] = len(low)
-        parts = [self._hash(find(low[a:b])) for a, b in zip(cut, cut[1:])]
+        parts = [self._hash(terms(low[a:b])) for a, b in zip(cut, cut[1:])]
         h = np.concatenate(parts)
+        if not len(h):  # no words, but perhaps letters
+            parts = [self._hash([p for w in _LETTERS.findall(low[a:b]) for p in _pairs(w)]) for a, b in zip(cut, cut[1:])]
+            h = np.concatenate(parts)
         if not len(h):
             return None
         pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) & np.uint64(0xFFFFFFFF)
@@ -84,24 +110,32 @@ class Features:
 
 
 def featurize(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, ids ARRAY<INT>, weights ARRAY<FLOAT>) of every document with content; null, empty and wordless texts give no row."""
-    id_type = dict(docs.dtypes)[id_col]
+    """(id, ids ARRAY<INT>, weights ARRAY<FLOAT>) of every document with content; null and empty texts and those without a letter give no row. A text of letters
+    without words (single letters, hiragana alone) has the pairs of its letters as terms."""
+    return _featurize(docs, id_col, text_col, source_col, [])
+
+
+def _featurize(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: Sequence[str]) -> DataFrame:
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            keys, ids, w = [], [], []
-            for k, t, s in zip(*(b.column(i).to_pylist() for i in range(3))):
+            rows, ids, w = [], [], []
+            for i, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 f = make(t, s) if t else None
                 if f is not None:
-                    keys.append(k)
+                    rows.append(i)
                     ids.append(f[0])
                     w.append(f[1])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ids, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))], names=["id", "ids", "weights"])
+            if rows:
+                rest = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [rest.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32())), *rest.columns[3:]], names=["id", "ids", "weights", *keep]
+                )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).where("text is not null")
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>, weights array<float>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *keep).where("text is not null")
+    return rows.mapInArrow(run, f"id {types[id_col]}, ids array<int>, weights array<float>" + "".join(f", {k} {types[k]}" for k in keep))
 
 
 def affinities(hits: np.ndarray, df: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -212,8 +246,9 @@ def _newton(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, start: np.ndarray,
     return w
 
 
-def fit_chain(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, subjects: list[str], holdout: np.ndarray) -> Chain:
-    """Fits the chain on the rows outside `holdout` and calibrates it on those inside.
+def fit_chain(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, subjects: list[str], holdout: np.ndarray, group: np.ndarray) -> Chain:
+    """Fits the chain on the rows outside `holdout` and calibrates it on those inside. Rows of one `group` (a number) are nearly the same
+    document and stay in one fold.
 
     The measures of a training document use affinities from the other folds. All links are fitted together by Newton
     steps: the weights of the measures are shared, each subject has its own bias and its own links to the subjects before it; in
@@ -224,7 +259,7 @@ def fit_chain(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, su
     row = np.repeat(np.arange(n), [len(x) for x in ids])
     used, at = np.unique(flat, return_inverse=True)
     f = len(used)
-    fold = np.arange(n) % FOLDS
+    fold = group % FOLDS
 
     def count(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         on = docs[row]
@@ -278,15 +313,21 @@ def fit_chain(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, su
     return chain
 
 
-def train_subjects(docs: DataFrame, labels: DataFrame, subjects: Sequence[str], id_col: str, text_col: str, source_col: str, label_col: str, max_labelled: int = MAX_LABELLED) -> Chain:
-    """Chain from labelled documents: at most max_labelled of them, in the order of a hash of their id, every seventh of which is
-    kept out for the calibration. Labels that are not in `subjects`, null labels and labels of unknown documents are ignored."""
+def train_subjects(
+    docs: DataFrame, labels: DataFrame, subjects: Sequence[str], id_col: str, text_col: str, source_col: str, label_col: str,
+    max_labelled: int = MAX_LABELLED, family_col: str | None = None,
+) -> Chain:
+    """Chain from labelled documents: at most max_labelled of them, in the order of a hash of their id. Families (family_col; a document
+    without one is a family of its own) are dealt to folds and to the calibration, a seventh of them, as a whole, so that no
+    copy of a document tells what it means. Labels that are not in `subjects`, null labels and labels of unknown documents are ignored."""
     subjects = sorted(set(subjects))
     lab = labels.where(F.col(label_col).isin(list(subjects)) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.collect_set(label_col).alias("y"))
     lab = lab.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    some = docs.join(F.broadcast(lab.select(F.col("id").alias(id_col))), id_col, "left_semi")  # at most max_labelled ids
-    feats = featurize(some, id_col, text_col, source_col).join(F.broadcast(lab), "id")
-    got = feats.orderBy(F.xxhash64("id"), "id").toArrow()
+    family = F.col(f"`{family_col}`").cast("string") if family_col else F.lit(None).cast("string")
+    family = F.xxhash64(family.isNotNull(), family, F.when(family.isNull(), F.col(id_col)))
+    # at most max_labelled ids
+    some = docs.select(id_col, text_col, source_col, family.alias("family")).join(F.broadcast(lab.withColumnRenamed("id", id_col)), id_col)
+    got = _featurize(some, id_col, text_col, source_col, ["family", "y"]).toArrow().sort_by("id")
     if not got.num_rows or not subjects:
         k = len(subjects)
         m = MEASURES
@@ -296,7 +337,9 @@ def train_subjects(docs: DataFrame, labels: DataFrame, subjects: Sequence[str],
     y = np.zeros((got.num_rows, len(subjects)), bool)
     for i, ys in enumerate(got.column("y").to_pylist()):
         y[i, [where[s] for s in ys]] = True
-    return fit_chain(lists("ids"), lists("weights"), y, list(subjects), np.arange(len(y)) % 7 == 6)
+    # families by number, in the order of their hash
+    group = np.unique(got.column("family").to_numpy(), return_inverse=True)[1]
+    return fit_chain(lists("ids"), lists("weights"), y, list(subjects), group % 7 == 6, group // 7)
 
 
 def predict_subjects(docs: DataFrame, chain: Chain, id_col: str, text_col: str, source_col: str) -> DataFrame:
