@@ -6,14 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast after it has been counted. At some 200 bytes a row this is about 40 MB.
+#: Rows and bytes up to which a side may be broadcast after both have been counted.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 and the length of each text, 8 for each number, nested values by their JSON text."""
+    total = F.lit(8)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 8 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows and max_bytes bytes; looks no further than max_rows + 1 rows."""
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def join_dimension(
@@ -27,14 +44,15 @@ def join_dimension(
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed left side with a dimension.
 
-    The right side is counted: within max_rows it is broadcast, so that no row of the left side moves. Beyond, both
+    The right side is counted: within max_rows and BROADCAST_BYTES it is broadcast, so that no row of the left side moves. Beyond, both
     sides are shuffled on the keys plus a salt: left rows take one of `salts` values from `spread` (a column that differs
     within a hot key), right rows are repeated once per salt. Only for inner, left, left_semi and left_anti, where
-    repeating right rows under distinct salts cannot repeat a result row. Null keys match nothing.
+    repeating right rows under distinct salts cannot repeat a result row. Null keys match nothing. max_rows=0: the right
+    side is known to be too large and not counted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join_dimension does not do {how!r} joins")
-    if fits(right, max_rows):
+    if max_rows > 0 and fits(right, max_rows):
         return left.join(F.broadcast(right), list(on), how)
     if spread is None:
         return left.join(right, list(on), how)
