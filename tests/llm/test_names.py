@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilark.llm import name_mapping as N
+from vigilark.operators import set_similarity as J
 
 PLACES = [("0", "LOMBOKII", "g1"), ("0", "LOMBOKIINIA", "g2"), ("0", "EAST POVUNAR", "g3"), ("0", "WEST POVUNAR", "g4"), ("0", "QUELI JIACHITEO", "g5"), ("0", "Z.A.A.", "g6"), ("0", "MBENKIZIMIQUE", "g7"), ("1/X", "BAS-TOMMA", "p1"), ("1/X", "NEMKO EST", "p2"), ("1/X", "NEMKO", "p3")]
 TYPED = {
@@ -29,9 +30,10 @@ def test_mapping(spark):
     assert N.map_names(frame(spark, rows).limit(0), ref).count() == 0
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
-def test_join_against_brute_force(spark, threshold):
-    """The prefix, length and position filters lose no pair."""
+@pytest.mark.parametrize("threshold, rows", [(0.3, 200_000), (0.3, 0), (0.5, 200_000), (0.8, 0)])
+def test_join_against_brute_force(spark, monkeypatch, threshold, rows):
+    """The prefix, length and position filters lose no pair, whether the prefixes are broadcast or joined under salts."""
+    monkeypatch.setattr(J, "BROADCAST_ROWS", rows)
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("ABC") for _ in range(rnd.randint(0, 9)))
     left = [(i, rnd.choice("xy"), w) for i, w in enumerate(sorted({word() for _ in range(120)}))]
@@ -53,5 +55,22 @@ def test_join_against_brute_force(spark, threshold):
             if s == u and a and b and len(x & y) / len(x | y) >= threshold:
                 want[i, j] = round(len(x & y) / len(x | y), 9)
     s = "key long, scope string, text string"
-    got = {(r.lk, r.rk): round(r.jaccard, 9) for r in N.similarity_join(spark.createDataFrame(left, s), spark.createDataFrame(right, s), "key", "text", "scope", threshold).collect()}
+    got = {(r.lk, r.rk): round(r.jaccard, 9) for r in J.similarity_join(spark.createDataFrame(left, s), spark.createDataFrame(right, s), "key", "text", "scope", threshold).collect()}
     assert got == want and want
+
+
+def test_hot_spelling(spark, tmp_path):
+    """A third of the rows is one spelling: no task gets them all, and the best entry is that of the greatest similarity."""
+    from vigilark.llm import queries as Q
+
+    shp = spark.createDataFrame([(n, f"{{G{i}}}") for i, n in enumerate(("LOMBOKII", "LOMBOKIINIA", "KIMLOO"))], "ADM0_NAME string, ADM0_GUID string")
+    for c in ("ADM1_NAME", "ADM1_GUID", "ADM2_NAME", "ADM2_GUID"):
+        shp = shp.withColumn(c, F.lit(None).cast("string"))
+    shp.withColumn("ENDDATE", F.lit("9999-12-31").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/shp_global.parquet")
+    sia = spark.range(3000).select(F.col("id").alias("ActivityId"), F.when(F.col("id") % 3 == 0, "Lombokki").otherwise(F.concat(F.lit("Kimlo"), F.col("id").cast("string"))).alias("Admin0Name"))
+    sia.union(spark.createDataFrame([(5000, None), (5001, " "), (5002, "KIMLOO")], "ActivityId long, Admin0Name string")).write.parquet(f"{tmp_path}/polis_sia.parquet")
+    spark.createDataFrame([], "todo_id long, level string, name_to_match string, level0_name string, level1_name string").write.parquet(f"{tmp_path}/geoname_todo.parquet")
+    spark.createDataFrame([(1, "level0", "Lombok Land", "{G0}")], "synonym_id int, level string, synonym string, adm_guid string").write.parquet(f"{tmp_path}/geo_synonym.parquet")
+    got = Q.p1_found(spark, str(tmp_path)).groupBy("canon_guid").count().collect()
+    n = {r.canon_guid: r["count"] for r in got}
+    assert n["g0"] == 1000 and sum(n.values()) == 3000 and set(n) <= {"g0", "g2", "none"}

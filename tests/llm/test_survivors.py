@@ -20,10 +20,10 @@ def value(v):
     return v is not None and v.strip().upper() not in S.NO_VALUE
 
 
-def test_lexicographic(spark):
+def test_ranked(spark):
     data = rows()
     df = spark.createDataFrame(data + data[:50], SCHEMA).withColumn("value", F.lit(1)).withColumn("field_name", F.lit("clash"))
-    got = {(r.group_id, r.field_name): r.id for r in S.survivors(df, ["g"], "id", ["a", "b"], "trust", "at", "lexicographic").collect()}
+    got = {(r.group_id, r.field_name): r.id for r in S.survivors(df, ["g"], "id", ["a", "b"], "trust", "at", "ranked").collect()}
     want = {}
     for g in {r[1] for r in data if r[1]}:
         mine = [r for r in data if r[1] == g]
@@ -34,7 +34,7 @@ def test_lexicographic(spark):
             if have:
                 want[min(r[0] for r in mine), f] = max(have, key=lambda r: (r[4] or 0, r[5] is not None, r[5] or datetime.min, -r[0]))[0]
     assert got == want and want
-    assert S.survivors(df.limit(0), ["g"], "id", ["a"], "trust", "at", "lexicographic").count() == 0
+    assert S.survivors(df.limit(0), ["g"], "id", ["a"], "trust", "at", "ranked").count() == 0
 
 
 def test_summed_votes(spark):
@@ -48,6 +48,16 @@ def test_summed_votes(spark):
     assert S.survivors(df.limit(0), ["g"], "id", ["a"], "trust", "at").count() == 0
 
 
+def test_best_vote_outweighs_all_others(spark):
+    """A thousand votes of little trust against one, of one trust against a later one, of one time against a smaller id."""
+    t = lambda y: datetime(y, 1, 1)
+    data = [(1000 + i, "trust", "many", None, 4, t(2024)) for i in range(1000)] + [(5000, "trust", "one", None, 5, None)]
+    data += [(6000 + i, "time", "many", None, 4, t(2023)) for i in range(1000)] + [(7500, "time", "one", None, 4, t(2024))]
+    data += [(8000 + i, "id", "one" if i == 0 else "many", None, 4, None) for i in range(1000)]
+    won = S.survivors(spark.createDataFrame(data, SCHEMA), ["g"], "id", ["a"], "trust", "at", "ranked")
+    assert {(r.g, r.id, r.value) for r in won.collect()} == {("trust", 5000, "one"), ("time", 7500, "one"), ("id", 8000, "one")}
+
+
 def test_times(spark):
     texts = ["2022-12-15 16:09:44", "2022-06-20T03:24:26Z", "2024-08-21T15:37:01+08:00", "1671839788", "1671839788123", "2024-01-01", "soon", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", F.unix_seconds(S.utc_time(F.col("t"))).alias("s"))

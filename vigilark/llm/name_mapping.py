@@ -1,9 +1,8 @@
 """Typed names mapped to the entries of a reference list by a prefix-filtered set-similarity join.
 
-Names become sets of character pairs. The tokens of every set are ordered by their rarity in the reference list; two sets whose Jaccard
-similarity reaches the threshold must share a token among the first few of each (the prefix), so only prefixes are joined.
-Pairs that meet there pass a length and a position filter, then their similarity is computed exactly and the
-best entry is kept. A last check by edit distance decides whether the best entry is close enough to be meant at all.
+Names become sets of character pairs and meet in operators.set_similarity: tokens ordered by rarity in the reference list, prefixes
+joined, length and position filters, exact Jaccard. The best entry is kept; a check by edit distance decides which entries are
+close enough to be meant at all.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.text import fold_accents, fold_lookalikes
+from vigilark.operators.set_similarity import similarity_join
+from vigilark.plans.joins import join_dimension
 from vigilark.session import materialise
 
 #: Jaccard similarity of pairs from which a pair of names is a candidate. Two letters changed in a name of six leave 3 of 11 pairs to 5 of 9.
@@ -49,15 +50,6 @@ def skeleton(c: Column) -> Column:
     return F.regexp_replace(out, r"(.)\1+", "$1")
 
 
-def with_pairs(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`, the set of padded character pairs of a text, a pair that occurs again numbered: ABAB -> ^A1 AB1 BA1 AB2 B$1.
-    An empty text has the pair ^$."""
-    d = df.withColumn("__t", F.concat(F.lit("^"), text, F.lit("$")))
-    d = d.withColumn("__q", F.transform(F.sequence(F.lit(1), F.length("__t") - 1), lambda i: F.substring(F.col("__t"), i, F.lit(2))))
-    nth = lambda p, i: F.size(F.filter(F.slice(F.col("__q"), F.lit(1), i + 1), lambda q: q == p))
-    return d.withColumn(out, F.transform("__q", lambda p, i: F.concat(p, nth(p, i).cast("string")))).drop("__t", "__q")
-
-
 def _swapped(c: Column) -> Column:
     """Two words the other way round; null for any other number of words."""
     return F.when(c.rlike(r"^\S+ \S+$"), F.regexp_replace(c, r"^(\S+) (\S+)$", "$2 $1"))
@@ -87,66 +79,34 @@ def _edit_share(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, scope: str, threshold: float) -> DataFrame:
-    """(left key, right key, jaccard): all pairs of one scope whose pair sets have at least this Jaccard similarity.
-
-    Both sides have (key, scope, text); text is compared as it is, keys are unique on each side. Empty texts match nothing. The sets of
-    both sides are ordered in one pass and written once; only prefixes are joined.
-    """
-    def side(df: DataFrame, k: str) -> DataFrame:
-        d = df.select(F.lit(k).alias("side"), F.col(key).alias("key"), F.col(scope).alias("scope"), F.col(text).alias("text")).where("text <> ''")
-        # explode_outer: a plain explode would evaluate the set a second time to test its size
-        return with_pairs(d, "text", "set").select("side", "key", "scope", F.explode_outer("set").alias("token"))
-
-    rarity = side(right, "r").groupBy("token").agg(F.count("*").alias("freq"))
-    t = side(left, "l").unionByName(side(right, "r")).join(rarity, "token", "left")
-    # tokens the list does not hold come first
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), F.col("token").alias("t"))))
-    ordered = materialise(t.groupBy("side", "key", "scope").agg(order.alias("s")).select("side", "key", "scope", F.col("s.t").alias("tokens")), "ordered")
-
-    def prefixed(p: str) -> DataFrame:
-        n = F.size("tokens")
-        head = (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")
-        return ordered.where(F.col("side") == p).select(F.col("key").alias(f"{p}k"), "scope", F.col("tokens").alias(p), F.posexplode(F.slice("tokens", F.lit(1), head)).alias(f"{p}_pos", "token"))
-
-    j = prefixed("l").join(prefixed("r"), ["scope", "token"])
-    nl, nr = F.size("l"), F.size("r")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (nl + nr) - F.lit(1e-9))
-    j = j.where((nl >= F.lit(threshold) * nr) & (nr >= F.lit(threshold) * nl))
-    # overlap still possible with this token as a common one: what lies before it, and what lies from it on
-    j = j.where(F.least("l_pos", "r_pos") + F.least(nl - F.col("l_pos"), nr - F.col("r_pos")) >= need)
-    pairs = j.groupBy("lk", "rk").agg(F.any_value("l").alias("l"), F.any_value("r").alias("r"))
-    common = F.size(F.array_intersect("l", "r"))
-    return pairs.select("lk", "rk", (common / (nl + nr - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
 def map_names(typed: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, max_edit_share: float = MAX_EDIT_SHARE) -> DataFrame:
-    """(id, entry, score): the best reference entry of every typed name that has one; a name without a row stands for none.
+    """(id, entry, score): the best reference entry of every typed name that has one, with its Jaccard similarity; a name without a row
+    stands for none.
 
     typed: (id, scope, name, parents ARRAY<STRING>), one row per distinct name to map; reference: (scope, name, entry), several names may
     stand for one entry. Names are matched within their scope. Null or letterless names, unknown and null scopes and an empty
-    reference give no rows. Ties go to the smaller edit distance, the greater similarity, the smaller entry.
+    reference give no rows. The entry of the greatest exact Jaccard similarity wins, of equal ones that of the smaller edit distance,
+    then the smaller entry; entries beyond the edits allowed are not meant and don't compete.
     """
+    key = lambda: F.concat_ws("\u0001", "scope", "bones")
     t = typed.where("id is not null and name is not null and scope is not null")
     # explode_outer: a plain explode would push a test of the whole expression below the steps it is made of
     v = with_variants(t, "name", "parents", "texts").select("id", "scope", F.explode_outer("texts").alias("text")).where("text is not null")
-    v = materialise(v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").withColumn("key", F.xxhash64("scope", "bones")), "typed")
+    v = materialise(v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").withColumn("key", key()), "typed")
     r = reference.where("name is not null and scope is not null and entry is not null").select("scope", "entry", letters(F.col("name")).alias("text"))
-    r = r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct().withColumn("rkey", F.xxhash64("scope", "bones"))
-    r = materialise(r, "reference")
+    r = materialise(r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct().withColumn("rkey", key()), "reference")
     # the same skeleton occurs in many typed names: each is looked up once
     lk, rk = v.select("key", "scope", "bones").distinct(), r.select(F.col("rkey").alias("key"), "scope", "bones").distinct()
-    pairs = similarity_join(lk, rk, "key", "bones", "scope", threshold)
-    pairs = pairs.select(F.col("lk").alias("key"), F.col("rk").alias("rkey"), "jaccard")
-    c = v.join(pairs, "key").join(r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry", F.col("scope").alias("r_scope")), "rkey")
-    c = c.where("scope = r_scope")
+    pairs = materialise(similarity_join(lk, rk, "key", "bones", "scope", threshold).select(F.col("lk").alias("key"), F.col("rk").alias("rkey"), "jaccard"), "pairs")
+    c = join_dimension(v.select("id", "key", "text", "bones"), pairs, ["key"], "inner", spread=F.col("id"))
+    c = join_dimension(c, r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry"), ["rkey"], "inner", spread=F.col("id"))
     c = c.withColumns({"a": F.replace(without_digits(F.col("text")), F.lit(" "), F.lit("")), "b": F.replace(without_digits(F.col("r_text")), F.lit(" "), F.lit(""))})
     edit = F.least(_edit_share(F.col("a"), F.col("b")), _edit_share(F.col("bones"), F.col("r_bones")) + 0.02)
     short = F.least(F.length("a"), F.length("b")) <= 3
     edit = F.when(_abbreviates(F.col("text"), F.col("r_text")), F.least(edit, F.lit(0.1))).otherwise(edit)
     c = c.withColumn("edit", edit).where(F.col("edit") <= F.when(short, 0.0).otherwise(max_edit_share))
-    best = F.min_by(F.struct("entry", "edit"), F.struct("edit", -F.col("jaccard"), "entry"))
-    return c.groupBy("id").agg(best.alias("b")).select("id", F.col("b.entry").alias("entry"), (1 - F.col("b.edit")).alias("score"))
+    best = F.min_by(F.struct("entry", "jaccard"), F.struct(-F.col("jaccard"), "edit", "entry"))
+    return c.groupBy("id").agg(best.alias("b")).select("id", F.col("b.entry").alias("entry"), F.col("b.jaccard").alias("score"))
 
 
 def _abbreviates(a: Column, b: Column) -> Column:

@@ -59,9 +59,10 @@ def p1_matched(spark: SparkSession, d: str) -> DataFrame:
     extra = syn.select(F.lit("0").alias("scope"), F.col("synonym").alias("name"), clean_guid(F.col("adm_guid")).alias("entry"))
     rows = _typed(spark, d).where(F.col("name").rlike(r"\S"))
     rows = join_dimension(rows, places.select("scope", "name").distinct(), ["scope", "name"], "left_anti", spread=F.col("src_id"))
-    rows = materialise(rows.withColumn("id", F.sha2(F.concat_ws("\u0001", "scope", "name"), 256)), "names")
-    names = map_names(rows.select("id", "scope", "name", "parents").distinct(), places.unionByName(extra).distinct())
-    return rows.join(names, "id", "left").drop("id")
+    rows = materialise(rows.withColumn("id", F.concat_ws("\u0001", "scope", "name")), "names")
+    names = materialise(map_names(rows.select("id", "scope", "name", "parents").distinct(), places.unionByName(extra).distinct()), "mapped")
+    # one spelling may hold a third of the rows
+    return join_dimension(rows, names, ["id"], "left", spread=F.col("src_id")).drop("id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,7 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The decision that gives each field of each group's survivor."""
-    w = survivors(_decisions(spark, d), ["level_key", "name_key"], "decision_id", FIELDS, "trust", "at", votes="lexicographic")
+    w = survivors(_decisions(spark, d), ["level_key", "name_key"], "decision_id", FIELDS, "trust", "at", votes="ranked")
     return w.select("group_id", "field_name", F.col("id").alias("decision_id"))
 
 
@@ -136,22 +137,36 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p5_found, p5_survivors, p8_ids, p9_containers, p9_fill, p10_found, p10_composition)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": r"""
-WITH c AS (SELECT *, lower(trim(level)) AS lk, nullif(regexp_replace(lower(strip_accents(name_to_match)), '[^\p{L}\p{N}]+', '', 'g'), '') AS nk,
+_DECISIONS = r"""
+c AS (SELECT *, lower(trim(level)) AS lk, nullif(regexp_replace(lower(strip_accents(name_to_match)), '[^\p{L}\p{N}]+', '', 'g'), '') AS nk,
     CASE WHEN regexp_full_match(created_time, '\d{9,10}') THEN to_timestamp(CAST(created_time AS BIGINT))
       WHEN regexp_matches(created_time, '(Z|[+-]\d\d:\d\d)$') THEN try_cast(created_time AS TIMESTAMPTZ)
       ELSE try_cast(created_time || 'Z' AS TIMESTAMPTZ) END AS made,
     coalesce((SELECT max(trust) FROM creator_trust t WHERE t.name_of_creator = geoname_cache.name_of_creator), 0) AS trust
   FROM geoname_cache),
 g AS (SELECT lk, nk, min(decision_id) AS group_id FROM c WHERE lk IS NOT NULL AND nk IS NOT NULL AND decision_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT decision_id) > 1),
-v AS (SELECT lk, nk, decision_id, made, trust, 'replacement' AS field_name, replacement AS value FROM c
+u AS (SELECT lk, nk, decision_id, made, trust, 'replacement' AS field_name, replacement AS value FROM c
   UNION ALL SELECT lk, nk, decision_id, made, trust, 'level0_prepped', level0_prepped FROM c
   UNION ALL SELECT lk, nk, decision_id, made, trust, 'level1_prepped', level1_prepped FROM c
   UNION ALL SELECT lk, nk, decision_id, made, trust, 'level2_prepped', level2_prepped FROM c),
-r AS (SELECT g.group_id, field_name, decision_id, row_number() OVER (PARTITION BY g.group_id, field_name ORDER BY trust DESC, made DESC NULLS LAST, decision_id) AS rn
-  FROM v JOIN g ON v.lk = g.lk AND v.nk = g.nk
-  WHERE value IS NOT NULL AND upper(trim(value)) NOT IN ('', 'NA', 'N/A', 'NULL', 'UNKNOWN', '-', '?'))
+v AS (SELECT g.group_id, u.* FROM u JOIN g ON u.lk = g.lk AND u.nk = g.nk WHERE value IS NOT NULL AND upper(trim(value)) NOT IN ('', 'NA', 'N/A', 'NULL', 'UNKNOWN', '-', '?'))
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": f"""
+WITH {_DECISIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, made DESC NULLS LAST, decision_id) AS rn FROM v)
 SELECT group_id, field_name, decision_id FROM r WHERE rn = 1""",
+        "p5_survivors": f"""
+WITH {_DECISIONS},
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name, decision_id ORDER BY trust DESC, made DESC NULLS LAST, value DESC) AS rn FROM v) WHERE rn = 1),
+w AS (SELECT *, (trust + 1) * coalesce(pow(2.0, -((SELECT floor(epoch(max(made))) FROM c) - floor(epoch(made))) / 86400.0 / 365.0), 0.0) AS weight,
+    regexp_replace(lower(strip_accents(value)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS nv FROM o),
+s AS (SELECT lk, nk, group_id, field_name, nv, round(sum(weight), 9) AS votes FROM w GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY votes DESC, nv) AS rn FROM s) WHERE rn = 1),
+x AS (SELECT b.lk, b.nk, b.group_id, b.field_name, w.value, row_number() OVER (PARTITION BY b.group_id, b.field_name ORDER BY w.weight DESC, w.decision_id) AS k
+  FROM b JOIN w ON w.group_id = b.group_id AND w.field_name = b.field_name AND w.nv = b.nv)
+SELECT lk AS level_key, nk AS name_key, group_id, max(value) FILTER (field_name = 'replacement') AS replacement, max(value) FILTER (field_name = 'level0_prepped') AS level0_prepped,
+  max(value) FILTER (field_name = 'level1_prepped') AS level1_prepped, max(value) FILTER (field_name = 'level2_prepped') AS level2_prepped FROM x WHERE k = 1 GROUP BY ALL""",
     }

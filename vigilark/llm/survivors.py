@@ -4,9 +4,9 @@ The fields of every record become long rows (group, field, value, vote). A vote
 decay with its age. Votes for the same normalised value add up, the value with the most votes wins the field, and the
 winners are pivoted back to one row per group.
 
-Where a rule asks for the best single record instead (highest trust, then latest, then smallest id), sums cannot express it:
-two sources of little trust would outvote a trusted one. `votes="lexicographic"` keeps the same plan and compares votes as
-(trust, time, -id) instead of adding them.
+Where a rule asks for the single best record (highest trust, then latest, then smallest id), votes="ranked" scales them: within a
+field of a group every vote below the best in trust, in time or in id is divided by more than twice the number of votes, so that all
+lesser votes together weigh less than the best one, and the same sums express the rule.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.text import name_key
+from vigilark.plans.joins import join_dimension
+from vigilark.session import materialise
 
 # Texts that stand for no value, in capitals.
 NO_VALUE = ("", "NA", "N/A", "NULL", "UNKNOWN", "-", "?")
@@ -52,34 +54,42 @@ def survivors(
     """(group..., group_id, field_name, value, id): the winner of every field of every group of two or more records.
 
     group_id is the smallest id of the group; id is the record that gives the value. Rows whose group columns or id are null
-    belong to no group. Rows with the same id are one record. A missing time is older than any other. votes="sum": each record
-    votes once for its normalised value (case, accents, spaces and punctuation ignored) with (trust + 1) * 2^(-age / half life),
-    age counted from the newest record of the table; of the records with the winning value the one with the largest vote, then the
-    smallest id gives its spelling; equal sums go to the smaller value. votes="lexicographic": the single best vote by
-    trust, time, smallest id wins. A field without any value gives no row.
-
-    Both kinds are map-side aggregations on (group, field[, value]): a group that holds a third of all rows is reduced before it
-    is shuffled.
+    belong to no group. Rows with the same id are one record, which has the value of its greatest (trust, time, value). A missing time is
+    older than any other. Each record votes once for its normalised value (case, accents, spaces and punctuation ignored):
+
+    - votes="sum": with (trust + 1) * 2^(-age / half life), age counted from the newest record of the table;
+    - votes="ranked": with 1, divided by 2 (n + 1), n the votes of the field, for each of: less trust than the best vote, an older time
+      than the best one's, another id than the best one's.
+
+    Of the records with the winning value the one with the largest vote, then the smallest id gives its spelling; equal sums go to the
+    smaller value. A field without any value gives no row.
+
+    The keys of the groups are made once and written. All steps are map-side aggregations on (group, field[, value]): a group that holds
+    a third of all rows is reduced before it is shuffled; the best votes go back to the votes by a join that is broadcast or salted.
     """
+    keys = [*group, "field_name"]
     known = df.where(" and ".join(f"`{g}` is not null" for g in (*group, id_col)))
+    known = materialise(known.select(*group, id_col, trust, time, *[f for f in fields if f not in (*group, id_col, trust, time)]), "decisions")
     groups = known.groupBy(*group).agg(F.min(id_col).alias("group_id"), F.max(id_col).alias("__last")).where("group_id <> __last").drop("__last")
     v = field_votes(known, group, id_col, fields, trust, time)
-    rank = F.struct(F.col("trust"), F.col("at").isNotNull().alias("known"), F.col("at"), (-F.col("id")).alias("first"))
-    keys = [*group, "field_name"]
-    if votes == "lexicographic":
-        won = v.groupBy(*keys).agg(F.max_by(F.struct("value", "id"), rank).alias("w"))
+    one = v.groupBy(*keys, "id").agg(F.max(F.struct("trust", "at", "value")).alias("x")).select(*keys, "id", "x.*")
+    if votes == "ranked":
+        best = F.max(F.struct(F.col("trust"), F.col("at"), (-F.col("id")).alias("first"))).alias("best")
+        tops = materialise(v.groupBy(*keys).agg(best, F.count("*").alias("n")), "best-votes")
+        one = join_dimension(one, tops, keys, "inner", spread=F.col("id"))
+        less = lambda worse: F.when(worse, 1 / (2 * (F.col("n") + 1.0))).otherwise(1.0)
+        weight = less(F.col("trust") < F.col("best.trust")) * less(~F.col("at").eqNullSafe(F.col("best.at"))) * less(-F.col("id") != F.col("best.first"))
     elif votes == "sum":
         newest = df.agg(F.max(time).alias("t")).first()["t"]
         age = (F.unix_seconds(F.lit(newest).cast("timestamp")) - F.unix_seconds("at")) / 86400.0 if newest is not None else F.lit(None).cast("double")
         weight = (F.col("trust") + 1) * F.coalesce(F.pow(F.lit(2.0), -age / half_life_days), F.lit(0.0))
-        one = v.groupBy(*keys, "id").agg(F.max(F.struct("trust", "at", "value")).alias("x")).select(*keys, "id", "x.*").withColumn("weight", weight)
-        same = one.groupBy(*keys, name_key(F.col("value")).alias("nv")).agg(
-            F.sum("weight").alias("votes"), F.max_by(F.struct("value", "id"), F.struct(F.col("weight"), (-F.col("id")).alias("first"))).alias("w")
-        )
-        # sums of doubles depend on their order in the last digits; rounding keeps ties ties
-        won = same.groupBy(*keys).agg(F.min_by("w", F.struct(-F.round("votes", 9), F.col("nv"))).alias("w"))
     else:
-        raise ValueError("votes is 'sum' or 'lexicographic'")
+        raise ValueError("votes is 'sum' or 'ranked'")
+    same = one.withColumn("weight", weight).groupBy(*keys, name_key(F.col("value")).alias("nv")).agg(
+        F.sum("weight").alias("votes"), F.max_by(F.struct("value", "id"), F.struct(F.col("weight"), (-F.col("id")).alias("first"))).alias("w")
+    )
+    # sums of doubles depend on their order in the last digits; rounding keeps ties ties
+    won = same.groupBy(*keys).agg(F.min_by("w", F.struct(-F.round("votes", 9), F.col("nv"))).alias("w"))
     return won.join(groups, list(group)).select(*group, "group_id", "field_name", F.col("w.value").alias("value"), F.col("w.id").alias("id"))
 
 
