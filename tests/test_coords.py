@@ -93,6 +93,74 @@ def test_near_centres(spark, limit):
     assert S.points_near_centres(p, "id", "lon", "lat", c.limit(0), "cid", "x", "y", 3.0, limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500_000, 50])
+def test_nearest_centres(spark, limit):
+    """Both forms against brute force: poles, date line, ties of two centres in one place, repeated and missing rows."""
+    rnd = random.Random(7)
+    spots = [(rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for _ in range(300)] + [(rnd.uniform(0, 1), rnd.uniform(0, 1)) for _ in range(200)]
+    centres = [(f"c{i}", x, y) for i, (x, y) in enumerate(spots)] + [("a twin", *spots[3]), ("nan", float("nan"), 1.0), (None, 0.0, 0.0), ("none", None, None)]
+    points = [(i, rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for i in range(150)] + [(200 + i, x, y) for i, (x, y) in enumerate([spots[3], (180.0, 0.0), (-180.0, 0.0), (0.0, 90.0), (5.0, -90.0), *spots[-9:]])]
+    p = spark.createDataFrame(points + points[:5] + [(900, None, 1.0), (None, 1.0, 1.0)], "id long, lon double, lat double").withColumn("reach", F.lit("clash"))
+    c = spark.createDataFrame(centres + centres[:9], "nm string, x double, y double")
+    got = {r.id: (r.nm, r.km) for r in S.nearest_centres(p, "id", "lon", "lat", c, "nm", "x", "y", limit).collect()}
+    assert set(got) == {i for i, _, _ in points}
+    for i, x, y in points:
+        km, name = min((round(hav(x, y, u, v), 9), n) for n, u, v in centres[:501])
+        assert got[i][0] == name and got[i][1] == pytest.approx(km, abs=1e-6)
+    assert S.nearest_centres(p, "id", "lon", "lat", c.limit(0), "nm", "x", "y", limit).count() == 0
+    assert S.nearest_centres(p.limit(0), "id", "lon", "lat", c, "nm", "x", "y", limit).count() == 0
+
+
+def test_many_centres_and_triangles(spark):
+    """60,000 centres give what the broadcast form gives, in cells that are split; so do 100,000 triangles, without a literal per cell."""
+    c = spark.range(60_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("nm"), ((F.hash("id") % 18000) / 100.0).cast("double").alias("x"), ((F.hash(F.col("id") + 7) % 9000) / 100.0).cast("double").alias("y"))
+    p = spark.range(500).select("id", ((F.hash(F.col("id") + 1) % 18000) / 100.0 + 0.003).alias("lon"), ((F.hash(F.col("id") + 2) % 8900) / 100.0 + 0.002).alias("lat"))
+    rows = lambda most: sorted(map(tuple, S.nearest_centres(p, "id", "lon", "lat", c, "nm", "x", "y", most).collect()))
+    assert rows(10_000) == rows(500_000) and len(rows(500_000)) == p.where("lon between -180 and 180").count()
+    ring = F.array(*[F.struct((F.col("x") + dx).alias("lon"), (F.col("y") + dy).alias("lat")) for dx, dy in ((0, 0), (0.3, 0), (0.3, 0.3), (0, 0.3))])
+    r = c.limit(50_000).where("x < 179 and y < 89").select(F.expr("cast(substring(nm, 2) as int)").alias("rid"), ring.alias("ring"))
+    cells = S.regions_of_points(p, "id", "lon", "lat", r, "rid", "ring", 1000)
+    assert len(cells._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, S.regions_of_points(p, "id", "lon", "lat", r, "rid", "ring").collect()))
+
+
+def test_bad_rings_are_reported(spark):
+    ring = lambda *p: [{"lon": float(x), "lat": float(y)} for x, y in p]
+    bow, square, big = ring((0, 0), (2, 2), (2, 0), (0, 2)), ring((5, 5), (6, 5), (6, 6), (5, 6)), ring((10, 10), (20, 10), (20, 20), (10, 20))
+    rows = [(1, bow, None), (2, square, []), (3, big, [ring((12, 12), (14, 12), (14, 14), (12, 14)), ring((15, 15), (16, 15), (15.5, 18))]), (4, big, [ring((30, 30), (31, 30), (31, 31))]), (5, ring((0, 0), (1, 1), (2, 2)), None)]
+    r = spark.createDataFrame(rows, "rid int, ring array<struct<lon double, lat double>>, holes array<array<struct<lon double, lat double>>>")
+    assert {x.rid for x in S.ring_problems(r, "rid", "ring", "holes").collect()} == {1, 4}
+    p = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.5, 5.5), (3, 11.0, 11.0), (4, 13.0, 13.0), (5, 12.0, 13.0), (6, 15.5, 16.0), (7, 19.0, 19.0)], "id int, lon double, lat double")
+    got = {x.id: x.rid for x in S.regions_of_points(p, "id", "lon", "lat", r, "rid", "ring", holes="holes", bad="skip").collect()}
+    assert got == {2: 2, 3: 3, 5: 3, 7: 3}
+    with pytest.raises(Exception, match="crosses itself|not inside"):
+        S.regions_of_points(p, "id", "lon", "lat", r, "rid", "ring", holes="holes").collect()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_polygons_with_holes(seed):
+    """Star-shaped rings of many corners with star-shaped holes: areas agree, and so does containment with crossing counts."""
+    rnd = random.Random(seed)
+    star = lambda x, y, r, n: [(x + r * q * math.cos(a), y + r * q * math.sin(a)) for a, q in ((2 * math.pi * (k + rnd.random() * 0.8) / n, rnd.uniform(0.6, 1)) for k in range(n))]
+    outer, holes = star(0, 0, 10, rnd.choice([8, 60, 400])), [star(x, y, 1.2, rnd.choice([3, 7, 40])) for x, y in rnd.sample([(-3, 0), (3, 0), (0, 3), (0, -3), (0, 0)], rnd.randint(0, 4))]
+    tri = S.ear_clip(outer, holes)
+    size = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])))
+    assert sum(S._cross(*t) for t in tri) == pytest.approx(size(outer) - sum(map(size, holes)))
+    for _ in range(200):
+        p = rnd.uniform(-10, 10), rnd.uniform(-10, 10)
+        want = S._inside(p, outer) and not any(S._inside(p, h) for h in holes)
+        assert any(all(S._cross(u, v, p) >= 0 for u, v in zip(t, t[1:] + t[:1])) for t in tri) == want
+
+
+def test_land_water_regions(spark):
+    at = lambda *p: [{"lon": float(x), "lat": float(y)} for x, y in p]
+    land = spark.createDataFrame([(at((0, 0), (10, 0), (10, 10), (0, 10)), [at((1, 1), (2, 1), (2, 2), (1, 2))])], "ring array<struct<lon double, lat double>>, holes array<array<struct<lon double, lat double>>>")
+    lakes = spark.createDataFrame([(at((4, 4), (6, 4), (6, 6), (4, 6)),)], "ring array<struct<lon double, lat double>>")
+    df = spark.createDataFrame([(0, "5", "5"), (1, "3", "3"), (2, "20", "20"), (3, None, "1"), (4, "x", "1"), (5, "1.5", "1.5"), (6, "3", "3"), (7, "500", "3")], "n int, lon string, lat string")
+    got = {r.n: r.on_water for r in C.check_coords(df, "lat", "lon", ["on_water"], land=land, lakes=lakes).collect()}
+    assert got == {0: "Inland water", 1: "Land", 2: "Ocean", 3: None, 4: None, 5: "Ocean", 6: "Land", 7: None}
+
+
 def test_ear_clip():
     area = lambda t: abs((t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) - (t[2][0] - t[0][0]) * (t[1][1] - t[0][1])) / 2
     star = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.fmt import big_mark, decimal_places
 from vigilark.functions.geo import distance_m, in_rings
-from vigilark.operators.spatial import distance_km
-from vigilark.plans.joins import fits, join_dimension
+from vigilark.operators.spatial import BROADCAST_CENTRES, nearest_centres, regions_of_points
+from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
 
 CHECKS = ("missing", "parse", "out_of_bounds", "precision", "null_coords", "flip", "on_water")
@@ -44,7 +44,7 @@ def with_centre(df: DataFrame, dim: DataFrame, key: str, dim_key: str, lat: str,
     centre = F.min(F.struct(F.col(f"`{dim_lat}`").alias("la"), F.col(f"`{dim_lon}`").alias("lo"))).alias("__c")
     d = dim.where(F.col(f"`{dim_key}`").isNotNull()).groupBy(clean_guid(F.col(f"`{dim_key}`").cast("string")).alias(key)).agg(centre)
     left = df.drop(*[c for c in (dim_lat, dim_lon) if c in df.columns]).withColumn(key, clean_guid(F.col(f"`{key}`").cast("string")))
-    j = join_dimension(left, d, [key], "left", spread=F.col(f"`{lat}`"))
+    j = join_dimension(left, d, [key], "left", spread=F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]))
     return j.withColumns({dim_lat: F.col("__c.la"), dim_lon: F.col("__c.lo")}).drop("__c")
 
 
@@ -90,16 +90,37 @@ def land_water(lon: Column, lat: Column, land: Rings, lakes: Rings) -> Column:
     return F.when(lon.isNull() | lat.isNull(), None).when(on_land & ~in_lake, "Land").when(on_land, "Inland water").otherwise("Ocean")
 
 
+def with_land_water(df: DataFrame, lon: str, lat: str, land: DataFrame, lakes: DataFrame | None, out: str = "on_water") -> DataFrame:
+    """df with Land, Inland water or Ocean by tables of regions (`ring` and perhaps `holes`, see spatial.regions_of_points); null without
+    readable coordinates. Borders belong to the region. Each distinct place is looked up once."""
+    la, lo = as_number(df, lat), as_number(df, lon)
+    valid = la.between(-90, 90) & lo.between(-180, 180)
+    d = df.withColumns({"__x": lo, "__y": la, "__k": F.when(valid, F.concat_ws(",", lo.cast("string"), la.cast("string")))})
+    p = d.where("__k is not null").select("__k", "__x", "__y").distinct()
+
+    def hits(regions: DataFrame, name: str) -> DataFrame:
+        r = regions.withColumn("__r", F.lit(1))
+        return regions_of_points(p, "__k", "__x", "__y", r, "__r", "ring", holes="holes" if "holes" in r.columns else None).withColumnRenamed("__r", name)
+
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    d = join_dimension(d, hits(land, "__land"), ["__k"], "left", spread=spread)
+    d = join_dimension(d, hits(lakes, "__lake"), ["__k"], "left", spread=spread) if lakes is not None else d.withColumn("__lake", F.lit(None).cast("int"))
+    place = F.when(F.col("__land").isNull(), "Ocean").when(F.col("__lake").isNull(), "Land").otherwise("Inland water")
+    return d.withColumn(out, F.when(F.col("__k").isNotNull(), place)).drop("__x", "__y", "__k", "__land", "__lake")
+
+
 def check_coords(
     df: DataFrame, lat: str, lon: str, checks: Sequence[str] = CHECKS, dim: DataFrame | None = None, key: str | None = None,
-    dim_key: str | None = None, dim_lat: str | None = None, dim_lon: str | None = None, land: Rings | None = None, lakes: Rings | None = None,
+    dim_key: str | None = None, dim_lat: str | None = None, dim_lon: str | None = None,
+    land: Rings | DataFrame | None = None, lakes: Rings | DataFrame | None = None,
     min_precision: int = 4, strict_parity: bool = False,
 ) -> DataFrame:
     """df with one column per check, in one projection (and one join for "flip").
 
     missing_coords: either coordinate is null or blank before it is read as a number. parse_failed: a coordinate is there but no number.
     out_of_bounds: outside -90..90 or -180..180. lat_precision, lon_precision, low_precision: digits after the point. null_count:
-    both are 0. potentially_flipped and companions: see flip_columns. on_water: Land, Inland water or Ocean. strict_parity=True
+    both are 0. potentially_flipped and companions: see flip_columns. on_water: Land, Inland water or Ocean; land and lakes are a few
+    small rings, or tables of regions (with_land_water). strict_parity=True
     gives parse_failed its odd meaning in the reference results: true for missing rows, null for values out of bounds.
     "flip" needs dim and keys, "on_water" needs land; without them these checks are left out. Input columns whose names clash with a
     result column are replaced.
@@ -134,9 +155,10 @@ def check_coords(
         new["null_count"] = F.coalesce((la == 0) & (lo == 0), F.lit(False))
     if "flip" in checks:
         new |= flip_columns(la, lo, F.col(f"`{dim_lat}`"), F.col(f"`{dim_lon}`"))
-    if "on_water" in checks:
+    if "on_water" in checks and not isinstance(land, DataFrame):
         new["on_water"] = F.when(~out, land_water(lo, la, land, lakes or []))
-    return j.withColumns(new).drop("__la", "__lo")
+    j = j.withColumns(new).drop("__la", "__lo")
+    return with_land_water(j, lon, lat, land, lakes) if "on_water" in checks and isinstance(land, DataFrame) else j
 
 
 def summarise_coords(flags: DataFrame, by: Sequence[str] = (), headings: bool = True, as_text: bool = True) -> DataFrame:
@@ -150,36 +172,11 @@ def summarise_coords(flags: DataFrame, by: Sequence[str] = (), headings: bool =
     return s.select(*by, *cols)
 
 
-def find_nearest(points: DataFrame, point_id: str, lon: str, lat: str, dim: DataFrame, level: str = "adm2", max_rows: int = 50_000) -> DataFrame:
+def find_nearest(points: DataFrame, point_id: str, lon: str, lat: str, dim: DataFrame, level: str = "adm2", max_centres: int = BROADCAST_CENTRES) -> DataFrame:
     """(point_id, adm, km): the current unit (ENDDATE after 9900) whose centre is nearest on the sphere; ties go to the smaller
-    name. Points without coordinates have no row.
-
-    The centres are counted. Up to max_rows they are broadcast in cells of ten degrees; a point first meets the centres of its own and
-    the neighbouring cells, and only points that found nothing there, or nothing nearer than the border of these cells, meet all
-    centres as a stated set of queries.
-    """
+    name. Points without coordinates have no row. Any number of centres, see spatial.nearest_centres."""
     if level not in ("adm0", "adm1", "adm2"):
         raise ValueError("level is adm0, adm1 or adm2")
-    if not fits(dim, max_rows):
-        raise ValueError(f"more than {max_rows} centres")
-    name = f"{level.upper()}_NAME"
-    c = dim.where((F.col("ENDDATE").cast("timestamp_ntz") > F.lit("9900-12-31").cast("timestamp_ntz")) & F.col("CENTER_LON").isNotNull() & F.col("CENTER_LAT").isNotNull())
-    c = c.select(F.col(name).alias("adm"), F.col("CENTER_LON").alias("cx"), F.col("CENTER_LAT").alias("cy")).distinct()
-    p = points.select(F.col(point_id), F.col(lon).alias("x"), F.col(lat).alias("y")).where(F.col("x").between(-180, 180) & F.col("y").between(-90, 90))
-    size = 10.0
-    gx, gy = F.floor((F.col("cx") + 180) / size), F.floor((F.col("cy") + 90) / size)
-    n = int(360 / size)
-    near = F.explode(F.array(*[F.struct(F.pmod(gx + i, F.lit(n)).alias("gx"), (gy + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("g")
-    cells = c.select("adm", "cx", "cy", near).select("adm", "cx", "cy", "g.gx", "g.gy")
-    km = distance_km(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    best = F.min(F.struct(km.alias("km"), "adm")).alias("b")
-    q = p.withColumns({"gx": F.pmod(F.floor((F.col("x") + 180) / size), F.lit(n)), "gy": F.floor((F.col("y") + 90) / size)})
-    first = q.join(F.broadcast(cells), ["gx", "gy"], "left").groupBy(point_id, "x", "y").agg(best)
-    # within one cell size the neighbours hold the nearest centre for sure; a degree of longitude shrinks towards the poles
-    border = F.least(F.lit(110.5 * size), F.lit(110.5 * size) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("y") + size))))
-    sure = F.col("b.km").isNotNull() & (F.col("b.km") <= border)
-    found = first.where(sure).select(point_id, F.col("b.adm").alias("adm"), F.col("b.km").alias("km"))
-    rest = first.where(~sure).select(point_id, "x", "y").join(F.broadcast(c.groupBy().agg(F.collect_set(F.struct("adm", "cx", "cy")).alias("all"))))
-    dist = lambda s: F.struct(distance_km(F.col("x"), F.col("y"), s["cx"], s["cy"]).alias("km"), s["adm"].alias("adm"))
-    far = rest.select(point_id, F.array_min(F.transform("all", dist)).alias("b")).where("b.adm is not null").select(point_id, F.col("b.adm").alias("adm"), F.col("b.km").alias("km"))
-    return found.unionByName(far)
+    c = dim.where(F.col("ENDDATE").cast("timestamp_ntz") > F.lit("9900-12-31").cast("timestamp_ntz"))
+    c = c.select(F.col(f"{level.upper()}_NAME").alias("adm"), "CENTER_LON", "CENTER_LAT")
+    return nearest_centres(points, point_id, lon, lat, c, "adm", "CENTER_LON", "CENTER_LAT", max_centres)

@@ -219,6 +219,19 @@ def land_water(spark: SparkSession, d: str) -> DataFrame:
     return t.select("_id", "date_last_updated", coords.land_water(F.col("longitude"), F.col("latitude"), LAND, LAKES).alias("place"))
 
 
+@query("""SELECT _id, date_last_updated, CASE WHEN latitude IS NULL OR longitude IS NULL OR NOT (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) THEN NULL
+  WHEN NOT (latitude BETWEEN -60 AND 60 AND longitude BETWEEN -170 AND 170) OR (latitude > 25 AND latitude < 30 AND longitude > 10 AND longitude < 20) THEN 'Ocean'
+  WHEN latitude BETWEEN 0 AND 20 AND longitude BETWEEN 0 AND 40 THEN 'Inland water' ELSE 'Land' END AS on_water FROM ona_visits""")
+def land_water_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Land and lakes as tables of regions, the land with a hole; borders belong to the region."""
+    ring = lambda x0, y0, x1, y1: [(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    kind = "ring array<struct<lon double, lat double>>, holes array<array<struct<lon double, lat double>>>"
+    land = spark.createDataFrame([(ring(-170, -60, 170, 60), [ring(10, 25, 20, 30)])], kind)
+    lakes = spark.createDataFrame([(ring(0, 0, 40, 20), None)], kind)
+    t = table(spark, d, "ona_visits").select("_id", "date_last_updated", "longitude", "latitude")
+    return coords.with_land_water(t, "longitude", "latitude", land, lakes).select("_id", "date_last_updated", "on_water")
+
+
 _CHECK_SQL = f"""c AS (SELECT *, latitude IS NULL OR longitude IS NULL AS mis, coalesce(abs(latitude) > 90 OR abs(longitude) > 180, false) AS oob FROM ona_visits),
 k AS (SELECT form_id_num, _id, date_last_updated, mis AS missing_coords, oob AS out_of_bounds, coalesce(latitude = 0 AND longitude = 0, false) AS null_count,
   CASE WHEN NOT oob THEN {_WATER_SQL} END AS on_water FROM c)"""
