@@ -211,33 +211,65 @@ def test_profile_and_findings(spark):
     assert P.column_profile(counts).count() == 6
 
 
+def induced(spark, rows):
+    """{(column, value): expression or None if the value does not conform} by matched_values."""
+    df = spark.createDataFrame(rows, "column_name string, value string, n long").groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    got = P.matched_values(df.select(F.lit(1).alias("load"), "column_name", "value", "n")).collect()
+    return {(r.column_name, r.value): r.expression if r.conforming else None for r in got}
+
+
 def test_induced_expressions(spark):
-    values = [f"AB-{i:03d}" for i in range(200)] + [f"w{'x' * (i % 7)}y" for i in range(30)] + ["?!x 9Z~~a1B2"]
-    df = spark.createDataFrame([("c", v, 1) for v in dict.fromkeys(values)], "column_name string, value string, n long")
-    got = P.induce_expressions(df).collect()
-    expr = {r.expression for r in got if r.conforming}
-    assert r"^\p{Lu}{2}[\p{P}\p{S}]\p{N}{3}$" in expr and r"^\p{Ll}+$" in expr
-    assert all(r.n_rows == r.n_values for r in got) and sum(r.n_values for r in got) == len(set(values))
-    ascii_form = {r"\p{Lu}": "[A-Z]", r"\p{Ll}": "[a-z]", r"\p{N}": "[0-9]", r"[\p{P}\p{S}]": r"[^\w\s]"}
-    for r in got:  # every expression holds its own values
-        e = r.expression
-        for a, b in ascii_form.items():
-            e = e.replace(a, b)
-        assert any(re.match(e, v) for v in values)
-    assert P.induce_expressions(df.limit(0)).count() == 0
+    values = [f"AB-{i:03d}" for i in range(1000)] + [f"{i:06d}:{'x' if i % 2 else 'y'}" for i in range(900)] + [f"{i:06d}" for i in range(500)] + ["?!x 9Z~~a1B2"]
+    got = induced(spark, [("c", v, 1) for v in values])
+    assert got["c", "AB-007"] == r"^AB\-\p{N}{3}$"
+    assert got["c", "000007:x"] == got["c", "000008"] == r"^\p{N}{6}(?::(?:x|y))?$"  # alternatives in an optional tail
+    assert got["c", "?!x 9Z~~a1B2"] is None
+    codes = induced(spark, [("c", v, n) for v, n in (("Done", 900), ("Planned", 800), ("Cancelled", 700), ("Dnoe", 1), ("A+B (x)", 500))])
+    assert codes["c", "Done"] == codes["c", "Planned"] == "^(?:Cancelled|Done|Planned)$" and codes["c", "Dnoe"] is None and codes["c", "A+B (x)"]
+    assert P.induce_expressions(spark.createDataFrame([], "column_name string, value string, n long")).count() == 0
+
+
+def test_expressions_match_what_conforms(spark):
+    """In every script, with marks, private-use, control and supplementary characters: what conforms is matched, by Java's rules and by regex's."""
+    import regex
+
+    rnd = random.Random(11)
+    words = ["東京", "大阪", "京都", "Москва", "Αθήνα", "서울", "القاهرة", "दिल्ली", "กรุงเทพ", "ÅNGSTRÖM", "e\u0301te\u0301", "a\ue001b", "\ue003", "x\u0001y", "😀😀", "１２３", "٣٤", "𝔸b", "ǅ", "[a]", "a{2}", "^$", "\\Q", "&&", "a-z", "\u200b", "₤5", "\n z"]
+    rows = [("w", w * rnd.randint(1, 3), rnd.choice([1, 5, 400])) for w in words for _ in range(8)]
+    rows += [("p", f"{rnd.choice(words)}{rnd.choice('-/ .')}{rnd.randint(0, 9999)}", 3) for _ in range(600)] + [("k", w, 50) for w in ("東京", "大阪", "京都")]
+    got = induced(spark, rows)
+    assert got["k", "東京"] and got["k", "東京"] == got["k", "京都"]
+    for (c, v), e in got.items():
+        if e:
+            e = e.replace(r"[\p{L}\p{M}&&[^\p{Lu}]]", r"[[\p{L}\p{M}]--[\p{Lu}]]")
+            assert regex.search("(?V1)" + e[:-1] + r"\Z", v), (c, v, e)
+    assert sum(e is not None for e in got.values()) > len(got) / 2
+    # by signature alone: what the groups' expressions say holds before anything is matched
+    df = spark.createDataFrame(rows, "column_name string, value string, n long").groupBy("column_name", "value").agg(F.sum("n").alias("n")).withColumn("sig", P.signature(F.col("value")))
+    j = df.join(P.induce_expressions(df), ["column_name", "sig"]).where("conforming and expression not like '%(?:%'")
+    assert j.where(~F.expr("value rlike expression")).count() == 0 and j.count() > 0
 
 
 def test_rare_odd_values_are_nonconforming(spark):
     """Letters, digits and punctuation too: an odd value among thousands of regular ones is no expression of its own."""
     rows = [("c", f"{chr(65 + i % 26)}{chr(65 + i % 7)}-{i:05d}", 1) for i in range(5000)] + [("c", v, n) for v, n in (("#REF!", 1), ("99", 1), ("xxx", 1), ("n/a", 1))] + [("c", "AB-00000", 2000)]
     rows += [("w", "".join(chr(97 + (i * k) % 26) for k in range(1, 4 + i % 9)), 2) for i in range(1, 2000)] + [("w", "?!x 9Z~~a1B2", 1)]
-    df = spark.createDataFrame(rows, "column_name string, value string, n long").groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    got = P.induce_expressions(df).groupBy("column_name", "conforming").agg(F.sum("n_rows").alias("n"), F.count_distinct("expression").alias("e")).collect()
-    assert {(r.column_name, r.conforming): r.n for r in got} == {("c", True): 7000, ("c", False): 4, ("w", True): 3998, ("w", False): 1}
+    got = induced(spark, rows)
+    assert {v for (c, v), e in got.items() if e is None} == {"#REF!", "99", "xxx", "n/a", "?!x 9Z~~a1B2"}
     loads = spark.createDataFrame([(1, v) for _, v, n in rows[:5005] for _ in range(n)], "load int, c string")
     assert P.column_profile(P.value_counts(loads, "load", ["c"])).first().n_nonconforming == 4
 
 
+def test_findings_without_rules(spark):
+    """A column without a pattern is held to its own expressions, and a load that is spread differently over them is found."""
+    rows = [(1, f"K{i:04d}") for i in range(3000)] + [(2, f"K{i:04d}") for i in range(2000)] + [(2, f"{i:03d}/B") for i in range(1000)]
+    rows += [(3, f"K{i:04d}") for i in range(400)] + [(3, "".join(rnd)) for rnd in (random.Random(k).sample("aB9?! -_/xZ", 8) for k in range(60))]
+    rules = spark.createDataFrame([], "column_name string, categorical boolean, pattern string, min_value double, max_value double, max_bad_share double, max_null_step double, max_distance double, max_distinct_ratio double")
+    p = P.column_profile(P.value_counts(spark.createDataFrame(rows, "load int, c string"), "load", ["c"]), rules)
+    found = {(r.load, r.finding) for r in P.profile_findings(p, rules, 0.1, 0.25).collect()}
+    assert found == {(2, "coverage"), (3, "pattern"), (3, "coverage")} and P.profile_findings(p, rules).count() == 0
+
+
 def test_columns_without_rules_are_profiled(spark, tmp_path):
     from vigilark.queries import problems
 
@@ -247,6 +279,7 @@ def test_columns_without_rules_are_profiled(spark, tmp_path):
     rules.write.parquet(f"{tmp_path}/column_rules.parquet")
     got = {(r.load_no, r.column_name): (r.n_rows, r.n_null, r.n_distinct) for r in problems.p6_profile(spark, str(tmp_path)).collect()}
     assert {c for _, c in got} == {"ActivityId", "office_code", "TargetPopulation"} and got[1, "office_code"] == (2, 1, 1) and got[2, "ActivityId"] == (1, 0, 1)
+    assert {(r.load_no, r.column_name, r.n_rows) for r in problems.p6_coverage(spark, str(tmp_path)).collect()} == {(n, c, 3 - n) for n in (1, 2) for c in sia.columns if c != "LoadNo"}
     assert {r.column_name for r in problems.p6_expressions(spark, str(tmp_path)).collect()} == {"ActivityId", "office_code", "TargetPopulation"}
     assert {tuple(r) for r in problems.p6_found(spark, str(tmp_path)).collect()} == {(1, "TargetPopulation", "range")}
 

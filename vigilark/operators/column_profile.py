@@ -1,4 +1,9 @@
-"""Column profiles by load: counts, induced expressions, rule findings."""
+"""Column profiles by load: counts, induced expressions, rule findings.
+
+Values are counted per load and column. All distinct values of a column together induce regular expressions by minimum description length;
+every value is then matched against the expression of its kind, and rows are counted per load, column and expression. This small
+table of coverage carries everything else: standard aggregates, rows that break a rule or no expression holds, and what changed between loads.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.plans.joins import join_dimension
-from vigilark.session import materialise
-
-#: Classes of characters, and bits of one element of an expression: its class, and whether its count is given.
-CLASSES = "Aa9spx"
+from vigilark.session import collect_bounded, materialise
+
+#: Kinds of runs with their expressions: upper-case letters, other letters and marks, digits, spaces, punctuation, anything else. In
+#: signatures a run is one sign of the private use area; punctuation stands for itself.
+CLASSES = {"A": r"\p{Lu}", "a": r"[\p{L}\p{M}&&[^\p{Lu}]]", "9": r"\p{N}", "s": r"\s", "x": r"[^\p{L}\p{M}\p{N}\s\p{P}\p{S}]"}
+SIGNS = {k: chr(0xE001 + i) for i, k in enumerate(CLASSES)}
+_RUN = "(" + "|".join(f"{c}+" for c in CLASSES.values()) + r"|[\p{P}\p{S}])"
+#: Bits of one element of an expression: its kind, and whether its length varies.
 ELEMENT_BITS = log2(len(CLASSES)) + 1
+#: Texts an element may offer as alternatives, and values an expression may list. More are described by their kind.
+MAX_ALTERNATIVES, MAX_LISTED = 16, 64
+#: Columns of a table.
+MAX_COLUMNS = 10_000
 
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
@@ -31,118 +44,208 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(r"^\s*$")
 
 
-def _classes(c: Column) -> Column:
-    """Every character by its class: A upper, a lower, 9 digit, s space, p punctuation, x other."""
-    out = F.regexp_replace(c, r"\s", "\u0001")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\u0001\p{P}\p{S}]", "\u0002")
-    out = F.regexp_replace(out, r"[\p{P}\p{S}]", "\u0003")
-    out = F.regexp_replace(out, r"\p{N}", "9")
-    out = F.regexp_replace(out, r"\p{Lu}", "A")
-    out = F.regexp_replace(out, r"[\p{L}&&[^A]]", "a")
-    return F.translate(out, "\u0001\u0002\u0003", "sxp")
-
+def signature(c: Column) -> Column:
+    """The kinds of runs of a text in their order, punctuation as it is. Whole numbers, which fill most of large tables, need no search."""
+    out = F.regexp_replace(c, "[" + "".join(SIGNS.values()) + "]", SIGNS["x"])
+    for k in ("A", "a", "9", "s"):
+        out = F.regexp_replace(out, CLASSES[k] + "+", SIGNS[k])
+    out = F.regexp_replace(out, r"[^\p{P}\p{S}" + "".join(v for k, v in SIGNS.items() if k != "x") + "]+", SIGNS["x"])
+    return F.when(c.try_cast("long").cast("string") == c, F.when(F.startswith(c, F.lit("-")), "-" + SIGNS["9"]).otherwise(SIGNS["9"])).otherwise(out)
 
-def _runs(shape: Column) -> Column:
-    """Runs of one class each: AAaa9 -> [AA, aa, 9]."""
-    return F.regexp_extract_all(shape, F.lit(r"(A+|a+|9+|s+|p+|x+)"), F.lit(1))
 
+def _quoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}&\-])", r"\\$1")
 
-def _expression(parts: Column, exact: bool) -> Column:
-    """The regular expression of an array of runs."""
 
-    def one(r: Column) -> Column:
-        k = F.substring(r, 1, 1)
-        cls = (
-            F.when(k == "A", r"\p{Lu}").when(k == "a", r"\p{Ll}").when(k == "9", r"\p{N}")
-            .when(k == "s", r"\s").when(k == "p", r"[\p{P}\p{S}]").otherwise(".")
-        )
-        n = F.length(r)
-        return F.concat(cls, F.when(n == 1, "").otherwise(F.concat(F.lit("{"), n.cast("string"), F.lit("}")))) if exact else F.concat(cls, F.lit("+"))
+def _gamma(n: Column) -> Column:
+    """Bits of a number from 0 on, in Elias' gamma code."""
+    return 2 * F.length(F.bin(n + 1)) - 1
 
-    return F.concat(F.lit("^"), F.array_join(F.transform(parts, one), ""), F.lit("$"))
 
+def _alphabets(values: DataFrame) -> DataFrame:
+    """(column_name, all_rows, alphabet, of_0 ...): rows and distinct characters of each column, all of them and by kind; one row per column."""
+    chars = values.select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c")).distinct()
+    per = chars.groupBy("column_name").agg(F.count("*").alias("alphabet"), *[F.count_if(F.col("c").rlike(f"^{e}")).alias(f"of_{i}") for i, e in enumerate(CLASSES.values())])
+    return materialise(per.join(values.groupBy("column_name").agg(F.sum("n").alias("all_rows")), "column_name"), "alphabets")
 
-def _data_bits(shape: Column) -> Column:
-    """Bits to write a value when its shape is known: each character among those that its column has of its class."""
-    total = F.lit(0.0)
-    for i, k in enumerate(CLASSES):
-        total = total + F.log2(F.greatest(F.col(f"of_{i}"), F.lit(1))) * (F.length(shape) - F.length(F.replace(shape, F.lit(k), F.lit(""))))
-    return total
 
+def induce_expressions(values: DataFrame) -> DataFrame:
+    """(column_name, sig, expression, conforming): regular expressions per column by minimum description length over all values.
 
-def _length_bits(runs: Column) -> Column:
-    """Bits of the lengths of runs, each in Elias' gamma code."""
-    return F.aggregate(runs, F.lit(0), lambda a, r: a + 2 * F.length(F.bin(F.length(r))) - 1)
+    values has (column_name, value, n) and perhaps `sig` (see signature), blank values left out, one row per distinct value. Values
+    of one signature are one group; its expression is the cheapest of
 
+    - a list of its values, at most MAX_LISTED, of which those are listed that cost less so than as exceptions;
+    - its elements one after the other: a text that never varies, at most MAX_ALTERNATIVES alternatives, a kind of characters of one
+      length or of a range of lengths. A tail that only some values have becomes optional where two groups agree in what is before it.
 
-def induce_expressions(counts: DataFrame) -> DataFrame:
-    """Regular expressions per column by minimum description length over all values.
+    Every row's value is written, so that a code list of few but frequent values is as regular as many different ones, either
 
-    counts has (column_name, value, n), blank values left out. Every distinct value belongs to a coarse expression (runs of
-    classes, any length) and within it to an exact one (runs with their lengths). Every row's value is written, so that a code
-    list of few but frequent values is as regular as many different ones, either
-
-    - by an expression: the log2 of one over the expression's share of the rows (its choice), the run lengths if the
-      expression is coarse, and each character among those the column has of that class; the expression itself costs its
-      elements, their lengths if exact, and its number of rows (the log2 of all rows); or
+    - by an expression: the log2 of one over the expression's share of the rows (its choice), then of each element what varies: which of
+      the alternatives, the length, each character among those the column has of that kind. The expression itself costs its
+      characters in the column's alphabet, its kinds and lengths, and its number of rows (the log2 of all rows); or
     - as an exception: the log2 of one over the share of all exceptions, then its characters in the column's own
       alphabet with a sign for the end.
 
-    Of each coarse expression and its exact ones the cheaper form is a candidate. Candidates are ordered by the bits a value
-    saves, in quarters of a bit, and the beginning of this order with the least total length is induced; the rows of the rest
-    are nonconforming. Where no expression pays, as in a column of very few rows, nothing is induced and all are.
-
-    Returns (column_name, coarse, shape, expression, conforming, n_values, n_rows): one row per shape with the
-    expression chosen for it. Nothing is collected; a column has at most 513 steps of that order. No values give no rows.
+    Groups are ordered by the bits a value saves, in quarters of a bit, and the beginning of this order with the least total length
+    conforms. Where no expression pays, as in a column of very few rows, none does. The expression of a conforming group matches each of
+    its values but those left off a list. Nothing is collected; a column has at most 513 steps of that order. No values give no rows.
     """
-    shapes = counts.select("column_name", "value", "n", _classes(F.col("value")).alias("shape")).groupBy("column_name", "shape").agg(
-        F.count("*").alias("n_values"), F.sum("n").alias("n_rows")
-    )
-    shapes = materialise(shapes, "shapes")
-    letters = counts.select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c")).distinct().withColumn("k", _classes(F.col("c")))
-    letters = letters.groupBy("column_name").agg(F.count("*").alias("alphabet"), *[F.count_if(F.col("k") == k).alias(f"of_{i}") for i, k in enumerate(CLASSES)])
-    totals = shapes.groupBy("column_name").agg(F.sum("n_rows").alias("all_rows"))
-    per_column = materialise(letters.join(totals, "column_name"), "alphabets")  # one row per column of the table
-    choice = lambda rows: F.log2(F.col("all_rows") / rows)
-    s = (
-        shapes.join(F.broadcast(per_column), "column_name")
-        .withColumn("runs", _runs(F.col("shape")))
-        .withColumn("coarse", _expression(F.col("runs"), False))
-        .withColumn("exact", _expression(F.col("runs"), True))
-        .withColumn("elements", ELEMENT_BITS * F.size("runs") + F.log2(F.col("all_rows") + 1))
-        .withColumn("lengths", _length_bits(F.col("runs")))
-        .withColumn("data", _data_bits(F.col("shape")) * F.col("n_rows"))
-        .withColumn("raw", (F.length("shape") + 1) * F.log2(F.col("alphabet") + 1) * F.col("n_rows"))
-        .withColumn("exact_bits", F.col("elements") + F.col("lengths") + F.col("data") + F.col("n_rows") * choice(F.col("n_rows")))
-    )
-    g = s.groupBy("column_name", "coarse").agg(
-        F.count("*").alias("g_shapes"),
-        F.sum("n_rows").alias("g_rows"),
-        F.sum("raw").alias("g_raw"),
-        F.sum("exact_bits").alias("g_exact"),
-        (F.max("elements") + F.sum(F.col("data") + F.col("n_rows") * F.col("lengths")) + F.sum("n_rows") * F.log2(F.max("all_rows") / F.sum("n_rows"))).alias("g_coarse"),
-    )
-    j = s.join(g, ["column_name", "coarse"])
+    if "sig" not in values.columns:
+        values = values.withColumn("sig", signature(F.col("value")))
+    values = values.select("column_name", "value", "n", "sig")
+    per_column = _alphabets(values)  # one row per column of the table
+    v = materialise(values.withColumn("runs", F.regexp_extract_all("value", F.lit(_RUN), F.lit(1))), "distinct-values")
+    letter = F.log2(F.col("alphabet") + 1)  # bits of a character written out
+    key = ["column_name", "sig"]
+
+    # groups, and what they cost as exceptions
+    groups = v.groupBy(*key).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), F.sum(F.col("n") * (F.length("value") + 1)).alias("signs"))
+    groups = materialise(groups, "signatures")
+
+    # elements: one row per group and place
+    e = v.select(*key, "n", F.posexplode("runs").alias("place", "text"))
+    e = e.groupBy(*key, "place").agg(
+        F.min("text").alias("first"), F.max("text").alias("last"), F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"),
+        F.sum(F.col("n") * F.length("text")).alias("chars"), F.sum("n").alias("rows"), F.approx_count_distinct("text", 0.1).alias("about"),
+    )
+    e = materialise(e, "elements")
+    some = e.where((F.col("first") != F.col("last")) & (F.col("about") <= 2 * MAX_ALTERNATIVES)).select(*key, "place")
+    t = join_dimension(v.select(*key, "value", "n", F.posexplode("runs").alias("place", "text")), some, [*key, "place"], "left_semi", spread=F.col("value"))
+    t = t.groupBy(*key, "place", "text").agg(F.sum("n").alias("n")).groupBy(*key, "place").agg(
+        F.count("*").alias("k"), F.sum(F.length("text") + 1).alias("written"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), F.array_sort(F.collect_list("text")).alias("texts"),
+    )  # at most about 2 MAX_ALTERNATIVES texts each
+    t = t.where(F.col("k") <= MAX_ALTERNATIVES)
+    e = join_dimension(e, t, [*key, "place"], "left", spread=F.col("place")).join(F.broadcast(per_column), "column_name")
+    kind = F.substring("sig", F.col("place") + 1, F.lit(1))
+    size = F.lit(1.0)
+    cls = F.lit("")
+    for i, (k, x) in enumerate(CLASSES.items()):
+        size, cls = F.when(kind == SIGNS[k], F.greatest(F.col(f"of_{i}"), F.lit(1)).cast("double")).otherwise(size), F.when(kind == SIGNS[k], x).otherwise(cls)
+    number = lambda c: F.col(c).cast("string")
+    span = F.when(F.col("low") == F.col("high"), F.when(F.col("low") == 1, "").otherwise(F.concat(F.lit("{"), number("low"), F.lit("}")))).otherwise(F.concat(F.lit("{"), number("low"), F.lit(","), number("high"), F.lit("}")))
+    by_kind = ELEMENT_BITS + _gamma(F.col("low")) + _gamma(F.col("high") - F.col("low")) + F.col("rows") * F.log2(F.col("high") - F.col("low") + 1) + F.col("chars") * F.log2(size)
+    by_text = F.when(F.col("texts").isNotNull(), 1 + F.col("written") * letter + F.col("rows") * F.log2("rows") - F.col("nlogn"))
+    fixed = F.col("first") == F.col("last")
+    listed = F.concat(F.lit("(?:"), F.array_join(F.transform("texts", _quoted), "|"), F.lit(")"))
+    e = e.withColumns({
+        "bits": F.round(F.when(fixed, F.length("first") * letter + 1).otherwise(F.least(by_kind, by_text)), 6),
+        "element": F.when(fixed, _quoted(F.col("first"))).when(F.round(by_text, 6) <= F.round(by_kind, 6), listed).otherwise(F.concat(cls, span)),
+    })
+    # a group has as many elements as its signature is long
+    e = e.groupBy(*key).agg(F.sum("bits").alias("e_bits"), F.array_sort(F.collect_list(F.struct("place", "element")))["element"].alias("elements"))
+
+    # lists: the values of small groups, each listed if that is cheaper than n exceptions
+    few = groups.where(F.col("n_values") <= MAX_LISTED).select(*key, F.col("n_rows").alias("g_rows"))
+    w = join_dimension(v.select(*key, "value", "n"), few, key, "inner", spread=F.col("value")).join(F.broadcast(per_column), "column_name")
+    as_listed = (F.length("value") + 1) * letter + F.col("n") * F.log2(F.col("g_rows") / F.col("n"))
+    w = w.where(as_listed < F.col("n") * (F.length("value") + 1) * letter)
+    w = w.groupBy(*key).agg(F.sum(as_listed).alias("l_bits"), F.sum("n").alias("l_rows"), F.sum(F.col("n") * (F.length("value") + 1)).alias("l_signs"), F.array_sort(F.collect_list("value")).alias("listed"))
+
+    g = groups.join(e, key).join(w, key, "left").join(F.broadcast(per_column), "column_name")
+    choice = lambda rows: F.log2(F.col("all_rows") + 1) + rows * F.log2(F.col("all_rows") / rows)
+    saved_e = F.col("e_bits") + choice(F.col("n_rows")) - F.col("signs") * letter
+    saved_l = F.col("l_bits") + choice(F.col("l_rows")) - F.col("l_signs") * letter
     # rounded, as sums of doubles depend on their order
-    j = j.withColumn("by_length", F.round("g_exact", 6) <= F.round("g_coarse", 6))
-    more = F.when(F.col("by_length"), (F.col("exact_bits") - F.col("raw")) / F.col("n_rows")).otherwise((F.col("g_coarse") - F.col("g_raw")) / F.col("g_rows"))
-    j = j.withColumn("step", F.least(F.lit(256), F.greatest(F.lit(-256), F.ceil(F.round(4 * more, 6)))).cast("int"))
-    bits = F.when(F.col("by_length"), F.col("exact_bits")).otherwise(F.col("g_coarse") / F.col("g_shapes"))
-    steps = j.groupBy("column_name", "step").agg(
-        (F.sum(bits) - F.sum("raw")).alias("more"), F.sum("n_rows").alias("r"), F.max("all_rows").alias("all_rows")
-    )
-    w = Window.partitionBy("column_name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("all_rows") - F.sum("r").over(w)
-    total = F.sum("more").over(w) + left * F.log2((F.col("all_rows") + 1) / (left + 1))
+    g = g.withColumn("as_list", F.coalesce(F.round(saved_l, 6) <= F.round(saved_e, 6), F.lit(False)))
+    g = g.withColumns({"more": F.when(F.col("as_list"), saved_l).otherwise(saved_e), "held": F.when(F.col("as_list"), F.col("l_rows")).otherwise(F.col("n_rows"))})
+    g = g.withColumn("step", F.least(F.lit(256), F.greatest(F.lit(-256), F.ceil(F.round(4 * F.col("more") / F.col("held"), 6)))).cast("int"))
+    g = materialise(g.select(*key, "as_list", "elements", "listed", "more", "held", "step", "all_rows"), "candidates")
+    steps = g.groupBy("column_name", "step").agg(F.sum("more").alias("more"), F.sum("held").alias("r"), F.max("all_rows").alias("all_rows"))
+    order = Window.partitionBy("column_name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("all_rows") - F.sum("r").over(order)
+    total = F.sum("more").over(order) + left * F.log2((F.col("all_rows") + 1) / (left + 1))
     cut = steps.select("column_name", "step", F.round(total, 6).alias("total")).where("total < 0")  # 0: everything is an exception
     cut = cut.groupBy("column_name").agg(F.min(F.struct("total", "step"))["step"].alias("cut"))  # at most one row per column
-    j = j.join(F.broadcast(cut), "column_name", "left")
-    return j.select(
-        "column_name", "coarse", "shape", F.when(F.col("by_length"), F.col("exact")).otherwise(F.col("coarse")).alias("expression"),
-        F.coalesce(F.col("step") <= F.col("cut"), F.lit(False)).alias("conforming"), "n_values", "n_rows",
+    g = g.join(F.broadcast(cut), "column_name", "left").withColumn("conforming", F.coalesce(F.col("step") <= F.col("cut"), F.lit(False)))
+    return _with_optional_tails(g).select(*key, "expression", "conforming")
+
+
+def _with_optional_tails(g: DataFrame) -> DataFrame:
+    """g with `expression`. A group whose elements begin with all elements of another conforming group of its column, the longest such
+    one, shares that group's expression with the rest as an optional tail, if no other group with more rows does: this saves writing
+    the beginning twice. The pairs meet by equality of the beginning."""
+    body = F.array_join("elements", "")
+    plain = F.when(F.col("as_list"), F.concat(F.lit("(?:"), F.array_join(F.transform("listed", _quoted), "|"), F.lit(")"))).otherwise(body)
+    g = g.withColumn("body", plain)
+    free = g.where(F.col("conforming") & ~F.col("as_list"))
+    short = free.select("column_name", "body", F.col("sig").alias("short_sig"), F.size("elements").alias("size"))
+    cuts = F.explode(F.transform(F.sequence(F.lit(1), F.size("elements") - 1), lambda k: F.struct(F.array_join(F.slice("elements", 1, k), "").alias("body"), F.array_join(F.slice("elements", k + 1, F.size("elements")), "").alias("tail"))))
+    long = free.where(F.size("elements") > 1).select("column_name", "sig", "held", cuts.alias("c")).select("column_name", "sig", "held", "c.body", "c.tail")
+    pairs = long.join(short, ["column_name", "body"])
+    pairs = pairs.groupBy("column_name", "sig").agg(F.max_by(F.struct("short_sig", "body", "tail", "held"), F.struct("size", "body")).alias("p")).select("column_name", "sig", "p.*")
+    pairs = pairs.groupBy("column_name", "short_sig").agg(F.max_by(F.struct("sig", "body", "tail"), F.struct("held", "sig")).alias("p")).select("column_name", "short_sig", "p.*")
+    # a group is the beginning of one pair or the longer one of one pair, not both
+    chained = pairs.select("column_name", F.col("short_sig").alias("sig"))
+    pairs = pairs.join(chained, ["column_name", "sig"], "left_anti")
+    both = pairs.select("column_name", F.explode(F.array("sig", "short_sig")).alias("sig"), F.concat(F.lit("^"), "body", F.lit("(?:"), "tail", F.lit(")?$")).alias("joint"))
+    return g.join(both, ["column_name", "sig"], "left").withColumn("expression", F.coalesce("joint", F.concat(F.lit("^"), "body", F.lit("$"))))
+
+
+def matched_values(counts: DataFrame) -> DataFrame:
+    """value counts with `blank`, `sig`, the `expression` of the value's group and whether the value conforms: its group does, and the
+    expression matches it. Blank values have neither. Written once."""
+    c = counts.withColumn("blank", is_blank(F.col("value")))
+    c = materialise(c.withColumn("sig", F.when(~F.col("blank"), signature(F.col("value")))), "counts")
+    full = c.where(~F.col("blank")).groupBy("column_name", "sig", "value").agg(F.sum("n").alias("n"))
+    induced = materialise(induce_expressions(full), "expressions")
+    j = join_dimension(c, induced, ["column_name", "sig"], "left", spread=F.col("value"))
+    # an expression is compiled once for the values beside each other
+    j = j.sortWithinPartitions("column_name", "expression")
+    holds = F.coalesce(F.col("conforming") & F.expr("value rlike expression"), F.lit(False))
+    return materialise(j.withColumn("conforming", holds), "matched")
+
+
+def _number(c: Column) -> Column:
+    """The number a text stands for; a failed cast costs an exception, so only what looks like a number is cast."""
+    return F.when(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.try_cast("double"))
+
+
+def coverage(matched: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(load, column_name, expression, ...): rows, nulls, distinct values, numbers and broken rules per load, column and expression, from
+    matched_values; the expression is null for rows that no expression holds. One aggregation; rules come to the driver, a row per column."""
+    v, n = F.col("value"), F.col("n")
+    rule = {}
+    for r in collect_bounded(rules.dropDuplicates(["column_name"]), MAX_COLUMNS, "rules") if rules is not None else []:
+        rule[r.column_name] = r
+
+    def of(test) -> Column:
+        """test(rule) of the value's own column; columns without a rule break none."""
+        out = None
+        for k, r in rule.items():
+            t = test(r)
+            if t is not None:
+                out = F.when(F.col("column_name") == k, t) if out is None else out.when(F.col("column_name") == k, t)
+        return F.coalesce(out, F.lit(False)) if out is not None else F.lit(False)
+
+    live = ~F.col("blank")
+    m = matched.withColumn("num", F.when(live, _number(v)))
+    limit = lambda x: x is not None and x == x
+    bad = {
+        "n_nonmatching": live & of(lambda r: ~v.rlike(r.pattern) if r.pattern is not None else None),
+        "n_below": of(lambda r: F.col("num") < r.min_value if limit(r.min_value) else None),
+        "n_above": of(lambda r: F.col("num") > r.max_value if limit(r.max_value) else None),
+        "n_nonconforming": live & ~F.col("conforming"),
+    }
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return m.groupBy("load", "column_name", F.when(F.col("conforming"), F.col("expression")).alias("expression")).agg(
+        F.sum(n).alias("n_rows"), zero(F.sum(F.when(~live, n))).alias("n_null"), F.count(F.when(live, 1)).alias("n_distinct"), F.min("num").alias("min_number"), F.max("num").alias("max_number"),
+        *[zero(F.sum(F.when(t, n))).alias(k) for k, t in bad.items()],
     )
 
 
+def _half_distance(units: DataFrame, totals: DataFrame, unit: str, name: str) -> DataFrame:
+    """(load, column_name, name): half the sum of absolute differences of the shares of units (load, column_name, unit, n) between a load and
+    the load before: 1 less what both have in common. A unit's loads meet in one group of at most as many rows as there are loads."""
+    w = Window.partitionBy("column_name", unit).orderBy("load")
+    prev = units.withColumns({"__l": F.lag("load").over(w), "__n": F.lag("n").over(w)}).where("__l = load - 1")
+    now, before = totals.select("load", "column_name", F.col("live").alias("t1")), totals.select((F.col("load") + 1).alias("load"), "column_name", F.col("live").alias("t0"))
+    both = now.join(before, ["load", "column_name"])
+    common = join_dimension(prev, both, ["load", "column_name"], "inner", spread=F.col(unit))
+    common = common.groupBy("load", "column_name").agg(F.sum(F.least(F.col("n") / F.col("t1"), F.col("__n") / F.col("t0"))).alias("__c"))
+    return both.join(common, ["load", "column_name"], "left").select("load", "column_name", F.when((F.col("t0") > 0) & (F.col("t1") > 0), 1 - F.coalesce("__c", F.lit(0.0))).alias(name))
+
+
 def column_profile(counts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per load and column from value_counts: standard aggregates, rule violations, coverage of the induced
     expressions and the shift against the load before.
@@ -154,65 +257,41 @@ def column_profile(counts: DataFrame, rules: DataFrame | None = None) -> DataFra
     prev_distinct. The last four are null where load - 1 is absent; distances are null where either load has no values.
     A load or column without values has 0 counts and null ranges.
     """
-    v = counts.withColumn("blank", is_blank(F.col("value")))
-    if rules is not None:
-        v = join_dimension(v, rules.select("column_name", "pattern", "min_value", "max_value").dropDuplicates(["column_name"]), ["column_name"])
-    else:
-        v = v.withColumns({"pattern": F.lit(None).cast("string"), "min_value": F.lit(None).cast("double"), "max_value": F.lit(None).cast("double")})
-    # a failed cast costs an exception, so only what looks like a number is cast
-    num = F.when(F.col("value").rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.expr("try_cast(value as double)"))
-    v = v.withColumn("num", F.when(~F.col("blank"), num)).withColumn("shape", F.when(~F.col("blank"), _classes(F.col("value"))))
-    full = v.where(~F.col("blank")).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    induced = induce_expressions(full).select("column_name", "shape", "expression", "conforming")
-    v = v.join(induced, ["column_name", "shape"], "left")
-    live = ~F.col("blank")
-    n = F.col("n")
-    base = materialise(v.groupBy("load", "column_name").agg(
-        F.sum(n).alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("blank"), n)), F.lit(0)).alias("n_null"),
-        F.count(F.when(live, 1)).alias("n_distinct"),
-        F.min("num").alias("min_number"),
-        F.max("num").alias("max_number"),
-        F.coalesce(F.sum(F.when(live & F.col("pattern").isNotNull() & ~F.expr("value rlike pattern"), n)), F.lit(0)).alias("n_nonmatching"),
-        F.coalesce(F.sum(F.when(F.col("num") < F.col("min_value"), n)), F.lit(0)).alias("n_below"),
-        F.coalesce(F.sum(F.when(F.col("num") > F.col("max_value"), n)), F.lit(0)).alias("n_above"),
-        F.coalesce(F.sum(F.when(live & ~F.coalesce(F.col("conforming"), F.lit(False)), n)), F.lit(0)).alias("n_nonconforming"),
-    ), "profile")
-    totals = base.select("load", "column_name", (F.col("n_rows") - F.col("n_null")).alias("live"), (F.col("n_null") / F.col("n_rows")).alias("null_share"), "n_distinct")
-
-    def shift(unit: Column, name: str) -> DataFrame:
-        """Distance between the shares of units in a load and in the load before; each unit is sent to its own load and to the next."""
-        u = v.where(live).groupBy("load", "column_name", unit.alias("unit")).agg(F.sum("n").alias("n"))
-        u = join_dimension(u, totals.select("load", "column_name", "live"), ["load", "column_name"], "inner", spread=F.col("unit"))
-        share = F.col("n") / F.col("live")
-        both = u.select(
-            F.explode(F.array(F.struct(F.col("load").alias("load"), share.alias("d")), F.struct((F.col("load") + 1).alias("load"), (-share).alias("d")))).alias("x"), "column_name", "unit"
-        ).select("x.load", "column_name", "unit", "x.d")
-        return both.groupBy("load", "column_name", "unit").agg(F.sum("d").alias("d")).groupBy("load", "column_name").agg((F.sum(F.abs("d")) / 2).alias(name))
-
-    prev = totals.select((F.col("load") + 1).alias("load"), "column_name", F.col("null_share").alias("prev_null_share"), F.col("n_distinct").alias("prev_distinct"), F.col("live").alias("prev_live"))
-    out = base.join(prev, ["load", "column_name"], "left").join(shift(F.col("value"), "distance"), ["load", "column_name"], "left")
-    out = out.join(shift(F.coalesce("expression", F.lit("")), "coverage_distance"), ["load", "column_name"], "left")
-    ok = (F.col("prev_live") > 0) & (F.col("n_rows") > F.col("n_null"))
-    return out.withColumns({c: F.when(ok, F.col(c)) for c in ("distance", "coverage_distance")}).drop("prev_live")
-
-
-def profile_findings(profile: DataFrame, rules: DataFrame) -> DataFrame:
+    matched = matched_values(counts)
+    cover = materialise(coverage(matched, rules), "coverage")
+    sums = [F.sum(c).alias(c) for c in ("n_rows", "n_null", "n_distinct", "n_nonmatching", "n_below", "n_above", "n_nonconforming")]
+    base = materialise(cover.groupBy("load", "column_name").agg(*sums, F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number")), "profile")
+    totals = base.select("load", "column_name", (F.col("n_rows") - F.col("n_null")).alias("live"))
+    live = matched.where(~F.col("blank")).select("load", "column_name", "value", "n")
+    units = cover.select("load", "column_name", F.coalesce("expression", F.lit("")).alias("unit"), (F.col("n_rows") - F.col("n_null")).alias("n")).where("n > 0")
+    prev = base.select((F.col("load") + 1).alias("load"), "column_name", (F.col("n_null") / F.col("n_rows")).alias("prev_null_share"), F.col("n_distinct").alias("prev_distinct"))
+    on = ["load", "column_name"]
+    return base.join(prev, on, "left").join(_half_distance(live, totals, "value", "distance"), on, "left").join(_half_distance(units, totals, "unit", "coverage_distance"), on, "left")
+
+
+def profile_findings(profile: DataFrame, rules: DataFrame, max_nonconforming: float | None = None, max_coverage_distance: float | None = None) -> DataFrame:
     """(load, column_name, finding): the places where a load breaks a rule or departs from the load before.
 
     A null limit is no limit. Findings: 'pattern', 'range', 'null_step', 'distance' (categorical columns only),
-    'distinct', each as described with column_rules.
+    'distinct', each as described with column_rules. The rows counted for 'pattern' are those outside the rule's pattern; in a column whose
+    rule has none, those outside the induced expressions. Given max_nonconforming, a column without a limit of its own is held to
+    that share; given max_coverage_distance, 'coverage' says that a load is spread differently over the expressions. With either, columns
+    without a rule count too.
     """
-    p = join_dimension(profile, rules.dropDuplicates(["column_name"]), ["column_name"], "inner")
+    every = max_nonconforming is not None or max_coverage_distance is not None
+    p = join_dimension(profile, rules.dropDuplicates(["column_name"]), ["column_name"], "left" if every else "inner")
     live = F.col("n_rows") - F.col("n_null")
     null_share = F.col("n_null") / F.col("n_rows")
     wide, narrow = F.greatest("n_distinct", "prev_distinct"), F.least("n_distinct", "prev_distinct")
+    no_nan = lambda c: F.when(~F.isnan(c), F.col(c))
+    outside = F.when(F.col("pattern").isNotNull(), F.col("n_nonmatching")).otherwise(F.col("n_nonconforming"))
     tests = {
-        "pattern": (live > 0) & (F.col("n_nonmatching") / live > F.col("max_bad_share")),
+        "pattern": (live > 0) & (outside / live > F.coalesce(no_nan("max_bad_share"), F.lit(max_nonconforming).cast("double"))),
         "range": (F.col("n_below") + F.col("n_above")) > 0,
-        "null_step": F.abs(null_share - F.col("prev_null_share")) > F.col("max_null_step"),
-        "distance": F.col("categorical") & (F.col("distance") > F.col("max_distance")),
-        "distinct": F.col("prev_distinct").isNotNull() & (wide > F.col("max_distinct_ratio") * narrow),
+        "null_step": F.abs(null_share - F.col("prev_null_share")) > no_nan("max_null_step"),
+        "distance": F.col("categorical") & (F.col("distance") > no_nan("max_distance")),
+        "distinct": F.col("prev_distinct").isNotNull() & (wide > no_nan("max_distinct_ratio") * narrow),
+        "coverage": F.col("coverage_distance") > F.lit(max_coverage_distance).cast("double"),
     }
     found = F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()])
     return p.select("load", "column_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))

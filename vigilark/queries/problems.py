@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilark.operators.column_profile import column_profile, induce_expressions, is_blank, profile_findings, value_counts
+from vigilark.operators.column_profile import MAX_COLUMNS, column_profile, matched_values, profile_findings, value_counts
 from vigilark.operators.instants import InstantDictionary, dictionary_entries, normalise_instants
 from vigilark.operators.snapshot_diff import latest_state, snapshot_diff
 from vigilark.operators.spatial import points_near_centres
 from vigilark.operators.work_ledger import WorkLedger, outstanding_versions
 from vigilark.plans.joins import join_dimension
 from vigilark.plans.rows import clean_guid
-from vigilark.session import materialise, scratch_path, table
+from vigilark.session import collect_bounded, materialise, scratch_path
 
 NEAR_KM = 3.0
 
@@ -73,9 +73,9 @@ def _profile(spark: SparkSession, d: str, only_rules: bool = False):
     rules = spark.read.parquet(f"{d}/column_rules.parquet")
     columns = [c for c in sia.columns if c != "LoadNo"]
     if only_rules:
-        named = [r.column_name for r in rules.select("column_name").distinct().limit(10_000).collect()]  # one row per column of a table
+        named = {r.column_name for r in collect_bounded(rules.select("column_name").distinct(), MAX_COLUMNS, "rules")}
         columns = [c for c in columns if c in named]
-    return materialise(value_counts(sia, "LoadNo", columns), "value-counts"), rules
+    return value_counts(sia, "LoadNo", columns), rules
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,19 +85,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of every column in every load."""
+    """The profile of every column in every load: standard aggregates, broken rules, shift."""
     counts, rules = _profile(spark, d)
     p = column_profile(counts, rules)
-    r = [F.round(c, 6).alias(c) for c in ("distance", "coverage_distance")]
-    return p.select(F.col("load").alias("load_no"), "column_name", "n_rows", "n_null", "n_distinct", "min_number", "max_number", "n_nonmatching", "n_below", "n_above", "n_nonconforming", *r)
+    cols = ("n_rows", "n_null", "n_distinct", "min_number", "max_number", "n_nonmatching", "n_below", "n_above")
+    return p.select(F.col("load").alias("load_no"), "column_name", *cols, F.round("distance", 6).alias("distance"))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the induced expressions say of every column in every load: rows outside them, the shift of their coverage, and all
+    findings, columns without rules held to a twentieth of such rows and a quarter of shift."""
+    counts, rules = _profile(spark, d)
+    p = materialise(column_profile(counts, rules), "profile")
+    f = profile_findings(p, rules, 0.05, 0.25).groupBy("load", "column_name").agg(F.array_sort(F.collect_list("finding")).alias("findings"))
+    j = p.join(f, ["load", "column_name"], "left")
+    return j.select(F.col("load").alias("load_no"), "column_name", "n_rows", "n_nonconforming", F.round("coverage_distance", 6).alias("coverage_distance"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
 
 
 def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
-    """The induced expressions of every column and the rows they hold."""
+    """The induced expressions of every column, the values and rows they hold, and those that none holds."""
     counts, _ = _profile(spark, d)
-    live = counts.where(~is_blank(F.col("value"))).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    e = induce_expressions(live)
-    return e.groupBy("column_name", "expression", "conforming").agg(F.sum("n_values").alias("n_values"), F.sum("n_rows").alias("n_rows"))
+    m = matched_values(counts).where(~F.col("blank")).groupBy("column_name", "value", "expression", "conforming").agg(F.sum("n").alias("n"))
+    return m.groupBy("column_name", "expression", "conforming").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +125,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_changes_by_type, p4_found, p4_runs, p6_found, p6_profile, p6_expressions, p7_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_changes_by_type, p4_found, p4_runs, p6_found, p6_profile, p6_coverage, p6_expressions, p7_found)}
 
 
 _LATEST = """
@@ -142,14 +151,16 @@ diff AS (
 
 _UNPIVOT = """
 cells AS (
-  SELECT LoadNo AS load, 'Admin0Name' AS column_name, Admin0Name AS value FROM polis_sia
+  SELECT LoadNo AS load, 'ActivityId' AS column_name, CAST(ActivityId AS VARCHAR) AS value FROM polis_sia
+  UNION ALL SELECT LoadNo, 'office_code', office_code FROM polis_sia UNION ALL
+  SELECT LoadNo, 'Admin0Name', Admin0Name FROM polis_sia
   UNION ALL SELECT LoadNo, 'ActivityStatus', ActivityStatus FROM polis_sia
   UNION ALL SELECT LoadNo, 'ActivityVaccineType', ActivityVaccineType FROM polis_sia
   UNION ALL SELECT LoadNo, 'ActivityDateFrom', ActivityDateFrom FROM polis_sia
   UNION ALL SELECT LoadNo, 'TargetPopulation', CAST(TargetPopulation AS VARCHAR) FROM polis_sia
   UNION ALL SELECT LoadNo, 'AgeGroupMonths', CAST(AgeGroupMonths AS VARCHAR) FROM polis_sia),
 c AS (SELECT cells.*, (value IS NULL OR regexp_full_match(value, '\\s*')) AS blank, try_cast(value AS DOUBLE) AS num, r.* EXCLUDE (column_name)
-  FROM cells JOIN column_rules r USING (column_name) WHERE load IS NOT NULL),
+  FROM cells LEFT JOIN column_rules r USING (column_name) WHERE load IS NOT NULL),
 base AS (SELECT load, column_name, count(*) AS n_rows, count(*) FILTER (blank) AS n_null, count(DISTINCT value) FILTER (NOT blank) AS n_distinct,
   count(*) FILTER (NOT blank AND pattern IS NOT NULL AND NOT regexp_matches(value, pattern)) AS n_nonmatching,
   count(*) FILTER (NOT blank AND num < min_value) AS n_below, count(*) FILTER (NOT blank AND num > max_value) AS n_above,
@@ -185,6 +196,8 @@ WHERE NOT EXISTS (SELECT 1 FROM polis_data_update_log l WHERE l.RunStatus = 'suc
   AND n.day BETWEEN l.QueryStartDate AND least(l.QueryEndDate, l.DataEndDate) AND n.first_seen <= l.RunStartedAt)""",
         "p4_runs": """SELECT CaseId AS case_id, VersionNo AS version_no, CASE WHEN min(ReceivedAt) < TIMESTAMP '2024-01-01' THEN 1 ELSE 2 END AS run
 FROM polis_cases WHERE CaseId IS NOT NULL AND VersionNo IS NOT NULL GROUP BY ALL""",
+        "p6_profile": f"""WITH {_UNPIVOT}
+SELECT load AS load_no, column_name, n_rows, n_null, n_distinct, min_number, max_number, n_nonmatching, n_below, n_above, round(distance, 6) AS distance FROM p""",
         "p6_found": f"""
 WITH {_UNPIVOT}
 SELECT load AS load_no, column_name, finding FROM (
