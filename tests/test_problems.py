@@ -214,7 +214,7 @@ def test_profile_and_findings(spark):
 def induced(spark, rows):
     """{(column, value): expression or None if the value does not conform} by matched_values."""
     df = spark.createDataFrame(rows, "column_name string, value string, n long").groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    got = P.matched_values(df.select(F.lit(1).alias("load"), "column_name", "value", "n")).collect()
+    got = P.matched_values(P.kinds_of_values(df.select(F.lit(1).alias("load"), "column_name", "value", "n"))).collect()
     return {(r.column_name, r.value): r.expression if r.conforming else None for r in got}
 
 
@@ -323,6 +323,13 @@ def test_instants(spark, tmp_path):
     I.normalise_instants(df, "t", "z", "o", store).count()
     assert store.read().count() == before  # nothing is parsed again
     assert I.normalise_instants(df.limit(0), "t", "z", "o", store).count() == 0
+    # two runs at once parse the same texts into folders of their own: no row is lost or doubled
+    both = I.InstantDictionary(spark, str(tmp_path / "both"))
+    for _ in range(2):
+        I.parse_dictionary(I.dictionary_entries(df, "t", "z", "o").distinct()).write.parquet(f"{both.path}/batch-000000-{_}")
+    assert {r.id: r.utc_us for r in I.normalise_instants(df, "t", "z", "o", both).collect()} == got
+    many = df.select("id", "t", "z", "o", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("x"))
+    assert I.normalise_instants(many, "t", "z", "o", I.InstantDictionary(spark, str(tmp_path / "m"))).where("utc_us is not null").count() == 40 * sum(v is not None for v in got.values())
 
 
 # ------------------------------------------------------------------ plans
@@ -355,9 +362,10 @@ def test_ranked_in_groups(spark, monkeypatch, most):
 
 
 def test_scratch(spark):
-    from vigilark.session import clear_scratch, list_dir, materialise, shared_dir
+    from vigilark.session import clear_scratch, known_size, list_dir, materialise, shared_dir
 
     df = materialise(spark.range(3), "test-scratch")
+    assert known_size(df) == (3, 48) and known_size(spark.range(3)) is None and known_size(materialise(spark.range(3).where("id > 5"))) == (0, 0)
     assert df.count() == 3 and any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))
     clear_scratch(spark)
     assert not any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))

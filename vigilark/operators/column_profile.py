@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.plans.joins import join_dimension
-from vigilark.session import collect_bounded, materialise
+from vigilark.session import bounded_by, collect_bounded, materialise
 
 #: Kinds of runs with their expressions: upper-case letters, other letters and marks, digits, spaces, punctuation, anything else. In
 #: signatures a run is one sign of the private use area; punctuation stands for itself.
@@ -111,12 +111,13 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     )
     e = materialise(e, "elements")
     some = e.where((F.col("first") != F.col("last")) & (F.col("about") <= 2 * MAX_ALTERNATIVES)).select(*key, "place")
+    some = bounded_by(some, e)
     t = join_dimension(v.select(*key, "value", "n", F.posexplode("runs").alias("place", "text")), some, [*key, "place"], "left_semi", spread=F.col("value"))
     t = t.groupBy(*key, "place", "text").agg(F.sum("n").alias("n")).groupBy(*key, "place").agg(
         F.count("*").alias("k"), F.sum(F.length("text") + 1).alias("written"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), F.array_sort(F.collect_list("text")).alias("texts"),
     )  # at most about 2 MAX_ALTERNATIVES texts each
     t = t.where(F.col("k") <= MAX_ALTERNATIVES)
-    e = join_dimension(e, t, [*key, "place"], "left", spread=F.col("place")).join(F.broadcast(per_column), "column_name")
+    e = e.join(t, [*key, "place"], "left").join(F.broadcast(per_column), "column_name")  # both sides have one row per key
     kind = F.substring("sig", F.col("place") + 1, F.lit(1))
     size = F.lit(1.0)
     cls = F.lit("")
@@ -136,7 +137,7 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     e = e.groupBy(*key).agg(F.sum("bits").alias("e_bits"), F.array_sort(F.collect_list(F.struct("place", "element")))["element"].alias("elements"))
 
     # lists: the values of small groups, each listed if that is cheaper than n exceptions
-    few = groups.where(F.col("n_values") <= MAX_LISTED).select(*key, F.col("n_rows").alias("g_rows"))
+    few = bounded_by(groups.where(F.col("n_values") <= MAX_LISTED).select(*key, F.col("n_rows").alias("g_rows")), groups)
     w = join_dimension(v.select(*key, "value", "n"), few, key, "inner", spread=F.col("value")).join(F.broadcast(per_column), "column_name")
     as_listed = (F.length("value") + 1) * letter + F.col("n") * F.log2(F.col("g_rows") / F.col("n"))
     w = w.where(as_listed < F.col("n") * (F.length("value") + 1) * letter)
@@ -182,18 +183,21 @@ def _with_optional_tails(g: DataFrame) -> DataFrame:
     return g.join(both, ["column_name", "sig"], "left").withColumn("expression", F.coalesce("joint", F.concat(F.lit("^"), "body", F.lit("$"))))
 
 
-def matched_values(counts: DataFrame) -> DataFrame:
-    """value counts with `blank`, `sig`, the `expression` of the value's group and whether the value conforms: its group does, and the
-    expression matches it. Blank values have neither. Written once."""
+def kinds_of_values(counts: DataFrame) -> DataFrame:
+    """value counts with `blank` and, of other values, `sig`. Written once."""
     c = counts.withColumn("blank", is_blank(F.col("value")))
-    c = materialise(c.withColumn("sig", F.when(~F.col("blank"), signature(F.col("value")))), "counts")
-    full = c.where(~F.col("blank")).groupBy("column_name", "sig", "value").agg(F.sum("n").alias("n"))
+    return materialise(c.withColumn("sig", F.when(~F.col("blank"), signature(F.col("value")))), "counts")
+
+
+def matched_values(kinds: DataFrame) -> DataFrame:
+    """kinds_of_values with the `expression` of the value's group and whether the value conforms: its group does, and the
+    expression matches it. Blank values have none."""
+    full = kinds.where(~F.col("blank")).groupBy("column_name", "sig", "value").agg(F.sum("n").alias("n"))
     induced = materialise(induce_expressions(full), "expressions")
-    j = join_dimension(c, induced, ["column_name", "sig"], "left", spread=F.col("value"))
+    j = join_dimension(kinds, induced, ["column_name", "sig"], "left", spread=F.col("value"))
     # an expression is compiled once for the values beside each other
     j = j.sortWithinPartitions("column_name", "expression")
-    holds = F.coalesce(F.col("conforming") & F.expr("value rlike expression"), F.lit(False))
-    return materialise(j.withColumn("conforming", holds), "matched")
+    return j.withColumn("conforming", F.coalesce(F.col("conforming") & F.expr("value rlike expression"), F.lit(False)))
 
 
 def _number(c: Column) -> Column:
@@ -240,7 +244,7 @@ def _half_distance(units: DataFrame, totals: DataFrame, unit: str, name: str) ->
     w = Window.partitionBy("column_name", unit).orderBy("load")
     prev = units.withColumns({"__l": F.lag("load").over(w), "__n": F.lag("n").over(w)}).where("__l = load - 1")
     now, before = totals.select("load", "column_name", F.col("live").alias("t1")), totals.select((F.col("load") + 1).alias("load"), "column_name", F.col("live").alias("t0"))
-    both = now.join(before, ["load", "column_name"])
+    both = bounded_by(now.join(before, ["load", "column_name"]), totals)
     common = join_dimension(prev, both, ["load", "column_name"], "inner", spread=F.col(unit))
     common = common.groupBy("load", "column_name").agg(F.sum(F.least(F.col("n") / F.col("t1"), F.col("__n") / F.col("t0"))).alias("__c"))
     return both.join(common, ["load", "column_name"], "left").select("load", "column_name", F.when((F.col("t0") > 0) & (F.col("t1") > 0), 1 - F.coalesce("__c", F.lit(0.0))).alias(name))
@@ -257,12 +261,12 @@ def column_profile(counts: DataFrame, rules: DataFrame | None = None) -> DataFra
     prev_distinct. The last four are null where load - 1 is absent; distances are null where either load has no values.
     A load or column without values has 0 counts and null ranges.
     """
-    matched = matched_values(counts)
-    cover = materialise(coverage(matched, rules), "coverage")
+    kinds = kinds_of_values(counts)
+    cover = materialise(coverage(matched_values(kinds), rules), "coverage")
     sums = [F.sum(c).alias(c) for c in ("n_rows", "n_null", "n_distinct", "n_nonmatching", "n_below", "n_above", "n_nonconforming")]
     base = materialise(cover.groupBy("load", "column_name").agg(*sums, F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number")), "profile")
-    totals = base.select("load", "column_name", (F.col("n_rows") - F.col("n_null")).alias("live"))
-    live = matched.where(~F.col("blank")).select("load", "column_name", "value", "n")
+    totals = bounded_by(base.select("load", "column_name", (F.col("n_rows") - F.col("n_null")).alias("live")), base)
+    live = kinds.where(~F.col("blank")).select("load", "column_name", "value", "n")
     units = cover.select("load", "column_name", F.coalesce("expression", F.lit("")).alias("unit"), (F.col("n_rows") - F.col("n_null")).alias("n")).where("n > 0")
     prev = base.select((F.col("load") + 1).alias("load"), "column_name", (F.col("n_null") / F.col("n_rows")).alias("prev_null_share"), F.col("n_distinct").alias("prev_distinct"))
     on = ["load", "column_name"]

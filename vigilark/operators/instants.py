@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from datetime import date
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilark.plans.rows import canonical_text
 from vigilark.session import list_dir
 
 DAY = 86_400_000_000
@@ -157,7 +159,7 @@ def _zone_name(z: str) -> str:
     return "/".join("_".join(w.capitalize() for w in p.split("_")) for p in z.split("/")) if "/" in z else z.upper()
 
 
-_PARSED = "text string, zone string, date_order string, clock_us long, offset_s int, named_zone string"
+_PARSED = "text string, zone string, date_order string, clock_us long, offset_s int, named_zone string, seen long"
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +178,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "text": b["text"], "zone": b["zone"], "date_order": b["date_order"], "clock_us": pd.array(clock, "Int64"),
-                "offset_s": pd.array(offset, "Int32"), "named_zone": pd.array(name, "object"),
+                "offset_s": pd.array(offset, "Int32"), "named_zone": pd.array(name, "object"), "seen": b["seen"],
             }
         )
 
@@ -187,22 +189,24 @@ def parse_dictionary(entries: DataFrame) -> DataFrame:
     Python reads only the wall clock and the offset; time zones are applied by the JVM: a local time that occurs twice is
     the earlier instant, one that was skipped moves on by the skipped span.
     """
-    p = entries.select("text", "zone", "date_order").mapInPandas(_parse_batches, _PARSED)
+    seen = F.col("seen") if "seen" in entries.columns else F.lit(1).cast("long").alias("seen")
+    p = entries.select("text", "zone", "date_order", seen).mapInPandas(_parse_batches, _PARSED)
     local = F.coalesce("named_zone", "zone")
     shifted = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("clock_us"), local))
     utc = F.when(F.col("offset_s").isNotNull(), F.col("clock_us") - F.col("offset_s").cast("long") * 1_000_000).when(local.isNotNull(), shifted)
-    return p.select("text", "zone", "date_order", utc.alias("utc_us"))
+    return p.select("text", "zone", "date_order", utc.alias("utc_us"), "seen")
 
 
 KEYS = ("text", "zone", "date_order")
-STORED = "text string, zone string, date_order string, utc_us long"
+STORED = "text string, zone string, date_order string, utc_us long, seen long"
+#: An entry is hot if at least one of so many rows held it when it was parsed; there are at most so many hot entries.
+HOT_SHARE = 10_000
 
 
 class InstantDictionary:
-    """Parsed texts kept at `path`, a folder all executors share; each extend() adds one batch in a folder of its own.
-
-    Batches are numbered; a run that failed half-way left no _SUCCESS mark and its folder is written again.
-    """
+    """Parsed texts kept at `path`, a folder all executors share; each extend() adds one batch in a folder of its own, whose name no other
+    run can choose. A run that failed half-way left no _SUCCESS mark and its folder is not read; two runs at once may both parse
+    a text, which counts once. `seen` says in how many rows an entry was when it was parsed."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -218,12 +222,11 @@ class InstantDictionary:
 
     def extend(self, entries: DataFrame) -> None:
         """Parses the distinct entries that are not there yet; a repeated call adds nothing."""
-        fresh = entries.select(*KEYS).where("text is not null").distinct()
-        have = self.batches()
-        if have:
+        fresh = entries.select(*KEYS).where("text is not null").groupBy(*KEYS).agg(F.count("*").alias("seen"))
+        if self.batches():
             cond = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEYS]
             fresh = fresh.alias("n").join(self.read().select(*KEYS).alias("k"), cond, "left_anti")
-        parse_dictionary(fresh).write.mode("overwrite").parquet(f"{self.path}/batch-{len(have):06d}")
+        parse_dictionary(fresh).write.parquet(f"{self.path}/batch-{len(self.batches()):06d}-{uuid.uuid4().hex}")
 
 
 def dictionary_entries(df: DataFrame, text: str, zone: str, order: str) -> DataFrame:
@@ -239,15 +242,21 @@ def normalise_instants(df: DataFrame, text: str, zone: str, order: str, dictiona
     """df with `out` (LONG, microseconds since 1970-01-01 UTC), null where the text is null or denotes no instant.
 
     Texts already in the form yyyy-MM-ddTHH:mm:ssZ are read by the JVM and need no dictionary; of the others every distinct
-    (text, zone, order) is parsed once and joined back; with extend=False the dictionary must hold them already. Columns of df keep their names; df may have any columns but
+    (text, zone, order) is parsed once and joined back, hot ones by a broadcast, the others shuffled; with extend=False the dictionary must hold them already. Columns of df keep their names; df may have any columns but
     those beginning with __i_.
     """
     if extend:
         dictionary.extend(dictionary_entries(df, text, zone, order))
     exact = _exact(text)
     direct = F.unix_micros(F.try_to_timestamp(F.when(exact, F.col(text)), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    d = dictionary.read().select(F.col("text").alias("__i_t"), F.col("zone").alias("__i_z"), F.col("date_order").alias("__i_o"), F.col("utc_us").alias("__i_u"))
-    key = F.when(~exact, F.col(text))
-    cond = (key == F.col("__i_t")) & F.col(zone).eqNullSafe(F.col("__i_z")) & F.col(order).eqNullSafe(F.col("__i_o"))
-    joined = df.join(d, cond, "left")
-    return joined.withColumn(out, F.when(exact, direct).otherwise(F.col("__i_u"))).drop("__i_t", "__i_z", "__i_o", "__i_u")
+    d = dictionary.read().select(canonical_text(KEYS).alias("__i_k"), "utc_us", "seen")
+    rows = d.agg(F.sum("seen")).first()[0] or 0
+    once = lambda e, name: e.groupBy("__i_k").agg(F.max("utc_us").alias(name))
+    hot = d.where(F.col("seen") * HOT_SHARE >= rows)  # a text that fills a third of the rows meets its entry where it is
+    needed = F.col(text).isNotNull() & ~exact
+    # rows that need no entry, or have met it, are spread over all tasks by a key of their own
+    own = F.concat(F.lit("-"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    j = df.withColumns({"__i_k": F.when(needed, canonical_text([text, zone, order])).otherwise(own), "__i_d": F.when(exact, direct)})
+    j = j.join(F.broadcast(once(hot, "__i_h").withColumn("__i_f", F.lit(True))), "__i_k", "left")
+    j = j.withColumn("__i_k", F.when(F.col("__i_f"), own).otherwise(F.col("__i_k"))).join(once(d, "__i_u"), "__i_k", "left")
+    return j.withColumn(out, F.coalesce("__i_d", "__i_h", "__i_u")).drop("__i_k", "__i_d", "__i_h", "__i_f", "__i_u")

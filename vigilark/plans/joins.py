@@ -6,29 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vigilark.session import known_size, row_bytes
 
 #: Rows and bytes up to which a side may be broadcast after both have been counted.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
-def row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: 8 and the length of each text, 8 for each number, nested values by their JSON text."""
-    total = F.lit(8)
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            total = total + 8 + F.coalesce(F.octet_length(c), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
-        else:
-            total = total + 8
-    return total
-
-
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most max_rows rows and max_bytes bytes; looks no further than max_rows + 1 rows."""
+    """Whether df has at most max_rows rows and max_bytes bytes. A materialised table knows, and so does what is bounded_by one; else no
+    more than max_rows + 1 rows are looked at."""
+    if known := known_size(df):
+        return known[0] <= max_rows and known[1] <= max_bytes
     n, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
     return n <= max_rows and size <= max_bytes
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilark.operators.column_profile import MAX_COLUMNS, column_profile, matched_values, profile_findings, value_counts
+from vigilark.operators.column_profile import MAX_COLUMNS, column_profile, kinds_of_values, matched_values, profile_findings, value_counts
 from vigilark.operators.instants import InstantDictionary, dictionary_entries, normalise_instants
 from vigilark.operators.snapshot_diff import latest_state, snapshot_diff
 from vigilark.operators.spatial import points_near_centres
@@ -105,7 +105,7 @@ def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
 def p6_expressions(spark: SparkSession, d: str) -> DataFrame:
     """The induced expressions of every column, the values and rows they hold, and those that none holds."""
     counts, _ = _profile(spark, d)
-    m = matched_values(counts).where(~F.col("blank")).groupBy("column_name", "value", "expression", "conforming").agg(F.sum("n").alias("n"))
+    m = matched_values(kinds_of_values(counts)).where(~F.col("blank")).groupBy("column_name", "value", "expression", "conforming").agg(F.sum("n").alias("n"))
     return m.groupBy("column_name", "expression", "conforming").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
 
 

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError, Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "vigilark", master: str | None = None, **conf: str) -> SparkSession:
@@ -67,12 +69,48 @@ def clear_scratch(spark: SparkSession) -> None:
         remove_path(spark, _scratch.pop())
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 and the length of each text, 8 for each number, nested values by their JSON text."""
+    total = F.lit(8)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 8 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors. Rows and bytes of flat tables are counted on
+    the way (tasks that ran twice count twice, so these are upper bounds)."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    flat = not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema)  # measuring nested values costs too much
+    (df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("size")) if flat else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not flat:
+        return out
+    try:
+        got = seen._jo.getOrEmpty()  # never waits for a plan that was optimised away
+        out._size = (got.apply("n"), got.apply("size") or 0) if got.size() else None
+    except (AttributeError, Py4JError):
+        out._size = None
+    return out
+
+
+def known_size(df: DataFrame) -> tuple[int, int] | None:
+    """Rows and bytes that df has at most, where they are known."""
+    return getattr(df, "_size", None)
+
+
+def bounded_by(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df, noted to have no more rows and bytes than `other`."""
+    df._size = known_size(other)
+    return df
 
 
 def list_dir(spark: SparkSession, path: str) -> list[str]:
