@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -74,6 +75,64 @@ def test_all_decisions_are_applied(spark, tmp_path):
     assert got == {1: ("UGANDA", None, None), 2: ("UGANDA", "TESO", None), 3: full, 4: full}
 
 
+@pytest.mark.parametrize("method", D.METHODS)
+def test_jvm_distances_equal_python(spark, method):
+    texts = ["", "a", "ab", "ba", "aab", "KAROLIN", "KATHRIN", "CAROLINE", "Ñandú", "东京都", "Tymczak", "Pfister", "Ashcraft", "Honeyman", "9x", "Q-R S"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts] + [(None, "a"), ("a", None)], "a string, b string")
+    one = D.distance_function(method)
+    for r in df.select("a", "b", D.string_distance(F.col("a"), F.col("b"), method).alias("d")).collect():
+        assert (r.d is None) if r.a is None or r.b is None else r.d == pytest.approx(one(r.a, r.b), abs=1e-9), (r.a, r.b)
+
+
+@pytest.mark.parametrize("method", ["lv", "jw", "soundex"])
+def test_blocks_without_parents(spark, monkeypatch, method):
+    """Many reference names in blocks rank as one list does, ties by name."""
+    monkeypatch.setattr(N, "REFERENCE_PER_TASK", 40)
+    monkeypatch.setattr(N, "NAMES_PER_TASK", 5)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("ABCÉ") for _ in range(rnd.randint(0, 6)))
+    names, ref = sorted({word() for _ in range(20)}), sorted({word() for _ in range(150)})
+    a = spark.createDataFrame([(w, "x") for w in names + names[:3]] + [(None, "x")], "n string, distance string")
+    b = spark.createDataFrame([(w,) for w in ref + ref[:3]] + [(None,)], "c string")
+    one = D.distance_function(method)
+    got = {}
+    for r in N.rank_matches(a, b, "n", "c", [], method, 3).collect():
+        got.setdefault(r.name_to_match, {})[r.match_rank] = r.matched_names
+    for n in names:
+        assert [got[n][k] for k in (1, 2, 3)] == sorted(ref, key=lambda c: (round(one(n, c), 9), c))[:3]
+    assert N.rank_matches(a, b.limit(0), "n", "c", [], method, 3).count() == 0 and N.rank_matches(a, b, "n", "c", [], method).count() == len(names) * len(ref)
+
+
+def test_many_reference_names(spark):
+    """A quarter of a million reference names and no parent: the true name is found first."""
+    ref = spark.range(250_000).select(F.concat(F.lit("PLACE"), F.hex(F.col("id") * 7919)).alias("c"))
+    a = spark.createDataFrame([("PLACE1EEF",), ("PLACE73A27C1X",)], "n string")
+    got = {r.name_to_match: (r.matched_names, r.distance) for r in N.rank_matches(a, ref, "n", "c", [], "lv", 1).collect()}
+    best = {r.n: r.d for r in a.join(ref).groupBy("n").agg(F.min(F.levenshtein("n", "c")).alias("d")).collect()}
+    assert got["PLACE1EEF"] == ("PLACE1EEF", 0.0) and {n: d for n, (_, d) in got.items()} == best
+
+
+def test_five_levels_region_and_store(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    levels = [f"l{i}" for i in range(5)]
+    ref = spark.createDataFrame([("A", "B", "C", "D", "E", "afro"), ("A", "B", "C", "D", "F", "EURO")], ", ".join(f"{c} string" for c in [*levels, "WHO_REGION"]))
+    t = spark.createDataFrame([("a", "b", "c", "d", "e"), ("a", "b", "c", "d", "x"), ("z", "b", "c", "d", "e"), ("a", None, "c", "d", "e")], ", ".join(f"{c} string" for c in levels))
+    s = "level string, name_to_match string, replacement string, created_time string, " + ", ".join(f"level{i}_prepped string" for i in range(5))
+    decisions = [("level4", "X", "E", "2024-01-01", "A", "B", "C", "D", None), ("level0", "Z", "A", "2024-01-01", None, None, None, None, None), ("level4", "X", "Q", "2020-01-01", "A", "B", "C", "D", None)]
+    store = N.DecisionStore(spark, str(tmp_path / "decisions"))
+    assert store.read() is None
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(lambda r: store.save(spark.createDataFrame([r], s)), decisions)) == [1, 2, 3]
+    done, todo = N.prep_geonames(t, ref, levels, store.read(), top=2, who_region="AFRO")
+    assert sorted((r.l0, r.l4, r.matched) for r in done.collect()) == [("A", "E", False), ("A", "E", True), ("A", "E", True), ("A", "E", True)]
+    assert N.prep_geonames(t, ref, levels, None, who_region="euro")[0].where("matched").count() == 0
+    with pytest.raises(ValueError, match="not present"):
+        N.prep_geonames(t, ref, ["nothing"])
+    got = N.split_long_name(spark.createDataFrame([("A_B_C",), ("A",), (None,)], "g string"), "g", ["x", "y"]).collect()
+    assert [tuple(r) for r in got] == [("A_B_C", "A", "B"), ("A", "A", None), (None, None, None)]
+
+
 def test_match_names_and_types(spark):
     ref = spark.createDataFrame([], "CountryName string, NameOfCapital string, ProvinceName string, DistrictName string, SiteName string")
     t = spark.createDataFrame([], "COUNTRYNAME string, nameofcapital string, province_Name string, DISTRICT_name string, siteName string, GDP string")

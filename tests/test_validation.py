@@ -113,3 +113,35 @@ def test_detections(spark):
     assert (r["Country"], r["New Emergence"], r["Days to Confirm"], r["Days Since SIA"], r["Days Between"], r["Nt Changes"]) == ("Country2", True, 13, 17, "31", "10")
     assert r["New VDPV Class"] and r["2023 Detections"] == 1 and r["Last SIA Date"] == "16th Jan 2023"
     assert new_detections(old, new.limit(0), sia, date(2025, 6, 30)).count() == 0
+
+
+def test_parts_types_and_order(spark, tmp_path):
+    rows = [(i, None if i == 1 else "A", "P", "D", "a", "p", "d", 1.5, 2.5, date(2024 + i % 2, 1, 1)) for i in range(4)]
+    cols = "SampleId int, Admin0Name string, Admin1Name string, Admin2Name string, Admin0GUID string, Admin1GUID string, Admin2GUID string, SiteYCoordinate double, SiteXCoordinate double, CollectionDate date"
+    df = spark.createDataFrame(rows, cols)
+    for c in ("DateShippedToRefLab", "DateReceivedInLab", "DateFinalCultureResult", "DateFinalResultsReported"):
+        df = df.withColumn(c, F.lit(None if c.startswith("DateFinal") else "2024-06-01").cast("date"))
+    dim = spark.createDataFrame([("A", "P", "D", "{A}", "{P}", "{D}", 1.5, 2.5)], "ADM0_NAME string, ADM1_NAME string, ADM2_NAME string, ADM0_GUID string, ADM1_GUID string, ADM2_GUID string, CENTER_LAT double, CENTER_LON double")
+    assert {r.column_name: r.data_type for r in V.check_missing(df, types=True).collect()}["CollectionDate"] == "date"
+    headers = lambda parts: {r.header for r in V.check_data(df, V.preset("ES"), dim, date(2025, 6, 30), parts=parts).summary.collect()}
+    assert headers(()) == {V.HEADERS[0]} and headers(("hierarchy", "mismatches")) == {V.HEADERS[0], V.HEADERS[4], V.HEADERS[5]}
+    with pytest.raises(ValueError, match="unknown parts"):
+        headers(("nothing",))
+    # the ES preset over weekly snapshots of a year: records of that year and the year before
+    from vigilark.sources.snapshots import save_snapshot
+
+    for day, n in ((date(2025, 1, 8), 2), (date(2025, 1, 15), 3), (date(2025, 1, 22), 4), (date(2023, 1, 4), 1)):
+        save_snapshot(df.where(F.col("SampleId") < n), str(tmp_path), "env", day)
+    bundle, table = V.validate_polis_snapshots(spark, str(tmp_path), "env", "ES", dim, 2025, snapshots=2, as_of=date(2025, 6, 30))
+    out = V.in_report_order(table).collect()
+    assert [c for c in table.columns if c[0] == "2"] == ["2025 W03", "2025 W04"]
+    assert (out[0].column_name, out[0]["2025 W03"], out[0]["2025 W04"]) == ("Total Duplicate Rows", 0, 0) and (out[1]["2025 W03"], out[1]["2025 W04"]) == (3, 4)
+    assert [r.header for r in out] == [h for h in dict.fromkeys(r.header for r in out) for r in out if r.header == h]
+    assert [r.header_text for r in out if r.header_text] == list(dict.fromkeys(r.header for r in out))
+    names = [r.column_name for r in out if r.header == V.HEADERS[3]]
+    assert names == sorted(names, key=lambda c: ("Name" not in c, c))
+    assert (1, "Admin0Name Missing Value") in {(r.id, r.test) for r in bundle.issues.collect()}
+    with pytest.raises(ValueError, match="missing in the data"):
+        V.validate_polis(df.drop("SampleId"), "ES", dim, "CollectionDate")
+    with pytest.raises(ValueError, match="no snapshot"):
+        V.validate_polis_snapshots(spark, str(tmp_path), "env", "ES", dim, 2020)

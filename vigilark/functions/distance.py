@@ -116,6 +116,17 @@ def jaccard(a: str, b: str, q: int = 1) -> float:
     return 1.0 - len(x & y) / len(x | y) if x | y else 0.0
 
 
+def levenshtein(a: str, b: str) -> float:
+    """Edits."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(last[j] + 1, cur[j - 1] + 1, last[j - 1] + (x != y)))
+        last = cur
+    return float(last[-1])
+
+
 _METHODS: dict[str, Callable[[str, str], float]] = {
     "jw": jaro, "jaro_winkler": jaro_winkler, "osa": osa, "dl": damerau, "hamming": hamming, "lcs": lcs, "qgram": qgram,
     "cosine": cosine, "jaccard": jaccard,
@@ -123,12 +134,66 @@ _METHODS: dict[str, Callable[[str, str], float]] = {
 METHODS = (*_METHODS, "lv", "soundex")
 
 
-def string_distance(a: Column, b: Column, method: str = "jw") -> Column:
-    """Distance of two texts as DOUBLE. lv and soundex (0 or 1) are built in, the others run in Arrow batches."""
+def _soundex(s: str) -> str:
+    """As Spark computes it: texts that do not begin with a letter from A to Z stand for themselves."""
+    if not s or not ("a" <= s[0] <= "z" or "A" <= s[0] <= "Z"):
+        return s
+    code = {c: d for d, cs in zip("123456", ("BFPV", "CGJKQSXZ", "DT", "L", "MN", "R")) for c in cs}
+    s = s.upper()
+    out, last = s[0], code.get(s[0], "")
+    for c in s[1:]:
+        d = code.get(c, "")
+        if c in "AEIOUY":
+            last = ""
+        elif d and d != last:
+            out, last = out + d, d
+        elif d:
+            last = d
+    return (out + "000")[:4]
+
+
+def distance_function(method: str) -> Callable[[str, str], float]:
+    """The distance of two Python texts, the same as string_distance."""
+    if method == "soundex":
+        return lambda a, b: float(_soundex(a) != _soundex(b))
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
+    return levenshtein if method == "lv" else _METHODS[method]
+
+
+def _letters(c: Column) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+
+
+def _numbered(x: Column) -> Column:
+    """Letters with the number of their occurrence, so that common occurrences are common elements."""
+    return F.transform(x, lambda c, i: F.concat(c, F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda y: y == c)).cast("string")))
+
+
+def _built_in(a: Column, b: Column, method: str) -> Column | None:
+    """The methods that are expressions of the JVM; of single letters where they count letters."""
+    x, y = _letters(a), _letters(b)
     if method == "lv":
         return F.levenshtein(a, b).cast("double")
     if method == "soundex":
-        return F.when(a.isNotNull() & b.isNotNull(), F.when(F.soundex(a) == F.soundex(b), 0.0).otherwise(1.0))
+        return F.when(F.soundex(a) == F.soundex(b), 0.0).otherwise(1.0)
+    if method == "hamming":
+        differ = F.size(F.filter(F.zip_with(x, y, lambda p, q: p != q), lambda d: d))
+        return F.when(F.length(a) == F.length(b), differ.cast("double")).otherwise(float("inf"))
+    if method == "jaccard":
+        both = F.size(F.array_union(x, y))
+        return F.when(both == 0, 0.0).otherwise(1 - F.size(F.array_intersect(x, y)) / both)
+    if method == "qgram":
+        return (F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(_numbered(x), _numbered(y)))).cast("double")
+    return None
+
+
+def string_distance(a: Column, b: Column, method: str = "jw") -> Column:
+    """Distance of two texts as DOUBLE, null if either is null. lv, soundex (0 or 1), hamming, jaccard and qgram are expressions of the JVM,
+    the others run in Arrow batches."""
+    built_in = _built_in(a, b, method)
+    if built_in is not None:
+        return F.when(a.isNotNull() & b.isNotNull(), built_in)
     if method not in _METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
     one = _METHODS[method]

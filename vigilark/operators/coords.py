@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilark.functions.fmt import big_mark, decimal_places
 from vigilark.functions.geo import distance_m, in_rings
 from vigilark.operators.spatial import BROADCAST_CENTRES, nearest_centres, regions_of_points
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import join_dimension, row_id
 from vigilark.plans.rows import clean_guid
 
 CHECKS = ("missing", "parse", "out_of_bounds", "precision", "null_coords", "flip", "on_water")
@@ -44,7 +44,7 @@ def with_centre(df: DataFrame, dim: DataFrame, key: str, dim_key: str, lat: str,
     centre = F.min(F.struct(F.col(f"`{dim_lat}`").alias("la"), F.col(f"`{dim_lon}`").alias("lo"))).alias("__c")
     d = dim.where(F.col(f"`{dim_key}`").isNotNull()).groupBy(clean_guid(F.col(f"`{dim_key}`").cast("string")).alias(key)).agg(centre)
     left = df.drop(*[c for c in (dim_lat, dim_lon) if c in df.columns]).withColumn(key, clean_guid(F.col(f"`{key}`").cast("string")))
-    j = join_dimension(left, d, [key], "left", spread=F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]))
+    j = join_dimension(left, d, [key], "left", spread=row_id(left))
     return j.withColumns({dim_lat: F.col("__c.la"), dim_lon: F.col("__c.lo")}).drop("__c")
 
 
@@ -102,7 +102,7 @@ def with_land_water(df: DataFrame, lon: str, lat: str, land: DataFrame, lakes: D
         r = regions.withColumn("__r", F.lit(1))
         return regions_of_points(p, "__k", "__x", "__y", r, "__r", "ring", holes="holes" if "holes" in r.columns else None).withColumnRenamed("__r", name)
 
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    spread = row_id(df)
     d = join_dimension(d, hits(land, "__land"), ["__k"], "left", spread=spread)
     d = join_dimension(d, hits(lakes, "__lake"), ["__k"], "left", spread=spread) if lakes is not None else d.withColumn("__lake", F.lit(None).cast("int"))
     place = F.when(F.col("__land").isNull(), "Ocean").when(F.col("__lake").isNull(), "Land").otherwise("Inland water")

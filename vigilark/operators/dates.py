@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.dates import half_year_label, half_year_start, iso_prefix_date, leap_issue
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import join_dimension, row_id
 
 # The orders a date text may have. Y year of four digits, y of two, B month by name, HMS and HM the time.
 DATE_ORDERS = ("dmY", "mdY", "Ymd", "Ydm", "dmy", "mdy", "ymd", "ydm")
@@ -387,5 +387,5 @@ def assign_round_number(df: DataFrame, column: str = "today", grouping: Sequence
     if not grouping:
         found = found.drop("__all")
     d = df.withColumn("__day", F.col(f"`{column}`").cast("date"))
-    j = join_dimension(d, found, [*grouping, "__day"], "left")
+    j = join_dimension(d, found, [*grouping, "__day"], "left", spread=row_id(d))
     return j.withColumns({name: F.date_format("__start", "MMM yyyy"), f"{name}_start": F.col("__start")}).drop("__day", "__start")

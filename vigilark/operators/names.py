@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilark.functions.distance import string_distance
-from vigilark.plans.joins import fits, join_dimension
+from vigilark.functions.distance import distance_function, string_distance
+from vigilark.plans.joins import join_dimension, row_id
+from vigilark.session import list_dir, materialise, publish, read_small
 
 LEVELS = tuple(f"level{i}" for i in range(5))
 
@@ -73,29 +78,56 @@ def match_stats(data: DataFrame, lookup: DataFrame, levels: Sequence[str]) -> Da
     return j.groupBy(F.col("a.level").alias("level")).agg(F.count_if("hit").alias("matched"), F.count("*").alias("total"))
 
 
+#: Names to match, and reference names, that one task ranks without a parent to block on.
+NAMES_PER_TASK, REFERENCE_PER_TASK = 500, 50_000
+
+
 def rank_matches(names: DataFrame, lookup: DataFrame, name: str, candidate: str, parent: Sequence[str] = (), method: str = "jw", top: int | None = None) -> DataFrame:
     """(parents..., algorithm_name, name_to_match, matched_names, distance, match_rank): reference names ranked by distance for
-    every distinct name to match, ties by name.
+    every distinct name to match, ties by name; the first `top` of them, or all.
 
-    With parents only names under the same parents meet (an equi-join). Without, the distinct names are a stated set of
-    queries against the distinct reference names, which must be few enough to be broadcast (counted).
+    With parents only names under the same parents meet (an equi-join, salted by the name). Without, and with `top`, the names are a
+    stated set of queries against the reference names in blocks: a task holds some hundred names and one block, keeps the best of
+    each name and never gives out all pairs; blocks are merged by rank. Any number of reference names. Without both, all pairs are the
+    result. Null names and null candidates are left out.
     """
     a = names.select(*parent, F.col(name).alias("name_to_match")).where("name_to_match is not null").distinct()
     b = lookup.select(*parent, F.col(candidate).alias("matched_names")).where("matched_names is not null").distinct()
-    if parent:
-        j = join_dimension(a, b, list(parent), "inner", spread=F.col("name_to_match"))
+    if not parent and top:
+        d = _nearest_in_blocks(a, b, method, top)
     else:
-        if not fits(b):
-            raise ValueError("too many reference names without a parent to block on")
-        listed = b.agg(F.collect_set("matched_names").alias("__all"))
-        j = a.join(F.broadcast(listed)).select("name_to_match", F.explode("__all").alias("matched_names"))
-    d = j.withColumn("distance", string_distance(F.col("name_to_match"), F.col("matched_names"), method))
+        keys = list(parent) or ["__all"]
+        if not parent:
+            a, b = a.withColumn("__all", F.lit(0)), b.withColumn("__all", F.lit(0))
+        d = join_dimension(a, b, keys, "inner", spread=F.col("name_to_match"))
+        d = d.withColumn("distance", string_distance(F.col("name_to_match"), F.col("matched_names"), method))
     w = Window.partitionBy(*parent, "name_to_match").orderBy(F.round("distance", 9).asc_nulls_last(), "matched_names")
     r = d.withColumn("match_rank", F.row_number().over(w)).withColumn("algorithm_name", F.lit(method))
     r = r.where(F.col("match_rank") <= top) if top else r
     return r.select(*parent, "algorithm_name", "name_to_match", "matched_names", "distance", "match_rank")
 
 
+def _nearest_in_blocks(a: DataFrame, b: DataFrame, method: str, top: int) -> DataFrame:
+    """(name_to_match, matched_names, distance): of every name the `top` nearest of each block of reference names."""
+    b = materialise(b, "reference-names")
+    parts = max(1, math.ceil(a.count() / NAMES_PER_TASK)), max(1, math.ceil(b.count() / REFERENCE_PER_TASK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.withColumns({"p": part("name_to_match", parts[0]), "q": every(parts[1])})
+    right = b.withColumns({"q": part("matched_names", parts[1]), "p": every(parts[0])})
+    one = distance_function(method)
+
+    def rank(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        candidates, rows = sorted(y["matched_names"]), []
+        for n in x["name_to_match"]:
+            # sorted by name, and stable, so ties keep the smaller name
+            best = heapq.nsmallest(top, ((round(one(n, c), 9), i) for i, c in enumerate(candidates)))
+            rows += [(n, candidates[i], one(n, candidates[i])) for _, i in best]
+        return pd.DataFrame(rows, columns=["name_to_match", "matched_names", "distance"])
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(rank, "name_to_match string, matched_names string, distance double")
+
+
 def suggest_geonames(target: DataFrame, lookup: DataFrame, levels: Sequence[str], method: str = "jw", stratify: bool = True, top: int = 5) -> DataFrame:
     """Ranked candidates for every name that lookup does not have under the same parent: (level, parent, algorithm_name, name_to_match,
     matched_names, distance, match_rank). Names whose parent is itself unknown are left for a later pass, once it is decided."""
@@ -128,7 +160,7 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, levels: Sequence[str])
         d = d.select(*[v.alias(k) for k, v in keys.items()], F.upper("replacement").alias("__new"), "created_time")
         best = F.max_by("__new", F.struct(F.coalesce("created_time", F.lit("")), F.col("__new"))).alias("__new")
         d = d.groupBy(*keys).agg(best)
-        j = join_dimension(out, d, list(keys), "left", spread=F.col(f"`{levels[-1]}`"))
+        j = join_dimension(out, d, list(keys), "left", spread=row_id(out))
         out = j.withColumn(c, F.coalesce("__new", f"`{c}`")).drop("__new")
     return out.select(*df.columns)
 
@@ -136,13 +168,25 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, levels: Sequence[str])
 def split_matched(df: DataFrame, lookup: DataFrame, levels: Sequence[str]) -> DataFrame:
     """df with `matched`: whether lookup has the whole path of names."""
     have = lookup.select(long_name(*levels).alias("long_geo")).distinct().withColumn("__hit", F.lit(True))
-    j = join_dimension(df.withColumn("long_geo", long_name(*levels)), have, ["long_geo"], "left", spread=F.col(f"`{levels[-1]}`"))
+    j = join_dimension(df.withColumn("long_geo", long_name(*levels)), have, ["long_geo"], "left", spread=row_id(df))
     return j.withColumn("matched", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
-def prep_geonames(target: DataFrame, lookup: DataFrame, levels: Sequence[str], decisions: DataFrame | None = None, method: str = "jw", top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(rows with corrected names and `matched`, suggestions for what is still unmatched): upper case, decisions, matching, suggestions.
-    Deciding is left to people: they fill a table of decisions, and this runs again."""
+def prep_geonames(
+    target: DataFrame, lookup: DataFrame, levels: Sequence[str], decisions: DataFrame | None = None, method: str = "jw", top: int = 5,
+    who_region: str | None = None, region_column: str = "WHO_REGION",
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with corrected names and `matched`, suggestions for what is still unmatched): upper case, decisions, matching, suggestions, for
+    one to five levels from the country down. who_region keeps the part of lookup of one region. Deciding is left to people: they fill
+    a table of decisions (DecisionStore keeps it), and this runs again."""
+    if not 1 <= len(levels) <= len(LEVELS):
+        raise ValueError(f"one to {len(LEVELS)} levels")
+    for df, where in ((target, "target"), (lookup, "lookup")):
+        for c in levels:
+            if c not in df.columns:
+                raise ValueError(f"The column '{c}' is not present in the {where} dataframe.")
+    if who_region is not None:
+        lookup = lookup.where(F.upper(F.trim(F.col(region_column))) == who_region.strip().upper())
     t, ref = upper_levels(target, levels), upper_levels(lookup, levels)
     if decisions is not None:
         t = apply_decisions(t, decisions, levels)
@@ -150,6 +194,39 @@ def prep_geonames(target: DataFrame, lookup: DataFrame, levels: Sequence[str], d
     return done, suggest_geonames(done.where(~F.col("matched")).select(*levels), ref, levels, method, True, top)
 
 
+class DecisionStore:
+    """Decisions kept in numbered versions under a folder. save() merges new decisions into the newest version and publishes the
+    result atomically; if another writer was first, it merges again, so nobody's decisions are lost."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _head(self) -> tuple[int, str | None]:
+        names = sorted(n for n in list_dir(self.spark, f"{self.path}/log") if n.endswith(".txt"))
+        return (int(names[-1][:-4]), read_small(self.spark, f"{self.path}/log/{names[-1]}")) if names else (0, None)
+
+    def read(self) -> DataFrame | None:
+        """The newest version, None before the first."""
+        name = self._head()[1]
+        return self.spark.read.parquet(f"{self.path}/data/{name}") if name else None
+
+    def save(self, new: DataFrame) -> int:
+        """The number of the version that holds the new decisions."""
+        while True:
+            version, name = self._head()
+            old = self.spark.read.parquet(f"{self.path}/data/{name}") if name else new.limit(0)
+            fresh = uuid.uuid4().hex
+            merge_decisions(old, new).write.parquet(f"{self.path}/data/{fresh}")
+            if publish(self.spark, fresh, f"{self.path}/log/{version + 1:012d}.txt"):
+                return version + 1
+
+
+def split_long_name(df: DataFrame, column: str, into: Sequence[str], sep: str = "_") -> DataFrame:
+    """df with a long name taken apart into columns: further parts are dropped, missing ones null."""
+    parts = F.split(F.col(f"`{column}`"), re.escape(sep))
+    return df.withColumns({c: F.get(parts, F.lit(i)) for i, c in enumerate(into)})
+
+
 def merge_decisions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both tables, of each level, name and corrected path the latest decision; ties go to the smaller replacement."""
     both = old.unionByName(new, allowMissingColumns=True)

@@ -10,21 +10,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.fmt import big_mark
 from vigilark.operators.coords import FLAG, HEADING, Rings, check_coords
 from vigilark.operators.dates import DATE_ORDERS, TIME_ORDERS, date_flags, iso_text, trained_orders, with_trained
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import join_dimension, row_id
+from vigilark.plans.rows import canonical_text
+from vigilark.session import bounded_by, materialise
+from vigilark.sources.snapshots import read_snapshots, snapshot_weeks
 
 # ------------------------------------------------------------------ single checks
 
 
-def check_missing(df: DataFrame, columns: Sequence[str] | None = None, key_columns: Sequence[str] = (), group_by: Sequence[str] = ()) -> DataFrame:
+def check_missing(df: DataFrame, columns: Sequence[str] | None = None, key_columns: Sequence[str] = (), group_by: Sequence[str] = (), types: bool = False) -> DataFrame:
     """(groups..., column_name, missing_count, missing_percent, priority, completely_null): one row per column and group, from one
     aggregation. priority is High for key columns, Standard for others, null if there are no key columns. An empty table
-    without groups has counts of 0 and null percents."""
+    without groups has counts of 0 and null percents. types=True adds data_type, the type of the column."""
     cols = [c for c in (columns or df.columns) if c not in group_by]
     unknown = [c for c in (*cols, *group_by) if c not in df.columns]
     if unknown:
@@ -36,10 +39,15 @@ def check_missing(df: DataFrame, columns: Sequence[str] | None = None, key_colum
     priority = F.when(F.col("r.c").isin(list(key_columns)), "High").otherwise("Standard") if key_columns else F.lit(None).cast("string")
     return g.select(*[F.col(f"`{c}`") for c in group_by], "__n", rows).select(
         *[F.col(f"`{c}`") for c in group_by], F.col("r.c").alias("column_name"), F.col("r.k").alias("missing_count"), pct.alias("missing_percent"),
-        priority.alias("priority"), (pct == 100).alias("completely_null"),
+        priority.alias("priority"), (pct == 100).alias("completely_null"), *([_type_of(df, cols).alias("data_type")] if types else []),
     )
 
 
+def _type_of(df: DataFrame, columns: Sequence[str]) -> Column:
+    kinds = dict(df.dtypes)
+    return F.element_at(F.array(*[F.lit(kinds[c]) for c in columns]), F.col("r.o") + 1)
+
+
 def missing_ids(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """Ids of the rows where column is null."""
     for c in (id_col, column):
@@ -69,9 +77,11 @@ def admin_hierarchy(df: DataFrame, combos: Sequence[Sequence[str]], true_hierarc
 
 
 def non_unique_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of groups of more than one row with equal values in all given columns, null equal to null."""
-    n = F.count("*").over(Window.partitionBy(*[F.col(f"`{c}`") for c in columns]))
-    return df.withColumn("__n", n).where("__n > 1").drop("__n")
+    """Rows of groups of more than one row with equal values in all given columns, null equal to null. Groups are counted map-side; the
+    repeated ones meet their rows by a join, so that no task holds a whole group."""
+    key = canonical_text(columns).alias("__k")
+    many = df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select("__k")
+    return join_dimension(df.withColumn("__k", canonical_text(columns)), many, ["__k"], "left_semi", spread=row_id(df)).drop("__k")
 
 
 def mismatches(df: DataFrame, dim: DataFrame, id_col: str, pairs: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +129,12 @@ class CheckSpec:
     min_year: int = 2000
     min_precision: int = 4
     detections: bool = False
-    land: Rings | None = None
-    lakes: Rings | None = None
+    land: Rings | DataFrame | None = None
+    lakes: Rings | DataFrame | None = None
+
+
+#: The parts of a check, each of which can be left out.
+PARTS = ("missing", "dates", "hierarchy", "mismatches", "coordinates", "detections")
 
 
 _ADMIN = {
@@ -142,11 +156,12 @@ PRESETS = {
     ),
 }
 
-# Kinds of date checks with their names in scorecard and issue list.
+# Kinds of date checks with their names in scorecard and issue list, {year} being the year of the check.
 DATE_KINDS = (
-    ("missing", "Missing", "is missing"), ("non_date", "Non-date", "is not a date"), ("invalid", "Invalid", "is invalid"), ("future", "Future", "future"),
-    ("leap_issue", "Leap Issue", "has leap issue"), ("format_issue", "Format Issue", "has format issue"),
+    ("missing", "Missing", "Missing Value"), ("non_date", "Non-date", "is not a date"), ("invalid", "Invalid", "Invalid Date (Not Starting With '20')"),
+    ("future", "Future", "Future Dates (Beyond {year})"), ("leap_issue", "Leap Issue", "has leap issue"), ("format_issue", "Format Issue", "has format issue"),
 )
+WRONG_ORDER = "Invalid Date Order (First Date Is After Second Date)"
 
 # Labels of the scorecard and of the issue list.
 LABELS = {
@@ -177,7 +192,7 @@ class CheckBundle:
     issues: DataFrame
 
 
-def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: date, group: str | None) -> tuple[DataFrame, list[tuple]]:
+def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: date, group: str | None, parts: Sequence[str] = PARTS) -> tuple[DataFrame, list[tuple]]:
     """Projection of group, id and one boolean per check, and what each boolean stands for:
     (flag, header, column name in the scorecard, type and text in the issue list or None)."""
     need = [spec.id_col, *([group] if group else []), *spec.places, *[c for p in spec.hierarchy for c in p], *spec.dates, *[c for p in spec.date_pairs for c in p]]
@@ -193,28 +208,31 @@ def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: da
         new[flag] = F.coalesce(value, F.lit(False))
         meta.append((flag, header, column, kind, test))
 
-    for c in spec.places:
-        add(f"__m_{c}", F.col(f"`{c}`").isNull(), HEADERS[3], c, "Geo", f"{c} is missing")
-    if dim is not None:
-        for c, k in spec.places.items():
-            guid = "GUID" in k
-            norm = (lambda x: F.lower(F.regexp_replace(x, "[{}]", ""))) if guid else (lambda x: x)
-            values = dim.select(norm(F.col(f"`{k}`").cast("string")).alias(f"__v_{c}")).where(f"`__v_{c}` is not null").distinct().withColumn(f"__in_{c}", F.lit(True))
-            d = join_dimension(d.withColumn(f"__v_{c}", norm(F.col(f"`{c}`").cast("string"))), values, [f"__v_{c}"], "left", spread=F.col("__id"))
-            if c != "Admin0GUID":
-                add(f"__x_{c}", F.col(f"`{c}`").isNotNull() & F.col(f"__in_{c}").isNull(), HEADERS[4], c, "Geo", f"{c} not in Shapefile")
+    for c in spec.places if "missing" in parts else ():
+        add(f"__m_{c}", F.col(f"`{c}`").isNull(), HEADERS[3], c, "Geo", f"{c} Missing Value")
+    if dim is not None and "mismatches" in parts:
+        norm = lambda c, k: F.lower(F.regexp_replace(F.col(f"`{c}`").cast("string"), "[{}]", "")) if "GUID" in k else F.col(f"`{c}`").cast("string")
+        checked = {c: k for c, k in spec.places.items() if c != "Admin0GUID"}
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), norm(k, k).alias("v")) for k in dict.fromkeys(checked.values())]))
+        # the values of all columns of the dimension, made and counted once
+        values = materialise(dim.select(cells.alias("x")).select("x.k", "x.v").where("v is not null").distinct(), "places")
+        d = d.withColumn("__row", row_id(df))
+        for c, k in checked.items():
+            there = bounded_by(values.where(F.col("k") == k).select(F.col("v").alias(f"__v_{c}"), F.lit(True).alias(f"__in_{c}")), values)
+            d = join_dimension(d.withColumn(f"__v_{c}", norm(c, k)), there, [f"__v_{c}"], "left", spread=F.col("__row"))
+            add(f"__x_{c}", F.col(f"`{c}`").isNotNull() & F.col(f"__in_{c}").isNull(), HEADERS[4], c, "Geo", f"{c} not in Shapefile")
     pair_cols = {c for p in spec.date_pairs for c in p}
-    best = trained_orders(df, list(dict.fromkeys((*spec.dates, *pair_cols))), (*DATE_ORDERS, *TIME_ORDERS)) if spec.dates or pair_cols else {}
+    best = trained_orders(df, list(dict.fromkeys((*spec.dates, *pair_cols))), (*DATE_ORDERS, *TIME_ORDERS)) if "dates" in parts and (spec.dates or pair_cols) else {}
     d = with_trained(d, {f"__i_{c}": c for c in best}, best)
     d = d.withColumns({f"__t_{c}": F.coalesce(iso_text(F.col(f"`__i_{c}`")), F.col(f"`{c}`").cast("string")) for c in best})
-    for c in spec.dates:
+    for c in spec.dates if "dates" in parts else ():
         flags = date_flags(F.col(f"`__t_{c}`"), c, ("missing", "non_date", "sensible", "leap_year", "format"), spec.min_year, as_of)
         for kind, name, text in DATE_KINDS:
-            add(f"__d_{c}_{kind}", flags[f"{c}_{kind}"], f"Date Check: {c}", name, "Date", f"{c} {text}")
-    for a, b in spec.date_pairs:
+            add(f"__d_{c}_{kind}", flags[f"{c}_{kind}"], f"Date Check: {c}", name, "Date", f"{c} {text.format(year=as_of.year)}")
+    for a, b in spec.date_pairs if "dates" in parts else ():
         x, y = (F.try_to_date(F.substring(F.col(f"`__t_{c}`"), 1, 10), "yyyy-MM-dd") for c in (a, b))
-        add(f"__o_{a}_{b}", x > y, f"Date Pair Check: {a} ~ {b}", "Invalid Order", "Date", f"{a} ~ {b} has invalid order")
-    if spec.lat and spec.lon:
+        add(f"__o_{a}_{b}", x > y, f"Date Pair Check: {a} ~ {b}", "Invalid Order", "Date", f"{a} ~ {b} {WRONG_ORDER}")
+    if spec.lat and spec.lon and "coordinates" in parts:
         d = check_coords(
             d, spec.lat, spec.lon, spec.coordinate_checks, dim, spec.key, spec.dim_key, spec.dim_lat, spec.dim_lon, spec.land, spec.lakes, spec.min_precision
         )
@@ -222,23 +240,30 @@ def _flag_frame(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, as_of: da
             if f in d.columns and k in spec.coordinate_checks:
                 v = F.col(f).isin("Ocean", "Inland water") if k == "on_water" else F.col(f)
                 add(f"__c_{k}", v, HEADERS[2], HEADING[k], "Coordinate", ISSUE_LABELS[f])
-    if spec.detections:
+    if spec.detections and "detections" in parts:
         wild, kind = F.col("WILD1"), F.col("VdpvClassifications") == "Circulating"
         for name, v in (("WPV1", wild), ("cVDPV1", F.col("VDPV1") & kind), ("cVDPV2", F.col("VDPV2") & kind)):
             add(f"__v_{name}", v, HEADERS[1], name, None, None)
     return d.withColumns(new).select("__group", "__id", *new), meta
 
 
-def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_of: date | None = None, group: str | None = None, n_groups: int | None = None, hierarchy: bool = True) -> CheckBundle:
+def check_data(
+    df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_of: date | None = None, group: str | None = None, n_groups: int | None = None,
+    parts: Sequence[str] = PARTS, shared: bool = False,
+) -> CheckBundle:
     """All checks of spec over df, per value of `group` (null groups left out; the last n_groups in order) or over all rows.
 
     The scorecard also has the total of rows and of duplicates: rows whose id occurred already, per group; a null id is an id.
-    Every header's checks are there for every group, with 0 where nothing was found. hierarchy: whether the scorecard has a
-    line for each combination of spec.hierarchy; its count is the reference's, distinct rows less distinct rows (see
-    admin_hierarchy).
+    Every header's checks are there for every group, with 0 where nothing was found. parts: what to check, some of PARTS. The
+    scorecard's line for each combination of spec.hierarchy has the reference's count, distinct rows less distinct rows (see
+    admin_hierarchy). shared: the flags are written once, for callers who use both scorecard and issues.
     """
+    unknown = set(parts) - set(PARTS)
+    if unknown:
+        raise ValueError(f"unknown parts: {', '.join(sorted(unknown))}")
     as_of = as_of or date.today()
-    flags, meta = _flag_frame(df, spec, dim, as_of, group)
+    flags, meta = _flag_frame(df, spec, dim, as_of, group, parts)
+    flags = materialise(flags, "flags") if shared else flags
     if group:
         flags = flags.where("__group is not null")
         if n_groups is not None:
@@ -251,12 +276,12 @@ def check_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None = None, as_
     )
     order = {h: i for i, h in enumerate(dict.fromkeys([*HEADERS, *[m[1] for m in meta]]))}
     lines = [("__rows", HEADERS[0], "Total Rows"), ("__dup", HEADERS[0], "Total Duplicate")] + [(m[0], m[1], m[2]) for m in meta]
-    if hierarchy:
+    if "hierarchy" in parts:
         total = total.withColumn("__hier", F.lit(0))
         lines += [("__hier", HEADERS[5], " ~ ".join(p)) for p in spec.hierarchy]
     cells = F.array(*[F.struct(F.lit(h).alias("header"), F.lit(order[h]).alias("header_ord"), F.lit(_label(h, c, as_of)).alias("column_name"), F.col(f"`{f}`").cast("long").alias("count")) for f, h, c in lines])
     summary = total.select(F.col("__group").alias("group"), F.explode(cells).alias("c")).select("group", "c.*")
-    tests = [F.when(F.col(f"`{m[0]}`"), F.struct(F.lit(m[3]).alias("column_type"), F.lit(_issue(m[4], as_of)).alias("test"))) for m in meta if m[3]]
+    tests = [F.when(F.col(f"`{m[0]}`"), F.struct(F.lit(m[3]).alias("column_type"), F.lit(m[4]).alias("test"))) for m in meta if m[3]]
     found = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("i") if tests else None
     if found is None:
         issues = flags.select(F.col("__id").alias("id"), F.lit("").alias("column_type"), F.lit("").alias("test")).where("false")
@@ -273,28 +298,51 @@ def _label(header: str, column: str, as_of: date) -> str:
     return f"Date into the future (beyond {as_of.year})" if column == "Future" else LABELS.get(column, column)
 
 
-def _issue(test: str, as_of: date) -> str:
-    for a, b in (
-        ("future", f"Future Dates (Beyond {as_of.year})"), ("has invalid order", "Invalid Date Order (First Date Is After Second Date)"),
-        ("is invalid", "Invalid Date (Not Starting With '20')"), ("is missing", "Missing Value"),
-    ):
-        test = test.replace(a, b)
-    return test
+def in_report_order(table: DataFrame) -> DataFrame:
+    """A scorecard by header, names before ids, then by check, with `header_text`: the header on its first row, empty on the others."""
+    order = ["header_ord", (~F.col("column_name").contains("Name")).alias("n"), "column_name"]
+    first = F.row_number().over(Window.partitionBy("header_ord").orderBy(*order[1:])) == 1  # some dozen checks under a header
+    return table.withColumn("header_text", F.when(first, F.col("header")).otherwise("")).orderBy(*order)
 
 
 def summary_by_group(bundle: CheckBundle, groups: Sequence[str]) -> DataFrame:
-    """(header, column_name, one column per group): the scorecard with groups side by side; values as numbers, 0 where nothing was found.
-    Order rows by header_ord."""
+    """(header_ord, header, column_name, one column per group): the scorecard with groups side by side; values as numbers, 0 where nothing
+    was found. in_report_order sorts it."""
     p = bundle.summary.groupBy("header_ord", "header", "column_name").pivot("group", list(groups)).agg(F.sum("count"))
     return p.fillna(0, subset=list(groups))
 
 
-def validate_data(df: DataFrame, spec: CheckSpec, dim: DataFrame | None, group: str, n_groups: int = 10, as_of: date | None = None) -> tuple[CheckBundle, DataFrame]:
-    """The checks and the scorecard of the last n_groups groups side by side. The group values are one small query; at most n_groups come to
-    the driver."""
-    bundle = check_data(df, spec, dim, as_of, group, n_groups)
+def validate_data(
+    df: DataFrame, spec: CheckSpec, dim: DataFrame | None, group: str, n_groups: int = 10, as_of: date | None = None, decreasing: bool = False, parts: Sequence[str] = PARTS,
+) -> tuple[CheckBundle, DataFrame]:
+    """The checks and the scorecard of the last n_groups groups side by side, in their order or backwards. The group values are one
+    small query; at most n_groups come to the driver. The flags are written once."""
+    bundle = check_data(df, spec, dim, as_of, group, n_groups, parts, shared=True)
     last = df.select(F.col(f"`{group}`").alias("g")).where("g is not null").distinct().orderBy(F.desc("g")).limit(n_groups).collect()
-    return bundle, summary_by_group(bundle, [str(r.g) for r in reversed(last)])
+    return bundle, summary_by_group(bundle, [str(r.g) for r in (last if decreasing else reversed(last))])
+
+
+def validate_polis(
+    df: DataFrame, kind: str, dim: DataFrame | None, group: str, n_groups: int = 10, as_of: date | None = None, decreasing: bool = False, parts: Sequence[str] = PARTS, **changes,
+) -> tuple[CheckBundle, DataFrame]:
+    """validate_data of AFP or ES records by their preset, with changes of it; columns that are missing are named in the error."""
+    return validate_data(df, preset(kind, **changes), dim, group, n_groups, as_of, decreasing, parts)
+
+
+# The date that places a record in a year.
+RECORD_DATE = {"AFP": "CaseDate", "ES": "CollectionDate"}
+
+
+def validate_polis_snapshots(
+    spark: SparkSession, root: str, name: str, kind: str, dim: DataFrame | None, year: int, snapshots: int = 6, as_of: date | None = None, **changes,
+) -> tuple[CheckBundle, DataFrame]:
+    """The checks and the scorecard of the newest weekly snapshots of a year (sources.snapshots) side by side, oldest first: the records of that
+    year and the year before. Only the folders of these snapshots are read."""
+    weeks = [w for y, w in snapshot_weeks(spark, root, name) if y == year][-snapshots:]
+    if not weeks:
+        raise ValueError(f"no snapshot of {year} under {root}/{name}")
+    df = read_snapshots(spark, root, name, weeks=[(year, w) for w in weeks]).where(F.year(RECORD_DATE[kind]) >= year - 1)
+    return validate_polis(df, kind, dim, "snapshot", len(weeks), as_of, **changes)
 
 
 def preset(kind: str, **changes) -> CheckSpec:

@@ -50,3 +50,8 @@ def join_dimension(
     many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     one = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return one.join(many, [*on, salt], how).drop(salt)
+
+
+def row_id(df: DataFrame) -> Column:
+    """A hash of the whole row: a spread for tables without a unique column."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

@@ -499,7 +499,7 @@ _FULL = validation.preset("AFP")
 
 
 def _bundle(spark: SparkSession, d: str, group: str | None, spec: validation.CheckSpec = _SPEC) -> validation.CheckBundle:
-    return validation.check_data(table(spark, d, "polis_cases"), spec, table(spark, d, "shp_global"), AS_OF, group, hierarchy=spec is _FULL)
+    return validation.check_data(table(spark, d, "polis_cases"), spec, table(spark, d, "shp_global"), AS_OF, group)
 
 
 @query(f"WITH {_FLAG_TABLE} SELECT grp AS \"group\", header, column_name, count FROM ({_SUMMARY})")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from vigilark.operators.validation import in_report_order
+
 #: Rows a report may have.
 MAX_ROWS = 5_000
 
@@ -27,16 +29,14 @@ def _bars(values: Sequence[float]) -> str:
 
 def scorecard_html(table: DataFrame, groups: Sequence[str], title: str, bars: bool = True) -> str:
     """A page with the scorecard of summary_by_group: one row per check, shaded by value, headers as section rows, trend bars at the end."""
-    rows = table.orderBy("header_ord", "column_name").limit(MAX_ROWS + 1).collect()
+    rows = in_report_order(table).limit(MAX_ROWS + 1).collect()
     if len(rows) > MAX_ROWS:
         raise ValueError(f"a report has at most {MAX_ROWS} rows")
     out = [f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h2>{html.escape(title)}</h2><table><tr><th></th>"]
     out += [f"<th>{html.escape(g)}</th>" for g in groups] + (["<th>Trend</th>"] if bars else []) + ["</tr>"]
-    last = None
     for r in rows:
-        if r["header"] != last:
-            last = r["header"]
-            out.append(f"<tr><th colspan='{len(groups) + 1 + bars}'>{html.escape(last)}</th></tr>")
+        if r["header_text"]:
+            out.append(f"<tr><th colspan='{len(groups) + 1 + bars}'>{html.escape(r['header_text'])}</th></tr>")
         v = [float(r[g] or 0) for g in groups]
         cells = "".join(f"<td style='background:{_shade(x, max(v, default=0))}'>{x:,.0f}</td>" for x in v)
         out.append(f"<tr><td>{html.escape(r['column_name'])}</td>{cells}" + (f"<td>{_bars(v)}</td>" if bars else "") + "</tr>")

@@ -36,10 +36,13 @@ def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int) -> Non
         remove_path(spark, f"{root}/{name}/iso_year={y}/iso_week={w:02d}")
 
 
-def read_snapshots(spark: SparkSession, root: str, name: str, newest: int | None = None) -> DataFrame:
-    """The newest snapshots one above the other with iso_year, iso_week and the tag "Y WW"; only their folders are read."""
-    weeks = snapshot_weeks(spark, root, name)
-    paths = [f"{root}/{name}/iso_year={y}/iso_week={w:02d}" for y, w in (weeks[-newest:] if newest else weeks)]
+def read_snapshots(spark: SparkSession, root: str, name: str, newest: int | None = None, weeks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The newest snapshots, or those of the given weeks, one above the other with iso_year, iso_week and the tag "Y WW"; only their folders
+    are read."""
+    if weeks is None:
+        weeks = snapshot_weeks(spark, root, name)
+        weeks = weeks[-newest:] if newest else weeks
+    paths = [f"{root}/{name}/iso_year={y}/iso_week={w:02d}" for y, w in weeks]
     df = spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", True).parquet(*paths)
     return df.withColumn("snapshot", F.concat(F.col("iso_year").cast("string"), F.lit(" W"), F.lpad(F.col("iso_week").cast("string"), 2, "0")))
 
