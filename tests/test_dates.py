@@ -138,5 +138,5 @@ def test_iso_prefix_runs_over_all_rows(spark, monkeypatch):
 
     rows = spark.createDataFrame([(1, 1, "12-03-2021"), (2, 1, "2021-03-12T10:00"), (3, 1, None)], "CaseId long, VersionNo int, day string")
     monkeypatch.setattr(reference, "_dirty", lambda spark, d: rows)
-    got = {r.CaseId: r.day for r in reference.queries()["iso_prefix_full"](spark, "").selectExpr("CaseId", "cast(day as string) day").collect()}
+    got = {r.CaseId: r.day for r in reference.queries()["iso_prefix"](spark, "").selectExpr("CaseId", "cast(day as string) day").collect()}
     assert got == {1: "0012-03-20", 2: "2021-03-12", 3: None}

@@ -76,11 +76,12 @@ def test_queries(spark):
 
 
 class Stub(BaseHTTPRequestHandler):
-    fails = {}
+    fails, hits, forms, virus = {}, [], {}, []
 
     def do_GET(self):
         u = urlparse(self.path)
         q = parse_qs(u.query)
+        self.hits.append(self.path)
         if self.fails.get(u.path, 0) > 0:
             self.fails[u.path] -= 1
             self.send_response(503)
@@ -88,10 +89,16 @@ class Stub(BaseHTTPRequestHandler):
             return
         if u.path.startswith("/api/v1/data/"):
             form, page, size = int(u.path.rsplit("/", 1)[1]), int(q["page"][0]), int(q["page_size"][0])
-            rows = [{"_id": i, "form": form, "v": None if i % 2 else "x"} for i in range(form)]
+            rows = [{"_id": i, "form": form, "v": None if i % 2 else "x", "never": None} for i in range(form)]
+            if form in self.forms:
+                rows = [{"_id": k, "v": v} for k, v, day in self.forms[form] if day >= q.get("last_edited__gte", [""])[0]]
             body = rows[(page - 1) * size : page * size]
         elif u.path == "/api/v1/data":
             body = [{"id": 1, "title": "a"}, {"id": 2, "title": None}]
+        elif u.path == "/Env/EnvSample":
+            f = q["$filter"][0]
+            lo, hi, field = f.split("DateTime'")[1][:10], f.split("DateTime'")[2][:10], f.split()[0]
+            body = {"value": [r for r in self.virus if lo <= r[field] <= hi]}
         elif u.path == "/Virus":
             first = "skip" not in q
             body = {"value": [{"k": 1 if first else 2, "f": q.get("$filter", [""])[0][:20]}]} | ({"odata.nextLink": f"http://127.0.0.1:{self.server.server_port}/Virus?skip=1"} if first else {})
@@ -131,6 +138,70 @@ def test_http(spark, server):
     assert http.entity_sets(xml) == [("A", "T1"), ("C", "T2")]
 
 
+def test_pages_are_requested_once(spark, server):
+    Stub.hits.clear()
+    df = http.read_forms(spark, server, [5, 3], page_size=2)
+    assert df.count() == 8 and df.where("v is null").count() == 3 and "never" not in df.columns
+    assert len(Stub.hits) == len(set(Stub.hits)) == 5  # three pages of one form, two of the other
+    with pytest.warns(DeprecationWarning):
+        assert http.read_multi_forms(spark, server, [3]).count() == 3
+
+
+def test_forms_are_kept_up_to_date(spark, server, tmp_path):
+    path, day = str(tmp_path / "forms"), date(2024, 5, 1)
+    Stub.forms.update({11: [(1, "a", "2024-01-01"), (2, "b", "2024-01-01")], 12: [(1, "z", "2024-01-01")]})
+    Stub.hits.clear()
+    rows, log = http.update_forms(spark, path, server, [11], on=day)
+    assert {(r.form_id_num, r._id, r.v) for r in rows.collect()} == {("11", "1", "a"), ("11", "2", "b")}
+    assert [(r.total_rows, r.new_rows, r.note) for r in log.collect()] == [(2, 2, " Initial Download")]
+    Stub.forms[11] += [(2, "B", "2024-05-02"), (3, "c", "2024-05-02")]
+    rows, log = http.update_forms(spark, path, server, [11, 12], on=date(2024, 5, 3))
+    assert {(r.form_id_num, r._id, r.v) for r in rows.collect()} == {("11", "1", "a"), ("11", "2", "B"), ("11", "3", "c"), ("12", "1", "z")}
+    assert sorted((r.form_id_num, r.total_rows, r.new_rows) for r in log.where("update_time = '2024-05-03'").collect()) == [("11", 3, 1), ("12", 1, 1)]
+    assert len(Stub.hits) == len(set(Stub.hits)) == 3 and any("last_edited__gte=2024-05-01" in h for h in Stub.hits)
+    assert http.update_forms(spark, path, server, [11], on=date(2024, 6, 1))[0].count() == 4
+
+
+def test_odata_is_kept_up_to_date(spark, server, tmp_path):
+    row = lambda i, made, upd, v: {"Id": str(i), "CollectionDate": made, "LastUpdateDate": upd, "v": v}
+    Stub.virus[:] = [row(1, "2024-01-05", "2024-01-06", "a"), row(2, "2024-02-05", "2024-02-06", "b"), row(3, "2024-06-01", "2024-06-01", "later")]
+    args = (spark, str(tmp_path / "env"), f"{server}/Env/", "env", date(2024, 1, 1))
+    rows, log = http.update_odata(*args, date(2024, 3, 1), keys=["Id"])
+    assert {(r.Id, r.v) for r in rows.collect()} == {("1", "a"), ("2", "b")} and [r.new_rows for r in log.collect()] == [2]
+    Stub.virus[0] = row(1, "2024-01-05", "2024-06-02", "A")
+    Stub.hits.clear()
+    rows, log = http.update_odata(*args, date(2024, 7, 1), keys=["Id"])
+    assert {(r.Id, r.v) for r in rows.collect()} == {("1", "A"), ("2", "b"), ("3", "later")}
+    assert all("LastUpdateDate" in h and "2024-02-06" in h or "2024-05" in h for h in Stub.hits) and len(Stub.hits) == len(set(Stub.hits))
+    assert sorted((r.query_start, r.new_rows) for r in log.collect()) == [("2024-01-01", 2), ("2024-02-06", 1)]
+
+
+def test_single_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SINGLE_ROWS", 3)
+    with pytest.raises(ValueError, match="too many rows"):
+        files.save(spark.range(4), str(tmp_path / "a.csv"), single=True)
+    files.save(spark.range(4), str(tmp_path / "b.csv"))
+    assert files.read(spark, str(tmp_path / "b.csv")).count() == 4
+
+
+def test_bucketed_stream(spark, tmp_path):
+    """Only the buckets of a batch are rewritten; a repeated batch gives the same."""
+    src, s = str(tmp_path / "in"), "k int, v string, t timestamp"
+    t = S.BucketedTable(spark, str(tmp_path / "out"), ["k"], 8)
+    assert t.read() is None
+    run = lambda: S.merge_stream(spark.readStream.schema(s).parquet(src), t, ["k"], "t", str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([(i, "a", datetime(2024, 1, 1)) for i in range(50)], s).write.parquet(src)
+    run()
+    second = spark.createDataFrame([(1, "c", datetime(2024, 1, 2)), (2, "old", datetime(2023, 1, 1)), (99, "n", None)], s)
+    second.write.mode("append").parquet(src)
+    run()
+    want = {(i, "c" if i == 1 else "a") for i in range(50)} | {(99, "n")}
+    assert {(r.k, r.v) for r in t.read().collect()} == want
+    assert sum(len(t._table(b).versions()) for b in range(8)) <= 8 + 3
+    t.merge(second, "t", 1)
+    assert {(r.k, r.v) for r in t.read().collect()} == want and t.read().count() == 51
+
+
 def test_streams(spark, tmp_path):
     src, s = str(tmp_path / "in"), "k int, v string, t timestamp"
     t = S.VersionedTable(spark, str(tmp_path / "out"))

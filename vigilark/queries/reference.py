@@ -19,7 +19,7 @@ from vigilark.operators.spatial import regions_of_points
 from vigilark.session import scratch_path, table
 from vigilark.sources.filters import comparison_filter, logical_filter, odata_filter
 from vigilark.sources.snapshots import retained
-from vigilark.streaming.merge import VersionedTable, gap_sessions, merge_stream
+from vigilark.streaming.merge import BucketedTable, gap_sessions, merge_stream
 
 AS_OF = date(2025, 6, 30)
 Q: dict = {}
@@ -92,13 +92,20 @@ def validate_date(spark: SparkSession, d: str) -> DataFrame:
     return dates.validate_date(_dirty(spark, d).drop("ReceivedAt"), "day", as_of=AS_OF)
 
 
-@query("""SELECT CaseId, VersionNo, NotificationDate, InvestigationDate, NotificationDate IS NULL AS NotificationDate_missing, InvestigationDate IS NULL AS InvestigationDate_missing,
-  NOT year(NotificationDate) BETWEEN 2000 AND 2025 AS NotificationDate_invalid, NOT year(InvestigationDate) BETWEEN 2000 AND 2025 AS InvestigationDate_invalid,
-  year(NotificationDate) > 2025 AS NotificationDate_future, year(InvestigationDate) > 2025 AS InvestigationDate_future, NotificationDate = InvestigationDate AS NotificationDate_same,
-  NotificationDate > InvestigationDate AS NotificationDate_invalid_order FROM polis_cases""")
+_MIXED = """CASE CaseId % {n} WHEN 0 THEN NULL WHEN 1 THEN '2019-02-29' WHEN 2 THEN 'not a date' WHEN 3 THEN '1999-12-31' WHEN 4 THEN '2031-01-15' WHEN 5 THEN '2021-13-45' ELSE {iso} END"""
+_MIXED_SPARK = [_MIXED.format(n=n, iso=f"date_format({c}, 'yyyy-MM-dd')") for n, c in ((9, "NotificationDate"), (11, "InvestigationDate"))]
+_MIXED_SQL = [_MIXED.format(n=n, iso=f"strftime({c}, '%Y-%m-%d')") for n, c in ((9, "NotificationDate"), (11, "InvestigationDate"))]
+
+
+@query(f"""WITH t AS (SELECT CaseId, VersionNo, {_MIXED_SQL[0]} AS a, {_MIXED_SQL[1]} AS b FROM polis_cases), u AS (SELECT *, try_cast(a AS DATE) AS x, try_cast(b AS DATE) AS y FROM t)
+SELECT CaseId, VersionNo, a, b, a IS NULL AS a_missing, b IS NULL AS b_missing, x IS NULL AND a IS NOT NULL AS a_non_date, y IS NULL AND b IS NOT NULL AS b_non_date,
+  NOT year(x) BETWEEN 2000 AND 2025 AS a_invalid, NOT year(y) BETWEEN 2000 AND 2025 AS b_invalid, year(x) > 2025 AS a_future, year(y) > 2025 AS b_future,
+  coalesce(a = '2019-02-29', false) AS a_leap_issue, coalesce(b = '2019-02-29', false) AS b_leap_issue, x IS NULL AND a IS NOT NULL AS a_format_issue, y IS NULL AND b IS NOT NULL AS b_format_issue,
+  x = y AS a_same, x > y AS a_invalid_order FROM u""")
 def validate_dates(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "polis_cases").select("CaseId", "VersionNo", "NotificationDate", "InvestigationDate")
-    return dates.validate_dates(t, "NotificationDate", "InvestigationDate", ("missing", "sensible", "similarity", "order"), as_of=AS_OF)
+    """All seven tests on two columns of text."""
+    t = table(spark, d, "polis_cases").select("CaseId", "VersionNo", F.expr(_MIXED_SPARK[0]).alias("a"), F.expr(_MIXED_SPARK[1]).alias("b"))
+    return dates.validate_dates(t, "a", "b", as_of=AS_OF)
 
 
 @query(f"""WITH t AS (SELECT CaseId, VersionNo, {_DIRTY_SQL} AS day FROM polis_cases) SELECT CaseId, VersionNo, coalesce(day = '2019-02-29', false) AS leap FROM t""")
@@ -112,20 +119,24 @@ def autoparse_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT CaseId, VersionNo, {_DIRTY_SQL} AS day FROM polis_cases)
-SELECT CaseId, VersionNo, CASE WHEN regexp_matches(day, '^\\d{{4}}-') THEN try_cast(day AS DATE) END AS day FROM t WHERE day IS NULL OR NOT regexp_matches(day, '^\\d{{2}}-')""")
+SELECT CaseId, VersionNo, CAST(CASE WHEN regexp_matches(day, '^\\d{{4}}-') THEN try_cast(day AS DATE)
+  WHEN regexp_matches(day, '^\\d{{2}}-') THEN make_date(CAST(day[1:2] AS INT), CAST(day[4:5] AS INT), CAST(day[7:8] AS INT)) END AS VARCHAR) AS day FROM t""")
 def iso_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _dirty(spark, d).where(F.col("day").isNull() | ~F.col("day").rlike(r"^\d{2}-")).select("CaseId", "VersionNo", iso_prefix_date(F.col("day")).alias("day"))
+    """All rows; a text such as 12-03-2021 is read as the 20th of March of the year 12, as the rule has it. As text: dates so early don't fit all
+    clients."""
+    return _dirty(spark, d).select("CaseId", "VersionNo", iso_prefix_date(F.col("day")).cast("string").alias("day"))
 
 
-@query()
-def iso_prefix_full(spark: SparkSession, d: str) -> DataFrame:
-    """All rows, with the texts beginning dd- that the SQL of iso_prefix leaves out."""
-    return _dirty(spark, d).select("CaseId", "VersionNo", iso_prefix_date(F.col("day")).alias("day"))
+_FORMATS = """CASE WHEN o_orderkey % 10 < 6 THEN {dmy} WHEN o_orderkey % 10 < 8 THEN {ymd} WHEN o_orderkey % 10 = 8 THEN {mdy} ELSE 'n/a' END"""
+_FORMATS_SQL = _FORMATS.format(dmy="strftime(o_orderdate, '%d/%m/%Y')", ymd="strftime(o_orderdate, '%Y-%m-%d')", mdy="strftime(o_orderdate, '%m/%d/%Y')")
+_FORMATS_SPARK = _FORMATS.format(dmy="date_format(o_orderdate, 'dd/MM/yyyy')", ymd="date_format(o_orderdate, 'yyyy-MM-dd')", mdy="date_format(o_orderdate, 'MM/dd/yyyy')")
 
 
-@query("SELECT '%d/%m/%Y' AS format, count(*) AS parsed FROM orders")
+@query(f"""WITH t AS (SELECT {_FORMATS_SQL} AS t FROM orders), n AS ({" UNION ALL ".join(f"SELECT '{f}' AS format, count(try_strptime(t, '{f}')) AS parsed FROM t" for f in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d"))})
+SELECT arg_max(format, parsed) AS format, max(parsed) AS parsed FROM n""")
 def detect_date_format(spark: SparkSession, d: str) -> DataFrame:
-    return dates.detect_date_format(table(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("t")), "t")
+    """Texts in three formats and some that are no dates: the one that reads the most."""
+    return dates.detect_date_format(table(spark, d, "orders").select(F.expr(_FORMATS_SPARK).alias("t")), "t")
 
 
 @query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) <= 6 THEN 'Jan ' ELSE 'Jul ' END || (year(o_orderdate) % 100) || CASE WHEN month(o_orderdate) <= 6 THEN ' / Jun ' ELSE ' / Dec ' END
@@ -232,39 +243,32 @@ def land_water_regions(spark: SparkSession, d: str) -> DataFrame:
     return coords.with_land_water(t, "longitude", "latitude", land, lakes).select("_id", "date_last_updated", "on_water")
 
 
-_CHECK_SQL = f"""c AS (SELECT *, latitude IS NULL OR longitude IS NULL AS mis, coalesce(abs(latitude) > 90 OR abs(longitude) > 180, false) AS oob FROM ona_visits),
-k AS (SELECT form_id_num, _id, date_last_updated, mis AS missing_coords, oob AS out_of_bounds, coalesce(latitude = 0 AND longitude = 0, false) AS null_count,
-  CASE WHEN NOT oob THEN {_WATER_SQL} END AS on_water FROM c)"""
-_SOME = ("missing", "out_of_bounds", "null_coords", "on_water")
-
-
-@query(f"WITH {_CHECK_SQL} SELECT _id, date_last_updated, missing_coords, out_of_bounds, null_count, on_water FROM k")
-def check_coords(spark: SparkSession, d: str) -> DataFrame:
-    t = coords.check_coords(table(spark, d, "ona_visits"), "latitude", "longitude", _SOME, land=LAND, lakes=LAKES)
-    return t.select("_id", "date_last_updated", "missing_coords", "out_of_bounds", "null_count", "on_water")
+def _places(x: str) -> str:
+    """Places after the point of a number written with up to 15 digits."""
+    return f"length(regexp_replace(printf('%.15g', {x}), '^-?\\d+\\.', ''))"
 
 
-@query(f"""WITH {_CHECK_SQL} SELECT form_id_num, count(*) AS total_coords, count(*) FILTER (missing_coords) AS missing_coords, count(*) FILTER (out_of_bounds) AS out_of_bounds,
-  count(*) FILTER (null_count) AS null_count, count(*) FILTER (on_water IN ('Ocean', 'Inland water')) AS on_water FROM k GROUP BY form_id_num""")
-def check_coords_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = coords.check_coords(table(spark, d, "ona_visits"), "latitude", "longitude", _SOME, land=LAND, lakes=LAKES)
-    return coords.summarise_coords(t, ["form_id_num"], headings=False, as_text=False)
+_CHECK_SQL = f"""c AS (SELECT *, latitude IS NULL OR longitude IS NULL AS mis, coalesce(abs(latitude) > 90 OR abs(longitude) > 180, false) AS oob FROM ona_visits),
+k AS (SELECT form_id_num, _id, date_last_updated, mis AS missing_coords, false AS parse_failed, oob AS out_of_bounds, coalesce(latitude = 0 AND longitude = 0, false) AS null_count,
+  {_places("latitude")} AS lat_precision, {_places("longitude")} AS lon_precision, coalesce(NOT mis AND ({_places("latitude")} < 4 OR {_places("longitude")} < 4), false) AS low_precision,
+  CASE WHEN NOT oob THEN {_WATER_SQL} END AS on_water FROM c)"""
+_CHECKED = ("missing_coords", "parse_failed", "out_of_bounds", "lat_precision", "lon_precision", "low_precision", "null_count", "on_water")
 
 
-def _all_coord_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Submissions have no unit, so flip has nothing to compare with."""
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """All checks; submissions have no unit, so flip has nothing to compare with."""
     return coords.check_coords(table(spark, d, "ona_visits"), "latitude", "longitude", land=LAND, lakes=LAKES)
 
 
-@query()
-def check_coords_full(spark: SparkSession, d: str) -> DataFrame:
-    cols = ("missing_coords", "parse_failed", "out_of_bounds", "lat_precision", "lon_precision", "low_precision", "null_count", "on_water")
-    return _all_coord_checks(spark, d).select("_id", "date_last_updated", *cols)
+@query(f"WITH {_CHECK_SQL} SELECT _id, date_last_updated, {', '.join(_CHECKED)} FROM k")
+def check_coords(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).select("_id", "date_last_updated", *_CHECKED)
 
 
-@query()
-def check_coords_summary_full(spark: SparkSession, d: str) -> DataFrame:
-    return coords.summarise_coords(_all_coord_checks(spark, d), ["form_id_num"], headings=False, as_text=False)
+@query(f"""WITH {_CHECK_SQL} SELECT form_id_num, count(*) AS total_coords, count(*) FILTER (missing_coords) AS missing_coords, count(*) FILTER (parse_failed) AS parse_failed, count(*) FILTER (out_of_bounds) AS out_of_bounds,
+  count(*) FILTER (low_precision) AS low_precision, count(*) FILTER (null_count) AS null_count, count(*) FILTER (on_water IN ('Ocean', 'Inland water')) AS on_water FROM k GROUP BY form_id_num""")
+def check_coords_summary(spark: SparkSession, d: str) -> DataFrame:
+    return coords.summarise_coords(_checked(spark, d), ["form_id_num"], headings=False, as_text=False)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN length(CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)) ELSE length(split_part(CAST(o_totalprice AS VARCHAR), '.', 2)) END AS places FROM orders""")
@@ -334,26 +338,7 @@ def match_stats(spark: SparkSession, d: str) -> DataFrame:
     return names.match_stats(table(spark, d, "polis_cases"), _lookup(spark, d), _LEVELS)
 
 
-def _typed_provinces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Typed provinces, letters outside ASCII as ?: DuckDB's distances count bytes."""
-    t = table(spark, d, "geoname_todo").where(F.lower(F.trim("level")) == "level1").select(F.col("level0_name").alias("Admin0Name"), F.regexp_replace(F.upper("name_to_match"), "[^ -~]", "?").alias("Admin1Name"))
-    return t, _lookup(spark, d).select("Admin0Name", "Admin1Name").distinct()
-
-
-def _suggest_sql(distance: str, order: str = "round(distance, 9)") -> str:
-    return f"""WITH {_LOOKUP_SQL}, a AS (SELECT DISTINCT level0_name AS Admin0Name, regexp_replace(upper(name_to_match), '[^ -~]', '?', 'g') AS x FROM geoname_todo WHERE lower(trim(level)) = 'level1' AND name_to_match IS NOT NULL),
-b AS (SELECT DISTINCT Admin0Name, Admin1Name AS y FROM lk), j AS (SELECT a.Admin0Name, x, y, {distance} AS distance FROM a JOIN b ON a.Admin0Name = b.Admin0Name),
-r AS (SELECT *, row_number() OVER (PARTITION BY Admin0Name, x ORDER BY {order}, y) AS match_rank FROM j)
-SELECT Admin0Name, x AS name_to_match, y AS matched_names, round(distance, 6) AS distance, match_rank FROM r WHERE match_rank <= 3"""
-
-
 def _suggest(spark: SparkSession, d: str, method: str) -> DataFrame:
-    t, ref = _typed_provinces(spark, d)
-    r = names.rank_matches(t, ref, "Admin1Name", "Admin1Name", ["Admin0Name"], method, 3)
-    return r.select("Admin0Name", "name_to_match", "matched_names", F.round("distance", 6).alias("distance"), "match_rank")
-
-
-def _suggest_full(spark: SparkSession, d: str, method: str) -> DataFrame:
     """The three nearest names of the dimension for every typed name of every level under its parents, texts in upper case but else as typed."""
     t, ref = table(spark, d, "geoname_todo"), names.upper_levels(_lookup(spark, d), _LEVELS)
     out = None
@@ -367,28 +352,53 @@ def _suggest_full(spark: SparkSession, d: str, method: str) -> DataFrame:
     return out
 
 
-# The SQL of four methods counts bytes, so it holds for provinces in ASCII only; these queries stay as they are beside the full ones.
-for _m, _s in (("lv", "CAST(levenshtein(x, y) AS DOUBLE)"), ("dl", "CAST(damerau_levenshtein(x, y) AS DOUBLE)"), ("jw", "1 - jaro_similarity(x, y)"), ("osa", None), ("hamming", None), ("lcs", None), ("qgram", None), ("cosine", None), ("jaccard", "1 - jaccard(x, y)"), ("jaro_winkler", None), ("soundex", None)):
-    Q[f"suggest_{_m}_full" if _s else f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest_full(spark, d, m)
+def _suggest_sql(distance: str) -> str:
+    """DuckDB's distances count bytes: xx and yy are the names with each letter outside ASCII written as one unused ASCII character; x and y as typed."""
+    return f"""WITH {_LOOKUP_SQL},
+t AS (SELECT lower(trim(level)) AS level, upper(level0_name) AS p0, upper(level1_name) AS p1, upper(name_to_match) AS x FROM geoname_todo WHERE name_to_match IS NOT NULL),
+a AS (SELECT DISTINCT level, CASE WHEN level <> 'level0' THEN p0 END AS p0, CASE WHEN level = 'level2' THEN p1 END AS p1, x FROM t),
+b AS (SELECT DISTINCT 'level0' AS level, NULL AS p0, NULL AS p1, upper(Admin0Name) AS y FROM lk UNION SELECT 'level1', upper(Admin0Name), NULL, upper(Admin1Name) FROM lk UNION SELECT 'level2', upper(Admin0Name), upper(Admin1Name), upper(Admin2Name) FROM lk),
+j AS (SELECT a.level, a.p0, a.p1, x, y FROM a JOIN b ON a.level = b.level AND y IS NOT NULL AND (a.level = 'level0' OR a.p0 = b.p0) AND (a.level <> 'level2' OR a.p1 = b.p1)),
+odd AS (SELECT c, row_number() OVER (ORDER BY c) AS n FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM a UNION SELECT DISTINCT unnest(string_split(y, '')) FROM b) WHERE unicode(c) > 126),
+m AS (SELECT coalesce(string_agg(c, '' ORDER BY n), '') AS f, coalesce(string_agg(chr(CAST(CASE WHEN n <= 26 THEN 96 + n ELSE n - 26 END AS INT)), '' ORDER BY n), '') AS g FROM odd),
+k AS (SELECT j.*, translate(x, f, g) AS xx, translate(y, f, g) AS yy FROM j, m),
+e AS (SELECT *, {distance} AS distance FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, p0, p1, x ORDER BY round(distance, 9), y) AS match_rank FROM e)
+SELECT level, p0 AS Admin0Name, p1 AS Admin1Name, x AS name_to_match, y AS matched_names, round(distance, 6) AS distance, match_rank FROM r WHERE match_rank <= 3"""
+
+
+_HEAD = "(CASE " + " ".join(f"WHEN least(length(xx), length(yy)) < {k} OR left(xx, {k}) <> left(yy, {k}) THEN {k - 1}" for k in (1, 2, 3, 4)) + " ELSE 4 END)"
+_COUNT = "len(list_filter(string_split({}, ''), lambda q: q = c))"
+_EACH = "list_transform(list_distinct(string_split(xx || yy, '')), lambda c: {})"
+_X, _Y = _COUNT.format("xx"), _COUNT.format("yy")
+_SUGGEST = {
+    "lv": "CAST(levenshtein(xx, yy) AS DOUBLE)", "dl": "CAST(damerau_levenshtein(xx, yy) AS DOUBLE)", "jw": "1 - jaro_similarity(xx, yy)", "jaccard": "1 - jaccard(xx, yy)",
+    "jaro_winkler": f"(1 - jaro_similarity(xx, yy)) * (1 - 0.1 * {_HEAD})", "hamming": "CASE WHEN length(xx) = length(yy) THEN CAST(hamming(xx, yy) AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END",
+    "qgram": f"CAST(list_sum({_EACH.format(f'abs({_X} - {_Y})')}) AS DOUBLE)",
+    "cosine": f"1 - list_sum({_EACH.format(f'{_X} * {_Y}')}) / sqrt(list_sum({_EACH.format(f'{_X} * {_X}')}) * list_sum({_EACH.format(f'{_Y} * {_Y}')}))",
+    "osa": None, "lcs": None, "soundex": None,
+}
+for _m, _s in _SUGGEST.items():
+    Q[f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest(spark, d, m)
     if _s:
-        Q[f"suggest_{_m}"] = lambda spark, d, m=_m: _suggest(spark, d, m)
         SQL[f"suggest_{_m}"] = _suggest_sql(_s)
 
 
-def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "geoname_cache").where("level0_prepped is not null and level1_prepped is not null")
+def _decision_sql(k: int) -> str:
+    up = "".join(f", upper(level{i}_prepped) AS p{i}" for i in range(k))
+    return f"""m{k} AS (SELECT upper(name_to_match) AS n{up}, arg_max(upper(replacement), row(coalesce(created_time, ''), upper(replacement))) AS r FROM geoname_cache
+  WHERE lower(trim(level)) = 'level{k}' AND name_to_match IS NOT NULL AND replacement IS NOT NULL GROUP BY ALL)"""
 
 
-@query("""WITH lv AS (SELECT upper(name_to_match) AS n, arg_max(upper(replacement), row(coalesce(created_time, ''), upper(replacement))) AS r FROM geoname_cache
-  WHERE level0_prepped IS NOT NULL AND level1_prepped IS NOT NULL AND lower(trim(level)) = 'level0' AND name_to_match IS NOT NULL AND replacement IS NOT NULL GROUP BY 1)
-SELECT todo_id, coalesce(r, upper(name_to_match)) AS country FROM geoname_todo LEFT JOIN lv ON upper(name_to_match) = n WHERE lower(trim(geoname_todo.level)) = 'level0'""")
+@query(f"""WITH {_decision_sql(0)}, {_decision_sql(1)}, {_decision_sql(2)},
+t AS (SELECT decision_id, lower(trim(level)) AS level, upper(CASE WHEN lower(trim(level)) = 'level0' THEN name_to_match ELSE level0_prepped END) AS a,
+    upper(CASE WHEN lower(trim(level)) = 'level1' THEN name_to_match WHEN lower(trim(level)) = 'level2' THEN level1_prepped END) AS b, upper(CASE WHEN lower(trim(level)) = 'level2' THEN name_to_match END) AS c
+  FROM geoname_cache WHERE lower(trim(level)) IN ('level0', 'level1', 'level2')),
+t0 AS (SELECT t.* REPLACE (coalesce(m0.r, t.a) AS a) FROM t LEFT JOIN m0 ON t.a = m0.n),
+t1 AS (SELECT t0.* REPLACE (coalesce(m1.r, t0.b) AS b) FROM t0 LEFT JOIN m1 ON t0.b = m1.n AND t0.a = m1.p0),
+t2 AS (SELECT t1.* REPLACE (coalesce(m2.r, t1.c) AS c) FROM t1 LEFT JOIN m2 ON t1.c = m2.n AND t1.a = m2.p0 AND t1.b = m2.p1)
+SELECT decision_id, level, a AS "Admin0Name", b AS "Admin1Name", c AS "Admin2Name" FROM t2""")
 def apply_decisions(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "geoname_todo").where(F.lower(F.trim("level")) == "level0").select("todo_id", F.upper("name_to_match").alias("country"))
-    return names.apply_decisions(t, _decisions(spark, d), ["country"])
-
-
-@query()
-def apply_decisions_full(spark: SparkSession, d: str) -> DataFrame:
     """The names of geoname_cache of levels 0 to 2 under the parents they were decided for, with all its decisions, level by level."""
     cache = table(spark, d, "geoname_cache")
     level = F.lower(F.trim("level"))
@@ -452,7 +462,7 @@ def geo_mismatch_summary(spark: SparkSession, d: str) -> DataFrame:
     return validation.mismatches(table(spark, d, "polis_cases"), table(spark, d, "shp_global"), "EPID", _PLACES)[0]
 
 
-_SPEC = validation.preset("AFP", coordinate_checks=("missing", "out_of_bounds", "null_coords"))
+_SPEC = validation.preset("AFP")
 _DATES = _SPEC.dates
 _norm = {True: "replace(replace(lower({}), '{{', ''), '}}', '')", False: "{}"}
 
@@ -477,56 +487,53 @@ def _flags_sql() -> tuple[str, list[tuple[str, str, str, str, str]]]:
     for a, b in _SPEC.date_pairs:
         out.append((f"coalesce({a} > {b}, false)", f"Date Pair Check: {a} ~ {b}", "Invalid Date Order (First date is after second date)", "Date", f"{a} ~ {b} Invalid Date Order (First Date Is After Second Date)"))
     h = "Coordinate Checks"
-    out += [
-        ("Latitude IS NULL OR Longitude IS NULL", h, "Missing Coordinates", "Coordinate", "Missing Coordinate Values"),
-        ("coalesce(abs(Latitude) > 90 OR abs(Longitude) > 180, false)", h, "Coordinates Out of Bounds (-90 to 90, -180 to 180)", "Coordinate", "Coordinates Out Of Bounds (Not Within -90 To 90, -180 To 180)"),
-        ("coalesce(Latitude = 0 AND Longitude = 0, false)", h, "Null Coordinates (Latitude and Longitude are 0, 0)", "Coordinate", "Null Coordinates (Latitude And Longitude Are 0, 0)"),
-    ]
+    low = f"coalesce(({_places('Latitude')} < 4 OR {_places('Longitude')} < 4) AND Latitude IS NOT NULL AND Longitude IS NOT NULL, false)"
+    flip = "coalesce(abs(swapped - here) >= 1e-6 AND abs(Latitude - Longitude) > 0.5 AND abs(clat - clon) > 0.5 AND swapped < 0.9 * here, false)"
+    for key, test in (
+        ("missing", "Latitude IS NULL OR Longitude IS NULL"), ("parse", "false"), ("out_of_bounds", "coalesce(abs(Latitude) > 90 OR abs(Longitude) > 180, false)"), ("precision", low),
+        ("null_coords", "coalesce(Latitude = 0 AND Longitude = 0, false)"), ("flip", flip),
+    ):
+        out.append((test, h, validation.LABELS[coords.HEADING[key]], "Coordinate", validation.ISSUE_LABELS[coords.FLAG[key]]))
     return "", out
 
 
 _FLAGS = _flags_sql()[1]
 _esc = lambda s: s.replace("'", "''")
-_FLAG_TABLE = "fl AS (SELECT EPID, Admin0Name AS grp, " + ", ".join(f"({e}) AS f{i}" for i, (e, *_x) in enumerate(_FLAGS)) + " FROM polis_cases)"
+_FLAG_TABLE = """centres AS (SELECT replace(replace(lower(trim(ADM2_GUID)), '{', ''), '}', '') AS g, min(struct_pack(la := CENTER_LAT, lo := CENTER_LON)) AS a FROM shp_global WHERE ADM2_GUID IS NOT NULL GROUP BY 1),
+pc AS (SELECT c.*, a.la AS clat, a.lo AS clon FROM polis_cases c LEFT JOIN centres ON replace(replace(lower(trim(c.Admin2GUID)), '{', ''), '}', '') = g),
+ph AS (SELECT *, """ + _hav("Longitude", "Latitude", "clon", "clat") + " AS here, " + _hav("Latitude", "Longitude", "clon", "clat") + " AS swapped FROM pc), fl AS (SELECT EPID, GROUP_COLUMN AS grp, " + ", ".join(f"({e}) AS f{i}" for i, (e, *_x) in enumerate(_FLAGS)) + " FROM ph)"
+_COMBOS = "".join(f" UNION ALL SELECT grp, 'Geographical Hierarchy', 'Non-unique {k} Hierarchy ({c})', 0 FROM fl WHERE grp IS NOT NULL GROUP BY grp" for k, c in (("name", "Admin0Name ~ Admin1Name ~ Admin2Name"), ("GUID", "Admin0GUID ~ Admin1GUID ~ Admin2GUID")))
 _SUMMARY = " UNION ALL ".join(
     ["SELECT grp, 'Overall Data Summary' AS header, 'Total Rows' AS column_name, count(*) AS count FROM fl WHERE grp IS NOT NULL GROUP BY grp",
      "SELECT grp, 'Overall Data Summary', 'Total Duplicate Rows', count(*) - count(DISTINCT EPID) - max(CASE WHEN EPID IS NULL THEN 1 ELSE 0 END) FROM fl WHERE grp IS NOT NULL GROUP BY grp"]
     + [f"SELECT grp, '{_esc(h)}', '{_esc(c)}', count(*) FILTER (f{i}) FROM fl WHERE grp IS NOT NULL GROUP BY grp" for i, (_e, h, c, _k, _t) in enumerate(_FLAGS)]
-)
-
+) + _COMBOS
 
-_FULL = validation.preset("AFP")
 
+def _bundle(spark: SparkSession, d: str, group: str | None) -> validation.CheckBundle:
+    return validation.check_data(table(spark, d, "polis_cases"), _SPEC, table(spark, d, "shp_global"), AS_OF, group)
 
-def _bundle(spark: SparkSession, d: str, group: str | None, spec: validation.CheckSpec = _SPEC) -> validation.CheckBundle:
-    return validation.check_data(table(spark, d, "polis_cases"), spec, table(spark, d, "shp_global"), AS_OF, group)
 
-
-@query(f"WITH {_FLAG_TABLE} SELECT grp AS \"group\", header, column_name, count FROM ({_SUMMARY})")
+@query(f"WITH {_FLAG_TABLE.replace('GROUP_COLUMN', 'Admin0Name')} SELECT grp AS \"group\", header, column_name, count FROM ({_SUMMARY})")
 def summary_table(spark: SparkSession, d: str) -> DataFrame:
     return _bundle(spark, d, "Admin0Name").summary.select("group", "header", "column_name", "count")
 
 
-@query(f"WITH {_FLAG_TABLE} " + " UNION ".join(f"SELECT EPID AS id, '{k}' AS column_type, '{_esc(t)}' AS test FROM fl WHERE f{i}" for i, (_e, _h, _c, k, t) in enumerate(_FLAGS)))
+@query(f"WITH {_FLAG_TABLE.replace('GROUP_COLUMN', 'Admin0Name')} " + " UNION ".join(f"SELECT EPID AS id, '{k}' AS column_type, '{_esc(t)}' AS test FROM fl WHERE f{i}" for i, (_e, _h, _c, k, t) in enumerate(_FLAGS)))
 def check_data_issues(spark: SparkSession, d: str) -> DataFrame:
     return _bundle(spark, d, None).issues
 
 
-@query()
-def summary_table_full(spark: SparkSession, d: str) -> DataFrame:
-    """With the coordinate checks and hierarchy lines that the SQL of summary_table has not."""
-    return _bundle(spark, d, "Admin0Name", _FULL).summary.select("group", "header", "column_name", "count")
-
-
-@query()
-def check_data_issues_full(spark: SparkSession, d: str) -> DataFrame:
-    return _bundle(spark, d, None, _FULL).issues
+_REGIONS = ("afro", "emro", "other")
+_REGION = "CASE lower(trim(WHORegion)) WHEN 'noro' THEN 'afro' WHEN 'suro' THEN 'emro' ELSE 'other' END"
 
 
-@query()
+@query(f"WITH {_FLAG_TABLE.replace('GROUP_COLUMN', _REGION)}, s AS (SELECT grp, header, column_name, count FROM ({_SUMMARY})) SELECT header, column_name, "
+       + ", ".join(f"CAST(coalesce(sum(count) FILTER (grp = '{g}'), 0) AS BIGINT) AS {g}" for g in _REGIONS) + " FROM s GROUP BY header, column_name")
 def summary_by_group(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "polis_cases").withColumn("year", F.year("CaseDate").cast("string"))
-    return validation.validate_data(t, _FULL, table(spark, d, "shp_global"), "year", 4, AS_OF)[1]
+    """The scorecard of three groups of regions side by side."""
+    t = table(spark, d, "polis_cases").withColumn("part", F.expr(_REGION))
+    return validation.validate_data(t, _SPEC, table(spark, d, "shp_global"), "part", 3, AS_OF)[1].select("header", "column_name", *_REGIONS)
 
 
 def _weeks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -725,7 +732,7 @@ def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     """events as a stream, merged batch by batch into the newest row of each user."""
     schema = table(spark, d, "events").schema
     src = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    t = VersionedTable(spark, scratch_path(spark, "stream"))
+    t = BucketedTable(spark, scratch_path(spark, "stream"), ["user_id"], 8)
     merge_stream(src, t, ["user_id"], "ts", scratch_path(spark, "stream-checkpoint")).awaitTermination()
     return t.read().select("user_id", "ts")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import os
 import re
-import tempfile
 import urllib.request
 
 import pandas as pd
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilark.session import list_dir, remove_path
+from vigilark.plans.joins import fits
+from vigilark.session import list_dir, remove_path, scratch_path
 
 READABLE = ("csv", "tsv", "txt", "csvy", "xlsx", "dta", "sas7bdat", "xpt", "sav", "parquet", "json", "geojson", "orc", "jsonl", "avro")
 WRITABLE = ("csv", "tsv", "xlsx", "dta", "parquet", "json", "geojson", "orc", "jsonl")
@@ -58,10 +58,14 @@ def _read_csvy(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def _read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: its properties as columns and its geometry as GeoJSON text, points also as lon and lat."""
-    raw = spark.read.option("multiLine", True).json(path)
-    if "features" not in raw.columns:
+    parts = any(n.startswith("part-") for n in list_dir(spark, path))  # a folder of features, one in each line
+    raw = spark.read.option("multiLine", not parts).json(path)
+    if "features" in raw.columns:
+        f = raw.select(F.explode("features").alias("f")).select("f.*")
+    elif {"geometry", "properties"} <= set(raw.columns):
+        f = raw
+    else:
         return raw
-    f = raw.select(F.explode("features").alias("f")).select("f.*")
     props = [F.col(f"properties.`{c.name}`").alias(c.name) for c in f.schema["properties"].dataType.fields] if "properties" in f.columns and isinstance(f.schema["properties"].dataType, T.StructType) else []
     out = f.select(*props, F.to_json("geometry").alias("geometry"), F.col("geometry.type").alias("__t"), F.col("geometry.coordinates").alias("__c"))
     if isinstance(out.schema["__c"].dataType, T.ArrayType) and isinstance(out.schema["__c"].dataType.elementType, T.NumericType):
@@ -70,16 +74,29 @@ def _read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("__t", "__c")
 
 
+def _fetched(spark: SparkSession, url: str) -> str:
+    """The file behind a URL, copied piece by piece into the shared folder, where executors can read it."""
+    path = f"{scratch_path(spark, 'download')}/{os.path.basename(url.split('?')[0]) or 'download'}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
+    try:
+        with urllib.request.urlopen(url) as source:  # noqa: S310
+            while piece := source.read(1 << 20):
+                out.write(bytearray(piece))
+    finally:
+        out.close()
+    return path
+
+
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table from a file or folder, by extension; http(s) paths are fetched to a temporary file first.
+    """A table from a file or folder, by extension; http(s) paths are copied to the shared folder first.
 
     csv, tsv, txt (separator found from the first line), csvy, json, geojson, jsonl, parquet, orc, avro by Spark; dta, sas7bdat, xpt, xlsx and sav by pandas
     where its readers are installed. Types of delimited files are inferred unless a schema is given as an option.
     """
     if re.match(r"^https?://", path):
-        local = os.path.join(tempfile.mkdtemp(), os.path.basename(path.split("?")[0]) or "download")
-        urllib.request.urlretrieve(path, local)  # noqa: S310
-        path = local
+        path = _fetched(spark, path)
     ext = _extension(path)
     if ext == "csv":
         return _read_delimited(spark, path, options.pop("sep", ","), **options)
@@ -109,9 +126,20 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"File format '{ext}' not supported. Please use one of: {', '.join(READABLE)}.")
 
 
+#: Rows and bytes that may go into one file or through the driver.
+SINGLE_ROWS, SINGLE_BYTES = 2_000_000, 256 << 20
+
+
+def _small(df: DataFrame, path: str) -> DataFrame:
+    """df, if it may become one file; it is counted."""
+    if not fits(df, SINGLE_ROWS, SINGLE_BYTES):
+        raise ValueError(f"too many rows for the single file {path}; save with single=False")
+    return df
+
+
 def _one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
-    """Writes through a folder beside the target and moves its one part there; only for results meant to be one file."""
-    spark = df.sparkSession
+    """Writes through a folder beside the target and moves its one part there; only for results meant to be one file, which are counted."""
+    spark = _small(df, path).sparkSession
     folder = f"{path}.parts"
     df.coalesce(1).write.mode("overwrite").format(fmt).options(**options).save(folder)
     part = next(n for n in list_dir(spark, folder) if n.startswith("part-"))
@@ -123,9 +151,9 @@ def _one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
     remove_path(spark, folder)
 
 
-def save(df: DataFrame, path: str, single: bool = True, **options) -> None:
-    """Writes a table by extension. Delimited and JSON formats give one file, or with single=False a folder of parts written in
-    parallel; parquet and orc are always folders. geojson needs lon and lat, or a geometry column of GeoJSON text. dta and xlsx go through pandas."""
+def save(df: DataFrame, path: str, single: bool = False, **options) -> None:
+    """Writes a table by extension. Delimited and JSON formats give a folder of parts written in parallel, or with single=True one file, which
+    is refused beyond SINGLE_ROWS or SINGLE_BYTES; parquet and orc are always folders, dta and xlsx always single files. geojson needs lon and lat, or a geometry column of GeoJSON text. dta and xlsx go through pandas."""
     ext = _extension(path)
     if ext in ("csv", "tsv"):
         opts = {"header": True, "sep": "," if ext == "csv" else "\t", "escape": '"', "ignoreTrailingWhiteSpace": False, "ignoreLeadingWhiteSpace": False} | options
@@ -145,15 +173,15 @@ def save(df: DataFrame, path: str, single: bool = True, **options) -> None:
         lines = df.select(feature.alias("value"))
         if not single:
             return lines.write.mode("overwrite").text(path)
-        rows = [r.value for r in lines.toLocalIterator()]
+        rows = [r.value for r in _small(lines, path).toLocalIterator()]
         with open(path, "w", encoding="utf-8") as f:
             f.write('{"type":"FeatureCollection","features":[' + ",".join(rows) + "]}")
         return None
     if ext == "dta":
-        return df.toPandas().to_stata(path, write_index=False, **options)
+        return _small(df, path).toPandas().to_stata(path, write_index=False, **options)
     if ext == "xlsx":
         try:
-            return df.toPandas().to_excel(path, index=False, **options)
+            return _small(df, path).toPandas().to_excel(path, index=False, **options)
         except ImportError as e:
             raise ImportError(f"writing .xlsx files needs an extra package: {e}") from e
     raise ValueError(f"File format '{ext}' not supported. Please use one of: {', '.join(WRITABLE)}.")

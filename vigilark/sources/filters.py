@@ -124,6 +124,6 @@ def form_urls(state: DataFrame, base: str, form_ids: Sequence[int]) -> list[str]
     aggregation; a row per form comes to the driver."""
     ids = list(form_ids)
     marks = state.where(F.col("form_id_num").isin(ids)).groupBy("form_id_num").agg(F.max(F.to_date("date_last_updated")).alias("d")).collect()
-    since = {r.form_id_num: r.d for r in marks if r.d is not None}
+    since = {str(r.form_id_num): r.d for r in marks if r.d is not None}
     root = base_url(base)
-    return [f"{root}/api/v1/data/{i}" + (f"?last_edited__gte={since[i].isoformat()}" if i in since else "") for i in ids]
+    return [f"{root}/api/v1/data/{i}" + (f"?last_edited__gte={since[str(i)].isoformat()}" if str(i) in since else "") for i in ids]

@@ -10,16 +10,20 @@ import json
 import time
 import urllib.error
 import urllib.request
+import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from vigilark.sources.filters import base_url, endpoint, odata_url
+from vigilark.operators.merge import append_log, drop_empty_columns, load_log, merge_latest
+from vigilark.session import collect_bounded, materialise
+from vigilark.sources.filters import base_url, endpoint, form_urls, odata_url
+from vigilark.streaming.merge import VersionedTable
 
 PAGE_SIZE = 100_000
 TRIES = 12
@@ -131,15 +135,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ODataSource)
 
 
-def _flat(df: DataFrame, tag: str) -> DataFrame:
-    """JSON rows as columns of text, `tag` in front. The names come from one pass over the keys; nested values stay JSON."""
-    keys = [r.k for r in df.select(F.explode(F.json_object_keys("row")).alias("k")).distinct().orderBy("k").collect()]  # column names
-    parsed = df.withColumn("m", F.from_json("row", "map<string,string>"))
-    return parsed.select(F.col("tag").alias(tag), *[F.col("m")[k].alias(k) for k in keys if k != tag])
+#: Columns that the rows of a service may have in all.
+MAX_KEYS = 10_000
+
+
+def _flat(df: DataFrame, tag: str, empty: bool = True) -> DataFrame:
+    """JSON rows as columns of text, `tag` in front. The pages are fetched once and written to the shared folder; names and values are read from
+    there, nested values stay JSON. empty=False leaves out the columns that hold nothing."""
+    landed = materialise(df, "pages")
+    known = landed.select(F.explode(F.map_entries(F.from_json("row", "map<string,string>"))).alias("e")).groupBy(F.col("e.key").alias("k")).agg(F.max(F.col("e.value").isNotNull()).alias("used"))
+    keys = sorted(r.k for r in collect_bounded(known, MAX_KEYS, "columns") if r.k != tag and (empty or r.used))
+    parsed = landed.withColumn("m", F.from_json("row", "map<string,string>"))
+    return parsed.select(F.col("tag").alias(tag), *[F.col("m")[k].alias(k) for k in keys])
 
 
 def read_forms(spark: SparkSession, base: str, form_ids: Sequence[int], token: str | None = None, fields: Sequence[str] = (), query: str | None = None, **options) -> DataFrame:
-    """Rows of several forms, form_id_num first, all columns text, equal rows once. fields and query are evaluated by the server."""
+    """Rows of several forms, form_id_num first, all columns text, equal rows once, columns without any value left out. fields and query are
+    evaluated by the server. A page is requested once, whatever is done with the result."""
     register(spark)
     extra = []
     if fields:
@@ -149,7 +161,13 @@ def read_forms(spark: SparkSession, base: str, form_ids: Sequence[int], token: s
     urls = [(f"{base_url(base)}/api/v1/data/{i}" + ("?" + "&".join(extra) if extra else ""), str(i)) for i in form_ids]
     opts = {k: str(v) for k, v in options.items()} | ({"token": token} if token else {})
     df = spark.read.format("ona").options(urls=json.dumps(urls), **opts).load()
-    return _flat(df, "form_id_num").distinct()
+    return _flat(df, "form_id_num", empty=False).distinct()
+
+
+def read_multi_forms(*args, **kwargs) -> DataFrame:
+    """The former name of read_forms."""
+    warnings.warn("read_multi_forms is now read_forms", DeprecationWarning, stacklevel=2)
+    return read_forms(*args, **kwargs)
 
 
 def read_urls(spark: SparkSession, urls: Sequence[str], token: str | None = None, on: date | None = None, **options) -> DataFrame:
@@ -194,3 +212,59 @@ def tables_available(spark: SparkSession, base: str, names: Sequence[str], token
         except RuntimeError as e:
             out.append((n, str(e).rsplit(" ", 1)[-1] if "status" in str(e) else "unreachable"))
     return spark.createDataFrame(out, "table string, status string")
+
+
+# ------------------------------------------------------------------ incremental pulls
+
+
+def update_forms(spark: SparkSession, path: str, base: str, form_ids: Sequence[int], token: str | None = None, on: date | None = None, key: str = "_id", **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, log): brings the kept rows of some forms up to date.
+
+    path holds the rows (data) and the log of loads (log) as numbered versions. Of a form not seen yet everything is pulled, of the
+    others what was edited since the newest date_last_updated kept; each URL is read once. Newer rows replace older ones of the same key
+    and form; columns without any value are left out. The log gets a line per form that was pulled: rows and columns now and new.
+    A run that fails before the new version is complete changes nothing, and the next asks for the same again.
+    """
+    data, log = VersionedTable(spark, f"{path}/data"), VersionedTable(spark, f"{path}/log")
+    before = data.read()
+    urls = form_urls(before, base, form_ids) if before is not None else [f"{base_url(base)}/api/v1/data/{i}" for i in form_ids]
+    new = materialise(read_urls(spark, urls, token, on, **options), "pulled")
+    if before is None and key not in new.columns:
+        return new, load_log(new.limit(0), new, "form_id_num")  # nothing was ever there
+    now = merge_latest(before, new, ["form_id_num", key], "date_last_updated") if key in new.columns else before
+    data.write(drop_empty_columns(materialise(now, "merged")), data.next())
+    rows = data.read()
+    line = load_log(before if before is not None else rows.limit(0), rows, "form_id_num").withColumn("update_time", F.lit((on or date.today()).isoformat()))
+    line = line.join(F.broadcast(new.select("form_id_num").distinct()), "form_id_num", "left_semi")  # a row per form
+    old = log.read()
+    log.write(line if old is None else old.unionByName(line, allowMissingColumns=True), log.next())
+    return rows, log.read()
+
+
+def update_odata(
+    spark: SparkSession, path: str, base: str, kind: str, start: date, until: date, token: str | None = None, keys: Sequence[str] = (), **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, log): brings the kept rows of a data type up to date.
+
+    The first run asks for everything from `start` by the field of first pulls, later runs for what was updated from the newest update
+    date kept on. With keys the newer row replaces the older, else rows that are not there yet are added. The log has a line per run,
+    equal runs once. Each page is read once; a run that fails changes nothing.
+    """
+    data, log = VersionedTable(spark, f"{path}/data"), VersionedTable(spark, f"{path}/log")
+    field = endpoint(kind)[2]
+    before = data.read()
+    mark = before.agg(F.max(F.to_date(F.substring(F.col(field), 1, 10))).alias("m")).first()["m"] if before is not None and field in before.columns else None
+    since = mark or start
+    new = materialise(read_odata(spark, base, kind, since, until, token, updates=mark is not None, **options), "pulled")
+    if before is None:
+        now = merge_latest(None, new, list(keys), field) if keys and field in new.columns else new.distinct()
+    elif keys and field in new.columns:
+        now = merge_latest(before, new, list(keys), field)
+    else:  # what was asked for again from the last day on is there already
+        now = before.unionByName(new, allowMissingColumns=True).distinct()
+    data.write(materialise(now, "merged"), data.next())
+    rows = data.read()
+    had = before.count() if before is not None else 0
+    line = [(kind, since.isoformat(), until.isoformat(), rows.count() - had, datetime.now(timezone.utc).replace(tzinfo=None))]
+    log.write(append_log(log.read(), spark.createDataFrame(line, "data_type string, query_start string, query_end string, new_rows long, update_time timestamp_ntz"), ["data_type", "query_start", "query_end", "new_rows"], "update_time"), log.next())
+    return rows, log.read()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilark.operators.merge import merge_latest
-from vigilark.session import list_dir, remove_path
+from vigilark.session import list_dir, materialise, move_path, remove_path, scratch_path, touch
 
 
 class VersionedTable:
@@ -27,17 +27,75 @@ class VersionedTable:
         have = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.path}/v={have[-1]}") if have else None
 
+    def next(self) -> int:
+        """The number after the newest version."""
+        return max(self.versions(), default=-1) + 1
+
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        self._prune()
+
+    def finish(self, version: int) -> None:
+        """Marks a version that was moved here as complete."""
+        touch(self.spark, f"{self.path}/v={version}/_SUCCESS")
+        self._prune()
+
+    def _prune(self) -> None:
         for v in self.versions()[: -self.keep]:
             remove_path(self.spark, f"{self.path}/v={v}")
 
 
-def merge_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], order: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps of each key the row with the latest `order`, batch by batch."""
+class BucketedTable:
+    """A table of rows by key, in buckets by the hash of the key; each bucket has versions of its own under bucket=B/v=N. A write
+    touches only the buckets it has rows for. A version counts once its _SUCCESS mark is there; the newest one before a number is
+    read, so a batch that is repeated after a failure sees what its first try saw."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64, keep: int = 3):
+        self.spark, self.path, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), list(keys), buckets, keep
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def _table(self, b: int) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/bucket={b}", self.keep)
+
+    def read(self, before: int | None = None, only: Sequence[int] | None = None) -> DataFrame | None:
+        """The rows, or those of some buckets; None if there are none. Buckets may differ in their columns."""
+        paths = []
+        for b in range(self.buckets) if only is None else only:
+            t = self._table(b)
+            have = [v for v in t.versions() if before is None or v < before]
+            paths += [f"{t.path}/v={have[-1]}"] if have else []
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, order: str, version: int) -> None:
+        """Keeps of each key the row with the latest `order` of table and batch: one pass over the batch and the buckets it touches."""
+        name = "__bucket"
+        batch = materialise(batch.withColumn(name, self.bucket()), "batch")
+        touched = sorted(r[0] for r in batch.select(name).distinct().collect())  # at most `buckets` numbers
+        if not touched:
+            return
+        state = self.read(before=version, only=touched)
+        state = state.withColumn(name, self.bucket()) if state is not None else None
+        merged = merge_latest(state, batch, [name, *self.keys], order)
+        draft = scratch_path(self.spark, "buckets")
+        merged.write.partitionBy(name).parquet(draft)
+        for b in touched:
+            t = self._table(b)
+            move_path(self.spark, f"{draft}/{name}={b}", f"{t.path}/v={version}")
+            t.finish(version)
+        remove_path(self.spark, draft)
+
+
+def merge_stream(stream: DataFrame, table: VersionedTable | BucketedTable, keys: Sequence[str], order: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps of each key the row with the latest `order`, batch by batch. A BucketedTable is rewritten only where a batch has rows; a
+    VersionedTable, for small states, as a whole."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        table.write(merge_latest(table.read(before=n), batch, keys, order), n)
+        if isinstance(table, BucketedTable):
+            table.merge(batch, order, n)
+        else:
+            table.write(merge_latest(table.read(before=n), batch, keys, order), n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
