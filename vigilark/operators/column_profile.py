@@ -41,7 +41,11 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(r"^\s*$")
+    return c.isNull() | (F.btrim(c, F.lit(" \t\n\x0b\f\r")) == "")
+
+
+#: The same kinds of runs where all characters are ASCII, which is much faster to search.
+_ASCII = {"A": "[A-Z]+", "a": "[a-z]+", "9": "[0-9]+", "s": r"[ \t-\r]+", "x": r"[\x00-\x08\x0e-\x1f\x7f]+"}
 
 
 def signature(c: Column) -> Column:
@@ -50,7 +54,11 @@ def signature(c: Column) -> Column:
     for k in ("A", "a", "9", "s"):
         out = F.regexp_replace(out, CLASSES[k] + "+", SIGNS[k])
     out = F.regexp_replace(out, r"[^\p{P}\p{S}" + "".join(v for k, v in SIGNS.items() if k != "x") + "]+", SIGNS["x"])
-    return F.when(c.try_cast("long").cast("string") == c, F.when(F.startswith(c, F.lit("-")), "-" + SIGNS["9"]).otherwise(SIGNS["9"])).otherwise(out)
+    plain = c
+    for k, run in _ASCII.items():
+        plain = F.regexp_replace(plain, run, SIGNS[k])
+    number = F.when(F.startswith(c, F.lit("-")), "-" + SIGNS["9"]).otherwise(SIGNS["9"])
+    return F.when(c.rlike(r"^-?[0-9]+\z"), number).when(F.octet_length(c) == F.length(c), plain).otherwise(out)
 
 
 def _quoted(c: Column) -> Column:
@@ -63,8 +71,12 @@ def _gamma(n: Column) -> Column:
 
 
 def _alphabets(values: DataFrame) -> DataFrame:
-    """(column_name, all_rows, alphabet, of_0 ...): rows and distinct characters of each column, all of them and by kind; one row per column."""
-    chars = values.select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c")).distinct()
+    """(column_name, all_rows, alphabet, of_0 ...): rows and distinct characters of each column, all of them and by kind; one row per column.
+    A column with whole numbers has all ten digits."""
+    digits = F.array(*[F.lit(str(i)) for i in range(10)])
+    plain = values.where(F.col("sig") == SIGNS["9"]).select("column_name").distinct().select("column_name", F.explode(digits).alias("c"))
+    chars = values.where(F.col("sig") != SIGNS["9"]).select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c"))
+    chars = chars.unionByName(plain).distinct()
     per = chars.groupBy("column_name").agg(F.count("*").alias("alphabet"), *[F.count_if(F.col("c").rlike(f"^{e}")).alias(f"of_{i}") for i, e in enumerate(CLASSES.values())])
     return materialise(per.join(values.groupBy("column_name").agg(F.sum("n").alias("all_rows")), "column_name"), "alphabets")
 
@@ -94,8 +106,9 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     if "sig" not in values.columns:
         values = values.withColumn("sig", signature(F.col("value")))
     values = values.select("column_name", "value", "n", "sig")
-    per_column = _alphabets(values)  # one row per column of the table
-    v = materialise(values.withColumn("runs", F.regexp_extract_all("value", F.lit(_RUN), F.lit(1))), "distinct-values")
+    runs = F.when(F.col("sig") == SIGNS["9"], F.array("value")).otherwise(F.regexp_extract_all("value", F.lit(_RUN), F.lit(1)))
+    v = materialise(values.withColumn("runs", runs), "distinct-values")
+    per_column = _alphabets(v)  # one row per column of the table
     letter = F.log2(F.col("alphabet") + 1)  # bits of a character written out
     key = ["column_name", "sig"]
 
@@ -106,11 +119,11 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     # elements: one row per group and place
     e = v.select(*key, "n", F.posexplode("runs").alias("place", "text"))
     e = e.groupBy(*key, "place").agg(
-        F.min("text").alias("first"), F.max("text").alias("last"), F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"),
+        F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"),
         F.sum(F.col("n") * F.length("text")).alias("chars"), F.sum("n").alias("rows"), F.approx_count_distinct("text", 0.1).alias("about"),
     )
     e = materialise(e, "elements")
-    some = e.where((F.col("first") != F.col("last")) & (F.col("about") <= 2 * MAX_ALTERNATIVES)).select(*key, "place")
+    some = e.where(F.col("about") <= 2 * MAX_ALTERNATIVES).select(*key, "place")
     some = bounded_by(some, e)
     t = join_dimension(v.select(*key, "value", "n", F.posexplode("runs").alias("place", "text")), some, [*key, "place"], "left_semi", spread=F.col("value"))
     t = t.groupBy(*key, "place", "text").agg(F.sum("n").alias("n")).groupBy(*key, "place").agg(
@@ -127,11 +140,12 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     span = F.when(F.col("low") == F.col("high"), F.when(F.col("low") == 1, "").otherwise(F.concat(F.lit("{"), number("low"), F.lit("}")))).otherwise(F.concat(F.lit("{"), number("low"), F.lit(","), number("high"), F.lit("}")))
     by_kind = ELEMENT_BITS + _gamma(F.col("low")) + _gamma(F.col("high") - F.col("low")) + F.col("rows") * F.log2(F.col("high") - F.col("low") + 1) + F.col("chars") * F.log2(size)
     by_text = F.when(F.col("texts").isNotNull(), 1 + F.col("written") * letter + F.col("rows") * F.log2("rows") - F.col("nlogn"))
-    fixed = F.col("first") == F.col("last")
+    fixed = F.coalesce(F.col("k") == 1, F.lit(False))
+    text = F.element_at("texts", 1)
     listed = F.concat(F.lit("(?:"), F.array_join(F.transform("texts", _quoted), "|"), F.lit(")"))
     e = e.withColumns({
-        "bits": F.round(F.when(fixed, F.length("first") * letter + 1).otherwise(F.least(by_kind, by_text)), 6),
-        "element": F.when(fixed, _quoted(F.col("first"))).when(F.round(by_text, 6) <= F.round(by_kind, 6), listed).otherwise(F.concat(cls, span)),
+        "bits": F.round(F.when(fixed, F.length(text) * letter + 1).otherwise(F.least(by_kind, by_text)), 6),
+        "element": F.when(fixed, _quoted(text)).when(F.round(by_text, 6) <= F.round(by_kind, 6), listed).otherwise(F.concat(cls, span)),
     })
     # a group has as many elements as its signature is long
     e = e.groupBy(*key).agg(F.sum("bits").alias("e_bits"), F.array_sort(F.collect_list(F.struct("place", "element")))["element"].alias("elements"))
