@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -75,7 +76,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
     The linear program is solved by column generation: start with one size per container, price new configurations
     with a knapsack over the dual values, stop when none is worth more than a container. Times are rounded down; what is then
-    missing is filled by configurations of the greatest total size among the items left.
+    missing is filled by configurations of the greatest total size among the items left. If `rounds` end before the program is
+    solved a warning says so: the result holds the demand all the same, perhaps in more containers.
     """
     if not sizes:
         return []
@@ -102,6 +104,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         binv -= np.outer(direction, pivot)
         binv[out] = pivot
         x = np.maximum(x, 0)
+    else:
+        warnings.warn(f"configurations are not optimal after {rounds} rounds", RuntimeWarning, stacklevel=2)
     result, left = [], np.array(demand)
     for j in np.argsort(-x):
         times = int(math.floor(x[j] + 1e-9))

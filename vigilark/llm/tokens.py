@@ -12,6 +12,7 @@ change the speed, never the ids.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -24,7 +25,20 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where a public vocabulary lies: a path is taken as it is, the place of a name is asked of public_tokenizers."""
+    if os.path.sep in name:
+        return name
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join(os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers"), name)
+    return str(public_tokenizers.path(name))
+
+
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 200
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
@@ -207,7 +221,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCAB
     A null text and an empty one both give an empty list. Every row gives one row, rows with equal ids too.
     No shuffle: one Arrow pass over the text column, vocabulary (1 MB) broadcast.
     """
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path(vocabulary)))
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +244,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCAB
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(id, n_tokens LONG): the number of ids of every text; 0 for null and empty texts."""
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path(vocabulary)))
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
