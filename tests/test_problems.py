@@ -12,7 +12,7 @@ from vigilark.operators import column_profile as P
 from vigilark.operators import instants as I
 from vigilark.operators import work_ledger as W
 from vigilark.operators.snapshot_diff import latest_state, snapshot_diff
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import join_dimension, latest_before, range_join
 from vigilark.plans.ranks import ranked_in_groups
 from vigilark.plans.rows import canonical_text
 
@@ -346,6 +346,29 @@ def test_salted_join(spark):
         join_dimension(left, right, ["k"], "full")
 
 
+@pytest.mark.parametrize("width", [1, 7, 400])
+def test_range_join(spark, width):
+    rnd = random.Random(5)
+    day = lambda: date(2024, 1, 1) + timedelta(days=rnd.randint(0, 60))
+    spans = [(rnd.choice("ab"), a, a + timedelta(days=rnd.randint(-2, 20)), i) for i, a in enumerate(day() for _ in range(30))] + [(None, day(), day(), 90), ("a", None, day(), 91)]
+    points = [(rnd.choice(["a", "b", None]), rnd.choice([None, *[day()] * 9]), i) for i in range(80)] + [("a", date(2024, 1, 5), 1)] * 2
+    p, s = spark.createDataFrame(points, "k string, d date, i int"), spark.createDataFrame(spans, "k string, lo date, hi date, j int")
+    hits = [(i, j) for k, d, i in points for u, a, b, j in spans if k and k == u and d and a and a <= d < b]
+    got = range_join(p, s, "d", "lo", "hi", width, ["k"]).collect()
+    assert sorted((r.i, r.j) for r in got) == sorted(hits)
+    outer = range_join(p, s, "d", "lo", "hi", width, ["k"], "left").collect()
+    assert sorted((r.i, -1 if r.j is None else r.j) for r in outer) == sorted(hits + [(i, -1) for k, d, i in points if not any(k and k == u and d and a and a <= d < b for u, a, b, _ in spans)])
+
+
+def test_latest_before(spark):
+    rnd = random.Random(6)
+    t = lambda: datetime(2024, 1, rnd.randint(1, 9), rnd.randint(0, 3))
+    marks, rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, t(), t()])) for _ in range(40)], [(i, rnd.choice(["a", "a", "b", "c", None]), rnd.choice([None, *[t()] * 9])) for i in range(90)]
+    got = latest_before(spark.createDataFrame(rows + rows[:5], "i int, g string, x timestamp_ntz"), spark.createDataFrame(marks, "g string, m timestamp_ntz"), "x", "m", ["g"]).collect()
+    want = {i: max((m for g, m in marks if m and x and g and g == k and m <= x), default=None) for i, k, x in rows}
+    assert len(got) == 95 and all(r.m == want[r.i] for r in got)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 3])
 def test_ranked_in_groups(spark, monkeypatch, most):
     import vigilark.plans.ranks as R

@@ -34,3 +34,11 @@ def download_plan(spark: SparkSession, countries: list[str], years: list[int], e
     """(country, year): the files still to be fetched: all combinations without those in existing (country, year)."""
     c = spark.createDataFrame([(x, years) for x in countries], "country string, years array<int>")
     return c.select("country", F.explode("years").alias("year")).join(existing, ["country", "year"], "left_anti")
+
+
+def download_summary(results: DataFrame) -> DataFrame:
+    """(country, downloaded, failed, complete) from results (country, year, success): successes per country; null counts as failure. One
+    result per file: of several for one country and year any success counts."""
+    one = results.groupBy("country", "year").agg(F.max(F.coalesce("success", F.lit(False))).alias("ok"))
+    ok = F.count_if("ok")
+    return one.groupBy("country").agg(ok.alias("downloaded"), (F.count("*") - ok).alias("failed"), (ok == F.count("*")).alias("complete"))

@@ -13,9 +13,9 @@ from vigilark.functions.geo import distance_m
 from vigilark.operators import coords, dates, names, validation
 from vigilark.operators.detections import new_detections
 from vigilark.operators.merge import append_log, append_since, drop_empty_columns, first_per_group, load_log, merge_latest, union_tagged
-from vigilark.operators.raster import age_band_sum, download_plan
+from vigilark.operators.raster import age_band_sum, download_plan, download_summary
 from vigilark.operators.spatial import regions_of_points
-
+from vigilark.plans.joins import latest_before, range_join
 from vigilark.session import scratch_path, table
 from vigilark.sources.filters import comparison_filter, logical_filter, odata_filter
 from vigilark.sources.snapshots import retained
@@ -148,9 +148,17 @@ def categorize_biannual(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT CAST(range AS DATE) AS a FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 6 MONTH))
 SELECT s.a AS half_start, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN s ON o_orderdate >= s.a AND o_orderdate < s.a + INTERVAL 6 MONTH GROUP BY s.a""")
 def biannual_range_join(spark: SparkSession, d: str) -> DataFrame:
-    """An interval join as an equi-join: every day finds its half-year by arithmetic."""
-    t = dates.categorize_biannual(table(spark, d, "orders"), "o_orderdate", "h")
-    return t.groupBy(F.col("h_ord").alias("half_start")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Orders and half-years by the general join of points and intervals."""
+    halves = spark.sql("select explode(sequence(date'1995-01-01', date'2001-07-01', interval 6 months)) a").select("a", F.add_months("a", 6).alias("b"))
+    orders = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    t = range_join(orders, halves, "day", "a", "b", 183)
+    return t.groupBy(F.col("a").alias("half_start")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT c.country, count(*) FILTER (ok) AS downloaded, count(*) FILTER (NOT ok) AS failed, bool_and(ok) AS complete
+FROM (SELECT s_nationkey AS country, s_suppkey % 5 AS year, bool_or(s_acctbal > 0) AS ok FROM supplier GROUP BY ALL) c GROUP BY c.country""")
+def download_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return download_summary(table(spark, d, "supplier").select(F.col("s_nationkey").alias("country"), (F.col("s_suppkey") % 5).alias("year"), (F.col("s_acctbal") > 0).alias("success")))
 
 
 @query()
@@ -623,19 +631,11 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o.CaseId, o.VersionNo, max(r.RunStartedAt) AS last_run FROM (SELECT DISTINCT CaseId, VersionNo, ReceivedAt, upper(trim(WHORegion)) AS g FROM polis_cases) o JOIN polis_data_update_log r
   ON upper(trim(r.Region)) = o.g AND r.RunStartedAt <= o.ReceivedAt GROUP BY ALL""")
 def asof_join(spark: SparkSession, d: str) -> DataFrame:
-    """The latest run of the region before each delivery: runs and deliveries in one ordered stream per region and month; the last run of earlier months
-    is carried into each month, so that no task holds a whole region."""
+    """The latest run of the region before each delivery."""
     c = table(spark, d, "polis_cases").select("CaseId", "VersionNo", "ReceivedAt", F.upper(F.trim("WHORegion")).alias("g")).distinct()
     r = table(spark, d, "polis_data_update_log").select(F.upper(F.trim("Region")).alias("g"), F.col("RunStartedAt").alias("t")).distinct()
-    month = lambda x: F.trunc(x, "month")
-    per = r.groupBy("g", month("t").alias("m")).agg(F.max("t").alias("t"))
-    months = c.select("g", month("ReceivedAt").alias("m")).distinct().withColumn("t", F.lit(None).cast("timestamp_ntz"))
-    w = Window.partitionBy("g").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per.unionByName(months).groupBy("g", "m").agg(F.max("t").alias("t")).select("g", "m", F.max("t").over(w).alias("carried"))
-    cm = c.withColumn("m", month("ReceivedAt"))
-    inside = cm.join(r.withColumn("m", month("t")), ["g", "m"]).where("t <= ReceivedAt").groupBy("CaseId", "VersionNo", "ReceivedAt").agg(F.max("t").alias("inside"))
-    j = cm.join(carried, ["g", "m"], "left").join(inside, ["CaseId", "VersionNo", "ReceivedAt"], "left").withColumn("t", F.coalesce("inside", "carried")).where("t is not null")
-    return j.groupBy("CaseId", "VersionNo").agg(F.max("t").alias("last_run"))
+    j = latest_before(c, r, "ReceivedAt", "t", ["g"])
+    return j.where("t is not null").groupBy("CaseId", "VersionNo").agg(F.max("t").alias("last_run"))
 
 
 # ------------------------------------------------------------------ incremental state

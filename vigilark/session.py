@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -54,19 +55,34 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-_scratch: list[str] = []
+#: Scratch paths of this process with the file systems they are on.
+_scratch: dict[str, tuple] = {}
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    _scratch.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _scratch[-1]
+    """A new path under the shared folder. It is deleted by clear_scratch, at the latest when the process ends: until then results may
+    be read from it."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not _scratch:
+        atexit.register(_clear_at_exit)
+    _scratch[path] = (p.getFileSystem(conf), p)
+    return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
+def clear_scratch(spark: SparkSession | None = None) -> None:
     """Deletes what this process wrote under the shared folder; results that were not written elsewhere can't be read after it."""
     while _scratch:
-        remove_path(spark, _scratch.pop())
+        fs, p = _scratch.popitem()[1]
+        fs.delete(p, True)
+
+
+def _clear_at_exit() -> None:
+    try:
+        clear_scratch()
+    except Exception:  # noqa: BLE001 - the JVM is gone already: nothing can be done from here
+        pass
 
 
 def row_bytes(df: DataFrame) -> Column:
