@@ -64,21 +64,24 @@ def survivors(
     Of the records with the winning value the one with the largest vote, then the smallest id gives its spelling; equal sums go to the
     smaller value. A field without any value gives no row.
 
-    The keys of the groups are made once and written. All steps are map-side aggregations on (group, field[, value]): a group that holds
-    a third of all rows is reduced before it is shuffled; the best votes go back to the votes by a join that is broadcast or salted.
+    The keys of the groups are made once and written; from then on a group is its group_id, which is short, and groups of one record are
+    gone. All steps are map-side aggregations on (group, field[, value]): a group that holds a third of all rows is reduced before it is
+    shuffled; group ids and best votes go to the rows by joins that are broadcast or salted.
     """
-    keys = [*group, "field_name"]
+    keys = ["group_id", "field_name"]
     known = df.where(" and ".join(f"`{g}` is not null" for g in (*group, id_col)))
     known = materialise(known.select(*group, id_col, trust, time, *[f for f in fields if f not in (*group, id_col, trust, time)]), "decisions")
     groups = known.groupBy(*group).agg(F.min(id_col).alias("group_id"), F.max(id_col).alias("__last")).where("group_id <> __last").drop("__last")
-    v = field_votes(known, group, id_col, fields, trust, time)
+    groups = materialise(groups, "groups")
+    rows = join_dimension(known, groups, list(group), "inner", spread=F.col(id_col))
+    v = field_votes(rows, ["group_id"], id_col, fields, trust, time)
     one = v.groupBy(*keys, "id").agg(F.max(F.struct("trust", "at", "value")).alias("x")).select(*keys, "id", "x.*")
     if votes == "ranked":
-        best = F.max(F.struct(F.col("trust"), F.col("at"), (-F.col("id")).alias("first"))).alias("best")
-        tops = materialise(v.groupBy(*keys).agg(best, F.count("*").alias("n")), "best-votes")
-        one = join_dimension(one, tops, keys, "inner", spread=F.col("id"))
+        best = F.max(F.struct(F.col("trust"), F.col("at"), (-F.col("id")).alias("first"))).alias("b")
+        tops = v.groupBy(*keys).agg(best, F.count("*").alias("n")).select(*keys, F.col("b.trust").alias("b_trust"), F.col("b.at").alias("b_at"), F.col("b.first").alias("b_first"), "n")
+        one = join_dimension(one, materialise(tops, "best-votes"), keys, "inner", spread=F.col("id"))
         less = lambda worse: F.when(worse, 1 / (2 * (F.col("n") + 1.0))).otherwise(1.0)
-        weight = less(F.col("trust") < F.col("best.trust")) * less(~F.col("at").eqNullSafe(F.col("best.at"))) * less(-F.col("id") != F.col("best.first"))
+        weight = less(F.col("trust") < F.col("b_trust")) * less(~F.col("at").eqNullSafe(F.col("b_at"))) * less(-F.col("id") != F.col("b_first"))
     elif votes == "sum":
         newest = df.agg(F.max(time).alias("t")).first()["t"]
         age = (F.unix_seconds(F.lit(newest).cast("timestamp")) - F.unix_seconds("at")) / 86400.0 if newest is not None else F.lit(None).cast("double")
@@ -90,7 +93,8 @@ def survivors(
     )
     # sums of doubles depend on their order in the last digits; rounding keeps ties ties
     won = same.groupBy(*keys).agg(F.min_by("w", F.struct(-F.round("votes", 9), F.col("nv"))).alias("w"))
-    return won.join(groups, list(group)).select(*group, "group_id", "field_name", F.col("w.value").alias("value"), F.col("w.id").alias("id"))
+    won = won.select(*keys, F.col("w.value").alias("value"), F.col("w.id").alias("id"))
+    return join_dimension(won, groups, ["group_id"], "inner").select(*group, *keys, "value", "id")
 
 
 def surviving_records(winners: DataFrame, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
