@@ -176,6 +176,27 @@ def test_odata_is_kept_up_to_date(spark, server, tmp_path):
     assert sorted((r.query_start, r.new_rows) for r in log.collect()) == [("2024-01-01", 2), ("2024-02-06", 1)]
 
 
+def test_shapefiles(spark, tmp_path):
+    """Polygons with holes and parts, null shapes and values, several files of a folder; regions are found in what was read."""
+    ring = lambda x, y, r: [[x, y], [x + r, y], [x + r, y + r], [x, y + r], [x, y]]
+    shapes = [{"type": "Polygon", "coordinates": [ring(0, 0, 10), ring(2, 2, 1)]}, {"type": "MultiPolygon", "coordinates": [[ring(20, 0, 5)], [ring(30, 0, 5), ring(31, 1, 1)]]}, None]
+    rows = [(i, ["é-Land", None, "c"][i], 1.5 * i if i else None, i == 1, date(2024, 1, 1 + i), json.dumps(g) if g else None) for i, g in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "n int, name string, v double, flag boolean, day date, geometry string")
+    files.save(df, str(tmp_path / "a.shp"))
+    files.save(df.where("n < 2"), str(tmp_path / "b.shp"))
+    got = {r.n: r for r in files.read(spark, str(tmp_path / "a.shp")).collect()}
+    assert [(got[i].name, got[i].v, got[i].flag, got[i].day) for i in range(3)] == [r[1:5] for r in rows]
+    assert got[2].geometry is None and json.loads(got[0].geometry)["type"] == "Polygon" and len(json.loads(got[0].geometry)["coordinates"]) == 2
+    assert [len(p) for p in json.loads(got[1].geometry)["coordinates"]] == [1, 2]
+    from vigilark.sources.shapefile import read_shp
+
+    assert read_shp(spark, str(tmp_path)).count() == 5
+    files.save(spark.createDataFrame([(1, 2.5, -3.5), (2, None, 1.0)], "id int, lon double, lat double"), str(tmp_path / "p" / "p.shp"))
+    assert sorted((r.id, r.lon, r.lat) for r in files.read(spark, str(tmp_path / "p" / "p.shp")).collect()) == [(1.0, 2.5, -3.5), (2.0, None, None)]
+    with pytest.raises(ValueError, match="one kind"):
+        files.save(spark.createDataFrame([(json.dumps(shapes[0]),), ('{"type":"Point","coordinates":[1,2]}',)], "geometry string"), str(tmp_path / "c.shp"))
+
+
 def test_single_files_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "SINGLE_ROWS", 3)
     with pytest.raises(ValueError, match="too many rows"):

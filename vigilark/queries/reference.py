@@ -14,12 +14,14 @@ from vigilark.operators import coords, dates, names, validation
 from vigilark.operators.detections import new_detections
 from vigilark.operators.merge import append_log, append_since, drop_empty_columns, first_per_group, load_log, merge_latest, union_tagged
 from vigilark.operators.raster import age_band_sum, download_plan, download_summary
+from vigilark.operators.snapshot_diff import deliveries
 from vigilark.operators.spatial import regions_of_points
 from vigilark.plans.joins import latest_before, range_join
 from vigilark.session import scratch_path, table
 from vigilark.sources.filters import comparison_filter, logical_filter, odata_filter
-from vigilark.sources.snapshots import retained
-from vigilark.streaming.merge import BucketedTable, gap_sessions, merge_stream
+from vigilark.sources import files
+from vigilark.sources.snapshots import read_snapshots, retained, save_snapshot
+from vigilark.streaming.merge import BucketedTable, VersionedTable, dedup_pages, gap_sessions, merge_stream, windowed_counts
 
 AS_OF = date(2025, 6, 30)
 Q: dict = {}
@@ -425,7 +427,18 @@ def merge_decisions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("level", "name_to_match", "level0_prepped", "level1_prepped", "level2_prepped", "created_time", "replacement")
 
 
-@query()
+@query(f"""WITH {_LOOKUP_SQL}, ref AS (SELECT DISTINCT upper(Admin0Name) AS a, upper(Admin1Name) AS b, upper(Admin2Name) AS c FROM lk),
+t AS (SELECT DISTINCT upper(level0_name) AS a, upper(level1_name) AS b, upper(name_to_match) AS c FROM geoname_todo WHERE lower(trim(level)) = 'level2'),
+u AS (SELECT * FROM t WHERE concat_ws('_', a, b, c) NOT IN (SELECT concat_ws('_', a, b, c) FROM ref)),
+n AS (SELECT DISTINCT 'level0' AS level, NULL AS parent, a AS x FROM u WHERE a IS NOT NULL AND a NOT IN (SELECT a FROM ref)
+  UNION SELECT DISTINCT 'level1', a, b FROM u WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ref WHERE ref.a = u.a AND ref.b = u.b)
+  UNION SELECT DISTINCT 'level2', b, c FROM u WHERE c IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ref WHERE ref.b = u.b AND ref.c = u.c)),
+k AS (SELECT DISTINCT 'level0' AS level, NULL AS parent, a AS y FROM ref UNION SELECT DISTINCT 'level1', a, b FROM ref UNION SELECT DISTINCT 'level2', b, c FROM ref),
+odd AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM n) WHERE unicode(c) > 126),
+m AS (SELECT coalesce(string_agg(c, '' ORDER BY i), '') AS f, coalesce(string_agg(chr(CAST(CASE WHEN i <= 26 THEN 96 + i ELSE i - 26 END AS INT)), '' ORDER BY i), '') AS g FROM odd),
+e AS (SELECT n.level, n.parent, x, y, CAST(levenshtein(translate(x, f, g), translate(y, f, g)) AS DOUBLE) AS distance FROM n JOIN k ON n.level = k.level AND (n.level = 'level0' OR n.parent = k.parent) AND y IS NOT NULL, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, parent, x ORDER BY distance, y) AS match_rank FROM e)
+SELECT level, parent, 'lv' AS algorithm_name, x AS name_to_match, y AS matched_names, distance, match_rank FROM r WHERE match_rank <= 3""")
 def prep_geonames(spark: SparkSession, d: str) -> DataFrame:
     """Suggestions for typed districts that the dimension does not have."""
     t = table(spark, d, "geoname_todo").where(F.lower(F.trim("level")) == "level2")
@@ -743,6 +756,98 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return gap_sessions(table(spark, d, "events"), "ts", "6 hours", ["user_id"]).select("user_id", "session_start", "n")
 
 
+@query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream, of each user and day the first row that comes within the watermark."""
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    days = src.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "deduplicated")
+    out = dedup_pages(days, ["user_id", "day"], "ts", "1 day").select("user_id", "day")
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "dedup-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id " + dict(src.dtypes)["user_id"] + ", day date").parquet(path)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per day of events as a stream; the last batch's complete result is kept."""
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"))
+    kept = VersionedTable(spark, scratch_path(spark, "windows"))
+    q = windowed_counts(src, "ts", "1 day").writeStream.outputMode("complete").foreachBatch(lambda df, n: kept.write(df, n))
+    q.option("checkpointLocation", scratch_path(spark, "windows-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n")
+
+
+# ------------------------------------------------------------------ files and snapshots
+
+_FORMATS_OF_FILES = ("csv", "tsv", "jsonl", "parquet", "orc")
+
+
+@query("SELECT f AS format, s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier, (VALUES " + ", ".join(f"('{f}')" for f in _FORMATS_OF_FILES) + ") v(f)")
+def files_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written in every format and read again."""
+    t = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    back = {}
+    for f in _FORMATS_OF_FILES:
+        path = f"{scratch_path(spark, 'files')}/t.{f}"
+        files.save(t, path)
+        back[f] = files.read(spark, path).select([F.col(c.name).cast(c.dataType).alias(c.name) for c in t.schema])
+    return union_tagged(back, "format")
+
+
+@query("SELECT OBJECTID, ADM2_NAME, CENTER_LON AS lon, CENTER_LAT AS lat FROM shp_global WHERE CENTER_LON IS NOT NULL AND CENTER_LAT IS NOT NULL")
+def geojson_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Points written as GeoJSON features and read again."""
+    t = table(spark, d, "shp_global").where("CENTER_LON is not null and CENTER_LAT is not null")
+    path = f"{scratch_path(spark, 'files')}/centres.geojson"
+    files.save(t.select("OBJECTID", "ADM2_NAME", F.col("CENTER_LON").alias("lon"), F.col("CENTER_LAT").alias("lat")), path)
+    return files.read(spark, path).select(F.col("OBJECTID").cast("int").alias("OBJECTID"), "ADM2_NAME", "lon", "lat")
+
+
+@query("SELECT OBJECTID, ADM2_NAME, CENTER_LON AS lon, CENTER_LAT AS lat FROM shp_global")
+def shapefile_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Points written as a shapefile and read again; rows without a centre have null shapes."""
+    t = table(spark, d, "shp_global").select("OBJECTID", "ADM2_NAME", F.col("CENTER_LON").alias("lon"), F.col("CENTER_LAT").alias("lat"))
+    path = f"{scratch_path(spark, 'files')}/centres.shp"
+    files.save(t, path)
+    return files.read(spark, path).select(F.col("OBJECTID").cast("int").alias("OBJECTID"), "ADM2_NAME", "lon", "lat")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def text_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """A third of a table each as CSV under a header of types, as text with a separator to be found, and as one CSV file."""
+    t = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    part = [t.where(F.col("n_nationkey") % 3 == k) for k in range(3)]
+    folder = scratch_path(spark, "files")
+    head = ["# ---", "# fields:", *[x for c, k in (("n_nationkey", "integer"), ("n_name", "string"), ("n_regionkey", "integer")) for x in (f"#  - name: {c}", f"#    type: {k}")], "# ---"]
+    rows = lambda df, sep: [sep.join(f'"{v}"' if isinstance(v, str) else str(v) for v in r) for r in df.collect()]  # noqa: E731 - a few nations
+    write = lambda lines, name: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    write([*head, ",".join(t.columns), *rows(part[0], ",")], "a.csvy")
+    write([" ".join(t.columns), *rows(part[1], " ")], "b.txt")
+    files.save(part[2], f"{folder}/c.csv", single=True)
+    back = [files.read(spark, f"{folder}/{n}").select([F.col(c.name).cast(c.dataType).alias(c.name) for c in t.schema]) for n in ("a.csvy", "b.txt", "c.csv")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@query("""WITH w AS (SELECT DISTINCT SnapshotWeek AS s FROM polis_virus WHERE SnapshotWeek IS NOT NULL ORDER BY s DESC LIMIT 3)
+SELECT substr(SnapshotWeek, 1, 4) || ' W' || lpad(substr(SnapshotWeek, 6), 2, '0') AS snapshot, count(*) AS n FROM polis_virus WHERE SnapshotWeek IN (SELECT s FROM w) GROUP BY 1""")
+def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly deliveries saved one after the other with three kept, and read again."""
+    v, root = table(spark, d, "polis_virus"), scratch_path(spark, "snapshots")
+    for w in deliveries(v, "SnapshotWeek"):
+        save_snapshot(v.where(F.col("SnapshotWeek") == w), root, "virus", date.fromisocalendar(int(w[:4]), int(w[5:]), 3), keep=3)
+    return read_snapshots(spark, root, "virus").groupBy("snapshot").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'customer' AS source, c_nationkey AS nationkey, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_name FROM supplier")
+def table_of_every_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same table from every sub-folder of a folder, tagged; columns that one lacks are null, sources without it passed over."""
+    root = scratch_path(spark, "databases")
+    table(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).write.parquet(f"{root}/customer/people.parquet")
+    table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name")).write.parquet(f"{root}/supplier/people.parquet")
+    table(spark, d, "region").write.parquet(f"{root}/other/places.parquet")
+    return files.read_all(spark, root, "people")
+
+
 def queries() -> dict:
     return dict(Q)
 

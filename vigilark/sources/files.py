@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from vigilark.plans.joins import fits
 from vigilark.session import list_dir, remove_path, scratch_path
+from vigilark.sources.shapefile import read_shp, shapefile_bytes
 
-READABLE = ("csv", "tsv", "txt", "csvy", "xlsx", "dta", "sas7bdat", "xpt", "sav", "parquet", "json", "geojson", "orc", "jsonl", "avro")
-WRITABLE = ("csv", "tsv", "xlsx", "dta", "parquet", "json", "geojson", "orc", "jsonl")
+READABLE = ("csv", "tsv", "txt", "csvy", "xlsx", "dta", "sas7bdat", "xpt", "sav", "parquet", "json", "geojson", "orc", "jsonl", "avro", "shp")
+WRITABLE = ("csv", "tsv", "xlsx", "dta", "parquet", "json", "geojson", "orc", "jsonl", "shp")
 
 # Type names in the header of csvy files.
 _CSVY_TYPES = {"integer": T.LongType(), "number": T.DoubleType(), "numeric": T.DoubleType(), "string": T.StringType(), "character": T.StringType(), "boolean": T.BooleanType(), "logical": T.BooleanType(), "date": T.DateType(), "factor": T.StringType()}
@@ -89,10 +90,21 @@ def _fetched(spark: SparkSession, url: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file on any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
     """A table from a file or folder, by extension; http(s) paths are copied to the shared folder first.
 
-    csv, tsv, txt (separator found from the first line), csvy, json, geojson, jsonl, parquet, orc, avro by Spark; dta, sas7bdat, xpt, xlsx and sav by pandas
+    csv, tsv, txt (separator found from the first line), csvy, json, geojson, jsonl, parquet, orc, avro by Spark, shp by sources.shapefile; dta, sas7bdat, xpt, xlsx and sav by pandas
     where its readers are installed. Types of delimited files are inferred unless a schema is given as an option.
     """
     if re.match(r"^https?://", path):
@@ -115,6 +127,8 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.json(path, **options)
     if ext in ("parquet", "orc"):
         return spark.read.format(ext).options(**options).load(path)
+    if ext == "shp":
+        return read_shp(spark, path)
     if ext == "avro":
         return spark.read.format("avro").options(**options).load(path)
     reader = {"dta": "read_stata", "sas7bdat": "read_sas", "xpt": "read_sas", "xlsx": "read_excel", "sav": "read_spss"}.get(ext)
@@ -177,6 +191,14 @@ def save(df: DataFrame, path: str, single: bool = False, **options) -> None:
         with open(path, "w", encoding="utf-8") as f:
             f.write('{"type":"FeatureCollection","features":[' + ",".join(rows) + "]}")
         return None
+    if ext == "shp":
+        if "geometry" not in df.columns and {"lon", "lat"} <= set(df.columns):
+            df = df.withColumn("geometry", F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))))).drop("lon", "lat")
+        rows = [r.asDict() for r in _small(df, path).collect()]
+        parts = shapefile_bytes(rows, [(c, t) for c, t in df.dtypes if c not in ("geometry", "lon", "lat")])
+        for kind, content in zip(("shp", "shx", "dbf"), parts):
+            write_bytes(df.sparkSession, f"{path[:-4]}.{kind}", content)
+        return None
     if ext == "dta":
         return _small(df, path).toPandas().to_stata(path, write_index=False, **options)
     if ext == "xlsx":
