@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.plans.joins import join_dimension
-from vigilark.session import bounded_by, collect_bounded, materialise
+from vigilark.session import bounded_by, collect_bounded, materialise, materialise_all
 
 #: Kinds of runs with their expressions: upper-case letters, other letters and marks, digits, spaces, punctuation, anything else. In
 #: signatures a run is one sign of the private use area; punctuation stands for itself.
@@ -78,7 +78,7 @@ def _alphabets(values: DataFrame) -> DataFrame:
     chars = values.where(F.col("sig") != SIGNS["9"]).select("column_name", F.explode(F.array_distinct(F.split("value", ""))).alias("c"))
     chars = chars.unionByName(plain).distinct()
     per = chars.groupBy("column_name").agg(F.count("*").alias("alphabet"), *[F.count_if(F.col("c").rlike(f"^{e}")).alias(f"of_{i}") for i, e in enumerate(CLASSES.values())])
-    return materialise(per.join(values.groupBy("column_name").agg(F.sum("n").alias("all_rows")), "column_name"), "alphabets")
+    return per.join(values.groupBy("column_name").agg(F.sum("n").alias("all_rows")), "column_name")
 
 
 def induce_expressions(values: DataFrame) -> DataFrame:
@@ -108,13 +108,11 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     values = values.select("column_name", "value", "n", "sig")
     runs = F.when(F.col("sig") == SIGNS["9"], F.array("value")).otherwise(F.regexp_extract_all("value", F.lit(_RUN), F.lit(1)))
     v = materialise(values.withColumn("runs", runs), "distinct-values")
-    per_column = _alphabets(v)  # one row per column of the table
     letter = F.log2(F.col("alphabet") + 1)  # bits of a character written out
     key = ["column_name", "sig"]
 
     # groups, and what they cost as exceptions
     groups = v.groupBy(*key).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), F.sum(F.col("n") * (F.length("value") + 1)).alias("signs"))
-    groups = materialise(groups, "signatures")
 
     # elements: one row per group and place
     e = v.select(*key, "n", F.posexplode("runs").alias("place", "text"))
@@ -122,7 +120,8 @@ def induce_expressions(values: DataFrame) -> DataFrame:
         F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"),
         F.sum(F.col("n") * F.length("text")).alias("chars"), F.sum("n").alias("rows"), F.approx_count_distinct("text", 0.1).alias("about"),
     )
-    e = materialise(e, "elements")
+    # one row per column of the table; per signature; per signature and place
+    per_column, groups, e = materialise_all((_alphabets(v), "alphabets"), (groups, "signatures"), (e, "elements"))
     some = e.where(F.col("about") <= 2 * MAX_ALTERNATIVES).select(*key, "place")
     some = bounded_by(some, e)
     t = join_dimension(v.select(*key, "value", "n", F.posexplode("runs").alias("place", "text")), some, [*key, "place"], "left_semi", spread=F.col("value"))

@@ -6,11 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 
 def build_session(app: str = "vigilark", master: str | None = None, **conf: str) -> SparkSession:
@@ -118,6 +120,12 @@ def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
     return out
 
 
+def materialise_all(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """materialise for several tables that don't need each other, at once."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(tables[0][0].sparkSession)(materialise), df, what) for df, what in tables]]
+
+
 def known_size(df: DataFrame) -> tuple[int, int] | None:
     """Rows and bytes that df has at most, where they are known."""
     return getattr(df, "_size", None)
