@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vigilark.functions.text import fold_accents, fold_lookalikes
 from vigilark.operators.set_similarity import similarity_join
 from vigilark.plans.joins import join_dimension
-from vigilark.session import materialise
+from vigilark.session import bounded_by, materialise, materialise_all
 
 #: Jaccard similarity of pairs from which a pair of names is a candidate. Two letters changed in a name of six leave 3 of 11 pairs to 5 of 9.
 THRESHOLD = 0.3
@@ -92,14 +92,16 @@ def map_names(typed: DataFrame, reference: DataFrame, threshold: float = THRESHO
     t = typed.where("id is not null and name is not null and scope is not null")
     # explode_outer: a plain explode would push a test of the whole expression below the steps it is made of
     v = with_variants(t, "name", "parents", "texts").select("id", "scope", F.explode_outer("texts").alias("text")).where("text is not null")
-    v = materialise(v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").withColumn("key", key()), "typed")
+    v = v.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").withColumn("key", key())
     r = reference.where("name is not null and scope is not null and entry is not null").select("scope", "entry", letters(F.col("name")).alias("text"))
-    r = materialise(r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct().withColumn("rkey", key()), "reference")
+    r = r.withColumn("bones", skeleton(F.col("text"))).where("bones <> ''").distinct().withColumn("rkey", key())
+    v, r = materialise_all((v, "typed"), (r, "reference"))
     # the same skeleton occurs in many typed names: each is looked up once
     lk, rk = v.select("key", "scope", "bones").distinct(), r.select(F.col("rkey").alias("key"), "scope", "bones").distinct()
     pairs = materialise(similarity_join(lk, rk, "key", "bones", "scope", threshold).select(F.col("lk").alias("key"), F.col("rk").alias("rkey"), "jaccard"), "pairs")
     c = join_dimension(v.select("id", "key", "text", "bones"), pairs, ["key"], "inner", spread=F.col("id"))
-    c = join_dimension(c, r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry"), ["rkey"], "inner", spread=F.col("id"))
+    named = bounded_by(r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry"), r)
+    c = join_dimension(c, named, ["rkey"], "inner", spread=F.col("id"))
     c = c.withColumns({"a": F.replace(without_digits(F.col("text")), F.lit(" "), F.lit("")), "b": F.replace(without_digits(F.col("r_text")), F.lit(" "), F.lit(""))})
     edit = F.least(_edit_share(F.col("a"), F.col("b")), _edit_share(F.col("bones"), F.col("r_bones")) + 0.02)
     short = F.least(F.length("a"), F.length("b")) <= 3
