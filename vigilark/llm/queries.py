@@ -33,10 +33,9 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    """(src, src_id, scope, name, parents): every typed name with the scope it belongs to."""
+    """(src, src_id, scope, name): every typed name with the scope it belongs to."""
     sia = spark.read.parquet(f"{d}/polis_sia.parquet").select(
         F.lit("polis_sia").alias("src"), F.col("ActivityId").alias("src_id"), F.lit("0").alias("scope"), F.col("Admin0Name").alias("name"),
-        F.array().cast("array<string>").alias("parents"),
     )
     todo = spark.read.parquet(f"{d}/geoname_todo.parquet")
     level = F.lower(F.trim("level"))
@@ -47,8 +46,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
         .when(level == "level2", F.concat_ws(sep, F.lit("2"), F.coalesce("level0_name", F.lit("")), F.coalesce("level1_name", F.lit(""))))
         .otherwise(F.lit("?"))
     )
-    parents = F.when(level == "level1", F.array("level0_name")).when(level == "level2", F.array("level1_name", "level0_name")).otherwise(F.array().cast("array<string>"))
-    geo = todo.select(F.lit("geoname_todo").alias("src"), F.col("todo_id").alias("src_id"), scope.alias("scope"), F.col("name_to_match").alias("name"), parents.alias("parents"))
+    geo = todo.select(F.lit("geoname_todo").alias("src"), F.col("todo_id").alias("src_id"), scope.alias("scope"), F.col("name_to_match").alias("name"))
     return sia.unionByName(geo).where("src_id is not null").distinct()
 
 
@@ -60,7 +58,10 @@ def p1_matched(spark: SparkSession, d: str) -> DataFrame:
     rows = _typed(spark, d).where(F.col("name").rlike(r"\S"))
     rows = join_dimension(rows, places.select("scope", "name").distinct(), ["scope", "name"], "left_anti", spread=F.col("src_id"))
     rows = materialise(rows.withColumn("id", F.concat_ws("\u0001", "scope", "name")), "names")
-    names = materialise(map_names(rows.select("id", "scope", "name", "parents").distinct(), places.unionByName(extra).distinct()), "mapped")
+    # the scope names the parents, from the country down
+    up = F.reverse(F.slice(F.split("scope", "\u0002"), 2, 2)).alias("parents")
+    typed = rows.select("id", "scope", "name").distinct().select("id", "scope", "name", up)
+    names = materialise(map_names(typed, places.unionByName(extra).distinct()), "mapped")
     # one spelling may hold a third of the rows
     return join_dimension(rows, names, ["id"], "left", spread=F.col("src_id")).drop("id")
 
