@@ -581,11 +581,40 @@ def detections_table(spark: SparkSession, d: str) -> DataFrame:
     return r.select("Country", "Virus", total.cast("long").alias("detections"), "Days Between")
 
 
-@query()
+def _ordinal(c: str) -> str:
+    return (f"(CASE WHEN day({c}) BETWEEN 11 AND 13 THEN day({c}) || 'th' WHEN day({c}) % 10 = 1 THEN day({c}) || 'st' WHEN day({c}) % 10 = 2 THEN day({c}) || 'nd' "
+            f"WHEN day({c}) % 10 = 3 THEN day({c}) || 'rd' ELSE day({c}) || 'th' END || strftime({c}, ' %b %Y'))")
+
+
+_YEARS = tuple(range(AS_OF.year - 2, AS_OF.year + 1))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT SnapshotWeek AS w FROM polis_virus ORDER BY w DESC LIMIT 2), o AS (SELECT * FROM polis_virus WHERE SnapshotWeek = (SELECT min(w) FROM w)), n AS (SELECT * FROM polis_virus WHERE SnapshotWeek = (SELECT max(w) FROM w)),
+f AS (SELECT *, CASE WHEN VirusTypeName = 'WILD1' THEN 'WPV1' ELSE VirusTypeName END AS v FROM n WHERE year(VirusDate) > 2022 AND regexp_matches(VirusTypeName, '^WILD|^VDPV|^cVDPV') AND SurveillanceTypeName IN ('AFP', 'Environmental')
+  AND EPID NOT IN (SELECT EPID FROM o WHERE EPID IS NOT NULL)),
+p AS (SELECT Admin0Name AS c, CASE WHEN VirusTypeName = 'WILD1' THEN 'WPV1' ELSE VirusTypeName END AS pv, CASE WHEN count(*) = count(VirusDate) THEN max(VirusDate) END AS prior FROM o
+  WHERE regexp_matches(CASE WHEN VirusTypeName = 'WILD1' THEN 'WPV1' ELSE VirusTypeName END, '^WPV|^VDPV|^cVDPV') AND SurveillanceTypeName IN ('AFP', 'Environmental') GROUP BY ALL),
+g AS (SELECT Admin0Name, v, {", ".join(f"count(*) FILTER (year(VirusDate) = {y}) AS y{y}" for y in _YEARS)}, max(VirusDate) AS latest FROM f GROUP BY ALL),
+t AS (SELECT Admin0Name AS tc, v AS tv, VdpvEmergenceGroupName AS eg, CAST(VdpvClassificationChangeDate AS DATE) AS classified, CAST(VdpvReportedToHQDate AS DATE) AS hq, VdpvNtChangesClosestMatch AS near, VdpvNtChangesFromSabin AS sabin, VaccineOrigin AS origin
+  FROM (SELECT *, row_number() OVER (PARTITION BY Admin0Name, v ORDER BY VirusDate DESC NULLS LAST, coalesce(EPID, '') DESC) AS rn FROM f) WHERE rn = 1),
+m AS (SELECT (SELECT CASE WHEN count(*) = count(UpdatedDate) THEN CAST(max(UpdatedDate) AS DATE) END FROM o) AS old_max, (SELECT CASE WHEN count(*) = count(UpdatedDate) THEN CAST(max(UpdatedDate) AS DATE) END FROM n) AS new_max),
+x AS (SELECT Admin0Name, ActivityVaccineType AS kind, string_split(nullif(regexp_extract(ActivityDateFrom, '^\\s*(\\d{{1,4}}-\\d{{1,2}}-\\d{{1,2}})', 1), ''), '-') AS k FROM polis_sia WHERE ActivityStatus = 'Done'),
+s AS (SELECT Admin0Name, kind, TRY(make_date(CAST(k[1] AS INT), CAST(k[2] AS INT), CAST(k[3] AS INT))) AS d FROM x),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Admin0Name ORDER BY d DESC, kind DESC NULLS LAST) AS rn FROM s WHERE d IS NOT NULL) WHERE rn = 1)
+SELECT array_to_string(list_transform(string_split(lower(g.Admin0Name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS "Country", v AS "Virus", {", ".join(f'y{y} AS "{y} Detections"' for y in _YEARS)},
+  coalesce(eg, 'No Classification Given Yet') AS "Emergence Group", v IN ('cVDPV1', 'cVDPV2') AND NOT EXISTS (SELECT 1 FROM o WHERE o.VdpvEmergenceGroupName IS NOT DISTINCT FROM eg) AS "New Emergence",
+  {_ordinal("latest")} AS "Latest Detection", CASE WHEN prior IS NULL THEN '' ELSE {_ordinal("prior")} END AS "Prior Detection",
+  CASE WHEN prior IS NULL THEN '' WHEN latest - prior < 0 THEN (latest - prior) || '*' ELSE CAST(latest - prior AS VARCHAR) END AS "Days Between",
+  CAST(hq - latest AS INT) AS "Days to Confirm", hq - latest > 90 AS "Delayed Report", CASE WHEN near IS NULL THEN coalesce(sabin, 'NA') || '**' ELSE near END AS "Nt Changes",
+  v IN ('cVDPV1', 'cVDPV2') AND classified > old_max AND classified <= new_max AS "New VDPV Class", coalesce(origin, '') AS "Vaccine Origin", CASE WHEN d IS NULL THEN 'NAth NA NA' ELSE {_ordinal("d")} END AS "Last SIA Date",
+  CAST(latest - d AS INT) AS "Days Since SIA", kind AS "Vaccine Type", try_cast(coalesce(near, sabin) AS DOUBLE) AS "Ntchanges"
+FROM g JOIN t ON g.Admin0Name IS NOT DISTINCT FROM tc AND g.v = tv LEFT JOIN p ON g.Admin0Name IS NOT DISTINCT FROM c AND g.v = pv LEFT JOIN l ON l.Admin0Name IS NOT DISTINCT FROM g.Admin0Name, m""")
 def detections_table_full(spark: SparkSession, d: str) -> DataFrame:
+    """All columns; every year of the last three has one, with 0 where there was nothing."""
     old, new = _weeks(spark, d)
     sia = table(spark, d, "polis_sia").withColumn("ActivityDateFrom", iso_prefix_date(F.col("ActivityDateFrom")))
-    return new_detections(old, new, sia, AS_OF)
+    r = new_detections(old, new, sia, AS_OF)
+    return r.withColumns({f"{y} Detections": F.lit(0).cast("long") for y in _YEARS if f"{y} Detections" not in r.columns})
 
 
 # ------------------------------------------------------------------ relational operators, formatting
