@@ -159,6 +159,11 @@ def test_land_water_regions(spark):
     df = spark.createDataFrame([(0, "5", "5"), (1, "3", "3"), (2, "20", "20"), (3, None, "1"), (4, "x", "1"), (5, "1.5", "1.5"), (6, "3", "3"), (7, "500", "3")], "n int, lon string, lat string")
     got = {r.n: r.on_water for r in C.check_coords(df, "lat", "lon", ["on_water"], land=land, lakes=lakes).collect()}
     assert got == {0: "Inland water", 1: "Land", 2: "Ocean", 3: None, 4: None, 5: "Ocean", 6: "Land", 7: None}
+    # rings of many corners take the same way
+    coast = [[(10 * math.cos(2 * math.pi * k / 3000), 10 * math.sin(2 * math.pi * k / 3000)) for k in range(3000)]]
+    flags = C.check_coords(df, "lat", "lon", ["on_water"], land=coast, lakes=[[(4, 4), (6, 4), (6, 6), (4, 6)]])
+    assert len(flags._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert {r.n: r.on_water for r in flags.collect()} == {0: "Inland water", 1: "Land", 2: "Ocean", 3: None, 4: None, 5: "Land", 6: "Land", 7: None}
 
 
 def test_ear_clip():

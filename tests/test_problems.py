@@ -385,10 +385,12 @@ def test_ranked_in_groups(spark, monkeypatch, most):
 
 
 def test_scratch(spark):
-    from vigilark.session import clear_scratch, known_size, list_dir, materialise, shared_dir
+    from vigilark.session import clear_scratch, known_size, list_dir, materialise, materialise_all, shared_dir
 
     df = materialise(spark.range(3), "test-scratch")
     assert known_size(df) == (3, 48) and known_size(spark.range(3)) is None and known_size(materialise(spark.range(3).where("id > 5"))) == (0, 0)
     assert df.count() == 3 and any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))
+    a, b = materialise_all((spark.range(2), "one"), (spark.range(5), "two"))
+    assert (a.count(), b.count(), known_size(b)) == (2, 5, (5, 80))
     clear_scratch(spark)
     assert not any(n.startswith("test-scratch") for n in list_dir(spark, shared_dir(spark)))

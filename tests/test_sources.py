@@ -95,6 +95,11 @@ class Stub(BaseHTTPRequestHandler):
             body = rows[(page - 1) * size : page * size]
         elif u.path == "/api/v1/data":
             body = [{"id": 1, "title": "a"}, {"id": 2, "title": None}]
+        elif u.path == "/t.csv":
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"a,b\n1,x\n2,y\n")
+            return
         elif u.path == "/Env/EnvSample":
             f = q["$filter"][0]
             lo, hi, field = f.split("DateTime'")[1][:10], f.split("DateTime'")[2][:10], f.split()[0]
@@ -138,6 +143,12 @@ def test_http(spark, server):
     assert http.entity_sets(xml) == [("A", "T1"), ("C", "T2")]
 
 
+def test_files_behind_urls(spark, server):
+    """What is fetched lies in the folder all executors share."""
+    df = files.read(spark, f"{server}/t.csv?x=1")
+    assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, "y")] and spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
+
+
 def test_pages_are_requested_once(spark, server):
     Stub.hits.clear()
     df = http.read_forms(spark, server, [5, 3], page_size=2)

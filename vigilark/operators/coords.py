@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.functions.fmt import big_mark, decimal_places
@@ -13,6 +13,8 @@ from vigilark.operators.spatial import BROADCAST_CENTRES, nearest_centres, regio
 from vigilark.plans.joins import join_dimension, row_id
 from vigilark.plans.rows import clean_guid
 
+#: Corners up to which rings are tested by one expression per edge; more go through the regions of operators.spatial.
+MAX_CORNERS = 500
 CHECKS = ("missing", "parse", "out_of_bounds", "precision", "null_coords", "flip", "on_water")
 Rings = list[list[tuple[float, float]]]
 
@@ -109,6 +111,10 @@ def with_land_water(df: DataFrame, lon: str, lat: str, land: DataFrame, lakes: D
     return d.withColumn(out, F.when(F.col("__k").isNotNull(), place)).drop("__x", "__y", "__k", "__land", "__lake")
 
 
+def _as_table(spark: SparkSession, rings: Rings) -> DataFrame:
+    return spark.createDataFrame([([(float(x), float(y)) for x, y in r],) for r in rings], "ring array<struct<lon double, lat double>>")
+
+
 def check_coords(
     df: DataFrame, lat: str, lon: str, checks: Sequence[str] = CHECKS, dim: DataFrame | None = None, key: str | None = None,
     dim_key: str | None = None, dim_lat: str | None = None, dim_lon: str | None = None,
@@ -119,8 +125,9 @@ def check_coords(
 
     missing_coords: either coordinate is null or blank before it is read as a number. parse_failed: a coordinate is there but no number.
     out_of_bounds: outside -90..90 or -180..180. lat_precision, lon_precision, low_precision: digits after the point. null_count:
-    both are 0. potentially_flipped and companions: see flip_columns. on_water: Land, Inland water or Ocean; land and lakes are a few
-    small rings, or tables of regions (with_land_water). strict_parity=True
+    both are 0. potentially_flipped and companions: see flip_columns. on_water: Land, Inland water or Ocean; land and lakes are rings, or
+    tables of regions (with_land_water). Rings of more than MAX_CORNERS corners in all become such a table, where borders belong to the
+    region. strict_parity=True
     gives parse_failed its odd meaning in the reference results: true for missing rows, null for values out of bounds.
     "flip" needs dim and keys, "on_water" needs land; without them these checks are left out. Input columns whose names clash with a
     result column are replaced.
@@ -134,6 +141,8 @@ def check_coords(
         checks, j = [c for c in checks if c != "flip"], df
     if land is None:
         checks = [c for c in checks if c != "on_water"]
+    elif not isinstance(land, DataFrame) and sum(map(len, [*land, *(lakes or [])])) > MAX_CORNERS:
+        land, lakes = _as_table(df.sparkSession, land), _as_table(df.sparkSession, lakes) if lakes else None
     raw_la, raw_lo = F.col(f"`{lat}`"), F.col(f"`{lon}`")
     # one numeric reading of each coordinate, shared by all checks
     j = j.withColumns({"__la": as_number(j, lat), "__lo": as_number(j, lon)})

@@ -147,7 +147,8 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
 
 def publish(spark: SparkSession, text: str, path: str) -> bool:
     """Makes a small file with the given text appear under path at once, or not at all; False if path exists. Of several that publish
-    one path exactly one gets True: a link on local disks, a move that never overwrites elsewhere."""
+    one path exactly one gets True: a link on local disks, a move that never overwrites elsewhere. The file system must move files
+    atomically, as HDFS does; object stores that copy do not."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hidden, name = os.path.split(path)
     draft = f"{hidden}/_{name}-{uuid.uuid4().hex}"
