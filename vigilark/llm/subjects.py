@@ -192,7 +192,7 @@ class Chain:
     bias: np.ndarray
     scale: np.ndarray
     shift: np.ndarray
-    #: Added to the log probability of combinations of several subjects; chosen on the labels kept out.
+    #: Added to the log probability of combinations of several subjects; chosen on the labelled documents.
     lean: float = 0.0
 
     def raw(self, ids: np.ndarray, values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -201,7 +201,14 @@ class Chain:
         return ((x - self.mean) / self.spread) @ self.weights + self.bias
 
     def decode(self, raw: np.ndarray, most: int = 2, beam: int = 16) -> np.ndarray:
-        """The most probable combination of 1 to `most` subjects of each row, by beam search along the chain."""
+        """The most probable combination of 1 to `most` subjects of each row, by beam search along the chain, several leant towards."""
+        return self.choose(*self.search(raw, most, beam))
+
+    def choose(self, state: np.ndarray, logp: np.ndarray, used: np.ndarray) -> np.ndarray:
+        return state[np.arange(len(state)), np.argmax(logp + self.lean * (used > 1), 1)]
+
+    def search(self, raw: np.ndarray, most: int = 2, beam: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The combinations at the end of the beam, their log probabilities and sizes."""
         n, k = raw.shape
         state, logp, used = np.zeros((n, 1, k), bool), np.zeros((n, 1)), np.zeros((n, 1), int)
         for j in range(k):
@@ -225,7 +232,7 @@ class Chain:
                 top[missing, worst[missing]] = empty[missing]
             logp, used = np.take_along_axis(allp, top, 1), np.take_along_axis(allu, top, 1)
             state = np.take_along_axis(alls, top[:, :, None], 1)
-        return state[np.arange(n), np.argmax(logp + self.lean * (used > 1), 1)]
+        return state, logp, used
 
 
 def _newton(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, start: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -314,12 +321,13 @@ def fit_chain(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, su
         t = np.where(y[cal, j], (y[cal, j].sum() + 1) / (y[cal, j].sum() + 2), 1 / ((~y[cal, j]).sum() + 2))
         c = _newton(np.c_[full[:, j], np.ones(len(full))], t, np.array([2.0, 2.0]), np.array([1.0, 0.0]))
         chain.scale[j], chain.shift[j] = c if c[0] > 0 else (1.0, 0.0)
-    # wrong and missing labels make second subjects look rarer than they are: the lean with the best share of right pairs, the least such one
-    raw, best = z[cal] @ chain.weights + chain.bias, (-1.0, 0.0)
+    # wrong and missing labels make second subjects look rarer than they are: the lean with the best share of right pairs, the least
+    # such one, over all labelled rows, whose measures know nothing of their own labels
+    found, best = chain.search(z @ chain.weights + chain.bias), (-1.0, 0.0)
     for lean in LEANS:
         chain.lean = lean
-        got = chain.decode(raw)
-        f = 2 * (got & y[cal]).sum() / max(1, got.sum() + y[cal].sum())
+        got = chain.choose(*found)
+        f = 2 * (got & y).sum() / max(1, got.sum() + y.sum())
         best = max(best, (round(float(f), 9), -lean))
     chain.lean = -best[1]
     return chain
