@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vigilark.llm import name_mapping as N
 from vigilark.operators import set_similarity as J
+from vigilark.plans import joins as P
 
 PLACES = [("0", "LOMBOKII", "g1"), ("0", "LOMBOKIINIA", "g2"), ("0", "EAST POVUNAR", "g3"), ("0", "WEST POVUNAR", "g4"), ("0", "QUELI JIACHITEO", "g5"), ("0", "Z.A.A.", "g6"), ("0", "MBENKIZIMIQUE", "g7"), ("1/X", "BAS-TOMMA", "p1"), ("1/X", "NEMKO EST", "p2"), ("1/X", "NEMKO", "p3")]
 TYPED = {
@@ -30,6 +31,18 @@ def test_mapping(spark):
     assert N.map_names(frame(spark, rows).limit(0), ref).count() == 0
 
 
+def test_mapping_beyond_broadcasts(spark, monkeypatch):
+    """Names and pairs too many for a broadcast, some of them in many rows, map to the same entries; only hot keys are broadcast."""
+    monkeypatch.setattr(P, "fits", lambda df, *most: not most)
+    monkeypatch.setattr(P, "HOT_ROWS", 2)
+    rows = [("0", n, []) for n in TYPED]
+    mapped = N.map_names(frame(spark, rows), spark.createDataFrame(PLACES, "scope string, name string, entry string"))
+    got = {r.id: r.entry for r in mapped.collect()}
+    assert {n: got.get(f"0|{n}") for n in TYPED} == TYPED
+    plan = mapped._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2
+
+
 @pytest.mark.parametrize("threshold, rows", [(0.3, 200_000), (0.3, 0), (0.5, 200_000), (0.8, 0)])
 def test_join_against_brute_force(spark, monkeypatch, threshold, rows):
     """The prefix, length and position filters lose no pair, whether the prefixes are broadcast or joined under salts."""

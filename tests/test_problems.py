@@ -12,9 +12,11 @@ from vigilark.operators import column_profile as P
 from vigilark.operators import instants as I
 from vigilark.operators import work_ledger as W
 from vigilark.operators.snapshot_diff import latest_state, snapshot_diff
-from vigilark.plans.joins import join_dimension, latest_before, range_join
+from vigilark.plans import joins
+from vigilark.plans.joins import hot_keys, join_dimension, latest_before, range_join
 from vigilark.plans.ranks import ranked_in_groups
 from vigilark.plans.rows import canonical_text
+from vigilark.session import materialise
 
 # ------------------------------------------------------------------ snapshots
 
@@ -346,6 +348,22 @@ def test_salted_join(spark):
         join_dimension(left, right, ["k"], "full")
 
 
+@pytest.mark.parametrize("hot_rows", [10, 70, 1000])
+def test_salts_of_hot_keys(spark, monkeypatch, hot_rows):
+    """Only the keys of many rows are repeated; a table beyond the counted broadcast doesn't go through the driver after all."""
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else str(i % 5)) for i in range(300)] + [(999, None)], "id long, k string")
+    right = materialise(spark.createDataFrame([("hot", 1), ("hot", 5), ("1", 2), ("9", 3), (None, 4)], "k string, v int"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = left.join(right, ["k"], how)
+        for spread, hot in ((None, None), (F.col("id"), None), (F.col("id"), lambda: hot_keys(left, ["k"]))):
+            got = join_dimension(left, right, ["k"], how, max_rows=1, spread=spread, hot=hot)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            merged = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "SortMergeJoin" in merged and merged.count("BroadcastHashJoin") <= (2 if hot else 0)
+    assert {r.k for r in hot_keys(left, ["k"]).collect()} == {10: {"hot", *"01234"}, 70: {"hot"}, 1000: set()}[hot_rows]
+
+
 @pytest.mark.parametrize("width", [1, 7, 400])
 def test_range_join(spark, width):
     rnd = random.Random(5)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.text import fold_accents, fold_lookalikes
 from vigilark.operators.set_similarity import similarity_join
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import hot_keys, join_dimension
 from vigilark.session import bounded_by, materialise, materialise_all
 
 #: Jaccard similarity of pairs from which a pair of names is a candidate. Two letters changed in a name of six leave 3 of 11 pairs to 5 of 9.
@@ -99,7 +99,7 @@ def map_names(typed: DataFrame, reference: DataFrame, threshold: float = THRESHO
     # the same skeleton occurs in many typed names: each is looked up once
     lk, rk = v.select("key", "scope", "bones").distinct(), r.select(F.col("rkey").alias("key"), "scope", "bones").distinct()
     pairs = materialise(similarity_join(lk, rk, "key", "bones", "scope", threshold).select(F.col("lk").alias("key"), F.col("rk").alias("rkey"), "jaccard"), "pairs")
-    c = join_dimension(v.select("id", "key", "text", "bones"), pairs, ["key"], "inner", spread=F.col("id"))
+    c = join_dimension(v.select("id", "key", "text", "bones"), pairs, ["key"], "inner", spread=F.col("id"), hot=lambda: hot_keys(v, ["key"]))
     named = bounded_by(r.select("rkey", F.col("bones").alias("r_bones"), F.col("text").alias("r_text"), "entry"), r)
     c = join_dimension(c, named, ["rkey"], "inner", spread=F.col("id"))
     c = c.withColumns({"a": F.replace(without_digits(F.col("text")), F.lit(" "), F.lit("")), "b": F.replace(without_digits(F.col("r_text")), F.lit(" "), F.lit(""))})

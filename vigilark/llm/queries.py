@@ -11,7 +11,7 @@ from vigilark.llm.packing import pack
 from vigilark.llm.subjects import predict_subjects, train_subjects
 from vigilark.llm.survivors import survivors, surviving_records, utc_time
 from vigilark.llm.tokens import token_counts, token_ids
-from vigilark.plans.joins import join_dimension
+from vigilark.plans.joins import hot_keys, join_dimension
 from vigilark.plans.rows import clean_guid
 from vigilark.session import collect_bounded, materialise
 
@@ -63,7 +63,7 @@ def p1_matched(spark: SparkSession, d: str) -> DataFrame:
     typed = rows.select("id", "scope", "name").distinct().select("id", "scope", "name", up)
     names = materialise(map_names(typed, places.unionByName(extra).distinct()), "mapped")
     # one spelling may hold a third of the rows
-    return join_dimension(rows, names, ["id"], "left", spread=F.col("src_id")).drop("id")
+    return join_dimension(rows, names, ["id"], "left", spread=F.col("src_id"), hot=lambda: hot_keys(rows, ["id"])).drop("id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
