@@ -1,9 +1,11 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigilark.llm import survivors as S
+from vigilark.plans import joins as P
 
 SCHEMA = "id long, g string, a string, b string, trust int, at timestamp"
 
@@ -48,6 +50,23 @@ def test_summed_votes(spark):
     assert S.survivors(df.limit(0), ["g"], "id", ["a"], "trust", "at").count() == 0
 
 
+@pytest.mark.parametrize("votes", ["ranked", "sum"])
+@pytest.mark.parametrize("hot_rows", [0, 40, 1000])
+def test_groups_beyond_broadcasts(spark, monkeypatch, votes, hot_rows):
+    """Groups too many for a broadcast, all, some or none of them of many rows, have the same survivors, and no table of them is broadcast."""
+    data = rows()
+    df = spark.createDataFrame(data + data[:50] + [(999, "single", "x", "x", 1, None)] * 60, SCHEMA).withColumnRenamed("g", "c")
+    run = lambda: S.survivors(df, ["c"], "id", ["a", "b"], "trust", "at", votes)
+    want = sorted(map(str, run().collect()))
+    no = lambda *_: False
+    monkeypatch.setattr(P, "fits", no)
+    monkeypatch.setattr(S, "fits", no, raising=False)
+    monkeypatch.setattr(S, "HOT_ROWS", hot_rows, raising=False)
+    won = run()
+    assert sorted(map(str, won.collect())) == want and len(want) > 10
+    assert "BroadcastHashJoin" not in won._jdf.queryExecution().executedPlan().toString()
+
+
 def test_best_vote_outweighs_all_others(spark):
     """A thousand votes of little trust against one, of one trust against a later one, of one time against a smaller id."""
     t = lambda y: datetime(y, 1, 1)
